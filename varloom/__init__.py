@@ -1 +1,9 @@
 """Spark-first engine for genetic-variant feature tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so a cluster needs no
+# copy of the package on its machines.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from varloom.functions.scores import _matrix, effect_score
+from varloom.functions.scores import effect_score
 
 Predictor = Callable[[np.ndarray], np.ndarray]
 
@@ -61,6 +61,15 @@ def predict_batches(
     return df.mapInArrow(over, schema)
 
 
+def _matrix(features: pa.Array, width: int) -> np.ndarray:
+    """Batch of equally long arrays as a 2-D block; any other width raises."""
+    lengths = features.value_lengths().to_numpy(zero_copy_only=False)
+    if not (lengths == width).all():
+        raise ValueError(f"every feature row must hold {width} values")
+    flat = features.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64, copy=False).reshape(len(features), width)
+
+
 def score_set(
     choices: dict[str, tuple[str, str]],
     ref: Column,

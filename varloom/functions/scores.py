@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 Merge = Callable[[Column, Column], Column]
@@ -64,47 +63,20 @@ def sigmoid(margin: Column) -> Column:
     return 1 / (1 + F.exp(-margin))
 
 
-def array_margin(weights: Sequence[float], bias: float) -> Callable[[Column], Column]:
+def array_margin(features: Column, weights: Sequence[float], bias: float) -> Column:
     """Decision value of a feature array.
 
-    The weights travel with the function, so their size is that of one feature row.
-    Each Arrow batch becomes one matrix-vector product over its flat value buffer;
-    interpreted array lambdas cost far more per element on rows of a thousand features.
+    The weights are one array literal of the row's width. Array functions on literals
+    measured no slower here than an Arrow batch product, at 4 and at 900 features.
     """
-    w = np.asarray(weights, dtype=np.float64)
-    b = float(bias)
+    terms = F.zip_with(features, _literal(weights), lambda x, w: x * w)
+    return F.aggregate(terms, F.lit(float(bias)), lambda total, term: total + term)
 
-    @F.arrow_udf("double")
-    def margin(features: pa.Array) -> pa.Array:
-        rows = _matrix(features, len(w))
-        return pa.array(rows @ w + b, mask=np.asarray(features.is_null()))
 
-    return margin
+def array_divide(features: Column, divisors: Sequence[float]) -> Column:
+    """Feature array divided element by element."""
+    return F.zip_with(features, _literal(divisors), lambda x, d: x / d)
 
 
-def array_divide(divisors: Sequence[float], cap: float | None = None) -> Callable[[Column], Column]:
-    """Feature array divided element by element, with an optional upper bound."""
-    d = np.asarray(divisors, dtype=np.float64)
-
-    @F.arrow_udf("array<double>")
-    def divide(features: pa.Array) -> pa.Array:
-        rows = _matrix(features, len(d)) / d
-        if cap is not None:
-            rows = np.minimum(rows, cap)
-        offsets = np.arange(0, (len(rows) + 1) * len(d), len(d), dtype=np.int32)
-        nulls = features.is_null() if features.null_count else None
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()), mask=nulls)
-
-    return divide
-
-
-def _matrix(features: pa.Array, width: int) -> np.ndarray:
-    """Batch of equally long arrays as a 2-D block; null rows become zeros, other widths raise."""
-    if features.null_count:
-        zeros = pa.scalar([0.0] * width, type=features.type)
-        features = features.fill_null(zeros)
-    flat = features.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    lengths = features.value_lengths().to_numpy(zero_copy_only=False)
-    if not (lengths == width).all():
-        raise ValueError(f"every feature row must hold {width} values")
-    return flat.reshape(len(features), width)
+def _literal(values: Sequence[float]) -> Column:
+    return F.lit(np.asarray(values, dtype=np.float64))

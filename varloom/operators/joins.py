@@ -29,9 +29,10 @@ def hstack(
 ) -> DataFrame:
     """Put the feature arrays of several sources side by side, row by row.
 
-    At most one source may carry ``target``. With ``strict`` every source must hold
-    the same row numbers: a full join shows a missing partner and the query fails
-    there, without a separate count of each source.
+    At most one source may carry ``target``. With ``strict`` all sources must hold the
+    same row numbers, else the query fails: the first source finds a partner for each
+    of its rows, and the row counts agree. Every join is on the same key, so each
+    source is exchanged once whatever their number.
     """
     owners = [i for i, s in enumerate(sources) if "target" in s.columns]
     if len(owners) > 1:
@@ -41,15 +42,16 @@ def hstack(
         kept = [F.col(row_id), F.col(inputs).alias(f"__in{i}")]
         return source.select(*kept, *(["target"] if i in owners else []))
 
-    how = "full" if strict else "inner"
+    how = "left" if strict else "inner"
     parts = [narrowed(i, s) for i, s in enumerate(sources)]
     joined = reduce(lambda a, b: a.join(b, row_id, how), parts)
     blocks = [F.col(f"__in{i}") for i in range(len(sources))]
     number = F.col(row_id)
     if strict:
-        incomplete = reduce(lambda a, b: a | b, [c.isNull() for c in blocks])
+        sizes = [s.agg(F.count("*")).scalar() for s in sources]
+        wrong = [c.isNull() for c in blocks] + [n != sizes[0] for n in sizes[1:]]
         number = F.when(
-            incomplete, F.raise_error(F.lit("sources differ in their rows"))
+            reduce(lambda a, b: a | b, wrong), F.raise_error(F.lit("sources differ in their rows"))
         ).otherwise(number)
     return joined.select(
         number.cast("bigint").alias(row_id),
@@ -107,26 +109,37 @@ def route_to_shards(rows: DataFrame, extraction: DataFrame, row_id: str = "row_i
 
 
 def subset(rows: DataFrame, wanted: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    return rows.join(wanted, key, "left_semi")
+    """Rows whose key is wanted. Wanted keys are made distinct on the way, in the same exchange."""
+    return rows.join(_keys(wanted, key), key, "left_semi")
 
 
 def without(rows: DataFrame, done: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    return rows.join(done, key, "left_anti")
+    """Rows whose key is not in the other table."""
+    return rows.join(_keys(done, key), key, "left_anti")
+
+
+def _keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    return df.select(key if isinstance(key, str) else list(key)).distinct()
 
 
 def match_row_numbers(rows: DataFrame, wanted: DataFrame, key: str = "variant_id") -> DataFrame:
     """Row numbers whose id is wanted; a repeated id gives each of its rows once."""
-    return rows.join(wanted.select(key), key, "left_semi").select("row_id", key)
+    return subset(rows, wanted, key).select("row_id", key)
 
 
 def merge_with_ids(predictions: DataFrame, ids: DataFrame, key: str = "variant_id") -> DataFrame:
-    """Full join of predictions with the wanted ids: ids without prediction stay, with nulls."""
-    return predictions.join(ids.select(key), key, "full")
+    """All predictions and all wanted ids; an id without prediction stays, with nulls.
+
+    A full join cannot be split when one id fills the list, so the ids take a left
+    join, which can, and the predictions nobody asked for are added to it.
+    """
+    asked = ids.select(key).join(predictions, key, "left").select(*predictions.columns)
+    return asked.unionByName(without(predictions, ids, key))
 
 
 def scored_regions(scores: DataFrame, regions: DataFrame) -> DataFrame:
     """Score rows at the positions of a region list, each once."""
-    return scores.join(regions.select("chrom", "pos"), ["chrom", "pos"], "left_semi")
+    return subset(scores, regions, ["chrom", "pos"])
 
 
 def first_table_holding(

@@ -254,7 +254,10 @@ def move_surplus(
 
 
 def iterate_batches(batched: DataFrame, columns: Sequence[str]):
-    """Yield the batches one after the other as lists of rows; the driver holds one at a time."""
+    """Yield the batches in order as lists of rows, for a consumer that pulls.
+
+    The driver holds one partition of batches at a time.
+    """
     members = F.sort_array(F.collect_list(F.struct("pos_in_batch", *columns))).alias("rows")
     ordered = batched.groupBy("batch_id").agg(members).orderBy("batch_id")
     for row in ordered.toLocalIterator(prefetchPartitions=False):

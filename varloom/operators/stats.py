@@ -12,10 +12,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 QUARTILES = (0.25, 0.5, 0.75)
-_SKETCH_ACCURACY = 10_000
-_BRACKET = 3.0 / _SKETCH_ACCURACY
-# Rows inside a quantile bracket that may be grouped and put in order.
-_MAX_INSIDE = 100_000
+_SKETCH_ACCURACY = 1_000
+# Distinct values of a quantile bracket that may be grouped and put in order.
+_MAX_INSIDE = 200_000
+_BINS = 4096
+# Parallel partial results of a vector aggregate.
+_PARTIALS = 64
 
 
 def confusion(
@@ -72,24 +74,25 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
 
 
 def summary(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """One row per column: count, mean, std, min, quartiles, max.
+    """One row per column: count, mean, std, min, quartiles, max; NaN counts as missing.
 
-    Moments and extremes come from one pass. Exact quartiles take a second pass over
-    the few rows near each quartile; otherwise the sketch of the first pass is used.
+    Moments and extremes come from one pass. Quartiles are exact, or from a sketch of
+    fixed size in one more pass.
     """
+    values = df.select(*[_number(c) for c in columns])
     aggs = [
         F.struct(
             F.lit(c).alias("column"),
             F.count(c).alias("count"),
             F.avg(c).alias("mean"),
             F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
+            F.min(c).alias("min"),
+            F.max(c).alias("max"),
         )
         for c in columns
     ]
-    moments = df.agg(F.array(*aggs).alias("__s")).select(F.inline("__s"))
-    quarters = exact_quantiles(df, columns) if exact else _sketched_quantiles(df, columns)
+    moments = values.agg(F.array(*aggs).alias("__s")).select(F.inline("__s"))
+    quarters = exact_quantiles(df, columns) if exact else _sketched_quantiles(values, columns)
     wide = quarters.groupBy("column").agg(
         *[
             F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(f"p{round(100 * p)}")
@@ -115,24 +118,25 @@ def exact_quantiles(
 ) -> DataFrame:
     """(column, prob, quantile) with linear interpolation, without gathering a column.
 
-    Each quantile keeps a bracket [low, high]. While many rows lie strictly inside, a
-    sketch of fixed size over just those rows gives a tighter bracket; the rank error
-    of the sketch is bounded, so the wanted order statistics cannot fall outside, and
-    a frequent value soon becomes an edge. At last the values of each bracket are
-    grouped, and only that short list of distinct values is put in order.
+    Each quantile keeps a bracket [low, high] that is known to hold its two order
+    statistics. While it holds many different values, rows are counted by equal bins and
+    the bracket shrinks to the bins around the wanted rank. At last the values of each
+    bracket are grouped, and only that short list of distinct values is put in order.
+    All counts combine before the shuffle. NaN counts as missing.
     """
-    base = df.agg(
+    values = df.select(*[_number(c) for c in columns])
+    base = values.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(c).cast("double").alias(f"min{i}") for i, c in enumerate(columns)],
-        *[F.max(c).cast("double").alias(f"max{i}") for i, c in enumerate(columns)],
+        *[F.min(_finite(c)).alias(f"min{i}") for i, c in enumerate(columns)],
+        *[F.max(_finite(c)).alias(f"max{i}") for i, c in enumerate(columns)],
     ).first()
     cases = [
         {
             "column": c,
             "prob": p,
             "rank": p * (base[f"n{i}"] - 1),
-            "low": base[f"min{i}"],
-            "high": base[f"max{i}"],
+            "low": 0.0 if base[f"min{i}"] is None else base[f"min{i}"],
+            "high": 0.0 if base[f"max{i}"] is None else base[f"max{i}"],
         }
         for i, c in enumerate(columns)
         if base[f"n{i}"]
@@ -140,31 +144,96 @@ def exact_quantiles(
     ]
     if not cases:
         return df.sparkSession.createDataFrame([], "column string, prob double, quantile double")
-    while _tighten(df, cases):
+    while _narrow(values, cases):
         pass
+    return _ranked_values(values, cases)
 
-    inside = F.filter(
+
+def _number(column: str) -> Column:
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value).alias(column)
+
+
+def _finite(column: str) -> Column:
+    return F.when(F.abs(F.col(column)) != F.lit(float("inf")), F.col(column))
+
+
+def _narrow(values: DataFrame, cases: list[dict]) -> bool:
+    """Count around each bracket and shrink the crowded ones; false when none is crowded."""
+    counts = []
+    for k, case in enumerate(cases):
+        c, low, high = F.col(case["column"]), case["low"], case["high"]
+        counts += [
+            F.count_if(c < low).alias(f"below{k}"),
+            F.count_if(c <= low).alias(f"upto{k}"),
+            F.approx_count_distinct(F.when((c > low) & (c < high), c)).alias(f"inside{k}"),
+        ]
+    counted = values.agg(*counts).first()
+    crowded: dict[tuple, list[dict]] = {}
+    for k, case in enumerate(cases):
+        case["below"], case["upto"] = counted[f"below{k}"], counted[f"upto{k}"]
+        if counted[f"inside{k}"] > _MAX_INSIDE:
+            crowded.setdefault((case["column"], case["low"], case["high"]), []).append(case)
+    if not crowded:
+        return False
+    binned = [
+        F.when(
+            (F.col(c) > low) & (F.col(c) < high),
+            F.struct(
+                F.lit(j).alias("bracket"),
+                F.floor((F.col(c) - low) / (high - low) * _BINS).cast("int").alias("bin"),
+            ),
+        )
+        for j, (c, low, high) in enumerate(crowded)
+    ]
+    sizes: list[dict[int, int]] = [{} for _ in crowded]
+    grouped = values.select(F.explode(F.array_compact(F.array(*binned))).alias("b"))
+    for row in grouped.groupBy("b.bracket", "b.bin").agg(F.count("*").alias("n")).collect():
+        sizes[row["bracket"]][row["bin"]] = row["n"]
+    shrunk = False
+    for (bracket, members), bins in zip(crowded.items(), sizes, strict=True):
+        for case in members:
+            shrunk |= _shrink(case, bracket[1], bracket[2], bins)
+    return shrunk
+
+
+def _shrink(case: dict, low: float, high: float, bins: dict[int, int]) -> bool:
+    """Move the ends of a bracket to one bin beyond the bins of the two wanted ranks."""
+    first, last = math.floor(case["rank"]), math.ceil(case["rank"])
+    passed, lower, upper = case["upto"], None, None
+    for b in sorted(bins):
+        if lower is None and first < passed + bins[b]:
+            lower = b if first >= case["upto"] else None
+        passed += bins[b]
+        if upper is None and last < passed:
+            upper = b
+    width = (high - low) / _BINS
+    if lower is not None:
+        case["low"] = max(low, low + (lower - 1) * width)
+    if upper is not None:
+        case["high"] = min(high, low + (upper + 2) * width)
+    return (case["low"], case["high"]) != (low, high)
+
+
+def _ranked_values(values: DataFrame, cases: list[dict]) -> DataFrame:
+    inside = F.array_compact(
         F.array(
             *[
                 F.when(
                     F.col(case["column"]).between(case["low"], case["high"]),
-                    F.struct(
-                        F.lit(k).alias("case"),
-                        F.col(case["column"]).cast("double").alias("value"),
-                    ),
+                    F.struct(F.lit(k).alias("case"), F.col(case["column"]).alias("value")),
                 )
                 for k, case in enumerate(cases)
             ]
-        ),
-        lambda x: x.isNotNull(),
+        )
     )
     counted = (
-        df.select(F.explode(inside).alias("__v"))
+        values.select(F.explode(inside).alias("__v"))
         .groupBy("__v.case", "__v.value")
         .agg(F.count("*").alias("n"))
     )
     facts = F.broadcast(
-        df.sparkSession.createDataFrame(
+        values.sparkSession.createDataFrame(
             [
                 (k, case["column"], case["prob"], case["rank"], case["below"])
                 for k, case in enumerate(cases)
@@ -173,59 +242,33 @@ def exact_quantiles(
         )
     )
     upto = W.partitionBy("case").orderBy("value")
-    ranked = counted.join(facts, "case").withColumn(
+    ranked = facts.join(counted, "case", "left").withColumn(
         "last", F.sum("n").over(upto) + F.col("below") - 1
     )
-    lower, upper = F.floor("rank"), F.ceil("rank")
-    at_lower = F.min(F.when(F.col("last") >= lower, F.col("value")))
-    at_upper = F.min(F.when(F.col("last") >= upper, F.col("value")))
+
+    def value_at(place: Column) -> Column:
+        """Order statistic; ranks outside the finite values are infinite."""
+        found = F.min(F.when(F.col("last") >= place, F.col("value")))
+        under = F.first(place) < F.first("below")
+        return F.when(under, float("-inf")).otherwise(F.coalesce(found, F.lit(float("inf"))))
+
     share = F.first("rank") - F.floor(F.first("rank"))
+    low, high = F.col("low"), F.col("high")
     return (
         ranked.groupBy("column", "prob")
-        .agg(at_lower.alias("lo"), at_upper.alias("hi"), share.alias("share"))
+        .agg(
+            value_at(F.floor("rank")).alias("low"),
+            value_at(F.ceil("rank")).alias("high"),
+            share.alias("share"),
+        )
         .select(
             "column",
             "prob",
-            (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")).alias("quantile"),
+            F.when(low == high, low).otherwise(low + (high - low) * F.col("share")).alias("quantile"),
         )
     )
 
 
-def _tighten(df: DataFrame, cases: list[dict]) -> bool:
-    """Count around each bracket and narrow the crowded ones; false when none is crowded."""
-    counts = []
-    for k, case in enumerate(cases):
-        c, low, high = F.col(case["column"]), case["low"], case["high"]
-        counts += [
-            F.count_if(c < low).alias(f"below{k}"),
-            F.count_if(c <= low).alias(f"upto{k}"),
-            F.count_if((c > low) & (c < high)).alias(f"inside{k}"),
-        ]
-    counted = df.agg(*counts).first()
-    sketches, wanted = [], {}
-    for k, case in enumerate(cases):
-        case["below"] = counted[f"below{k}"]
-        inside, upto = counted[f"inside{k}"], counted[f"upto{k}"]
-        if inside <= _MAX_INSIDE:
-            continue
-        start = (math.floor(case["rank"]) - upto) / inside - _BRACKET
-        stop = (math.ceil(case["rank"]) + 1 - upto) / inside + _BRACKET
-        wanted[k] = (start, stop)
-        c = F.col(case["column"])
-        interior = F.when((c > case["low"]) & (c < case["high"]), c.cast("double"))
-        at = [min(1.0, max(0.0, start)), min(1.0, max(0.0, stop))]
-        sketches.append(F.percentile_approx(interior, at, _SKETCH_ACCURACY).alias(f"q{k}"))
-    if not wanted:
-        return False
-    sketched = df.agg(*sketches).first()
-    for k, (start, stop) in wanted.items():
-        if start > 0:
-            cases[k]["low"] = sketched[f"q{k}"][0]
-        if stop < 1:
-            cases[k]["high"] = sketched[f"q{k}"][1]
-    return True
-
-
 def array_summary(df: DataFrame, inputs: str = "inputs") -> DataFrame:
     """Summary per array position for wide rows, with sketched quartiles of fixed size."""
     value = F.col("value").cast("double")
@@ -262,20 +305,38 @@ def scale_of(variance: Column) -> Column:
 
 
 def array_scaler(df: DataFrame, inputs: str = "inputs") -> DataFrame:
-    """(idx, mean, var, scale) of an array or ML vector column in one vector aggregate.
+    """(idx, mean, var, scale) of an array or ML vector column.
 
-    No cell is exploded: each task sends one partial vector of the row's width.
+    No cell is exploded: each task reduces its rows to one vector aggregate. The tasks'
+    results meet in a fixed number of groups, so no single task merges them all, and
+    those few groups are combined per position.
     """
     is_vector = isinstance(df.schema[inputs].dataType, VectorUDT)
     vector = F.col(inputs) if is_vector else array_to_vector(F.col(inputs).cast("array<double>"))
-    got = df.agg(Summarizer.metrics("count", "mean", "variance").summary(vector).alias("s"))
-    n = F.col("s.count").cast("double")
+    partial = (
+        df.select(vector.alias("v"), F.pmod(F.spark_partition_id(), F.lit(_PARTIALS)).alias("g"))
+        .groupBy("g")
+        .agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s"))
+    )
     both = F.arrays_zip(
         vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance")
     )
-    pop = F.col("c.variance") * (n - 1) / n
-    return got.select("s", F.posexplode(both).alias("idx", "c")).select(
-        "idx", F.col("c.mean").alias("mean"), pop.alias("var"), scale_of(pop).alias("scale")
+    n = F.col("s.count").cast("double")
+    cells = partial.select(n.alias("n"), F.posexplode(both).alias("idx", "c")).select(
+        "n",
+        "idx",
+        F.col("c.mean").alias("mean"),
+        (F.col("c.variance") * (F.col("n") - 1)).alias("squares"),
+    )
+    position = W.partitionBy("idx")
+    centre = F.sum(F.col("n") * F.col("mean")).over(position) / F.sum("n").over(position)
+    shift = F.col("mean") - F.col("centre")
+    variance = F.sum(F.col("squares") + F.col("n") * shift * shift) / F.sum("n")
+    return (
+        cells.withColumn("centre", centre)
+        .groupBy("idx")
+        .agg(F.first("centre").alias("mean"), variance.alias("var"))
+        .withColumn("scale", scale_of(F.col("var")))
     )
 
 

@@ -244,8 +244,8 @@ def ml16(spark, d):
     with_views(f"SELECT row_id, round({MARGIN_SQL}, 9) AS decision FROM v"),
 )
 def ml16_array(spark, d):
-    margin = sx.array_margin(WEIGHTS, BIAS)
-    return labelled(spark, d).select("row_id", F.round(margin("inputs"), 9).alias("decision"))
+    margin = sx.array_margin(F.col("inputs"), WEIGHTS, BIAS)
+    return labelled(spark, d).select("row_id", F.round(margin, 9).alias("decision"))
 
 
 PAIRS_SQL = """

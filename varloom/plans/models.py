@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler
+from pyspark.ml.feature import ElementwiseProduct, MaxAbsScaler, MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.functions.features import VALUE_CAP
+from varloom.functions.features import cap_values, with_sparse
 from varloom.functions.scores import array_divide
 from varloom.operators import stats
 from varloom.operators.rows import hash_fraction, sample_rows
@@ -105,11 +105,20 @@ def scale_inputs(
 ) -> DataFrame:
     """Divide each feature by its scale; ``cap`` also bounds the result.
 
-    A scaler table has one row per feature, so it is read into the expression.
+    A scaler table has one row per feature, so it is read into the expression. Sparse
+    vectors stay sparse.
     """
-    scale = [r["scale"] for r in scaler.orderBy("idx").collect()]
-    divide = array_divide(scale, VALUE_CAP if cap else None)
-    return df.withColumn(inputs, divide(F.col(inputs).cast("array<double>")))
+    scale = [r["scale"] for r in scaler.select("idx", "scale").orderBy("idx").collect()]
+    if not isinstance(df.schema[inputs].dataType, VectorUDT):
+        scaled = array_divide(F.col(inputs).cast("array<double>"), scale)
+        return df.withColumn(inputs, cap_values(scaled) if cap else scaled)
+    factors = Vectors.dense([1.0 / s for s in scale])
+    product = ElementwiseProduct(scalingVec=factors, inputCol=inputs, outputCol="__scaled")
+    scaled = product.transform(df).withColumn(inputs, F.col("__scaled")).drop("__scaled")
+    if not cap:
+        return scaled
+    capped = scaled.withColumn("__capped", cap_values(vector_to_array(inputs))).drop(inputs)
+    return with_sparse(capped, "__capped", inputs, len(scale)).drop("__capped")
 
 
 def scale_range(df: DataFrame, inputs: str = "inputs", sparse: bool = False) -> DataFrame:

@@ -174,7 +174,7 @@ def with_file_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
         F.count("*").alias("__n"), F.min("__mono").alias("__first")
     )
     n_files = len(df.inputFiles())
-    n_tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    n_tasks = df.rdd.getNumPartitions()
     if n_files + n_tasks > _MAX_BROADCAST_SPLITS:
         return number_rows(placed, ["__file", "__start", "__mono"], name).drop(
             "__file", "__start", "__mono"

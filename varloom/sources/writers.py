@@ -58,12 +58,11 @@ def write_vcf(
     columns: Sequence[str],
     order_by: Sequence[str],
     header_lines: Sequence[str] = ("##fileformat=VCFv4.0",),
-    single_file: bool = False,
 ) -> None:
     """VCF text in order under the given meta lines, closed by a ``#CHROM`` line.
 
     The header goes into a folder that sorts first, so the files joined in path order
-    are one VCF; read them with ``path/*``. ``single_file`` sends all rows through one task.
+    are one VCF; read them with ``path/*``.
     """
     spark = df.sparkSession
     names = [c.upper() for c in columns]
@@ -71,9 +70,6 @@ def write_vcf(
     cells = [F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in columns]
     body = df.orderBy(*order_by).select(F.concat_ws("\t", *cells).alias("value"))
     header = _lines(spark, [*header_lines, title])
-    if single_file:
-        header.unionAll(body).coalesce(1).write.text(path)
-        return
     header.write.text(f"{path}/0_header")
     body.write.text(f"{path}/1_rows")
 
