@@ -8,7 +8,7 @@ numbered on its own, and the bucket sizes give the offsets.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -19,6 +19,8 @@ MAX_BUCKETS = 65536
 _MIN_SPAN = 16384
 # Hash digits that name a bucket: 16 ** 3 buckets.
 _HASH_DIGITS = 3
+# Rows of a bucket that may be ranked on their own.
+_MAX_TAKEN = 100_000
 _LOCAL_BITS = 33
 
 
@@ -155,49 +157,41 @@ def tail_rows(df: DataFrame, n: int, row_id: str = "row_id") -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """Exactly ``n`` random rows (all rows if there are fewer), the same ones for the same seed.
-
-    Only rows of the hash bucket where the n-th row falls have to be ranked.
-    """
-    flagged = exact_hash_prefix(df, F.lit(n), seed, row_id, "__in")
-    return flagged.filter("__in").drop("__in")
+    """Exactly ``n`` random rows (all rows if there are fewer), the same ones for the same seed."""
+    return df.filter(hash_prefix(df, lambda total: n, seed, row_id))
 
 
-def exact_hash_prefix(
-    df: DataFrame, n: Column, seed: int, row_id: str, flag: str
-) -> DataFrame:
-    """Flag the first ``n`` rows of the seeded order without sorting the table.
+def hash_prefix(
+    df: DataFrame, size: Callable[[int], int], seed: int, row_id: str = "row_id"
+) -> Column:
+    """Predicate for the first ``size(total)`` rows of the seeded order.
 
-    Bucket counts decide whole buckets; the one bucket that straddles ``n`` (one
-    4096th of the rows) is ranked to find its last included hash.
+    Counts by leading hash digits tell in which bucket the last wanted row falls, and
+    so on inside that bucket until it is small; no row is sorted or moved. The result
+    is a comparison with one literal, so the caller's plan gets no exchange from it.
     """
-    bucket = F.substring(order_hash(row_id, seed), 1, _HASH_DIGITS)
-    sizes = df.select(bucket.alias("__bucket")).groupBy("__bucket").agg(F.count("*").alias("__n"))
-    edges = bucket_offsets(sizes, ["__bucket"]).withColumn("__take", n - F.col("__offset"))
-    cut = edges.filter((F.col("__take") > 0) & (F.col("__take") < F.col("__n")))
-    ranked = (
-        df.select(order_hash(row_id, seed).alias("__hash"), F.col(row_id).alias("__row"))
-        .withColumn("__bucket", F.substring("__hash", 1, _HASH_DIGITS))
-        .join(F.broadcast(cut.select("__bucket", "__take")), "__bucket")
-        .withColumn(
-            "__rank",
-            F.row_number().over(W.partitionBy("__bucket").orderBy("__hash", "__row")),
-        )
-        .filter(F.col("__rank") == F.col("__take"))
-        .select("__bucket", F.struct("__hash", "__row").alias("__last"))
-    )
-    limits = edges.join(F.broadcast(ranked), "__bucket", "left").select(
-        "__bucket", (F.col("__take") >= F.col("__n")).alias("__whole"), "__last"
-    )
-    here = F.struct(order_hash(row_id, seed).alias("__hash"), F.col(row_id).alias("__row"))
-    return (
-        df.withColumn("__bucket", bucket)
-        .join(F.broadcast(limits), "__bucket")
-        .withColumn(
-            flag, F.col("__whole") | F.coalesce(here <= F.col("__last"), F.lit(False))
-        )
-        .drop("__bucket", "__whole", "__last")
-    )
+    hashed = df.select(order_hash(row_id, seed).alias("hash"), F.col(row_id).alias("row"))
+    prefix, rest = "", None
+    while True:
+        digits = len(prefix) + _HASH_DIGITS
+        bucket = F.substring("hash", 1, digits).alias("bucket")
+        inside = hashed.filter(F.col("hash").startswith(prefix)) if prefix else hashed
+        sizes = dict(sorted(inside.groupBy(bucket).agg(F.count("*").alias("n")).collect()))
+        if rest is None:
+            total = sum(sizes.values())
+            rest = size(total)
+            if rest <= 0 or rest >= total:
+                return F.lit(rest > 0)
+        for prefix, n in sizes.items():  # noqa: B007
+            if rest <= n:
+                break
+            rest -= n
+        if sizes[prefix] <= _MAX_TAKEN or digits >= 30:
+            break
+    ranked = hashed.filter(F.col("hash").startswith(prefix)).orderBy("hash", "row")
+    last = ranked.limit(rest).tail(1)[0]
+    value = order_hash(row_id, seed)
+    return (value < last["hash"]) | ((value == last["hash"]) & (F.col(row_id) <= last["row"]))
 
 
 def with_batches(

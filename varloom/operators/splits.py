@@ -7,16 +7,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from varloom.operators.rows import exact_hash_prefix, hash_fraction
+from varloom.operators.rows import hash_fraction, hash_prefix
 
 
 def exact_split(
     df: DataFrame, test_size: float, seed: int, row_id: str = "row_id", flag: str = "is_test"
 ) -> DataFrame:
     """Flag a random test part of exactly ``ceil(test_size * n)`` rows."""
-    total = df.agg(F.count("*")).scalar()
-    n_test = F.ceil(F.lit(float(test_size)) * total)
-    return exact_hash_prefix(df, n_test, seed, row_id, flag)
+    first = hash_prefix(df, lambda total: math.ceil(test_size * total), seed, row_id)
+    return df.withColumn(flag, first)
 
 
 def hash_split(

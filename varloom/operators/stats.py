@@ -129,6 +129,11 @@ def exact_quantiles(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.min(_finite(c)).alias(f"min{i}") for i, c in enumerate(columns)],
         *[F.max(_finite(c)).alias(f"max{i}") for i, c in enumerate(columns)],
+        *[
+            F.count_if(F.col(c) == F.lit(float("-inf"))).alias(f"lowest{i}")
+            for i, c in enumerate(columns)
+        ],
+        *[F.approx_count_distinct(_finite(c)).alias(f"values{i}") for i, c in enumerate(columns)],
     ).first()
     cases = [
         {
@@ -137,6 +142,8 @@ def exact_quantiles(
             "rank": p * (base[f"n{i}"] - 1),
             "low": 0.0 if base[f"min{i}"] is None else base[f"min{i}"],
             "high": 0.0 if base[f"max{i}"] is None else base[f"max{i}"],
+            "below": base[f"lowest{i}"],
+            "crowded": base[f"values{i}"] > _MAX_INSIDE,
         }
         for i, c in enumerate(columns)
         if base[f"n{i}"]
@@ -144,8 +151,9 @@ def exact_quantiles(
     ]
     if not cases:
         return df.sparkSession.createDataFrame([], "column string, prob double, quantile double")
-    while _narrow(values, cases):
-        pass
+    while any(case["crowded"] for case in cases):
+        _count_around(values, cases)
+        _narrow(values, cases)
     return _ranked_values(values, cases)
 
 
@@ -158,10 +166,11 @@ def _finite(column: str) -> Column:
     return F.when(F.abs(F.col(column)) != F.lit(float("inf")), F.col(column))
 
 
-def _narrow(values: DataFrame, cases: list[dict]) -> bool:
-    """Count around each bracket and shrink the crowded ones; false when none is crowded."""
+def _count_around(values: DataFrame, cases: list[dict]) -> None:
+    """Rows below and up to the low end, and whether the bracket still holds many values."""
+    open_cases = [case for case in cases if case["crowded"]]
     counts = []
-    for k, case in enumerate(cases):
+    for k, case in enumerate(open_cases):
         c, low, high = F.col(case["column"]), case["low"], case["high"]
         counts += [
             F.count_if(c < low).alias(f"below{k}"),
@@ -169,13 +178,19 @@ def _narrow(values: DataFrame, cases: list[dict]) -> bool:
             F.approx_count_distinct(F.when((c > low) & (c < high), c)).alias(f"inside{k}"),
         ]
     counted = values.agg(*counts).first()
-    crowded: dict[tuple, list[dict]] = {}
-    for k, case in enumerate(cases):
+    for k, case in enumerate(open_cases):
         case["below"], case["upto"] = counted[f"below{k}"], counted[f"upto{k}"]
-        if counted[f"inside{k}"] > _MAX_INSIDE:
+        case["crowded"] = counted[f"inside{k}"] > _MAX_INSIDE
+
+
+def _narrow(values: DataFrame, cases: list[dict]) -> None:
+    """Shrink the crowded brackets; one that cannot shrink any more counts as done."""
+    crowded: dict[tuple, list[dict]] = {}
+    for case in cases:
+        if case["crowded"]:
             crowded.setdefault((case["column"], case["low"], case["high"]), []).append(case)
     if not crowded:
-        return False
+        return
     binned = [
         F.when(
             (F.col(c) > low) & (F.col(c) < high),
@@ -190,11 +205,9 @@ def _narrow(values: DataFrame, cases: list[dict]) -> bool:
     grouped = values.select(F.explode(F.array_compact(F.array(*binned))).alias("b"))
     for row in grouped.groupBy("b.bracket", "b.bin").agg(F.count("*").alias("n")).collect():
         sizes[row["bracket"]][row["bin"]] = row["n"]
-    shrunk = False
     for (bracket, members), bins in zip(crowded.items(), sizes, strict=True):
         for case in members:
-            shrunk |= _shrink(case, bracket[1], bracket[2], bins)
-    return shrunk
+            case["crowded"] = _shrink(case, bracket[1], bracket[2], bins)
 
 
 def _shrink(case: dict, low: float, high: float, bins: dict[int, int]) -> bool:
@@ -216,33 +229,41 @@ def _shrink(case: dict, low: float, high: float, bins: dict[int, int]) -> bool:
 
 
 def _ranked_values(values: DataFrame, cases: list[dict]) -> DataFrame:
+    brackets = list(dict.fromkeys((c["column"], c["low"], c["high"]) for c in cases))
     inside = F.array_compact(
         F.array(
             *[
                 F.when(
-                    F.col(case["column"]).between(case["low"], case["high"]),
-                    F.struct(F.lit(k).alias("case"), F.col(case["column"]).alias("value")),
+                    F.col(c).between(low, high),
+                    F.struct(F.lit(j).alias("bracket"), F.col(c).alias("value")),
                 )
-                for k, case in enumerate(cases)
+                for j, (c, low, high) in enumerate(brackets)
             ]
         )
     )
     counted = (
         values.select(F.explode(inside).alias("__v"))
-        .groupBy("__v.case", "__v.value")
+        .groupBy("__v.bracket", "__v.value")
         .agg(F.count("*").alias("n"))
     )
     facts = F.broadcast(
         values.sparkSession.createDataFrame(
             [
-                (k, case["column"], case["prob"], case["rank"], case["below"])
+                (
+                    k,
+                    brackets.index((case["column"], case["low"], case["high"])),
+                    case["column"],
+                    case["prob"],
+                    case["rank"],
+                    case["below"],
+                )
                 for k, case in enumerate(cases)
             ],
-            "case int, column string, prob double, rank double, below long",
+            "case int, bracket int, column string, prob double, rank double, below long",
         )
     )
     upto = W.partitionBy("case").orderBy("value")
-    ranked = facts.join(counted, "case", "left").withColumn(
+    ranked = counted.join(facts, "bracket", "right").withColumn(
         "last", F.sum("n").over(upto) + F.col("below") - 1
     )
 
