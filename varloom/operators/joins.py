@@ -150,8 +150,10 @@ def first_table_holding(
 ) -> DataFrame:
     """Attach (found_in, values) from the first table, in list order, that holds the variant.
 
-    The tables are reduced to their first row per variant before one single join,
-    instead of one join per table. ``found_in`` is null for a novel variant.
+    Prescored tables are far larger than a variant list, so their rows are first cut to
+    wanted variants (a broadcast filter when the list is small), then reduced to the
+    first row per variant and joined once; all of it works on one exchange by variant.
+    ``found_in`` is null for a novel variant.
     """
     stacked = reduce(
         DataFrame.unionByName,
@@ -162,7 +164,8 @@ def first_table_holding(
     )
     best = F.min(F.struct("__rank", *values))
     names = F.array(*[F.lit(name) for name, _ in tables])
-    first = stacked.groupBy(*key).agg(best.alias("__best"))
+    wanted = subset(stacked, variants, key)
+    first = wanted.groupBy(*key).agg(best.alias("__best"))
     return variants.join(first, list(key), "left").select(
         *variants.columns,
         F.get(names, F.col("__best.__rank")).alias("found_in"),

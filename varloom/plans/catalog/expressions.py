@@ -435,17 +435,20 @@ def flt08(spark, d):
 
 @query(
     "flt09_compare_columns",
-    with_views(
-        "SELECT * FROM (VALUES ('left_only', 'f9.na'), ('left_only', 'f1.na'), ('right_only', 'f1'),"
-        " ('with_base', 'f1.na'), ('without_base', 'f9.na')) AS t(kind, name)"
-    ),
+    with_views('SELECT variant_id, f1 AS "f1.na", \'f2\' AS right_only FROM v'),
 )
 def flt09(spark, d):
+    """Rows of one table cut down to the indicator columns whose base the other table has."""
     v = views.variants(spark, d)
-    left = v.select("f0", F.col("f1").alias("f1.na"), F.col("f2").alias("f9.na"))
-    found = filters.compare_columns(left, v.select("f0", "f1"))
-    listed = [(kind, name) for kind, names in found.items() for name in names]
-    return spark.createDataFrame(listed, "kind string, name string")
+    left = v.select(
+        "variant_id", F.col("f1").alias("f1.na"), F.col("f0").alias("f9.na"), F.col("f1")
+    )
+    found = filters.compare_columns(left, v.select("variant_id", "f1", "f2"))
+    return left.select(
+        "variant_id",
+        *[F.col(f"`{c}`") for c in found["with_base"]],
+        F.lit(",".join(found["right_only"])).alias("right_only"),
+    )
 
 
 @query("flt10_columns_with_max", with_views("SELECT variant_id, y FROM v"))

@@ -11,6 +11,7 @@ from varloom.functions import variants as vx
 from varloom.functions.features import relabel, with_sparse
 from varloom.operators import joins, sets, splits, stats
 from varloom.plans import models
+from varloom.session import write_through
 from varloom.sources import readers
 
 # A reader is any function that gives a table with ``row_id``; see ``assemble``.
@@ -133,7 +134,9 @@ def score_variants(
     """
     key = joins.VARIANT_KEY
     unique = variants.select(*key).dropDuplicates()
-    cascade = joins.first_table_holding(unique, prescored, ["raw_score", "scaled_score"])
+    cascade = write_through(
+        joins.first_table_holding(unique, prescored, ["raw_score", "scaled_score"]), "cascade"
+    )
     known = cascade.filter(F.col("found_in").isNotNull()).select(
         *key, "raw_score", "scaled_score"
     )

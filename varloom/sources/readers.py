@@ -156,6 +156,19 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     return gtf.withColumn("attributes", variants.gtf_attributes(F.col("attributes")))
 
 
+def read_exons(spark: SparkSession, path: str) -> DataFrame:
+    """Exon rows of a gene table with the ids an overlap needs."""
+    exons = _tabbed(spark, path, schemas.GTF, comment="#").filter(F.col("feature") == "exon")
+    names = ("gene_id", "transcript_id", "exon_number")
+    return exons.select(
+        "chrom",
+        "start",
+        "end",
+        "strand",
+        *[variants.gtf_attribute(F.col("attributes"), n).alias(n) for n in names],
+    )
+
+
 def with_file_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a freshly read file source in file order, then line order.
 
