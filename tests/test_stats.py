@@ -13,7 +13,7 @@ def frame(spark, values):
 
 
 @pytest.mark.parametrize("limit", [5, 200_000])
-@pytest.mark.parametrize("kind", ["smooth", "hot", "skewed", "tiny", "constant"])
+@pytest.mark.parametrize("kind", ["smooth", "hot", "skewed", "tiny", "constant", "hot ends"])
 def test_quantiles_equal_numpy(spark, monkeypatch, limit, kind):
     monkeypatch.setattr(stats, "_MAX_INSIDE", limit)
     monkeypatch.setattr(stats, "_BINS", 16)
@@ -24,6 +24,7 @@ def test_quantiles_equal_numpy(spark, monkeypatch, limit, kind):
         "skewed": np.exp(rng.normal(size=1200) * 6),
         "tiny": np.array([3.0, 1.0]),
         "constant": np.full(50, 7.0),
+        "hot ends": np.concatenate([np.zeros(400), np.ones(500), rng.random(300)]),
     }[kind]
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
     got = {r["prob"]: r["quantile"] for r in stats.exact_quantiles(frame(spark, values), ["x"], probs).collect()}

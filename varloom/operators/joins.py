@@ -18,7 +18,6 @@ VARIANT_KEY = ["chrom", "pos", "ref", "alt"]
 # Conversion tables up to this many rows go to every task (16 bytes a row).
 MAX_BROADCAST_THRESHOLDS = 1_000_000
 _THRESHOLD_BUCKETS = 1024
-_SALTS = 32
 
 
 def hstack(
@@ -214,9 +213,9 @@ def bucketed_threshold_lookup(
 ) -> DataFrame:
     """Threshold lookup for a conversion table too large for every task.
 
-    Bucket edges are thresholds themselves, so each bucket starts with a usable one
-    and nothing is carried between buckets. Scores are salted inside their bucket and
-    the thresholds repeated per salt, so a bucket that draws most scores is shared out.
+    Bucket edges are thresholds themselves, so each bucket starts with a usable one and
+    nothing is carried between buckets. A bucket that draws many scores is salted, with
+    its thresholds repeated per salt; the salts together are at most twice the buckets.
     """
     probs = [i / buckets for i in range(1, buckets)]
     edges = np.unique(
@@ -224,9 +223,17 @@ def bucketed_threshold_lookup(
         + slim.agg(F.percentile_approx("__t", probs, 10 * buckets)).first()[0]
     ).astype(np.float64)
     bucket = _step_function(edges, np.arange(len(edges), dtype=np.float64))
-    spread = scores.withColumn("__bucket", bucket(F.col(score).cast("double"))).withColumn(
-        "__salt", F.pmod(F.xxhash64(*scores.columns), F.lit(_SALTS))
-    )
+    placed_in = scores.withColumn("__bucket", bucket(F.col(score).cast("double")))
+    drawn = placed_in.groupBy("__bucket").agg(F.count("*").alias("n")).filter("__bucket IS NOT NULL")
+    sizes = {int(r["__bucket"]): r["n"] for r in drawn.collect()}
+    fair = max(1, sum(sizes.values()) // len(edges))
+    counts = F.lit(np.array([-(-sizes.get(i, 1) // fair) for i in range(len(edges))], dtype=np.int64))
+
+    def salts(at: Column) -> Column:
+        return F.get(counts, at.cast("int"))
+
+    mixed = F.xxhash64(*scores.columns, F.spark_partition_id())
+    spread = placed_in.withColumn("__salt", F.pmod(mixed, salts(F.col("__bucket"))))
     fields = F.struct(*scores.columns)
     left = spread.select(
         "__bucket",
@@ -236,9 +243,10 @@ def bucketed_threshold_lookup(
         F.lit(None).cast("double").alias("__v"),
         fields.alias("__row"),
     )
-    right = slim.select(
-        bucket(F.col("__t").cast("double")).alias("__bucket"),
-        F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(_SALTS)])).alias("__salt"),
+    steps = slim.withColumn("__bucket", bucket(F.col("__t").cast("double")))
+    right = steps.select(
+        "__bucket",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), salts(F.col("__bucket")) - 1)).alias("__salt"),
         F.col("__t").cast("double").alias("__t"),
         F.lit(0).alias("__kind"),
         F.col("__v").cast("double").alias("__v"),

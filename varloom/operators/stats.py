@@ -202,7 +202,7 @@ def _narrow(values: DataFrame, cases: list[dict]) -> None:
         for j, (c, low, high) in enumerate(crowded)
     ]
     sizes: list[dict[int, int]] = [{} for _ in crowded]
-    grouped = values.select(F.explode(F.array_compact(F.array(*binned))).alias("b"))
+    grouped = values.select(F.explode(F.array(*binned)).alias("b")).filter("b IS NOT NULL")
     for row in grouped.groupBy("b.bracket", "b.bin").agg(F.count("*").alias("n")).collect():
         sizes[row["bracket"]][row["bin"]] = row["n"]
     for (bracket, members), bins in zip(crowded.items(), sizes, strict=True):
@@ -211,38 +211,41 @@ def _narrow(values: DataFrame, cases: list[dict]) -> None:
 
 
 def _shrink(case: dict, low: float, high: float, bins: dict[int, int]) -> bool:
-    """Move the ends of a bracket to one bin beyond the bins of the two wanted ranks."""
-    first, last = math.floor(case["rank"]), math.ceil(case["rank"])
-    passed, lower, upper = case["upto"], None, None
-    for b in sorted(bins):
-        if lower is None and first < passed + bins[b]:
-            lower = b if first >= case["upto"] else None
-        passed += bins[b]
-        if upper is None and last < passed:
-            upper = b
+    """Move the ends of a bracket to one bin beyond the bins of the two wanted ranks.
+
+    A rank before the first bin is the low end itself, one after the last the high end.
+    """
     width = (high - low) / _BINS
-    if lower is not None:
-        case["low"] = max(low, low + (lower - 1) * width)
-    if upper is not None:
-        case["high"] = min(high, low + (upper + 2) * width)
+
+    def place(rank: int, shift: int) -> float:
+        passed = case["upto"]
+        if rank < passed:
+            return low
+        for b in sorted(bins):
+            passed += bins[b]
+            if rank < passed:
+                return min(high, max(low, low + (b + shift) * width))
+        return high
+
+    case["low"] = place(math.floor(case["rank"]), -1)
+    case["high"] = place(math.ceil(case["rank"]), 2)
     return (case["low"], case["high"]) != (low, high)
 
 
 def _ranked_values(values: DataFrame, cases: list[dict]) -> DataFrame:
     brackets = list(dict.fromkeys((c["column"], c["low"], c["high"]) for c in cases))
-    inside = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(c).between(low, high),
-                    F.struct(F.lit(j).alias("bracket"), F.col(c).alias("value")),
-                )
-                for j, (c, low, high) in enumerate(brackets)
-            ]
-        )
+    inside = F.array(
+        *[
+            F.when(
+                F.col(c).between(low, high),
+                F.struct(F.lit(j).alias("bracket"), F.col(c).alias("value")),
+            )
+            for j, (c, low, high) in enumerate(brackets)
+        ]
     )
     counted = (
         values.select(F.explode(inside).alias("__v"))
+        .filter("__v IS NOT NULL")
         .groupBy("__v.bracket", "__v.value")
         .agg(F.count("*").alias("n"))
     )
