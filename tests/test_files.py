@@ -156,6 +156,29 @@ def test_keyed_write_lets_the_last_row_win_whole(spark, tmp_path):
     assert got == {v: (None, 2.0), "w": (3.0, 3.0)}
 
 
+def test_bucketed_tables_join_without_exchange(spark):
+    tables = ["varloom_test_a", "varloom_test_b"]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for t in tables:
+            df = spark.range(400).select(
+                F.col("id").alias("row_id"),
+                (F.col("id") % 100).cast("string").alias("variant_id"),
+                F.col("id").cast("double").alias(f"x_{t[-1]}"),
+            )
+            writers.write_keyed_table(df, t, 4)
+        a, b = (spark.table(t).drop("row_id") for t in tables)
+        joined = joins.join_predictions([a, b])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 100
+        assert joined.filter("variant_id = '7'").first()["x_a"] == 307.0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for t in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
 @pytest.mark.parametrize("by_folder", [False, True])
 def test_stored_batches_come_back(spark, tmp_path, by_folder):
     from varloom.operators.rows import with_batches

@@ -30,17 +30,22 @@ def test_stack_refuses_unequal_rows(spark, other):
     parts = [stackable(spark, range(5), 1), stackable(spark, other, 1)]
     with pytest.raises(Exception, match="sources differ"):
         joins.hstack(parts).collect()
+    with pytest.raises(Exception, match="sources differ"):
+        joins.hstack(parts).select("inputs").collect()
     assert joins.hstack(parts, strict=False).count() == len(set(range(5)) & set(other))
 
 
 def test_stack_exchanges_each_source_once(spark):
-    for t, old in (("spark.sql.autoBroadcastJoinThreshold", "10485760"),):
-        spark.conf.set(t, "-1")
-        parts = [spark.range(100).select(F.col("id").alias("row_id"), F.array(F.lit(1.0)).alias("inputs")) for _ in range(4)]
-        plan = joins.hstack([p.repartition(3) for p in parts], strict=False)
-        text = plan._jdf.queryExecution().executedPlan().toString()
-        spark.conf.set(t, old)
-    assert text.count("Exchange hashpartitioning(row_id") == 4
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        parts = [stackable(spark, range(100), 1).repartition(3) for _ in range(4)]
+        for strict in (True, False):
+            plan = joins.hstack(parts, strict=strict)._jdf.queryExecution().executedPlan()
+            assert plan.toString().count("Exchange hashpartitioning(row_id") == 4
+    finally:
+        spark.conf.set(limit, old)
 
 
 def test_repeated_feature_names_are_refused(spark):
@@ -57,6 +62,8 @@ def test_missing_id_fails_and_repeats_stay(spark):
     more = ids.union(spark.createDataFrame([(3, "zz")], ids.schema))
     with pytest.raises(Exception, match="no record for id zz"):
         joins.lookup(more, store).collect()
+    with pytest.raises(Exception, match="no record for id zz"):
+        joins.lookup(more, store).select("row_id", "x").collect()
 
 
 def test_merge_with_ids_keeps_both_sides(spark):

@@ -186,6 +186,39 @@ def test_stream_restarts_without_doubling(spark, tmp_path):
     assert spark.read.parquet(kept).count() == 4
 
 
+def test_stream_scores_with_a_fitted_model(spark, tmp_path):
+    x, y = make(80)
+    df = table(spark, x, y).withColumn("variant_id", F.concat(F.lit("v"), F.col("row_id").cast("string")))
+    model = models.fit_logistic(df, models.Penalty(0.05))
+    folder, kept, marks = (str(tmp_path / n) for n in ("in", "store", "marks"))
+    df.repartition(3).write.parquet(folder)
+    stream = scoring.file_stream(spark, folder, df.schema, files_per_batch=2)
+
+    def score(rows):
+        return models.predict(model, rows).select("variant_id", "row_id", "decision")
+
+    scoring.score_stream(stream, score, kept, marks).awaitTermination()
+    got = {r["row_id"]: r["decision"] for r in store.latest(spark, kept).collect()}
+    margin = x @ model.coefficients.toArray() + model.intercept
+    np.testing.assert_allclose([got[i] for i in range(80)], margin, rtol=1e-9)
+
+
+def test_sparse_and_dense_features_give_the_same_model(spark):
+    x, y = make(120)
+    x[:, 2] = 0.0
+    df = table(spark, x, y)
+    packed = with_sparse(df.withColumnRenamed("inputs", "a"), "a", "inputs")
+    dense, sparse = (models.fit_logistic(d, models.Penalty(0.05)) for d in (df, packed))
+    np.testing.assert_allclose(dense.coefficients.toArray(), sparse.coefficients.toArray(), rtol=1e-6)
+
+
+def test_prediction_tables_must_share_their_columns(spark):
+    a = spark.createDataFrame([(1, 2)], "x int, y int")
+    assert stats.same_columns([a, a]) == ["x", "y"]
+    with pytest.raises(ValueError, match="same columns"):
+        stats.same_columns([a, a.select("y", "x")])
+
+
 def test_batch_model_sees_blocks(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "row_id long, inputs array<double>")
     got = pluggable.predict_batches(df, lambda: lambda x: x.sum(axis=1), 2).collect()

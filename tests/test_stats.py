@@ -171,3 +171,10 @@ def test_strand_merging(spark):
     assert value("logit", "mean") == pytest.approx(
         ((logit(0.6) - logit(0.2)) + (logit(0.1) - logit(0.9))) / 2
     )
+
+
+def test_array_distinct_counts(spark):
+    df = spark.range(50).select(F.array(F.col("id") % 2, F.col("id")).alias("inputs"))
+    exact = {r["idx"]: r["n_distinct"] for r in stats.array_distinct_counts(df).collect()}
+    near = {r["idx"]: r["n_distinct"] for r in stats.array_distinct_counts(df, relative_error=0.02).collect()}
+    assert exact == {0: 2, 1: 50} and near[0] == 2 and abs(near[1] - 50) <= 3

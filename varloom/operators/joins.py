@@ -45,18 +45,16 @@ def hstack(
     parts = [narrowed(i, s) for i, s in enumerate(sources)]
     joined = reduce(lambda a, b: a.join(b, row_id, how), parts)
     blocks = [F.col(f"__in{i}") for i in range(len(sources))]
-    number = F.col(row_id)
+    out = {row_id: F.col(row_id), inputs: F.concat(*blocks)}
+    if owners:
+        out["target"] = F.col("target")
     if strict:
         sizes = [s.agg(F.count("*")).scalar() for s in sources]
         wrong = [c.isNull() for c in blocks] + [n != sizes[0] for n in sizes[1:]]
-        number = F.when(
-            reduce(lambda a, b: a | b, wrong), F.raise_error(F.lit("sources differ in their rows"))
-        ).otherwise(number)
-    return joined.select(
-        number.cast("bigint").alias(row_id),
-        F.concat(*blocks).alias(inputs),
-        *(["target"] if owners else []),
-    )
+        unequal = reduce(lambda a, b: a | b, wrong)
+        refused = F.raise_error(F.lit("sources differ in their rows"))
+        out = {name: F.when(unequal, refused).otherwise(c) for name, c in out.items()}
+    return joined.select(*[c.alias(name) for name, c in out.items()])
 
 
 def join_predictions(sources: Sequence[DataFrame], key: str = "variant_id") -> DataFrame:
@@ -79,13 +77,17 @@ def outer_join_frames(frames: Sequence[DataFrame], key: str = "row_id") -> DataF
 def lookup(ids: DataFrame, store: DataFrame, key: str = "variant_id") -> DataFrame:
     """Records of a keyed table for an id list, one per list entry; a missing id fails.
 
-    ``store`` holds each id once. The list's ``row_id`` keeps its order.
+    ``store`` holds each id once. The list's ``row_id`` keeps its order. Every looked-up
+    column carries the check, so it cannot be pruned away with one of them.
     """
     found = store.withColumn("__found", F.lit(True)).drop("row_id")
-    checked = F.when(F.col("__found"), F.col(key)).otherwise(
-        F.raise_error(F.concat(F.lit("no record for id "), F.col(key)))
-    )
-    return ids.join(found, key, "left").withColumn(key, checked).drop("__found")
+    absent = F.raise_error(F.concat(F.lit("no record for id "), F.col(key)))
+    checked = {
+        c: F.when(F.col("__found"), F.col(f"`{c}`")).otherwise(absent)
+        for c in found.columns
+        if c != "__found"
+    }
+    return ids.join(found, key, "left").withColumns(checked).drop("__found")
 
 
 def inner_on_variant(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ def keep_last(df: DataFrame, key: Sequence[str], row_id: str = "row_id") -> Data
 
 
 def _keep(df: DataFrame, key: Sequence[str], row_id: str, pick) -> DataFrame:
-    rest = [c for c in df.columns if c not in key]
-    chosen = df.groupBy(*key).agg(pick(F.struct(*rest), F.col(row_id)).alias("__row"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in key])
+    chosen = df.groupBy(*key).agg(pick(rest, F.col(row_id)).alias("__row"))
     return chosen.select(*[c if c in key else F.col("__row")[c].alias(c) for c in df.columns])
 
 

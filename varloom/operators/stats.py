@@ -406,9 +406,19 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*rows).alias("__d")).select(F.inline("__d"))
 
 
-def array_distinct_counts(df: DataFrame, inputs: str = "inputs") -> DataFrame:
-    """(idx, n_distinct) per array position; values are made distinct before they are counted."""
+def array_distinct_counts(
+    df: DataFrame, inputs: str = "inputs", relative_error: float | None = None
+) -> DataFrame:
+    """(idx, n_distinct) per array position.
+
+    Exact counts make the values distinct before they are counted; ``relative_error``
+    takes a sketch of fixed size per position instead, which suits many features with
+    many values.
+    """
     cells = df.select(F.posexplode(inputs).alias("idx", "value"))
+    if relative_error is not None:
+        sketch = F.approx_count_distinct("value", relative_error)
+        return cells.groupBy("idx").agg(sketch.alias("n_distinct"))
     return cells.distinct().groupBy("idx").agg(F.count("*").alias("n_distinct"))
 
 

@@ -97,7 +97,7 @@ SUMMARY_SQL = " UNION ALL ".join(
 
 @query("ag07_summary", with_views(SUMMARY_SQL))
 def ag07(spark, d):
-    table = stats.summary(views.variants(spark, d), FEATURES)
+    table = stats.summary(views.numbered(spark, d), FEATURES)
     quarters = {c: F.round(c, 6) for c in ("p25", "p50", "p75")}
     return table.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), **quarters})
 
@@ -198,7 +198,7 @@ DISTINCT_COLUMNS = ["chrom", "ref", "alt", *FEATURES]
     ),
 )
 def ag13(spark, d):
-    return stats.distinct_counts(views.variants(spark, d), DISTINCT_COLUMNS)
+    return stats.distinct_counts(views.numbered(spark, d), DISTINCT_COLUMNS)
 
 
 @query(

@@ -23,6 +23,18 @@ def write_keyed(df: DataFrame, path: str, key: str = "variant_id", row_id: str =
     once.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
 
 
+def write_keyed_table(
+    df: DataFrame, table: str, buckets: int, key: str = "variant_id", row_id: str = "row_id"
+) -> None:
+    """Keyed records as a bucketed catalog table.
+
+    Tables with the same key and bucket count join on the key without an exchange,
+    which pays when one store meets many feature sources.
+    """
+    once = keep_last(df, [key], row_id).repartition(buckets, key)
+    once.write.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def write_batches(batched: DataFrame, path: str, by_folder: bool = False) -> None:
     """Batches of fixed size. Folders per batch suit a few dozen; files in batch order any number."""
     if by_folder:
