@@ -341,7 +341,7 @@ FROM k ASOF LEFT JOIN t ON k.fresh >= t.threshold
 
 @query("ml21_score_variants", with_views(CHAIN_SQL))
 def ml21(spark, d):
-    v = views.variants(spark, d)
+    v = views.numbered(spark, d)
     known = [(n, t.withColumn("scaled_score", F.lit(1.0))) for n, t in prescored(v)]
     measured = F.when(F.col("status") == "F", F.col("f0"))
     annotations = v.groupBy(*KEY).agg(F.min(measured).alias("f0"))
@@ -499,18 +499,18 @@ FROM p GROUP BY chrom
 
 @query("flagship_score_by_chromosome", with_views(FLAGSHIP_SQL))
 def flagship(spark, d):
-    """Ids, join by position, target, cap, split, scaler, linear score, confusion by chromosome."""
+    """Ids, target, cap, split, scaler, join by position, linear score, confusion by chromosome."""
     v = views.numbered(spark, d)
     ids = v.select("row_id", vx.variant_id_from_alt(*[F.col(c) for c in KEY]).alias("variant_id"))
     capped = [F.least(F.col(f), F.lit(65500.0)).alias(f) for f in FEATURES]
     rows = v.select("row_id", relabel(F.col("y")).alias("target"), *capped)
-    joined = joins.attach_ids(rows, ids)
-    flagged = splits.exact_split(joined, 0.3, 42)
+    flagged = splits.exact_split(rows, 0.3, 42)
     scaler = stats.column_scaler(flagged.filter(~F.col("is_test")), FEATURES)
     scale = {r["column"]: r["scale"] for r in scaler.collect()}
     scaled = [F.col(f) / scale[f] for f in FEATURES]
     margin = sx.linear_margin(scaled, (0.4, -0.3, 0.2, -0.2), 0.1)
-    scored = flagged.filter("is_test").select(
+    test = joins.attach_ids(flagged.filter("is_test"), ids)
+    scored = test.select(
         vx.parse_variant_id(F.col("variant_id"))["chrom"].alias("chrom"),
         "target",
         (margin > 0).cast("int").alias("predicted"),

@@ -98,7 +98,7 @@ def jn05(spark, d):
     ),
 )
 def jn06(spark, d):
-    v = views.variants(spark, d)
+    v = views.numbered(spark, d)
     scores = v.filter("status = 'F'").select(*KEY, "f1")
     return joins.inner_on_variant(v.select(*KEY, "f0"), scores)
 
@@ -181,7 +181,7 @@ def prescored(v):
 
 @query("jn12_prescored_cascade", with_views(CASCADE_SQL))
 def jn12(spark, d):
-    v = views.variants(spark, d)
+    v = views.numbered(spark, d)
     unique = v.select(*KEY).dropDuplicates()
     return joins.first_table_holding(unique, prescored(v), ["raw_score"])
 
@@ -193,7 +193,7 @@ def jn12(spark, d):
     ),
 )
 def jn13(spark, d):
-    v = views.variants(spark, d)
+    v = views.numbered(spark, d)
     return joins.scored_regions(v.select(*KEY, "f1"), v.filter("status = 'F'"))
 
 
@@ -275,7 +275,7 @@ def jn16(spark, d):
     ),
 )
 def set01(spark, d):
-    v = views.variants(spark, d)
+    v = views.numbered(spark, d)
     sources = [v.filter("status = 'F'").select(*KEY), v.filter("flag <> 'N'").select(*KEY)]
     merged = sets.concat_variants(sources, ["qual", "filter", "info"])
     return merged.orderBy("chrom", "pos")
@@ -317,7 +317,7 @@ def _three_sets(v):
 
 @query("set04_overlap", with_views(SETS_SQL))
 def set04(spark, d):
-    return sets.overlap_counts(_three_sets(views.variants(spark, d)))
+    return sets.overlap_counts(_three_sets(views.numbered(spark, d)))
 
 
 @query(
@@ -328,7 +328,7 @@ def set04(spark, d):
     ),
 )
 def set04_shared(spark, d):
-    return sets.shared_count(list(_three_sets(views.variants(spark, d)).values()))
+    return sets.shared_count(list(_three_sets(views.numbered(spark, d)).values()))
 
 
 @query(
@@ -378,7 +378,7 @@ def set08(spark, d):
     ),
 )
 def set09(spark, d):
-    v = views.variants(spark, d)
+    v = views.numbered(spark, d)
     path = fresh_path(spark, "merged")
     scored = v.select(*KEY, "f1", "status", "flag")
     merged = sets.merge_sorted(
