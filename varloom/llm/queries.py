@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.llm import chunk_dedup, minhash, quality_rules
+from varloom.llm import chunk_dedup, minhash, mixing, piece_table, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,54 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return chunk_dedup.remove_repeats(docs)
+
+
+MIXING_SQL = r"""
+WITH RECURSIVE size AS (
+  SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS n FROM documents GROUP BY source),
+share AS (SELECT source, n, pow(n, 0.7) AS s FROM size WHERE n > 0),
+tot AS (SELECT sum(s) AS ss, sum(n) AS nn FROM share),
+r AS (SELECT source, round(s / ss * nn / n, 9) AS rate FROM share, tot),
+d AS (
+  SELECT doc_id, documents.source, coalesce(rate, 0.0) AS rate,
+         CAST(greatest(ceil(coalesce(rate, 0.0) / 16.0), 1) AS INT) AS parts
+  FROM documents LEFT JOIN r ON documents.source IS NOT DISTINCT FROM r.source),
+p AS (
+  SELECT doc_id, part, rate / parts AS lam,
+         (CAST(CAST('0x' || substr(md5('17:' || doc_id || ':' || part), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+  FROM (SELECT *, unnest(range(parts)) AS part FROM d)),
+step AS (
+  SELECT doc_id, part, lam, u, exp(-lam) AS prob, exp(-lam) AS below, 0 AS n FROM p
+  UNION ALL
+  SELECT doc_id, part, lam, u, prob * lam / (n + 1), below + prob * lam / (n + 1), n + 1
+  FROM step WHERE below < u AND n < 80),
+c AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, part, max(n) AS n FROM step GROUP BY doc_id, part) GROUP BY doc_id),
+e AS (
+  SELECT doc_id, source, rate, CAST(n AS INT) AS n_copies, CAST(unnest(range(1, CAST(n AS BIGINT) + 1)) AS INT) AS copy_no
+  FROM d JOIN c USING (doc_id))
+SELECT doc_id, source, rate, n_copies, copy_no,
+       (CAST(CAST('0x' || substr(md5('18:' || doc_id || ':' || copy_no), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS shuffle_key,
+       md5(coalesce(text, '')) AS text_md5
+FROM e JOIN (SELECT doc_id, text FROM documents) USING (doc_id)
+"""
+
+
+@query("op3_source_mixing", MIXING_SQL)
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's rate asks for, in a global random order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.replicate(docs).select(
+        "doc_id",
+        "source",
+        "rate",
+        "n_copies",
+        "copy_no",
+        "shuffle_key",
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
+    )
+
+
+@query("op4_piece_table")
+def op4_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_table.encode(docs, ("n_tokens", "ids_sha256", "decoded_sha256"))
