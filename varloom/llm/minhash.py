@@ -5,7 +5,7 @@ Each permutation gives two values, the minimum and the maximum of a document's h
 a similarity of 0.8 a pair misses all 36 bands with probability 6e-7.
 
 Documents with equal sets are one node, so copies never meet each other. Inside a bucket every node
-is compared with the smallest node only; buckets that still hold several components afterwards are
+is compared with the smallest and the largest node only; buckets that still hold several components afterwards are
 then compared across components, with a size filter, so no candidate is left untested.
 
 Defined cases: null text counts as empty; a text without words has an empty set, links with nothing
@@ -155,11 +155,11 @@ def near_duplicates(
         .select(F.monotonically_increasing_id().alias("node"), "digest", "first_id", "one.*"),
         "nodes",
     )
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = (
         placed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     )
-    members = stored(placed.join(shared, "bucket").select("bucket", "node", "least"), "members")
+    members = stored(placed.join(shared, "bucket").select("bucket", "band", "node", "least", "most"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "_k1", "_k2", "n_shingles"), "node")
     sets = (
         texts.select("_k1", "_k2", "_text")
@@ -177,27 +177,40 @@ def near_duplicates(
         return both.mapInArrow(_confirm(percent), "a long, b long")
 
     sizes = wanted.select("node", F.col("n_shingles").alias("size"))
+    # Two hubs for each bucket, its smallest and its largest node.
+    hubs = members.select("node", F.explode(F.array("least", "most")).alias("hub")).filter("node <> hub")
     first = stored(
-        members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
+        hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs"
     )
     edges = stored(confirmed(first), "links")
     roots = components(edges)
     labelled = stored(
         members.join(roots, "node", "left")
         .join(sizes, "node")
-        .select("bucket", "node", "size", F.coalesce("root", "node").alias("root")),
+        .select("bucket", "band", "node", "size", F.coalesce("root", "node").alias("root")),
         "labelled",
     )
     mixed = (
         labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("bucket")
     )
-    open_members = labelled.join(mixed, "bucket")
-    one = open_members.select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
-    two = open_members.select("bucket", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"))
+    open_members = labelled.join(mixed, "bucket").join(nodes.select("node", "bands"), "node")
+
+    def side(x: str) -> DataFrame:
+        return open_members.select(
+            "bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "root", "bands", "band")]
+        )
+
+    # A pair that shares several buckets is made in the first of them only.
+    met_before = F.arrays_overlap(
+        F.slice("bands_a", F.lit(1), F.col("band_a")), F.slice("bands_b", F.lit(1), F.col("band_a"))
+    )
     second = stored(
-        one.join(two, "bucket")
-        .filter(f"a < b AND ra <> rb AND 100 * least(sa, sb) >= {percent} * greatest(sa, sb)")
-        .select("a", "b")
+        side("a")
+        .join(side("b"), "bucket")
+        .filter("node_a < node_b AND root_a <> root_b")
+        .filter(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+        .filter(~met_before)
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti"),
         "pairs",
