@@ -116,7 +116,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         + F.coalesce(F.least(F.get(places, k) - F.get(places, k - 1), F.lit(WINDOW)), F.lit(WINDOW)),
     )
     df = df.withColumn("n_repeat_words", F.when(places.isNotNull(), covered).otherwise(F.lit(0).cast("long")))
-    return df.drop("_words", "_lines", "_windows", "_sorted", "_places")
+    df = df.drop("_words", "_lines", "_windows", "_sorted", "_places")
+    # A generator of one row: filters on measures stop here, else each would repeat the whole measuring.
+    others = [c for c in df.columns if c not in MEASURES]
+    return df.select(*others, F.inline(F.array(F.struct(*MEASURES))))
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
