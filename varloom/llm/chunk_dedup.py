@@ -94,7 +94,7 @@ def _chunk_rows(batches):
                     pc.take(batch.column("_k2"), rows),
                     pa.array(np.ascontiguousarray(names[:, 0])),
                     pa.array(np.ascontiguousarray(names[:, 1])),
-                    pa.array(start - base),
+                    pa.array((start - base).astype(np.int32)),
                     pa.array((stop - start).astype(np.int32)),
                 ],
                 ["_id", "_k2", "d1", "d2", "start", "size"],
@@ -157,11 +157,12 @@ def remove_repeats(
     base = keyed(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     chunks = base.select(F.col(id_col).alias("_id"), "_k2", F.col(text_col).alias("_text")).mapInArrow(
-        _chunk_rows, f"_id {kind}, _k2 long, d1 long, d2 long, start long, size int"
+        _chunk_rows, f"_id {kind}, _k2 long, d1 long, d2 long, start int, size int"
     )
-    # Only digests that come back travel on; a copy group meets in one count, not in one task.
-    again = chunks.groupBy("d1", "d2").count().filter("count > 1").select("d1", "d2")
-    hits = chunks.join(again, ["d1", "d2"])
+    # Only digests that come back travel on; a copy group meets in one count, not in one task. Half a
+    # digest is enough to sort out the rest: who shares only that half is its own first below.
+    again = chunks.groupBy("d1").count().filter("count > 1").select("d1")
+    hits = chunks.join(again, "d1")
     firsts = hits.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_k2", "start")).alias("first"))
     later = hits.join(firsts, ["d1", "d2"]).filter(~F.struct("_id", "_k2", "start").eqNullSafe(F.col("first")))
     marks = (
