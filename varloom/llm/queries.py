@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.llm import chunk_dedup, language_id, minhash, mixing, piece_table, quality_rules, toxicity
+from varloom.llm import chunk_dedup, language_id, minhash, mixing, page_text, piece_table, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +171,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_page_text")
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(table(spark, sf_dir, "pages"))
