@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from varloom.llm.common import keyed, spans, text_bytes
+from varloom.llm.common import keyed, spans, stored, text_bytes
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: Five bits that the last 12 to 16 bytes decide: a cut after 32 bytes on average.
@@ -162,7 +162,7 @@ def remove_repeats(
     # Only digests that come back travel on; a copy group meets in one count, not in one task. Half a
     # digest is enough to sort out the rest: who shares only that half is its own first below.
     again = chunks.groupBy("d1").count().filter("count > 1").select("d1")
-    hits = chunks.join(again, "d1")
+    hits = stored(chunks.join(again, "d1"), "repeated-chunks")
     firsts = hits.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_k2", "start")).alias("first"))
     later = hits.join(firsts, ["d1", "d2"]).filter(~F.struct("_id", "_k2", "start").eqNullSafe(F.col("first")))
     marks = (
