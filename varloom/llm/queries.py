@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.llm import chunk_dedup, exact_topk, language_id, minhash, mixing, page_text, piece_table, quality_rules, toxicity
+from varloom.llm import chunk_dedup, exact_topk, language_id, minhash, mixing, page_text, piece_table, quality_rules, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +194,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query("op1_exact_topk", TOPK_SQL)
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
