@@ -7,9 +7,8 @@ neighbouring repeated chunks make a run of at least ``min_run`` bytes, so stock
 repeats are left alone. Cuts fall between characters, so what is left is valid text.
 
 Defined cases: null text counts as empty and stays null; an empty text has no chunk. Null ids sort
-first. Rows that repeat id and text are one document here and get the same answer. Columns that are
-not used are carried along, except that ``n_bytes``, ``n_repeated``, ``n_removed`` and ``n_spans``
-are replaced.
+first. Rows that repeat id and text are one document here and get the same answer. Further columns
+are carried along; those named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from varloom.llm.common import keyed, spans, stored, text_bytes
 
@@ -27,6 +27,7 @@ GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 MASK = np.uint32(0xF800)
 SHORTEST, LONGEST = 16, 256
 MIN_RUN = 120
+OUTPUTS = ("n_bytes", "n_removed", "n_spans", "n_repeated")
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
@@ -114,18 +115,18 @@ def runs(starts: np.ndarray, sizes: np.ndarray, min_run: int) -> list[tuple[int,
     return [(int(a), int(b)) for a, b in zip(lo, hi) if b - a >= min_run]
 
 
-def _cut_out(min_run: int, text_col: str):
+def _cut_out(min_run: int):
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(text_col))
-            texts, n_bytes, removed, n_spans = [], [], [], []
-            source = batch.column(text_col)
-            for i, (marks, lo, hi) in enumerate(
-                zip(batch.column("_marks").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist())
-            ):
-                gone = []
-                if marks:
-                    pairs = sorted({(m["start"], m["size"]) for m in marks})
+            source = batch.column("_text")
+            data, offsets = text_bytes(source)
+            marks = batch.column("_marks")
+            texts, counts = [], []
+            for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                gone, repeated = [], 0
+                if marks[i].is_valid:
+                    pairs = sorted({(m["start"], m["size"]) for m in marks[i].as_py()})
+                    repeated = len(pairs)
                     gone = runs(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), min_run)
                 body, at = [], 0
                 for a, b in gone:
@@ -133,18 +134,12 @@ def _cut_out(min_run: int, text_col: str):
                     at = b
                 body.append(data[lo + at : hi].tobytes())
                 texts.append(b"".join(body).decode() if source[i].is_valid else None)
-                n_bytes.append(hi - lo)
-                removed.append(sum(b - a for a, b in gone))
-                n_spans.append(len(gone))
-            made = {
-                text_col: pa.array(texts, pa.string()),
-                "n_bytes": pa.array(n_bytes, pa.int64()),
-                "n_removed": pa.array(removed, pa.int64()),
-                "n_spans": pa.array(n_spans, pa.int64()),
-                "n_repeated": pc.cast(pc.fill_null(batch.column("_n"), 0), pa.int64()),
-            }
-            names = [c for c in batch.schema.names if c not in made and not c.startswith("_")] + list(made)
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
+                counts.append((hi - lo, sum(b - a for a, b in gone), len(gone), repeated))
+            columns = list(zip(*counts)) if counts else [[]] * len(OUTPUTS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in columns]],
+                ["_row", "_text", *OUTPUTS],
+            )
 
     return run
 
@@ -152,11 +147,20 @@ def _cut_out(min_run: int, text_col: str):
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN
 ) -> DataFrame:
-    """``docs`` with repeated runs cut out of the text, and n_bytes, n_repeated, n_removed, n_spans."""
-    docs = docs.drop("n_bytes", "n_repeated", "n_removed", "n_spans")
-    base = keyed(docs, id_col, text_col)
+    """``docs`` with repeated runs cut out of the text, and the columns of ``OUTPUTS``."""
+    # Carried columns wait in a struct, so that none of their names can clash with a helper.
+    carried = [f for f in docs.schema if f.name not in OUTPUTS]
+    base = keyed(
+        docs.select(
+            F.struct(*[F.col(f"`{f.name}`") for f in carried]).alias("_row"),
+            F.col(id_col).alias("_id"),
+            F.col(text_col).alias("_text"),
+        ),
+        "_id",
+        "_text",
+    )
     kind = docs.schema[id_col].dataType.simpleString()
-    chunks = base.select(F.col(id_col).alias("_id"), "_k2", F.col(text_col).alias("_text")).mapInArrow(
+    chunks = base.select("_id", "_k2", "_text").mapInArrow(
         _chunk_rows, f"_id {kind}, _k2 long, d1 long, d2 long, start int, size int"
     )
     # Only digests that come back travel on; a copy group meets in one count, not in one task. Half a
@@ -168,11 +172,12 @@ def remove_repeats(
     marks = (
         later.withColumn("_k1", F.xxhash64("_id"))
         .groupBy("_k1", "_k2")
-        .agg(F.collect_list(F.struct("start", "size")).alias("_marks"))
-        .withColumn("_n", F.size("_marks"))
+        .agg(F.collect_set(F.struct("start", "size")).alias("_marks"))
     )
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col]
-        + [f"`{text_col}` string", "n_bytes long", "n_removed long", "n_spans long", "n_repeated long"]
+    made = StructType([base.schema["_row"], StructField("_text", StringType())])
+    for name in OUTPUTS:
+        made.add(name, LongType())
+    cut = base.join(marks, ["_k1", "_k2"], "left").select("_row", "_text", "_marks").mapInArrow(_cut_out(min_run), made)
+    return cut.select(
+        *[F.col("_text").alias(text_col) if f.name == text_col else F.col(f"_row.`{f.name}`") for f in carried], *OUTPUTS
     )
-    return base.join(marks, ["_k1", "_k2"], "left").mapInArrow(_cut_out(min_run, text_col), schema)

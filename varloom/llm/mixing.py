@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 OUTPUTS = ("rate", "n_copies", "copy_no", "shuffle_key")
 #: Rates above this are split into equal parts, each with its own hash, so exp(-rate) keeps digits.
 PART = 16.0
+SALTS = 8
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
@@ -96,23 +97,26 @@ def replicate(
     size = F.coalesce(F.length("text"), F.lit(0)) if size is None else size
     by_source = rates(docs, source_col, size, weights, total, power)
     # A source may hold a third of all rows: its rate stands under eight keys, over which rows are dealt.
-    salts = 8
-    spread = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = docs.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int"))
-    joined = dealt.join(
-        spread, dealt[source_col].eqNullSafe(spread["_source"]) & (dealt["_salt"] == spread["_salt"]), "left"
-    ).drop("_salt", "_source")
-    joined = joined.withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    spread = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.col(source_col).alias("_from"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("_deal"),
+    )
+    match = F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_deal") == F.col("_salt"))
+    joined = dealt.join(spread, match, "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
     n_parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     part_rate = F.col("rate") / n_parts
     # The hashes are array elements, so each is made once and not at every step of the sum.
-    draws = F.transform(F.sequence(F.lit(0), n_parts - 1), lambda k: uniform(seed, id_col, k))
+    draws = F.transform(F.sequence(F.lit(0), n_parts - 1), lambda k: uniform(seed, "_id", k))
     count = F.aggregate(draws, F.lit(0), lambda n, u: n + poisson_inverse(u, part_rate))
     copies = (
         joined.withColumn("n_copies", count)
         .filter("n_copies > 0")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-        .withColumn("shuffle_key", uniform(seed + 1, id_col, "copy_no"))
+        .withColumn("shuffle_key", uniform(seed + 1, "_id", "copy_no"))
     )
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key")
+    shuffled = copies.select("_row", *OUTPUTS).repartitionByRange(n, "shuffle_key")
+    return shuffled.sortWithinPartitions("shuffle_key").select("_row.*", *OUTPUTS)

@@ -23,6 +23,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 MIN_TOKENS = 8
 MIN_PAGES = 3
@@ -187,50 +188,49 @@ def main_texts(pages: list[str | None]) -> list[tuple[str, int, int]]:
     return out
 
 
-def _extract(names: list[str]):
-    def flush(rows: list[dict]):
-        made = main_texts([r["_html"] for r in rows])
-        columns = {n: [r[n] for r in rows] for n in names}
-        columns |= {"text": [m[0] for m in made], "n_chars": [len(m[0]) for m in made]}
-        columns |= {"n_blocks": [m[1] for m in made], "n_covered": [m[2] for m in made]}
-        return columns
-
-    def run(batches):
-        held: list[dict] = []
-        size, host, schema = 0, None, None
-        for batch in batches:
-            schema = pa.schema(
-                [batch.schema.field(n) for n in names]
-                + [pa.field("text", pa.string())]
-                + [pa.field(n, pa.int64()) for n in ("n_chars", "n_blocks", "n_covered")]
-            )
-            # Slices keep few rows as Python values at a time.
-            for at in range(0, batch.num_rows, 64):
-                for row in batch.slice(at, 64).to_pylist():
-                    if held and (row["_host"] != host or len(held) >= BLOCK_PAGES or size > BLOCK_BYTES):
-                        yield pa.RecordBatch.from_pydict(flush(held), schema=schema)
-                        held, size = [], 0
-                    host = row["_host"]
-                    held.append(row)
-                    size += len(row["_html"] or "")
-        if held:
-            yield pa.RecordBatch.from_pydict(flush(held), schema=schema)
-
-    return run
+OUTPUTS = ("text", "n_chars", "n_blocks", "n_covered")
+
+
+def _extract(batches):
+    def flush(rows: list[tuple]):
+        made = main_texts([r[1] for r in rows])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], kind),
+                pa.array([m[0] for m in made], pa.string()),
+                *[pa.array(c, pa.int64()) for c in zip(*[(len(m[0]), m[1], m[2]) for m in made])],
+            ],
+            ["_row", *OUTPUTS],
+        )
+
+    held: list[tuple] = []
+    size, last, kind = 0, None, None
+    for batch in batches:
+        kind = batch.schema.field("_row").type
+        # Slices keep few rows as Python values at a time.
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            for row, page, host in zip(*[part.column(c).to_pylist() for c in ("_row", "_html", "_host")]):
+                if held and (host != last or len(held) >= BLOCK_PAGES or size > BLOCK_BYTES):
+                    yield flush(held)
+                    held, size = [], 0
+                held.append((row, page))
+                size, last = size + len(page or ""), host
+    if held:
+        yield flush(held)
 
 
 def extract_text(
     pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id", parts: int | None = None
 ) -> DataFrame:
     """``pages`` without the html, with text, n_chars, n_blocks and n_covered (covered tokens)."""
-    made = {"text", "n_chars", "n_blocks", "n_covered"}
-    kept = [f for f in pages.schema if f.name not in made and f.name != html_col]
+    carried = [f for f in pages.schema if f.name not in OUTPUTS and f.name != html_col]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     n = parts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Ranges of (host, hash) split a large host over tasks and keep small ones together.
     dealt = (
         pages.select(
-            *[f.name for f in kept],
+            F.struct(*[F.col(f"`{f.name}`") for f in carried]).alias("_row"),
             F.col(html_col).alias("_html"),
             host.alias("_host"),
             F.xxhash64(id_col, url_col).alias("_order"),
@@ -238,8 +238,7 @@ def extract_text(
         .repartitionByRange(n, "_host", "_order")
         .sortWithinPartitions("_host", "_order")
     )
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-        + ["text string", "n_chars long", "n_blocks long", "n_covered long"]
-    )
-    return dealt.mapInArrow(_extract([f.name for f in kept]), schema)
+    made = StructType([dealt.schema["_row"], StructField("text", StringType())])
+    for name in OUTPUTS[1:]:
+        made.add(name, LongType())
+    return dealt.mapInArrow(_extract, made).select(*[F.col(f"_row.`{f.name}`") for f in carried], *OUTPUTS)

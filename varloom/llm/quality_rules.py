@@ -63,7 +63,10 @@ STANDARD = POLICIES[-1]
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measures of each text; columns of these names are replaced."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
+    # Carried columns wait in a struct, so that none of their names can clash with a helper.
+    docs = docs.select(F.struct(*others).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    body = F.col("_text")
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
     df = docs.withColumns(
         {
@@ -116,10 +119,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         + F.coalesce(F.least(F.get(places, k) - F.get(places, k - 1), F.lit(WINDOW)), F.lit(WINDOW)),
     )
     df = df.withColumn("n_repeat_words", F.when(places.isNotNull(), covered).otherwise(F.lit(0).cast("long")))
-    df = df.drop("_words", "_lines", "_windows", "_sorted", "_places")
     # A generator of one row: filters on measures stop here, else each would repeat the whole measuring.
-    others = [c for c in df.columns if c not in MEASURES]
-    return df.select(*others, F.inline(F.array(F.struct(*MEASURES))))
+    return df.select("_row", F.inline(F.array(F.struct(*MEASURES)))).select("_row.*", *MEASURES)
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
