@@ -5,8 +5,10 @@ Each permutation gives two values, the minimum and the maximum of a document's h
 a similarity of 0.8 a pair misses all 36 bands with probability 6e-7.
 
 Documents with equal sets are one node, so copies never meet each other. Inside a bucket every node
-is compared with the smallest and the largest node only; buckets that still hold several components afterwards are
-then compared across components, with a size filter, so no candidate is left untested.
+is compared with the smallest and the largest node only. Nodes of buckets that then still hold
+several components are put into blocks of about ``BLOCK`` neighbours; blocks that share such a
+bucket are compared as a whole, by one product of 0/1 matrices. So no candidate is left untested,
+and large families cost a row for each pair of blocks, not for each pair of documents.
 
 Defined cases: null text counts as empty; a text without words has an empty set, links with nothing
 and is kept; a single word is its own shingle. Rows with a null id take part and count as copies:
@@ -18,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -32,6 +35,8 @@ _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + n
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _R = _rng.integers(0, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROWS = 4096
+BLOCK = 128
+_COLUMNS = 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 2) -> Iterator[np.ndarray]:
@@ -130,6 +135,74 @@ def _confirm(percent: int):
     return run
 
 
+def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set with every other, over slices of the items."""
+    sizes = [len(x) for x in [*sets, *others]]
+    _, column = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(others)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [start, start + _COLUMNS])
+        part = np.zeros((len(sizes), _COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        out += (part[: len(sets)] @ part[len(sets) :].T).astype(np.int64)
+    return out
+
+
+def _compare_blocks(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "node"])
+        left = pdf[pdf["side"] == 0]
+        right = pdf[pdf["side"] == 1] if (pdf["side"] == 1).any() else left
+        sets, others = ([np.frombuffer(x, np.uint64) for x in side["items"]] for side in (left, right))
+        both = _common(sets, others)
+        union = np.array([len(x) for x in sets])[:, None] + np.array([len(x) for x in others]) - both
+        apart = left["root"].to_numpy()[:, None] != right["root"].to_numpy()
+        a, b = np.nonzero(apart & (100 * both >= percent * union))
+        found = pd.DataFrame({"a": left["node"].to_numpy()[a], "b": right["node"].to_numpy()[b]})
+        # One link between two components says as much as all of them.
+        roots = pd.DataFrame({"x": left["root"].to_numpy()[a], "y": right["root"].to_numpy()[b]})
+        return found[~roots.duplicated().to_numpy()].astype("int64")
+
+    return run
+
+
+def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among (bucket, node, least, root) rows of buckets that hold several."""
+    nodes = open_.groupBy("node").agg(F.min("root").alias("root"), F.min("least").alias("near"))
+    in_root = nodes.groupBy("root").agg(F.count("*").alias("n"))
+    # Blocks hold nodes of one component, or single nodes that met the same hub.
+    near = nodes.join(in_root, "root").withColumn(
+        "family", F.when(F.col("n") > 1, F.col("root") * 2).otherwise(F.col("near") * 2 + 1)
+    )
+    parts = near.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    blocks = stored(
+        near.join(parts, "family").select(
+            "node", "root", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")
+        ),
+        "blocks",
+    )
+    bounds = blocks.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    seen = open_.select("bucket", "node").join(blocks, "node").select("bucket", "block").distinct().join(bounds, "block")
+    one = seen.select("bucket", F.col("block").alias("p"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
+    two = seen.select("bucket", F.col("block").alias("q"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
+    pairs = stored(
+        one.join(two, "bucket")
+        .filter("p <= q AND NOT (p_lo = p_hi AND q_lo = q_hi AND p_lo = q_lo)")
+        .select("p", "q")
+        .distinct(),
+        "block-pairs",
+    )
+    filled = blocks.join(sets, "node")
+    left = pairs.join(filled.withColumnRenamed("block", "p"), "p").withColumn("side", F.lit(0))
+    right = pairs.filter("p <> q").join(filled.withColumnRenamed("block", "q"), "q").withColumn("side", F.lit(1))
+    return (
+        left.unionByName(right).groupBy("p", "q").applyInPandas(_compare_blocks(percent), "a long, b long").distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -176,7 +249,6 @@ def near_duplicates(
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "items_a", "items_b")
         return both.mapInArrow(_confirm(percent), "a long, b long")
 
-    sizes = wanted.select("node", F.col("n_shingles").alias("size"))
     # Two hubs for each bucket, its smallest and its largest node.
     hubs = members.select("node", F.explode(F.array("least", "most")).alias("hub")).filter("node <> hub")
     first = stored(
@@ -185,37 +257,14 @@ def near_duplicates(
     edges = stored(confirmed(first), "links")
     roots = components(edges)
     labelled = stored(
-        members.join(roots, "node", "left")
-        .join(sizes, "node")
-        .select("bucket", "band", "node", "size", F.coalesce("root", "node").alias("root")),
+        members.join(roots, "node", "left").select("bucket", "node", "least", F.coalesce("root", "node").alias("root")),
         "labelled",
     )
     mixed = (
         labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("bucket")
     )
-    open_members = labelled.join(mixed, "bucket").join(nodes.select("node", "bands"), "node")
-
-    def side(x: str) -> DataFrame:
-        return open_members.select(
-            "bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "root", "bands", "band")]
-        )
-
-    # A pair that shares several buckets is made in the first of them only.
-    met_before = F.arrays_overlap(
-        F.slice("bands_a", F.lit(1), F.col("band_a")), F.slice("bands_b", F.lit(1), F.col("band_a"))
-    )
-    second = stored(
-        side("a")
-        .join(side("b"), "bucket")
-        .filter("node_a < node_b AND root_a <> root_b")
-        .filter(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-        .filter(~met_before)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti"),
-        "pairs",
-    )
-    more = stored(confirmed(second), "links")
+    open_ = stored(labelled.join(mixed, "bucket"), "open")
+    more = stored(_across(open_, sets, percent), "links")
     if more.head(1):
         edges = edges.union(more)
         roots = components(edges)
