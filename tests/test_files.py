@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from varloom import schemas, session
 from varloom.functions.features import with_sparse
 from varloom.operators import joins
+from varloom.streaming import scoring
 from varloom.sources import readers, store, writers
 
 
@@ -195,14 +196,45 @@ def test_store_upsert_repeat_and_compaction(spark, tmp_path):
     def batch(*data):
         return spark.createDataFrame(list(data), "variant_id string, row_id long, x double")
 
-    store.upsert(batch(("a", 0, 1.0), ("a", 1, 2.0), ("b", 2, 3.0)), path, 0)
+    run = store.open_run(spark, path)
+    store.upsert(batch(("a", 0, 1.0), ("a", 1, 2.0), ("b", 2, 3.0)), path, 0, run)
     for _ in range(2):
-        store.upsert(batch(("b", 0, 9.0)), path, 1)
+        store.upsert(batch(("b", 0, 9.0)), path, 1, run)
     got = {r["variant_id"]: r["x"] for r in store.latest(spark, path).collect()}
     assert got == {"a": 2.0, "b": 9.0}
-    store.compact(spark, path, str(tmp_path / "t"))
-    again = {r["variant_id"]: r["x"] for r in store.latest(spark, str(tmp_path / "t")).collect()}
-    assert again == got
+    # A later run may use the same batch numbers: its rows win, no others are lost.
+    store.upsert(batch(("b", 0, 10.0), ("c", 1, 5.0)), path, 0, store.open_run(spark, path))
+    want = {"a": 2.0, "b": 10.0, "c": 5.0}
+    assert {r["variant_id"]: r["x"] for r in store.latest(spark, path).collect()} == want
+    folded = str(tmp_path / "t")
+    store.compact(spark, path, folded)
+    assert {r["variant_id"]: r["x"] for r in store.latest(spark, folded).collect()} == want
+    store.upsert(batch(("a", 0, 7.0)), folded, 0, store.open_run(spark, folded))
+    again = {r["variant_id"]: r["x"] for r in store.latest(spark, folded).collect()}
+    assert again == want | {"a": 7.0}
+
+
+def test_new_checkpoint_adds_to_the_store(spark, tmp_path):
+    path, schema = str(tmp_path / "s"), "variant_id string, row_id long, x double"
+    store.upsert(spark.createDataFrame([("keep", 0, 1.0)], schema), path, 0, store.open_run(spark, path))
+    for k in range(2):
+        folder = str(tmp_path / f"in{k}")
+        spark.createDataFrame([("new", 0, float(k))], schema).write.parquet(folder)
+        for _ in range(2):  # the second call has nothing left to do
+            stream = scoring.file_stream(spark, folder, spark.read.parquet(folder).schema)
+            scoring.into_store(stream, path, str(tmp_path / f"marks{k}")).awaitTermination()
+    got = {r["variant_id"]: r["x"] for r in store.latest(spark, path).collect()}
+    assert got == {"keep": 1.0, "new": 1.0}
+
+
+@pytest.mark.parametrize("bad", ["12x", "3000000000"])
+def test_bad_positions_stop_the_read(spark, tmp_path, bad):
+    (tmp_path / "v.vcf").write_text(f"#CHROM\n1\t{bad}\t.\tA\tT\n")
+    with pytest.raises(Exception, match="no int"):
+        readers.read_vcf(spark, str(tmp_path / "v.vcf")).collect()
+    (tmp_path / "t.tsv").write_text(f"#c\n1\t{bad}\tA\tT\n")
+    with pytest.raises(Exception, match="no int"):
+        readers.read_variant_table(spark, str(tmp_path / "t.tsv")).collect()
 
 
 def test_sparse_set_round_trip(spark, tmp_path):

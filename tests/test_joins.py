@@ -155,3 +155,40 @@ def test_first_shard_wins(spark):
     rows = spark.range(4).select(F.col("id").alias("row_id"))
     got = {(r["row_id"], r["shard_id"]) for r in joins.route_to_shards(rows, lists).collect()}
     assert got == {(1, 0), (2, 1)}
+
+
+def test_counting_a_lookup_finds_missing_ids(spark):
+    ids = spark.createDataFrame([(0, "a"), (1, "x")], "row_id long, variant_id string")
+    kept = spark.createDataFrame([("a", 1.0)], "variant_id string, f double")
+    with pytest.raises(Exception, match="no record for id x"):
+        joins.lookup(ids, kept).count()
+    assert joins.lookup(ids.filter("row_id = 0"), kept).count() == 1
+
+
+def test_counting_a_stack_finds_unequal_sources(spark):
+    def source(n):
+        return spark.range(n).select(F.col("id").alias("row_id"), F.array(F.lit(1.0)).alias("inputs"))
+
+    for sizes in ([0, 2], [2, 0], [1, 2], [2, 1], [2, 2, 1]):
+        with pytest.raises(Exception, match="differ in their rows"):
+            joins.hstack([source(n) for n in sizes]).count()
+    assert joins.hstack([source(2), source(2), source(2)]).count() == 2
+    assert joins.hstack([source(0), source(0)]).count() == 0
+
+
+def test_thresholds_without_value_on_both_paths(spark, monkeypatch):
+    inf, nan = float("inf"), float("nan")
+    table = spark.createDataFrame(
+        [(10.0, 1.0), (20.0, None), (30.0, 3.0), (30.0, 2.0), (nan, 9.0), (None, 9.0), (inf, 7.0), (-inf, 0.5)],
+        "threshold double, scaled double",
+    )
+    scores = spark.createDataFrame([(x,) for x in (-inf, 5.0, 10.0, 25.0, 30.0, inf, nan, None)], "raw_score double")
+    small = joins.threshold_lookup(scores, table).collect()
+    monkeypatch.setattr(joins, "MAX_BROADCAST_THRESHOLDS", 1)
+    large = joins.threshold_lookup(scores, table).collect()
+    want = [0.5, 0.5, 1.0, 1.0, 3.0, 7.0, None, None]
+
+    def key(r):
+        return str(r[0]), str(r[1])
+
+    assert sorted(map(key, small)) == sorted(map(key, large)) == sorted((str(s[0]), str(w)) for s, w in zip(scores.collect(), want))

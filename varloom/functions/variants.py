@@ -26,15 +26,21 @@ def alts_text(alts: Column) -> Column:
 def variant_id(
     chrom: Column, pos: Column, ref: Column, alts: Column, chr_word: bool = False
 ) -> Column:
-    """Id from parts with the alleles given as an array."""
+    """Id from parts with the alleles given as an array; null where a part is null."""
     name = add_chr(chrom) if chr_word else strip_chr(chrom)
-    return F.concat_ws(":", name, pos.cast("string"), ref, alts_text(alts))
+    return _joined(name, pos.cast("string"), ref, alts_text(alts))
+
+
+def _joined(*parts: Column) -> Column:
+    """Parts with colons between them. A null part makes it null: a shorter id would match others."""
+    colon = F.lit(":")
+    return F.concat(*[x for part in parts for x in (colon, part)][1:])
 
 
 def variant_id_from_alt(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
-    """Id from a comma-joined allele column; the chromosome is taken as it is."""
+    """Id from a comma-joined allele column; the chromosome is taken as it is, a null part gives null."""
     listed = F.concat(F.lit("['"), F.replace(alt, F.lit(","), F.lit("', '")), F.lit("']"))
-    return F.concat_ws(":", chrom, pos.cast("string"), ref, listed)
+    return _joined(chrom, pos.cast("string"), ref, listed)
 
 
 def parse_variant_id(vid: Column) -> Column:

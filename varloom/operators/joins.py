@@ -29,16 +29,17 @@ def hstack(
     """Put the feature arrays of several sources side by side, row by row.
 
     At most one source may carry ``target``. With ``strict`` all sources must hold the
-    same row numbers, else the query fails: the first source finds a partner for each
-    of its rows, and the row counts agree. Every join is on the same key, so each
-    source is exchanged once whatever their number.
+    same row numbers, else the query fails, a mere count included: a filter refuses rows of the
+    first source without partner, and one more row, itself always filtered, compares the row
+    counts even where nothing is joined. Every join is on the same key, so each source is
+    exchanged once whatever their number.
     """
     owners = [i for i, s in enumerate(sources) if "target" in s.columns]
     if len(owners) > 1:
         raise ValueError("only one source may provide the target")
 
     def narrowed(i: int, source: DataFrame) -> DataFrame:
-        kept = [F.col(row_id), F.col(inputs).alias(f"__in{i}")]
+        kept = [F.col(row_id), F.col(inputs).alias(f"__in{i}"), F.lit(True).alias(f"__has{i}")]
         return source.select(*kept, *(["target"] if i in owners else []))
 
     how = "left" if strict else "inner"
@@ -48,13 +49,17 @@ def hstack(
     out = {row_id: F.col(row_id), inputs: F.concat(*blocks)}
     if owners:
         out["target"] = F.col("target")
-    if strict:
-        sizes = [s.agg(F.count("*")).scalar() for s in sources]
-        wrong = [c.isNull() for c in blocks] + [n != sizes[0] for n in sizes[1:]]
-        unequal = reduce(lambda a, b: a | b, wrong)
-        refused = F.raise_error(F.lit("sources differ in their rows"))
-        out = {name: F.when(unequal, refused).otherwise(c) for name, c in out.items()}
-    return joined.select(*[c.alias(name) for name, c in out.items()])
+    if not strict or len(sources) < 2:
+        return joined.select(*[c.alias(name) for name, c in out.items()])
+    refused = F.raise_error(F.lit("sources differ in their rows"))
+    missing = reduce(lambda a, b: a | b, [F.col(f"__has{i}").isNull() for i in range(1, len(sources))])
+    matched = joined.filter(F.when(missing, refused).otherwise(True))
+    matched = matched.select(*[c.alias(name) for name, c in out.items()])
+    sizes = [s.agg(F.count("*")).scalar() for s in sources]
+    unequal = reduce(lambda a, b: a | b, [n != sizes[0] for n in sizes[1:]])
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in matched.schema]
+    one = joined.sparkSession.range(1).filter(F.when(unequal, refused).otherwise(F.col("id") < 0))
+    return matched.unionAll(one.select(*nothing))
 
 
 def join_predictions(sources: Sequence[DataFrame], key: str = "variant_id") -> DataFrame:
@@ -77,17 +82,13 @@ def outer_join_frames(frames: Sequence[DataFrame], key: str = "row_id") -> DataF
 def lookup(ids: DataFrame, store: DataFrame, key: str = "variant_id") -> DataFrame:
     """Records of a keyed table for an id list, one per list entry; a missing id fails.
 
-    ``store`` holds each id once. The list's ``row_id`` keeps its order. Every looked-up
-    column carries the check, so it cannot be pruned away with one of them.
+    ``store`` holds each id once. The list's ``row_id`` keeps its order. The check is a filter, so a
+    count alone fails as well.
     """
     found = store.withColumn("__found", F.lit(True)).drop("row_id")
-    absent = F.raise_error(F.concat(F.lit("no record for id "), F.col(key)))
-    checked = {
-        c: F.when(F.col("__found"), F.col(f"`{c}`")).otherwise(absent)
-        for c in found.columns
-        if c != "__found"
-    }
-    return ids.join(found, key, "left").withColumns(checked).drop("__found")
+    absent = F.raise_error(F.concat(F.lit("no record for id "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    joined = ids.join(found, key, "left")
+    return joined.filter(F.when(F.col("__found"), True).otherwise(absent)).drop("__found")
 
 
 def inner_on_variant(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -184,10 +185,13 @@ def threshold_lookup(
 ) -> DataFrame:
     """Value at the highest threshold not above the score; null below the lowest.
 
-    A table small by count goes to each task as two sorted arrays. A larger one is
-    cut into buckets and both sides meet per bucket.
+    Thresholds that are null or NaN, or have no value, are left out before anything else. A table
+    small by count goes to each task as two sorted arrays. A larger one is cut into buckets and
+    both sides meet per bucket.
     """
-    slim = table.groupBy(F.col(threshold).alias("__t")).agg(F.max(value).alias("__v"))
+    at = F.col(threshold).cast("double")
+    usable = table.filter(at.isNotNull() & ~F.isnan(at) & F.col(value).isNotNull())
+    slim = usable.groupBy(F.col(threshold).alias("__t")).agg(F.max(value).alias("__v"))
     head = slim.limit(MAX_BROADCAST_THRESHOLDS + 1).toArrow()
     if head.num_rows <= MAX_BROADCAST_THRESHOLDS:
         head = head.sort_by("__t")

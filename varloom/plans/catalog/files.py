@@ -413,8 +413,9 @@ def snk03(spark, d):
     second = v.filter("flag <> 'N'").select(
         "row_id", "variant_id", F.col("f1").alias("db:diff_a"), F.col("f3").alias("db:logit_c")
     )
-    store.upsert(first, path, 0)
-    store.upsert(second, path, 1)
+    # Two runs that number their batches alike: the later run's rows win, none are lost.
+    store.upsert(first, path, 0, store.open_run(spark, path))
+    store.upsert(second, path, 0, store.open_run(spark, path))
     return store.latest(spark, path).select("variant_id", "row_id", "`db:diff_a`", "`db:logit_c`")
 
 
@@ -440,7 +441,7 @@ def snk04(spark, d):
     batch = p.select(
         "row_id", F.col("row_id").cast("string").alias("variant_id"), nested.alias("preds")
     )
-    store.upsert(batch, path, 0)
+    store.upsert(batch, path, 0, store.open_run(spark, path))
     rows_ = store.latest(spark, path).withColumn("event_id", F.col("row_id"))
     return _exploded(rows_, "event_id")
 

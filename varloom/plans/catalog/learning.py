@@ -99,11 +99,18 @@ def ml04(spark, d):
     return splits.hash_split(views.numbered(spark, d).select("row_id"), [0.8, 0.1, 0.1], 9)
 
 
-@query("ml05_random_split")
+@query(
+    "ml05_random_split",
+    with_views(
+        "SELECT CASE WHEN substr(md5(concat(CAST(row_id AS VARCHAR), ':7')), 1, 8) <= 'cccccccc' THEN 'train' ELSE 'test' END AS part,"
+        " CASE WHEN y = -1 THEN 0 ELSE y END AS target, count(*) AS n FROM v GROUP BY ALL"
+    ),
+)
 def ml05(spark, d):
-    train, test = labelled(spark, d).randomSplit([0.8, 0.2], 7)
-    named = [p.select(F.lit(n).alias("part"), "target") for n, p in (("train", train), ("test", test))]
-    return named[0].unionAll(named[1]).groupBy("part", "target").agg(F.count("*").alias("n"))
+    """Seeded random parts that are disjoint and complete whatever the scan does."""
+    flagged = splits.hash_split(labelled(spark, d).select("row_id", "target"), [0.8, 0.2], 7)
+    part = F.when(F.col("part") == 0, "train").otherwise("test").alias("part")
+    return flagged.groupBy(part, "target").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -357,39 +364,48 @@ def ml21(spark, d):
 
 
 STREAM_SQL = """
-SELECT variant_id, row_id, f0 * 2 AS score FROM v
-QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY row_id DESC) = 1
+WITH b AS (
+  SELECT CASE WHEN status = 'F' THEN 0 ELSE 1 END AS part, variant_id, row_id, f0, f1 FROM v
+  UNION ALL SELECT 2, variant_id, row_id, f1, f0 FROM v WHERE flag = 'R')
+SELECT variant_id, row_id, {score} AS {name} FROM b
+QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY part DESC, row_id DESC) = 1
 """
 
 
-def _incoming(spark, d) -> tuple[str, DataFrame]:
-    """Variants as files of a stream folder; a variant id occurs in one file only."""
-    folder = fresh_path(spark, "incoming")
-    v = views.numbered(spark, d).select("variant_id", "row_id", "f0")
-    v.repartition(4, "variant_id").write.parquet(folder)
-    return folder, v
+def _streamed(spark, d, write) -> DataFrame:
+    """Two runs into one store, each with its own checkpoint; ids stand in several files.
+
+    The first run meets two files one after the other, the second a third file.
+    """
+    v = views.numbered(spark, d).select("variant_id", "row_id", "f0", "f1", "status", "flag")
+    parts = [
+        v.filter("status = 'F'"),
+        v.filter("status <> 'F'"),
+        v.filter("flag = 'R'").withColumns({"f0": F.col("f1"), "f1": F.col("f0")}),
+    ]
+    kept = fresh_path(spark, "store")
+    for files in (parts[:2], parts[2:]):
+        folder, marks = fresh_path(spark, "incoming"), fresh_path(spark, "checkpoint")
+        for part in files:
+            rows = part.select("variant_id", "row_id", "f0")
+            # The run goes on from its checkpoint with each further file.
+            rows.write.mode("append").parquet(folder)
+            stream = scoring.file_stream(spark, folder, rows.schema)
+            write(stream, kept, marks).awaitTermination()
+    return store.latest(spark, kept)
 
 
-@query("str01_stream_upsert", with_views(STREAM_SQL.replace("f0 * 2 AS score", "f0")))
+@query("str01_stream_upsert", with_views(STREAM_SQL.format(score="f0", name="f0")))
 def str01(spark, d):
-    folder, v = _incoming(spark, d)
-    kept, marks = fresh_path(spark, "store"), fresh_path(spark, "checkpoint")
-    stream = scoring.file_stream(spark, folder, v.schema, files_per_batch=2)
-    scoring.into_store(stream, kept, marks).awaitTermination()
-    return store.latest(spark, kept)
+    return _streamed(spark, d, scoring.into_store)
 
 
-@query("str02_stream_scores", with_views(STREAM_SQL))
+@query("str02_stream_scores", with_views(STREAM_SQL.format(score="f0 * 2", name="score")))
 def str02(spark, d):
-    folder, v = _incoming(spark, d)
-    kept, marks = fresh_path(spark, "store"), fresh_path(spark, "checkpoint")
-    stream = scoring.file_stream(spark, folder, v.schema, files_per_batch=2)
-
     def score(df: DataFrame) -> DataFrame:
         return df.select("variant_id", "row_id", (F.col("f0") * 2).alias("score"))
 
-    scoring.score_stream(stream, score, kept, marks).awaitTermination()
-    return store.latest(spark, kept)
+    return _streamed(spark, d, lambda stream, kept, marks: scoring.score_stream(stream, score, kept, marks))
 
 
 @query("udf01_column_function", with_views("SELECT variant_id, length(ref) + length(alt) AS size FROM v"))
@@ -477,7 +493,9 @@ def udf06(spark, d):
         lambda s: views.numbered(s, d).select("row_id", F.array("f0").alias("inputs")),
         lambda s: views.predictions(s, d).select("row_id", F.array("value").alias("inputs")),
     ]
-    stacked = joins.hstack([source(spark) for source in sources], strict=False)
+    read = [source(spark) for source in sources]
+    # The tables differ in length, so each is cut to the rows of the other before they are stacked.
+    stacked = joins.hstack([joins.subset(read[0], read[1], "row_id"), joins.subset(read[1], read[0], "row_id")])
     return stacked.select(
         "row_id", F.col("inputs")[0].alias("f0"), F.col("inputs")[1].alias("value")
     )

@@ -32,24 +32,19 @@ def jn01(spark, d):
 @query(
     "jn02_stack_many_sources",
     with_views(
-        "SELECT v.row_id, y AS target, f0, f1, value, CAST(embedding[1] AS DOUBLE) AS e0, CAST(67 AS INT) AS width"
-        " FROM v JOIN events ON v.row_id = event_id JOIN embeddings ON v.row_id = vec_id"
+        "SELECT row_id, target, CAST(unnest(range(len(inputs))) AS INT) AS idx, unnest(inputs) AS cell FROM ("
+        "SELECT v.row_id, y AS target, list_concat([f0, f1, value], [CAST(x AS DOUBLE) FOR x IN embedding]) AS inputs"
+        " FROM v JOIN events ON v.row_id = event_id JOIN embeddings ON v.row_id = vec_id)"
     ),
 )
 def jn02(spark, d):
     left, _ = _blocks(views.numbered(spark, d))
     p = views.predictions(spark, d).select("row_id", F.array("value").alias("inputs"))
     x = views.vectors(spark, d).select("row_id", "inputs")
-    inputs = F.col("inputs")
-    return joins.hstack([left, p, x], strict=False).select(
-        "row_id",
-        "target",
-        inputs[0].alias("f0"),
-        inputs[1].alias("f1"),
-        inputs[2].alias("value"),
-        inputs[3].alias("e0"),
-        F.size(inputs).alias("width"),
-    )
+    # The tables differ in length, so they are first cut to the rows that all of them hold.
+    common = joins.subset(joins.subset(left.select("row_id"), p, "row_id"), x, "row_id")
+    stacked = joins.hstack([joins.subset(s, common, "row_id") for s in (left, p, x)])
+    return stacked.select("row_id", "target", F.posexplode("inputs").alias("idx", "cell"))
 
 
 @query(

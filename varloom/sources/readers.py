@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from varloom import schemas
 from varloom.functions import features, variants
@@ -55,7 +55,12 @@ def read_variant_table(
     raw = spark.read.options(**_LINE_SEPARATOR_FREE).csv(path, sep="\t", header=True)
     targets = schemas.VARIANT4.fields
     return raw.select(
-        *[F.col(f"`{c}`").cast(t.dataType).alias(t.name) for c, t in zip(columns, targets, strict=True)]
+        *[
+            F.col(f"`{c}`").alias(t.name)
+            if isinstance(t.dataType, T.StringType)
+            else strict_number(F.col(f"`{c}`"), t.dataType, c).alias(t.name)
+            for c, t in zip(columns, targets, strict=True)
+        ]
     )
 
 
@@ -201,7 +206,23 @@ def with_file_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     )
 
 
+def strict_number(column: Column, kind: T.DataType, name: str) -> Column:
+    """A number from text; text that is none, or does not fit the type, stops the query."""
+    number = column.try_cast(kind)
+    wrong = F.raise_error(F.concat(F.lit(f"column {name}: no {kind.simpleString()}: "), column))
+    return F.when(column.isNotNull() & number.isNull(), wrong).otherwise(number)
+
+
 def _tabbed(spark: SparkSession, path: str, schema: T.StructType, comment: str) -> DataFrame:
-    return spark.read.options(**_LINE_SEPARATOR_FREE).csv(
-        path, sep="\t", header=False, comment=comment, schema=schema
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    raw = spark.read.options(**_LINE_SEPARATOR_FREE).csv(
+        path, sep="\t", header=False, comment=comment, schema=text
+    )
+    return raw.select(
+        *[
+            F.col(f"`{f.name}`")
+            if isinstance(f.dataType, T.StringType)
+            else strict_number(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name)
+            for f in schema
+        ]
     )

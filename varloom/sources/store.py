@@ -1,33 +1,50 @@
-"""Keyed prediction store: one Parquet folder per write batch, newest row per id on read.
+"""Keyed prediction store: one Parquet folder per run and write batch, newest row per id on read.
 
-Each batch replaces only its own folder, so a repeated batch changes nothing and a
-lost job leaves earlier batches as they were.
+Every run that writes has a folder of its own, ``run=<number>-<random part>``, so no run can replace
+what another one stored. Inside a run a repeated batch replaces only its own folder, so running it
+again changes nothing and a lost job leaves earlier batches as they were.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from varloom.operators.sets import keep_last
 
+_PLACE = ["run", "batch_no"]
+
+
+def open_run(spark: SparkSession, store: str) -> str:
+    """Name of a new run; it sorts behind all runs that the store holds now."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/run=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    numbers = [int(f.getPath().getName().removeprefix("run=").split("-")[0]) for f in found]
+    return f"{max(numbers, default=0) + 1:010d}-{uuid.uuid4().hex[:12]}"
 
-def upsert(batch: DataFrame, store: str, batch_no: int, row_id: str = "row_id") -> None:
-    """Add a batch of (variant_id, row_id, ...); the last row per id of the batch is kept."""
+
+def upsert(batch: DataFrame, store: str, batch_no: int, run: str, row_id: str = "row_id") -> None:
+    """Add a batch of (variant_id, row_id, ...); the last row per id of the batch is kept.
+
+    ``run`` comes from ``open_run``; within it, a batch number written again replaces itself.
+    """
     once = keep_last(batch, ["variant_id"], row_id)
-    once.write.mode("overwrite").parquet(f"{store}/batch_no={batch_no}")
+    once.write.mode("overwrite").parquet(f"{store}/run={run}/batch_no={batch_no}")
 
 
 def latest(spark: SparkSession, store: str, row_id: str = "row_id") -> DataFrame:
-    """Newest record per id."""
-    rows = spark.read.parquet(store)
-    order = F.struct(F.col("batch_no"), F.col(row_id))
-    return (
-        keep_last(rows.withColumn("__order", order), ["variant_id"], "__order")
-        .drop("__order", "batch_no")
-    )
+    """Newest record per id: by run, then batch, then row."""
+    rows = spark.read.parquet(store).withColumn("run", F.col("run").cast("string"))
+    order = F.struct(*_PLACE, F.col(row_id))
+    return keep_last(rows.withColumn("__order", order), ["variant_id"], "__order").drop("__order", *_PLACE)
 
 
 def compact(spark: SparkSession, store: str, new_store: str, row_id: str = "row_id") -> None:
-    """Fold all batches into one at a new place, laid out by id; the old store stays."""
+    """Fold all batches into one at a new place, laid out by id; the old store stays.
+
+    The folded rows are a run of their own there, older than any run that writes later.
+    """
     folded = latest(spark, store, row_id).repartitionByRange("variant_id")
-    folded.sortWithinPartitions("variant_id").write.parquet(f"{new_store}/batch_no=0")
+    run = open_run(spark, new_store)
+    folded.sortWithinPartitions("variant_id").write.parquet(f"{new_store}/run={run}/batch_no=0")

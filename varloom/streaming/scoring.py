@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from varloom.sources.store import upsert
+from varloom.sources.store import open_run, upsert
 
 
 def file_stream(
@@ -23,17 +24,31 @@ def file_stream(
     return reader.options(**options).format(fmt).load(folder)
 
 
+def run_of(spark: SparkSession, store: str, checkpoint: str) -> str:
+    """The store run of a checkpoint, opened on its first use and kept inside the checkpoint."""
+    place = f"{checkpoint}/store_run"
+    try:
+        kept = spark.read.schema("run string").json(place).first()
+    except AnalysisException:
+        kept = None
+    if kept is None:
+        spark.createDataFrame([(open_run(spark, store),)], "run string").coalesce(1).write.mode("append").json(place)
+        kept = spark.read.schema("run string").json(place).first()
+    return kept["run"]
+
+
 def into_store(
     stream: DataFrame, store: str, checkpoint: str, row_id: str = "row_id"
 ) -> StreamingQuery:
-    """Write each micro-batch under its own number and stop when the folder is drained.
+    """Write each micro-batch under its run and number and stop when the folder is drained.
 
-    The checkpoint remembers which files are done; a batch that runs again after a
-    failure replaces its own folder, so every prediction is stored exactly once.
+    Batch numbers start anew with each checkpoint, so the run belongs to the checkpoint: a batch
+    that runs again after a failure replaces its own folder, and a new checkpoint adds to the store.
     """
+    run = run_of(stream.sparkSession, store, checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        upsert(batch, store, number, row_id)
+        upsert(batch, store, number, run, row_id)
 
     return (
         stream.writeStream.foreachBatch(write)
