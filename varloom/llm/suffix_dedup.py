@@ -32,7 +32,7 @@ from varloom.llm.common import CHUNK, keyed, mix, powers, prefix_hash, range_has
 
 LENGTH = 200
 GRAM = 48
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 QUEUE_BYTES = 64 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 
