@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -73,6 +74,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     import __spark_entry__ as entry
+    from varloom.session import remove_written
 
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
@@ -83,6 +85,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="varloom-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
@@ -104,6 +107,7 @@ def main() -> None:
         failed += bool(note)
         kind = "sql" if name in sqls else "rows"
         print(f"{'FAIL' if note else 'ok':4} {kind:4} {time.time() - start:6.2f}s {name} {note}", flush=True)
+    remove_written(spark)
     print("failed", failed)
 
 

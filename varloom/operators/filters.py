@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from varloom.operators.stats import distinct_counts
+
 from varloom.functions.features import has_bad_value
 
 
@@ -70,17 +72,19 @@ def varied_columns(
 ) -> list[str]:
     """Columns with at least ``min_distinct`` values, plus those always kept.
 
-    Exact by default; ``relative_error`` switches to a sketch per column, whose size
-    does not grow with the data.
+    A first pass takes a sketch per column, whose size does not grow with the data. Columns
+    whose estimate is within a factor of two of the limit are then counted exactly, unless
+    ``relative_error`` is given, which makes the sketch decide.
     """
     checked = [c for c in columns if c not in always]
-
-    def distinct(c: str) -> Column:
-        if relative_error is None:
-            return F.count_distinct(c).alias(c)
-        return F.approx_count_distinct(c, relative_error).alias(c)
-
-    counts = df.agg(*[distinct(c) for c in checked]).first().asDict() if checked else {}
+    if not checked:
+        return list(columns)
+    sketches = [F.approx_count_distinct(c, relative_error or 0.05).alias(c) for c in checked]
+    counts = df.agg(*sketches).first().asDict()
+    if relative_error is None:
+        near = [c for c in checked if min_distinct <= 2 * counts[c] and counts[c] <= 2 * min_distinct]
+        if near:
+            counts |= {r["column"]: r["n_distinct"] for r in distinct_counts(df, near).collect()}
     return [c for c in columns if c in always or counts[c] >= min_distinct]
 
 

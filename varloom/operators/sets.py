@@ -18,9 +18,29 @@ def concat_variants(sources: Sequence[DataFrame], fill: Sequence[str] = ()) -> D
 
 
 def concat_ordered(sources: Sequence[DataFrame], row_id: str = "row_id") -> DataFrame:
-    """Tables one after the other, with row numbers running on; keeps ``source_no``."""
+    """Tables one after the other, with row numbers running on; keeps ``source_no``.
+
+    Sources whose numbers run from 0 without gaps only get an offset, so no row moves; with gaps
+    the rows are renumbered.
+    """
     tagged = [s.withColumn("source_no", F.lit(i)) for i, s in enumerate(sources)]
-    return renumber(reduce(DataFrame.unionByName, tagged), row_id, row_id, "source_no")
+    facts = reduce(
+        DataFrame.unionByName,
+        [
+            t.select("source_no", row_id)
+            .groupBy("source_no")
+            .agg(F.count("*").alias("n"), F.min(row_id).alias("first"), F.max(row_id).alias("last"))
+            for t in tagged
+        ],
+    ).collect()
+    if any(r["first"] != 0 or r["last"] + 1 != r["n"] for r in facts):
+        return renumber(reduce(DataFrame.unionByName, tagged), row_id, row_id, "source_no")
+    sizes = {r["source_no"]: r["n"] for r in facts}
+    moved, start = [], 0
+    for i, t in enumerate(tagged):
+        moved.append(t.withColumn(row_id, (F.col(row_id) + F.lit(start)).cast("long")))
+        start += sizes.get(i, 0)
+    return reduce(DataFrame.unionByName, moved)
 
 
 def sorted_distinct(df: DataFrame, key: Sequence[str] = VARIANT_KEY) -> DataFrame:
@@ -74,8 +94,11 @@ def _keep(df: DataFrame, key: Sequence[str], row_id: str, pick) -> DataFrame:
 def drop_adjacent_repeats(
     df: DataFrame, columns: Sequence[str], row_id: str = "row_id"
 ) -> DataFrame:
-    """Keep a row when it differs from the row before it in the given columns."""
-    lagged = previous_in_order(df, [*columns, row_id], row_id)
+    """Keep a row when it differs from the row before it in the given columns.
+
+    Rows are numbered anew first, so gaps in their numbers, as a filter leaves them, do no harm.
+    """
+    lagged = previous_in_order(renumber(df, row_id, "__place"), [*columns, row_id], "__place")
     same = reduce(
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"prev_{c}")) for c in columns]
     )

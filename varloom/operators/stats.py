@@ -118,8 +118,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """(column, prob, quantile) with linear interpolation, without gathering a column.
 
-    Each quantile keeps a bracket [low, high] that is known to hold its two order
-    statistics. While it holds many different values, rows are counted by equal bins and
+    Each quantile lies between two order statistics, and each of these keeps a bracket
+    [low, high] that is known to hold it. While it holds many different values, rows are counted by equal bins and
     the bracket shrinks to the bins around the wanted rank. At last the values of each
     bracket are grouped, and only that short list of distinct values is put in order.
     All counts combine before the shuffle. NaN counts as missing.
@@ -139,7 +139,9 @@ def exact_quantiles(
         {
             "column": c,
             "prob": p,
-            "rank": p * (base[f"n{i}"] - 1),
+            "rank": rank,
+            "side": side,
+            "share": p * (base[f"n{i}"] - 1) % 1,
             "low": 0.0 if base[f"min{i}"] is None else base[f"min{i}"],
             "high": 0.0 if base[f"max{i}"] is None else base[f"max{i}"],
             "below": base[f"lowest{i}"],
@@ -148,6 +150,7 @@ def exact_quantiles(
         for i, c in enumerate(columns)
         if base[f"n{i}"]
         for p in probs
+        for side, rank in enumerate(_neighbours(p * (base[f"n{i}"] - 1)))
     ]
     if not cases:
         return df.sparkSession.createDataFrame([], "column string, prob double, quantile double")
@@ -157,6 +160,10 @@ def exact_quantiles(
     return _ranked_values(values, cases)
 
 
+def _neighbours(rank: float) -> tuple[int, int]:
+    return math.floor(rank), math.ceil(rank)
+
+
 def _number(column: str) -> Column:
     value = F.col(column).cast("double")
     return F.when(~F.isnan(value), value).alias(column)
@@ -196,7 +203,8 @@ def _narrow(values: DataFrame, cases: list[dict]) -> None:
             (F.col(c) > low) & (F.col(c) < high),
             F.struct(
                 F.lit(j).alias("bracket"),
-                F.floor((F.col(c) - low) / (high - low) * _BINS).cast("int").alias("bin"),
+                # Halves, so that a bracket as wide as all numbers has a finite width.
+                F.floor((F.col(c) / 2 - low / 2) / (high / 2 - low / 2) * _BINS).cast("int").alias("bin"),
             ),
         )
         for j, (c, low, high) in enumerate(crowded)
@@ -211,24 +219,23 @@ def _narrow(values: DataFrame, cases: list[dict]) -> None:
 
 
 def _shrink(case: dict, low: float, high: float, bins: dict[int, int]) -> bool:
-    """Move the ends of a bracket to one bin beyond the bins of the two wanted ranks.
+    """Move the ends of a bracket to one bin beyond the bin of the wanted rank.
 
     A rank before the first bin is the low end itself, one after the last the high end.
     """
-    width = (high - low) / _BINS
 
-    def place(rank: int, shift: int) -> float:
+    def place(shift: int) -> float:
         passed = case["upto"]
-        if rank < passed:
+        if case["rank"] < passed:
             return low
         for b in sorted(bins):
             passed += bins[b]
-            if rank < passed:
-                return min(high, max(low, low + (b + shift) * width))
+            if case["rank"] < passed:
+                part = (b + shift) / _BINS
+                return min(high, max(low, low * (1 - part) + high * part))
         return high
 
-    case["low"] = place(math.floor(case["rank"]), -1)
-    case["high"] = place(math.ceil(case["rank"]), 2)
+    case["low"], case["high"] = place(-1), place(2)
     return (case["low"], case["high"]) != (low, high)
 
 
@@ -257,12 +264,14 @@ def _ranked_values(values: DataFrame, cases: list[dict]) -> DataFrame:
                     brackets.index((case["column"], case["low"], case["high"])),
                     case["column"],
                     case["prob"],
+                    case["side"],
+                    case["share"],
                     case["rank"],
                     case["below"],
                 )
                 for k, case in enumerate(cases)
             ],
-            "case int, bracket int, column string, prob double, rank double, below long",
+            "case int, bracket int, column string, prob double, side int, share double, rank long, below long",
         )
     )
     upto = W.partitionBy("case").orderBy("value")
@@ -270,21 +279,21 @@ def _ranked_values(values: DataFrame, cases: list[dict]) -> DataFrame:
         "last", F.sum("n").over(upto) + F.col("below") - 1
     )
 
-    def value_at(place: Column) -> Column:
-        """Order statistic; ranks outside the finite values are infinite."""
-        found = F.min(F.when(F.col("last") >= place, F.col("value")))
-        under = F.first(place) < F.first("below")
-        return F.when(under, float("-inf")).otherwise(F.coalesce(found, F.lit(float("inf"))))
-
-    share = F.first("rank") - F.floor(F.first("rank"))
+    # Ranks outside the finite values are infinite.
+    found = (
+        ranked.groupBy("case", "column", "prob", "side", "share", "rank", "below")
+        .agg(F.min(F.when(F.col("last") >= F.col("rank"), F.col("value"))).alias("found"))
+        .withColumn(
+            "found",
+            F.when(F.col("rank") < F.col("below"), float("-inf")).otherwise(
+                F.coalesce("found", F.lit(float("inf")))
+            ),
+        )
+    )
     low, high = F.col("low"), F.col("high")
     return (
-        ranked.groupBy("column", "prob")
-        .agg(
-            value_at(F.floor("rank")).alias("low"),
-            value_at(F.ceil("rank")).alias("high"),
-            share.alias("share"),
-        )
+        found.groupBy("column", "prob", "share")
+        .agg(*[F.max(F.when(F.col("side") == i, F.col("found"))).alias(n) for i, n in enumerate(("low", "high"))])
         .select(
             "column",
             "prob",
@@ -293,7 +302,9 @@ def _ranked_values(values: DataFrame, cases: list[dict]) -> DataFrame:
     )
 
 
-def array_summary(df: DataFrame, inputs: str = "inputs") -> DataFrame:
+def array_summary(
+    df: DataFrame, inputs: str = "inputs", accuracy: int = _SKETCH_ACCURACY
+) -> DataFrame:
     """Summary per array position for wide rows, with sketched quartiles of fixed size."""
     value = F.col("value").cast("double")
     return (
@@ -304,7 +315,7 @@ def array_summary(df: DataFrame, inputs: str = "inputs") -> DataFrame:
             F.avg(value).alias("mean"),
             F.stddev_samp(value).alias("std"),
             F.min(value).alias("min"),
-            F.percentile_approx(value, list(QUARTILES), _SKETCH_ACCURACY).alias("quartiles"),
+            F.percentile_approx(value, list(QUARTILES), accuracy).alias("quartiles"),
             F.max(value).alias("max"),
         )
     )
@@ -398,12 +409,22 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n_distinct), exact."""
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("n_distinct"))
-        for c in columns
-    ]
-    return df.agg(F.array(*rows).alias("__d")).select(F.inline("__d"))
+    """(column, n_distinct), exact.
+
+    Cells are made distinct in long form, with partial results in each task, and then counted.
+    """
+
+    def cell(c: str) -> Column:
+        numeric = df.schema[c].dataType.typeName() in ("double", "float")
+        # Adding zero makes one of the two zeros.
+        return (F.col(c) + F.lit(0.0) if numeric else F.col(c)).cast("string")
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), cell(c).alias("value")) for c in columns])
+    counted = (
+        df.select(F.inline(cells)).distinct().groupBy("column").agg(F.count("value").alias("n_distinct"))
+    )
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(counted, "column", "left").fillna({"n_distinct": 0})
 
 
 def array_distinct_counts(

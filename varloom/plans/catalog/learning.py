@@ -56,9 +56,9 @@ def ml01_hash(spark, d):
 @query(
     "ml02_split_matrix",
     with_views(
-        SHUFFLED_SQL.format(seed=42).replace("variant_id,", "variant_id, y, f0, f1,")
+        SHUFFLED_SQL.format(seed=42).replace("variant_id,", "variant_id, y, f0, f1, f2, f3,")
         + "SELECT CASE WHEN shuffled_id < ceil(0.3 * (SELECT count(*) FROM v)) THEN 'valid' ELSE 'train' END AS part,"
-        " row_id, variant_id, CASE WHEN y = -1 THEN 0 ELSE y END AS target, f0, f1 FROM s"
+        " row_id, variant_id, CASE WHEN y = -1 THEN 0 ELSE y END AS target, f0, f1, f2, f3 FROM s"
     ),
 )
 def ml02(spark, d):
@@ -72,8 +72,7 @@ def ml02(spark, d):
             "row_id",
             "variant_id",
             "target",
-            F.col("inputs")[0].alias("f0"),
-            F.col("inputs")[1].alias("f1"),
+            *[F.col("inputs")[i].alias(f) for i, f in enumerate(FEATURES)],
         )
         for name in ("train", "valid")
     ]
@@ -148,14 +147,18 @@ def ml07(spark, d):
 @query(
     "ml08_scale_range",
     with_views(
-        "WITH e AS (SELECT min(f0) AS a0, max(f0) AS b0, min(f1) AS a1, max(f1) AS b1 FROM v) "
-        "SELECT row_id, round((f0 - a0) / (b0 - a0), 6) AS f0, round((f1 - a1) / (b1 - a1), 6) AS f1 FROM v, e"
+        "WITH e AS (SELECT min(f0) AS a0, max(f0) AS b0, min(f1) AS a1, max(f1) AS b1, min(f2) AS a2, max(f2) AS b2,"
+        " min(f3) AS a3, max(f3) AS b3 FROM v) "
+        "SELECT row_id, round((f0 - a0) / (b0 - a0), 6) AS f0, round((f1 - a1) / (b1 - a1), 6) AS f1,"
+        " round((f2 - a2) / (b2 - a2), 6) AS f2, round((f3 - a3) / (b3 - a3), 6) AS f3, CAST(0 AS DOUBLE) AS f4 FROM v, e"
     ),
 )
 def ml08(spark, d):
-    scaled = models.scale_range(labelled(spark, d))
+    """All features and a constant one."""
+    data = labelled(spark, d).withColumn("inputs", F.array_append("inputs", F.lit(7.0)))
+    scaled = models.scale_range(data)
     return scaled.select(
-        "row_id", *[F.round(F.col("inputs")[i], 6).alias(f) for i, f in enumerate(FEATURES[:2])]
+        "row_id", *[F.round(F.col("inputs")[i], 6).alias(f) for i, f in enumerate([*FEATURES, "f4"])]
     )
 
 
@@ -348,7 +351,7 @@ FROM k ASOF LEFT JOIN t ON k.fresh >= t.threshold
 
 @query("ml21_score_variants", with_views(CHAIN_SQL))
 def ml21(spark, d):
-    v = views.numbered(spark, d)
+    v = views.variants(spark, d)
     known = [(n, t.withColumn("scaled_score", F.lit(1.0))) for n, t in prescored(v)]
     measured = F.when(F.col("status") == "F", F.col("f0"))
     annotations = v.groupBy(*KEY).agg(F.min(measured).alias("f0"))

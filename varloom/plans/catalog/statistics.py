@@ -97,20 +97,25 @@ SUMMARY_SQL = " UNION ALL ".join(
 
 @query("ag07_summary", with_views(SUMMARY_SQL))
 def ag07(spark, d):
-    table = stats.summary(views.numbered(spark, d), FEATURES)
+    table = stats.summary(views.variants(spark, d), FEATURES)
     quarters = {c: F.round(c, 6) for c in ("p25", "p50", "p75")}
     return table.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), **quarters})
 
 
 @query(
     "ag07_array_summary",
-    """SELECT idx, count(*) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min, max(x) AS max
-       FROM (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS idx, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
-       GROUP BY idx""",
+    """WITH x AS (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS idx, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+       o AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY x) AS place, count(*) OVER (PARTITION BY idx) AS n FROM x)
+       SELECT idx, count(*) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min,
+              min(CASE WHEN place >= ceil(0.25 * n) THEN x END) AS p25, min(CASE WHEN place >= ceil(0.5 * n) THEN x END) AS p50,
+              min(CASE WHEN place >= ceil(0.75 * n) THEN x END) AS p75, max(x) AS max
+       FROM o GROUP BY idx""",
 )
 def ag07_array(spark, d):
-    table = stats.array_summary(views.vectors(spark, d)).drop("quartiles")
-    return table.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    """The sketch is wide enough here to keep every value, so quartiles are values of the column."""
+    table = stats.array_summary(views.vectors(spark, d), accuracy=1_000_000)
+    quarters = {f"p{p}": F.col("quartiles")[i] for i, p in enumerate((25, 50, 75))}
+    return table.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6), **quarters}).drop("quartiles")
 
 
 SCALER_SQL = " UNION ALL ".join(
@@ -198,7 +203,7 @@ DISTINCT_COLUMNS = ["chrom", "ref", "alt", *FEATURES]
     ),
 )
 def ag13(spark, d):
-    return stats.distinct_counts(views.numbered(spark, d), DISTINCT_COLUMNS)
+    return stats.distinct_counts(views.variants(spark, d), DISTINCT_COLUMNS)
 
 
 @query(

@@ -66,7 +66,10 @@ def build_dataset(
             ids = numbered_ids(spark, ids_path, columns)
             pairs.append(joins.attach_ids(rows, ids))
         joined = sets.concat_ordered(pairs).withColumn("target", relabel(F.col("target")))
-        packed = with_sparse(joined, "inputs", "features")
+        # The width stands in the first line of the first file: target and features.
+        line = spark.read.text(feature_files[0]).first()
+        width = len(line["value"].split(",")) - 1 if line else 0
+        packed = with_sparse(joined, "inputs", "features", width)
         return packed.select("row_id", "variant_id", "target", "features")
 
     full = build_once(spark, f"{out}/full", merged)

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import ElementwiseProduct, MaxAbsScaler, MinMaxScaler
+from pyspark.ml.feature import ElementwiseProduct, MaxAbsScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from varloom.functions.features import cap_values, with_sparse
@@ -122,11 +123,30 @@ def scale_inputs(
 
 
 def scale_range(df: DataFrame, inputs: str = "inputs", sparse: bool = False) -> DataFrame:
-    """Features scaled to [0, 1], or by their largest absolute value where zeros must stay."""
-    data = as_vector(df, inputs, "__vector")
-    scaler = (MaxAbsScaler if sparse else MinMaxScaler)(inputCol="__vector", outputCol="__scaled")
-    scaled = scaler.fit(data).transform(data)
-    return scaled.withColumn(inputs, vector_to_array("__scaled")).drop("__vector", "__scaled")
+    """Features scaled to [0, 1], or by their largest absolute value where zeros must stay.
+
+    A constant feature becomes 0. The extremes have one value per feature.
+    """
+    if sparse:
+        data = as_vector(df, inputs, "__vector")
+        scaler = MaxAbsScaler(inputCol="__vector", outputCol="__scaled")
+        scaled = scaler.fit(data).transform(data)
+        return scaled.withColumn(inputs, vector_to_array("__scaled")).drop("__vector", "__scaled")
+    vector = as_vector(df, inputs, "__vector")
+    ends = vector.select(
+        Summarizer.min(F.col("__vector")).alias("low"), Summarizer.max(F.col("__vector")).alias("high")
+    ).first()
+    if ends["low"] is None or not len(ends["low"]):
+        return df
+    low = [float(x) for x in ends["low"]]
+    width = [float(h) - l for h, l in zip(ends["high"], low)]
+    values = F.col(inputs)
+    if isinstance(df.schema[inputs].dataType, VectorUDT):
+        values = vector_to_array(inputs)
+    above = F.zip_with(values.cast("array<double>"), F.lit(low), lambda x, l: x - l)
+    return df.withColumn(
+        inputs, F.zip_with(above, F.lit(width), lambda x, w: F.when(w == 0, 0.0).otherwise(x / w))
+    )
 
 
 def classification_metrics(

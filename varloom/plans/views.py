@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from varloom.functions.variants import variant_id_from_alt
 from varloom.operators.rows import number_rows
-from varloom.session import write_through
 
 ROW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 FEATURES = ["f0", "f1", "f2", "f3"]
@@ -35,7 +34,7 @@ v AS (
   FROM variants)
 """
 
-_numbered: dict[tuple[str, str], DataFrame] = {}
+_numbered: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,14 +82,21 @@ def variants(spark: SparkSession, sf_dir: str, order_keys: bool = False) -> Data
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants with row numbers, stored once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Variants with row numbers, written once per application, folder and state of its table."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, f"{sf_dir}/lineitem.parquet"))
     if key not in _numbered:
         ordered = number_rows(variants(spark, sf_dir, order_keys=True), ROW_ORDER, keep=COLUMNS)
-        _numbered[key] = write_through(ordered.select("row_id", *COLUMNS), "variants")
+        _numbered[key] = ordered.select("row_id", *COLUMNS)
     return _numbered[key]
 
 
+def _state(spark: SparkSession, place: str) -> tuple:
+    """Names, sizes and times of the files of a table; changes when the table is replaced."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def feature_array(df: DataFrame, out: str = "inputs") -> DataFrame:
     return df.withColumn(out, F.array(*FEATURES))
 

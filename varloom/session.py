@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_roots: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a throw-away folder. A cluster
-    session without it is refused: a machine-local folder is not visible to the
-    other executors and is lost with the machine.
+    A session without the setting is refused: any folder chosen here would be local to one machine,
+    unseen by the other executors and lost with that machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_roots:
-        root = tempfile.mkdtemp(prefix="varloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        context.setCheckpointDir(root)
-        _local_roots[app] = root
-    return _local_roots[app]
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return configured
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the tables that this application has written to the shared folder."""
+    root = shared_dir(spark).rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/varloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
