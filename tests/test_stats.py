@@ -1,9 +1,12 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from varloom.functions import features as fx, scores as sx
-from varloom.operators import filters, stats
+from varloom.operators import filters, sets, stats
+from varloom.plans import models
 
 INF = float("inf")
 
@@ -178,3 +181,68 @@ def test_array_distinct_counts(spark):
     exact = {r["idx"]: r["n_distinct"] for r in stats.array_distinct_counts(df).collect()}
     near = {r["idx"]: r["n_distinct"] for r in stats.array_distinct_counts(df, relative_error=0.02).collect()}
     assert exact == {0: 2, 1: 50} and near[0] == 2 and abs(near[1] - 50) <= 3
+
+
+def test_quantiles_of_two_clusters_keep_brackets_small(spark, monkeypatch):
+    """The median lies in a gap; each of its two order statistics must get a narrow bracket."""
+    monkeypatch.setattr(stats, "_MAX_INSIDE", 50)
+    values = [-1 + i * 1e-6 for i in range(2000)] + [1 + i * 1e-6 for i in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    seen = []
+    ranked = stats._ranked_values
+
+    def spy(data, cases):
+        for c in cases:
+            seen.append(sum(c["low"] <= v <= c["high"] for v in values))
+        return ranked(data, cases)
+
+    monkeypatch.setattr(stats, "_ranked_values", spy)
+    got = {r["prob"]: r["quantile"] for r in stats.exact_quantiles(df, ["x"]).collect()}
+    for p in (0.25, 0.5, 0.75):
+        assert math.isclose(got[p], float(np.quantile(values, p)), rel_tol=1e-12, abs_tol=1e-12)
+    assert max(seen) <= 70
+
+
+def test_quantiles_with_extremes(spark, monkeypatch):
+    monkeypatch.setattr(stats, "_MAX_INSIDE", 50)
+    values = [-1.5e308, 1.5e308, *[float(i) for i in range(3000)]]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = {r["prob"]: r["quantile"] for r in stats.exact_quantiles(df, ["x"]).collect()}
+    ordered = sorted(values)
+    for p in (0.25, 0.5, 0.75):
+        at = p * (len(values) - 1)
+        low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+        assert math.isclose(got[p], low + (high - low) * (at % 1))
+
+
+def test_distinct_counts_have_no_expand(spark):
+    df = spark.createDataFrame(
+        [(0.0, "a", None), (-0.0, "b", None), (2.0, "a", None)], "x double, s string, n int"
+    )
+    counted = stats.distinct_counts(df, ["x", "s", "n"])
+    assert {r["column"]: r["n_distinct"] for r in counted.collect()} == {"x": 2, "s": 2, "n": 0}
+    assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_constant_features_scale_to_zero(spark):
+    df = spark.createDataFrame([(0, [1.0, 5.0]), (1, [3.0, 5.0])], "row_id long, inputs array<double>")
+    got = {r["row_id"]: r["inputs"] for r in models.scale_range(df).collect()}
+    assert got == {0: [0.0, 0.0], 1: [1.0, 0.0]}
+
+
+def test_concatenation_moves_no_rows(spark):
+    a = spark.range(5).select(F.col("id").alias("row_id"))
+    b = spark.range(3).select(F.col("id").alias("row_id"))
+    both = sets.concat_ordered([a, b.limit(0), b])
+    assert sorted(r["row_id"] for r in both.collect()) == list(range(8))
+    assert "Exchange" not in sets.concat_ordered([a, b])._jdf.queryExecution().executedPlan().toString()
+    gaps = sets.concat_ordered([a.filter("row_id <> 2"), b])
+    assert sorted((r["source_no"], r["row_id"]) for r in gaps.collect()) == [(0, i) for i in range(4)] + [
+        (1, i) for i in range(4, 7)
+    ]
+
+
+def test_adjacent_repeats_with_a_gap_at_a_span(spark):
+    df = spark.range(99_990, 100_010).select(F.col("id").alias("row_id"), F.lit("x").alias("v"))
+    kept = sets.drop_adjacent_repeats(df.filter("row_id <> 99999"), ["v"]).collect()
+    assert [r["row_id"] for r in kept] == [99_990]

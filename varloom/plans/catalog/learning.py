@@ -15,7 +15,7 @@ from varloom.plans import jobs, models, views
 from varloom.plans.catalog.order import SHUFFLED_SQL
 from varloom.plans.catalog.relations import KEY, conversion, prescored
 from varloom.plans.registry import query
-from varloom.plans.views import FEATURES, with_views
+from varloom.plans.views import FEATURES, counted_fit, with_views
 from varloom.session import fresh_path
 from varloom.sources import store, writers
 from varloom.streaming import scoring
@@ -162,72 +162,110 @@ def ml08(spark, d):
     )
 
 
+# So small that the fit is the one without penalty to far more digits than are compared.
+FREE = models.Penalty(1e-9)
+FIT = {"max_iter": 100, "tol": 1e-12}
+
+
 def _scaled(spark, d) -> DataFrame:
-    data = labelled(spark, d)
+    data = views.signs(spark, d)
     return models.scale_inputs(data, stats.array_scaler(data))
 
 
-@query("ml09_logistic_regression")
+def _rounded(coefs: DataFrame) -> DataFrame:
+    return coefs.withColumn("coef", F.round("coef", 3))
+
+
+@query("ml09_logistic_regression", counted_fit("SELECT idx, round(coef * coalesce(scale, 1), 3) AS coef FROM k"))
 def ml09(spark, d):
     data = _scaled(spark, d)
-    penalty = models.Penalty.from_inverse(1.0, data.count())
-    return models.coefficients(models.fit_logistic(data, penalty, max_iter=25), spark)
+    penalty = models.Penalty.from_inverse(1e6, 1000)
+    return _rounded(models.coefficients(models.fit_logistic(data, penalty, **FIT), spark))
+
+
+# At the minimum of a convex loss, and only there, the gradient is zero.
+ZERO_SQL = "SELECT CAST(idx - 1 AS INT) AS idx, CAST(0 AS DOUBLE) AS gradient FROM range(4) t(idx)"
+
+
+def _gradient(spark, d, penalty: models.Penalty) -> DataFrame:
+    data = _scaled(spark, d)
+    found = models.penalised_gradient(models.fit_logistic(data, penalty, **FIT), data, penalty)
+    return found.withColumn("gradient", F.round("gradient", 5) + 0.0)
 
 
-@query("ml10_stochastic_penalty")
+@query("ml10_stochastic_penalty", ZERO_SQL)
 def ml10(spark, d):
-    model = models.fit_logistic(_scaled(spark, d), models.Penalty.from_alpha(0.01), max_iter=25)
-    return models.coefficients(model, spark)
+    return _gradient(spark, d, models.Penalty.from_alpha(0.01))
 
 
-@query("ml11_layer_penalty")
+@query("ml11_layer_penalty", ZERO_SQL)
 def ml11(spark, d):
-    model = models.fit_logistic(_scaled(spark, d), models.Penalty.from_layer(0.015), max_iter=25)
-    return models.coefficients(model, spark)
+    return _gradient(spark, d, models.Penalty.from_layer(0.015))
 
 
-@query("ml12_train")
+@query(
+    "ml12_train",
+    counted_fit(
+        "SELECT round(avg(CAST((p > 0.5) = (target = 1) AS DOUBLE)), 9) AS accuracy, count(*) AS n"
+        " FROM e JOIN g USING (x, z) WHERE NOT is_test",
+        "NOT is_test",
+    ),
+)
 def ml12(spark, d):
-    train, valid = splits.train_test(views.vectors(spark, d), 0.3, 42)
+    train, valid = splits.train_test(views.signs(spark, d), 0.3, 42)
     scaler = stats.array_scaler(train)
-    path = fresh_path(spark, "model")
-    _, accuracy = models.train(train, valid, models.Penalty(0.01), path, scaler, max_iter=25)
-    return accuracy
+    _, accuracy = models.train(train, valid, FREE, fresh_path(spark, "model"), scaler, **FIT)
+    return accuracy.withColumn("accuracy", F.round("accuracy", 9))
+
 
+METRICS_SQL = """,
+c AS (SELECT p, sum(target) AS pos, count(*) - sum(target) AS neg FROM e JOIN g USING (x, z) WHERE is_test GROUP BY p),
+q AS (SELECT p, pos, neg, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp, sum(pos) OVER () AS n1, sum(neg) OVER () AS n0
+      FROM c WINDOW o AS (ORDER BY p DESC)),
+r AS (SELECT *, tp / n1 AS recall, tp / (tp + fp) AS prec, lag(tp / n1, 1, 0) OVER (ORDER BY p DESC) AS recall0,
+             lag(tp / (tp + fp)) OVER (ORDER BY p DESC) AS prec0 FROM q)
+SELECT round(sum(CASE WHEN p > 0.5 THEN pos ELSE neg END) / sum(pos + neg), 9) AS accuracy,
+       round(sum(neg * (tp - pos + 0.5 * pos)) / max(n1 * n0), 6) AS auroc,
+       round(sum((recall - recall0) * (prec + coalesce(prec0, prec)) / 2), 6) AS auprc,
+       CAST(sum(neg) FILTER (p <= 0.5) AS BIGINT) AS tn, CAST(sum(neg) FILTER (p > 0.5) AS BIGINT) AS fp,
+       CAST(sum(pos) FILTER (p <= 0.5) AS BIGINT) AS fn, CAST(sum(pos) FILTER (p > 0.5) AS BIGINT) AS tp
+FROM r"""
 
-@query("ml13_evaluate")
+
+@query("ml13_evaluate", counted_fit(METRICS_SQL, "NOT is_test").replace("FROM w, s)\n,", "FROM w, s),"))
 def ml13(spark, d):
-    train, valid = splits.train_test(views.vectors(spark, d), 0.3, 42)
+    train, valid = splits.train_test(views.signs(spark, d), 0.3, 42)
     scaler = stats.array_scaler(train)
-    model = models.fit_logistic(
-        models.scale_inputs(train, scaler), models.Penalty(0.01), max_iter=25
-    )
-    return models.evaluate(
-        model, valid, scaler=scaler, report_path=fresh_path(spark, "evaluation")
-    )
+    model = models.fit_logistic(models.scale_inputs(train, scaler), FREE, **FIT)
+    found = models.evaluate(model, valid, scaler=scaler, report_path=fresh_path(spark, "evaluation"))
+    areas = {c: F.round(c, 6) for c in ("auroc", "auprc")}
+    return found.withColumns({"accuracy": F.round("accuracy", 9), **areas})
 
 
-@query("ml14_train_stacked_sources")
+@query("ml14_train_stacked_sources", counted_fit("SELECT idx, round(coef, 3) AS coef FROM k"))
 def ml14(spark, d):
-    def targets(s):
-        return views.vectors(s, d).select(
-            "row_id", "target", F.slice("inputs", 1, 32).alias("inputs")
-        )
+    def block(first: int, size: int, *more: str):
+        def read(s):
+            return views.signs(s, d).select("row_id", *more, F.slice("inputs", first, size).alias("inputs"))
 
-    def second(s):
-        return views.vectors(s, d).select("row_id", F.slice("inputs", 33, 32).alias("inputs"))
+        return read
 
-    stacked = jobs.assemble(spark, [targets, second])
-    model = models.fit_logistic(stacked, models.Penalty(0.01), max_iter=25)
-    return models.coefficients(model, spark)
+    stacked = jobs.assemble(spark, [block(1, 1, "target"), block(2, 2)])
+    return _rounded(models.coefficients(models.fit_logistic(stacked, FREE, **FIT), spark))
 
 
-@query("ml15_predict")
+@query(
+    "ml15_predict",
+    counted_fit(
+        "SELECT row_id, CAST(p > 0.5 AS INT) AS predicted, round(p, 3) AS probability,"
+        " round(ln(p / (1 - p)), 3) AS decision FROM e JOIN g USING (x, z)"
+    ),
+)
 def ml15(spark, d):
     data = _scaled(spark, d)
-    model = models.fit_logistic(data, models.Penalty(0.001), max_iter=15)
-    return models.predict(model, data).select(
-        "row_id", "variant_id", "predicted", "probability", "decision"
+    scored = models.predict(models.fit_logistic(data, FREE, **FIT), data)
+    return scored.select(
+        "row_id", "predicted", *[F.round(c, 3).alias(c) for c in ("probability", "decision")]
     )
 
 
@@ -283,13 +321,19 @@ def ml17(spark, d):
     )
 
 
-@query("ml18_all_positive_accuracy")
+@query(
+    "ml18_all_positive_accuracy",
+    counted_fit(
+        "SELECT round(avg(CAST(p > 0.5 AS DOUBLE)), 9) AS accuracy, count(*) AS n FROM e JOIN g USING (x, z) WHERE target = 1"
+    ),
+)
 def ml18(spark, d):
-    x = views.vectors(spark, d)
+    x = views.signs(spark, d)
     scaler = stats.array_scaler(x)
-    model = models.fit_logistic(models.scale_inputs(x, scaler), models.Penalty(0.01), max_iter=25)
+    model = models.fit_logistic(models.scale_inputs(x, scaler), FREE, **FIT)
     positives, _ = filters.split_classes(x)
-    return models.all_positive_accuracy(model, positives, scaler)
+    found = models.all_positive_accuracy(model, positives, scaler)
+    return found.withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query(
@@ -465,11 +509,19 @@ def udf04(spark, d):
     )
 
 
-@query("udf05_training_plan")
+@query(
+    "udf05_training_plan",
+    counted_fit(
+        "SELECT count(*) FILTER (target = 0 AND p <= 0.5) AS tn, count(*) FILTER (target = 0 AND p > 0.5) AS fp,"
+        " count(*) FILTER (target = 1 AND p <= 0.5) AS fn, count(*) FILTER (target = 1 AND p > 0.5) AS tp"
+        " FROM e JOIN g USING (x, z) WHERE is_test",
+        "NOT is_test",
+    ),
+)
 def udf05(spark, d):
     def part(is_test: bool):
         def read(s):
-            flagged = splits.exact_split(views.vectors(s, d), 0.3, 42)
+            flagged = splits.exact_split(views.signs(s, d), 0.3, 42)
             return flagged.filter(F.col("is_test") == is_test).drop("is_test")
 
         return read
@@ -477,10 +529,10 @@ def udf05(spark, d):
     plan = jobs.TrainingPlan(
         train=part(False),
         valid=part(True),
-        penalty=lambda n: models.Penalty.from_inverse(1.0, n),
+        penalty=lambda n: models.Penalty.from_inverse(1e9, n),
         metric=lambda scored: stats.confusion(scored, "target", "predicted"),
         scaler=lambda s: stats.array_scaler(part(False)(s)),
-        fit_options={"max_iter": 25},
+        fit_options=FIT,
     )
     return jobs.run_training(spark, plan, fresh_path(spark, "run"))
 

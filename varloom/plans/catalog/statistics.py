@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from varloom.operators import rows, stats
 from varloom.plans import models, views
 from varloom.plans.registry import query
-from varloom.plans.views import FEATURES, with_views
+from varloom.plans.views import FEATURES, SIGNS_SQL, with_views
 
 LABEL_COUNTS = """
 count(*) FILTER (quality <> {c} AND toxic <> {c}) AS tn, count(*) FILTER (quality <> {c} AND toxic = {c}) AS fp,
@@ -280,11 +280,26 @@ def ag16(spark, d):
     return mean.withColumn("mean_accuracy", F.round("mean_accuracy", 9))
 
 
-@query("ag17_learning_curve")
+CURVE_SQL = f"""
+WITH {SIGNS_SQL.strip()},
+f AS (SELECT *, CAST(floor(CAST('0x' || substr(md5(concat(CAST(row_id AS VARCHAR), ':1')), 1, 8) AS BIGINT) / 4294967296.0 * 3) AS INT) AS fold FROM e),
+r AS (SELECT k, f.*, row_number() OVER (PARTITION BY k ORDER BY md5(concat(CAST(row_id AS VARCHAR), ':2')), row_id) AS place
+      FROM f JOIN range(3) o(k) ON fold <> k),
+t AS (SELECT size, r.* FROM r JOIN (VALUES (100), (300)) s(size) ON place <= size),
+g AS (SELECT size, k, x, avg(target) AS p FROM t GROUP BY size, k, x),
+a AS (SELECT size, k, avg(CAST((p > 0.5) = (target = 1) AS DOUBLE)) AS score FROM t JOIN g USING (size, k, x) GROUP BY size, k),
+b AS (SELECT size, k, avg(CAST((p > 0.5) = (target = 1) AS DOUBLE)) AS score FROM f JOIN g ON fold = k AND f.x = g.x GROUP BY size, k)
+SELECT CAST(size AS INT) AS size, round(avg(a.score), 9) AS train_mean, round(stddev_pop(a.score), 9) AS train_std,
+       round(avg(b.score), 9) AS test_mean, round(stddev_pop(b.score), 9) AS test_std
+FROM a JOIN b USING (size, k) GROUP BY size
+"""
+
+
+@query("ag17_learning_curve", CURVE_SQL)
 def ag17(spark, d):
-    v = views.vectors(spark, d)
-    inverse = lambda n: models.Penalty.from_inverse(1.0, n)
-    return models.learning_curve(v, [100, 300], 3, inverse, max_iter=20)
+    v = views.signs(spark, d).withColumn("inputs", F.slice("inputs", 1, 1))
+    curve = models.learning_curve(v, [100, 300], 3, lambda n: models.Penalty(1e-9), max_iter=50)
+    return curve.select("size", *[F.round(c, 9).alias(c) for c in curve.columns if c != "size"])
 
 
 @query(

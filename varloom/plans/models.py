@@ -101,6 +101,20 @@ def coefficients(model: LogisticRegressionModel, spark: SparkSession) -> DataFra
     return spark.createDataFrame(rows, "idx int, coef double")
 
 
+def penalised_gradient(
+    model: LogisticRegressionModel, df: DataFrame, penalty: Penalty, inputs: str = "inputs", target: str = "target"
+) -> DataFrame:
+    """(idx, gradient) of the penalised mean loss at the model; zero everywhere at the minimum."""
+    scored = predict(model, df, inputs)
+    error = F.col("probability") - F.col(target)
+    weights = [float(w) for w in model.coefficients.toArray()]
+    # One mean for each feature: the loss part of the gradient.
+    means = [F.avg(error)] + [F.avg(error * F.col(inputs)[i]) for i in range(len(weights))]
+    loss = scored.agg(F.array(*means).alias("__g")).select(F.posexplode("__g").alias("place", "loss"))
+    pull = F.lit([0.0] + [penalty.reg_param * w for w in weights])
+    return loss.select((F.col("place") - 1).alias("idx"), (F.col("loss") + F.get(pull, F.col("place"))).alias("gradient"))
+
+
 def scale_inputs(
     df: DataFrame, scaler: DataFrame, inputs: str = "inputs", cap: bool = False
 ) -> DataFrame:

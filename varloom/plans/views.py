@@ -119,3 +119,42 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("inputs"),
         "label",
     )
+
+
+SIGNS_SQL = """
+e AS (
+  SELECT vec_id AS row_id, CAST(embedding[1] > 0 AS INT) AS x, CAST(embedding[2] > 0 AS INT) AS z,
+         CAST(CASE WHEN vec_id % 4 = 0 THEN label >= 5 ELSE embedding[1] > 0 END AS INT) AS target,
+         row_number() OVER (ORDER BY md5(concat(CAST(vec_id AS VARCHAR), ':42')), vec_id) - 1
+           < ceil(0.3 * count(*) OVER ()) AS is_test
+  FROM embeddings)
+"""
+
+
+def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two signs of a vector and their product, and a target that mostly follows the first.
+
+    Four groups of rows and four parameters: the fitted probability of a group is its share of
+    positives, so a fit without penalty can be checked by counting.
+    """
+    first, second = (F.element_at("embedding", i) > 0 for i in (1, 2))
+    target = F.when(F.col("vec_id") % 4 == 0, F.col("label") >= 5).otherwise(first)
+    cells = [first, second, first & second]
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_id"),
+        target.cast("int").alias("target"),
+        F.array(*[c.cast("double") for c in cells]).alias("inputs"),
+    )
+
+
+def counted_fit(body: str, rows: str = "TRUE") -> str:
+    """SQL with the closed form of the fit on ``rows``: shares ``g.p`` and the parameters ``k``."""
+    logit = "max(CASE WHEN x = {} AND z = {} THEN ln(p / (1 - p)) END)"
+    a, b, c, d = (logit.format(*xz) for xz in ((0, 0), (1, 0), (0, 1), (1, 1)))
+    return f"""WITH {SIGNS_SQL.strip()},
+g AS (SELECT x, z, avg(target) AS p FROM e WHERE {rows} GROUP BY x, z),
+s AS (SELECT stddev_pop(x) AS s0, stddev_pop(z) AS s1, stddev_pop(x * z) AS s2 FROM e WHERE {rows}),
+w AS (SELECT {a} AS b, {b} - {a} AS w0, {c} - {a} AS w1, {d} - {b} - {c} + {a} AS w2 FROM g),
+k AS (SELECT CAST(unnest([-1, 0, 1, 2]) AS INT) AS idx, unnest([b, w0, w1, w2]) AS coef,
+             unnest([NULL, s0, s1, s2]) AS scale FROM w, s)
+{body}"""
