@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from varloom import schemas
 from varloom.functions import features as fx, scores as sx, variants as vx
 from varloom.operators import filters
 from varloom.plans import views
 from varloom.plans.registry import query
 from varloom.plans.views import FEATURES, with_views
+from varloom.session import fresh_path
+from varloom.sources import readers, writers
 
 
 def _alts():
@@ -121,9 +124,13 @@ def prj08(spark, d):
 
 @query("prj09_drop_metadata", with_views("SELECT chrom, pos, ref, alt FROM v"))
 def prj09(spark, d):
-    meta = ["id", "qual", "filter", "info"]
-    full = views.variants(spark, d).select("chrom", "pos", "ref", "alt")
-    return full.withColumns({m: F.lit(".") for m in meta}).drop(*meta)
+    """Variant columns of a written file that has the four metadata columns as well."""
+    path = fresh_path(spark, "annotated")
+    v = views.variants(spark, d)
+    dot = F.lit(".")
+    lines = v.select("chrom", "pos", dot.alias("id"), "ref", "alt", *[dot.alias(c) for c in ("qual", "filter", "info")])
+    writers.write_tabbed(lines, path)
+    return readers.read_vcf(spark, path, schemas.VCF8).drop("id", "qual", "filter", "info")
 
 
 @query(
@@ -183,7 +190,8 @@ def prj13(spark, d):
 @query(
     "prj14_cap_infinite_rows",
     with_views(
-        "SELECT variant_id, CASE WHEN f3 = 0 OR f2 = 0 THEN least(f1, 65500) ELSE f1 END AS f1,"
+        "SELECT variant_id, CASE WHEN f3 = 0 OR f2 = 0 THEN least(f0, 65500) ELSE f0 END AS f0,"
+        " CASE WHEN f3 = 0 OR f2 = 0 THEN least(f1, 65500) ELSE f1 END AS f1,"
         " CASE WHEN f3 = 0 THEN 65500 WHEN f2 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE f2 END AS f2 FROM v"
     ),
 )
@@ -191,16 +199,18 @@ def prj14(spark, d):
     v = views.variants(spark, d).select(
         "variant_id", fx.cap_if_infinite(_infinite_inputs()).alias("a")
     )
-    return v.select("variant_id", F.col("a")[1].alias("f1"), F.col("a")[2].alias("f2"))
+    return v.select("variant_id", *[F.col("a")[i].alias(f"f{i}") for i in range(3)])
 
 
 @query(
     "prj15_cap_values",
-    with_views("SELECT variant_id, least(f0, 65500) AS f0, least(f1, 65500) AS f1 FROM v"),
+    with_views(
+        "SELECT variant_id, least(f0, 65500) AS f0, least(f1, 65500) AS f1, least(f2, 65500) AS f2, least(f3, 65500) AS f3 FROM v"
+    ),
 )
 def prj15(spark, d):
     v = views.variants(spark, d).select("variant_id", fx.cap_values(_inputs()).alias("a"))
-    return v.select("variant_id", F.col("a")[0].alias("f0"), F.col("a")[1].alias("f1"))
+    return v.select("variant_id", *[F.col("a")[i].alias(f) for i, f in enumerate(FEATURES)])
 
 
 CELLS_SQL = " UNION ALL ".join(
@@ -211,7 +221,9 @@ CELLS_SQL = " UNION ALL ".join(
 
 @query("prj16_dense_to_sparse", with_views(CELLS_SQL))
 def prj16(spark, d):
-    return fx.nonzero_cells(views.feature_array(views.numbered(spark, d)), "row_id", "inputs")
+    packed = fx.with_sparse(views.feature_array(views.numbered(spark, d)), "inputs", "packed", len(FEATURES))
+    cells = packed.withColumn("dense", fx.dense_array(F.col("packed")))
+    return fx.nonzero_cells(cells, "row_id", "dense")
 
 
 @query("prj17_sparse_to_dense", with_views("SELECT variant_id, f0, f1, f2, f3 FROM v"))

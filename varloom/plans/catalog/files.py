@@ -184,8 +184,8 @@ def src09(spark, d):
 
 @query(
     "src10_read_sparse",
-    """SELECT vec_id AS row_id, CAST(label >= 5 AS INT) AS target, CAST(embedding[1] AS DOUBLE) AS first,
-              CAST(embedding[64] AS DOUBLE) AS last, CAST(len(embedding) AS INT) AS width FROM embeddings""",
+    """SELECT vec_id AS row_id, CAST(label >= 5 AS INT) AS target, CAST(unnest(range(len(embedding))) AS INT) AS idx,
+              CAST(unnest(embedding) AS DOUBLE) AS cell FROM embeddings""",
 )
 def src10(spark, d):
     path = fresh_path(spark, "sparse")
@@ -194,19 +194,13 @@ def src10(spark, d):
     )
     writers.write_sparse(packed, path)
     dense = fx.dense_array(F.col("features"))
-    return readers.read_sparse(spark, path).select(
-        "row_id",
-        "target",
-        dense[0].alias("first"),
-        dense[63].alias("last"),
-        F.size(dense).alias("width"),
-    )
+    return readers.read_sparse(spark, path).select("row_id", "target", F.posexplode(dense).alias("idx", "cell"))
 
 
 @query(
     "src11_read_fields",
-    """SELECT vec_id AS row_id, CAST(embedding[33] AS DOUBLE) AS first, CAST(embedding[32] AS DOUBLE) AS last,
-              CAST(len(embedding) AS INT) AS width FROM embeddings""",
+    """SELECT vec_id AS row_id, CAST(unnest(range(len(embedding))) AS INT) AS idx,
+              CAST(unnest(list_concat(embedding[33:64], embedding[1:32])) AS DOUBLE) AS cell FROM embeddings""",
 )
 def src11(spark, d):
     path = fresh_path(spark, "fields")
@@ -216,10 +210,7 @@ def src11(spark, d):
         F.slice("inputs", 33, 32).alias("preds/logit_diff"),
     ).write.parquet(path)
     read = readers.read_fields(spark, path, ["preds/logit_diff", "preds/diff"])
-    inputs = F.col("inputs")
-    return read.select(
-        "row_id", inputs[0].alias("first"), inputs[63].alias("last"), F.size(inputs).alias("width")
-    )
+    return read.select("row_id", F.posexplode("inputs").alias("idx", "cell"))
 
 
 @query(

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from varloom.functions.features import relabel
 from varloom.operators.sets import keep_last
-from varloom.sources.readers import with_file_row_id
 
 FORMATS = ("parquet", "csv", "tsv", "json")
 
@@ -87,9 +86,19 @@ def write_vcf(
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Comment lines of a VCF except the column line, in file order; headers are short."""
-    lines = with_file_row_id(spark.read.text(path)).filter(F.col("value").startswith("##"))
-    return [r["value"] for r in lines.orderBy("row_id").toLocalIterator()]
+    """Comment lines at the top of a VCF, without the column line; only the file's start is read."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        return []
+    lines, wanted = spark.read.text(files[0]), 64
+    while True:
+        head = [r["value"] for r in lines.take(wanted)]
+        for i, line in enumerate(head):
+            if not line.startswith("##"):
+                return head[:i]
+        if len(head) < wanted:
+            return head
+        wanted *= 4
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet") -> None:
