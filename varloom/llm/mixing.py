@@ -69,16 +69,14 @@ def rates(
         named = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
         share = F.coalesce(F.element_at(named, F.coalesce("_source", F.lit(""))), F.lit(0.0))
     by_source = by_source.withColumn("_share", share)
-    sums = by_source.agg(F.sum("_share").alias("_shares"), F.sum("_size").alias("_all"))
-    wanted = F.col("_all") if total is None else F.lit(float(total))
-    # One row of sums joins one row for each source.
-    return by_source.join(F.broadcast(sums)).select(
-        "_source",
-        # Rounded, since the order of a sum may change its last digits.
-        F.when(F.col("_shares") > 0, F.round(F.col("_share") / F.col("_shares") * wanted / F.col("_size"), 9))
-        .otherwise(0.0)
-        .alias("rate"),
-    )
+    # Two numbers come to the driver, whatever the number of sources.
+    shares, whole = by_source.agg(F.sum("_share"), F.sum("_size")).first()
+    wanted = whole if total is None else float(total)
+    if not shares:
+        return by_source.select("_source", F.lit(0.0).alias("rate"))
+    # Rounded, since the order of a sum may change its last digits.
+    rate = F.round(F.col("_share") / F.lit(shares) * F.lit(wanted) / F.col("_size"), 9)
+    return by_source.select("_source", rate.alias("rate"))
 
 
 def replicate(
