@@ -222,6 +222,34 @@ def test_repeated_strings_in_pieces(monkeypatch, spark):
     assert sorted(keys) == sorted(np.concatenate(apart))
 
 
+def test_hot_anchors_fit_a_shard(spark, monkeypatch):
+    # One line in every document with other neighbours, one with the same text on one side, and copies.
+    line, tail = prose(50, 12), prose(51, 60)
+    texts = [f"{prose(1000 + i, 60)} {line} {prose(3000 + i, 60)}" for i in range(150)]
+    texts += [f"{prose(5000 + i, 60)} {line} {tail}" for i in range(150)] + texts[:5]
+    rows = [(i % 302, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def sort_shards(*_):
+        def run(batches):
+            for batch in batches:
+                kept = batch.select(["key", "content", "body"])
+                yield kept.rename_columns(["key", "content", "bits"])
+
+        return run
+
+    want = plain_windows([r[1].encode() for r in rows], 200)
+    got = suffix_dedup.remove_repeats(docs, shard_bytes=4000).collect()
+    assert Counter(tuple(r) for r in got) == Counter((r[0], *w) for r, w in zip(rows, want))
+    # What reaches the sorting step, anchor by anchor.
+    monkeypatch.setattr(suffix_dedup, "_sort_shards", sort_shards)
+    made, store = [], suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, label: made.append((label, df)) or store(df, label))
+    suffix_dedup.remove_repeats(docs, shard_bytes=4000)
+    marks = [df for label, df in made if label == "marks"][0]
+    assert marks.groupBy("key").agg(F.sum(F.length("bits")).alias("b")).agg(F.max("b")).first()[0] <= 4000
+
+
 # chunks
 
 

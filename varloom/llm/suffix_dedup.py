@@ -6,8 +6,13 @@ need sorting only among those that follow one anchor hash, and only for hashes t
 Neighbouring windows of one anchor form a context (the bytes that they touch). Equal contexts are
 counted before the shuffle and sorted once, with their number as weight, so copies cost nothing.
 
-How they are sorted. Contexts arrive ordered by anchor in shards of about ``SHARD_BYTES``, or what one
-anchor needs. A shard is one string with separators. Its leftmost-S suffixes are named by an induced
+Hot anchors. Where the different contexts of one anchor exceed a shard, they are cut into pieces by the
+place of the anchor in the window: windows with that place in [lo, hi] all hold the same stretch around
+the anchor, and its hash extends the key. Ranges shrink until every key fits; at a single place all
+pieces of a key are one string. Equal windows keep equal keys, so nothing is lost.
+
+How they are sorted. Contexts arrive ordered by key in shards of at most twice ``SHARD_BYTES``.
+A shard is one string with separators. Its leftmost-S suffixes are named by an induced
 sort of their substrings, ranked recursively on the string of names, and induce the order of all
 others: suffix tuples pass through one first-in first-out queue for each first byte, which
 writes to an unnamed scratch file of the task beyond ``QUEUE_BYTES``. Suffixes that stand together and
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +41,17 @@ GRAM = 48
 SHARD_BYTES = 2 << 20
 QUEUE_BYTES = 64 << 20
 _PLACE = np.uint64((1 << 22) - 1)
+CONTEXT_COLUMNS = ["_k1", "_k2", "key", "content", "start", "n", "ahead"]
+_CONTEXT_ROW = "_k1 long, _k2 long, key long, content long, start int, n int, ahead short"
 
 
 def contexts(part: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(first window, windows, anchor hash, content hash) of each context; texts end at ``edges``."""
+    """(first window, windows, anchor hash, content hash, place of the anchor in the first window) of each
+    context; texts end at ``edges``."""
     n = len(part) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none
+        return none, none, none, none, none
     sums = prefix_hash(part)
     at = np.arange(len(part) - gram + 1)
     hashed = range_hash(sums, at, at + gram)
@@ -66,9 +75,35 @@ def contexts(part: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: in
     keep = whole[first]
     first, count = first[keep], count[keep]
     place = anchor[first]
-    content = range_hash(sums, first, first + count - 1 + length)
-    content = mix(content + mix((count * 1024 + place - first).astype(np.uint64)))
-    return first, count, hashed[place].view(np.int64), content.view(np.int64)
+    content = _content(sums, first, count, place - first, length)
+    return first, count, hashed[place].view(np.int64), content, place - first
+
+
+def _content(sums: np.ndarray, first: np.ndarray, count: np.ndarray, ahead: np.ndarray, length: int) -> np.ndarray:
+    whole = range_hash(sums, first, first + count - 1 + length)
+    return mix(whole + mix((count * 1024 + ahead).astype(np.uint64))).view(np.int64)
+
+
+def pieces(body: np.ndarray, base: np.ndarray, count: np.ndarray, ahead: np.ndarray, key: np.ndarray, bits: int, length: int):
+    """(context, first window in it, windows, key, content hash, place) of the pieces of contexts that begin at
+    ``base``. A piece holds the windows whose anchor place agrees without its last ``bits`` bits."""
+    owner = np.repeat(np.arange(len(count)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    span = (ahead[owner] - at) >> bits
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (span[1:] != span[:-1])
+    first = np.flatnonzero(new)
+    windows = np.diff(np.append(first, len(owner)))
+    owner, at, span = owner[first], at[first], span[first]
+    sums = prefix_hash(body)
+    anchor = base[owner] + ahead[owner]
+    lo = span << bits
+    hi = lo + (1 << bits) - 1
+    # Every window of the range holds the bytes from ``lo`` before the anchor to the end of the first one.
+    common = range_hash(sums, anchor - lo, anchor + np.maximum(length - hi, 1))
+    made = mix(key[owner].view(np.uint64) + mix(common + mix((span * 64 + bits + 1).astype(np.uint64))))
+    place = ahead[owner] - at
+    return owner, at, windows, made.view(np.int64), _content(sums, base[owner] + at, windows, place, length), place
 
 
 def _context_rows(length: int, gram: int):
@@ -81,7 +116,7 @@ def _context_rows(length: int, gram: int):
                 # A text beyond CHUNK is read in pieces that share length - 1 bytes.
                 for at in range(lo, max(hi - length + 1, lo + 1), CHUNK - length + 1):
                     end = min(at + CHUNK, hi)
-                    first, count, key, content = contexts(data[at:end], offsets[i : j + 1] - at, length, gram)
+                    first, count, key, content, ahead = contexts(data[at:end], offsets[i : j + 1] - at, length, gram)
                     if not len(first):
                         continue
                     row = np.searchsorted(offsets, first + at, "right") - 1
@@ -93,13 +128,48 @@ def _context_rows(length: int, gram: int):
                             pa.array(content),
                             pa.array((first + at - offsets[row]).astype(np.int32)),
                             pa.array(count.astype(np.int32)),
+                            pa.array(ahead.astype(np.int16)),
                         ],
-                        ["_k1", "_k2", "key", "content", "start", "n"],
+                        CONTEXT_COLUMNS,
                     )
 
     return run
 
 
+def _piece_rows(bits: int, length: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("_text"))
+            k1, k2 = (batch.column(c).to_numpy() for c in ("_k1", "_k2"))
+            listed = batch.column("_contexts")
+            row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy())
+            start, n, ahead, key = (x.to_numpy().astype(np.int64) for x in listed.flatten().flatten())
+            # Only the bytes of the contexts are copied, a few thousand contexts at a time.
+            for at in range(0, len(row), 2048):
+                part = slice(at, at + 2048)
+                size = n[part] - 1 + length
+                base = np.cumsum(size) - size
+                body = data[np.repeat(offsets[row[part]] + start[part] - base, size) + np.arange(size.sum())]
+                owner, ahead_of, windows, made, content, place = pieces(
+                    body, base, n[part], ahead[part], key[part], bits, length
+                )
+                of = row[part][owner]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(k1[of]),
+                        pa.array(k2[of]),
+                        pa.array(made),
+                        pa.array(content),
+                        pa.array((start[part][owner] + ahead_of).astype(np.int32)),
+                        pa.array(windows.astype(np.int32)),
+                        pa.array(place.astype(np.int16)),
+                    ],
+                    CONTEXT_COLUMNS,
+                )
+
+    return run
+
+
 class Queues:
     """First-in first-out queues of suffixes, one for each first symbol, spilling to scratch space."""
 
@@ -349,15 +419,45 @@ def _cut(length: int, id_col: str):
     return run
 
 
+def _hot(open_: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """Keys whose different contexts hold more than ``shard_bytes``."""
+    size = F.sum(F.col("n") + length - 1)
+    # With copies first, as this count combines before the shuffle; only what is large then is made distinct.
+    large = open_.groupBy("key").agg(size.alias("b")).filter(F.col("b") > shard_bytes).select("key")
+    apart = open_.join(large, "key", "left_semi").groupBy("key", "content").agg(F.first("n").alias("n"))
+    return apart.groupBy("key").agg(size.alias("b")).filter(F.col("b") > shard_bytes).select("key")
+
+
+def open_contexts(texts: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
+    """Contexts, or pieces of them, whose key comes back; the different ones of a key fit a shard."""
+    found = texts.select("_k1", "_k2", "_text").mapInArrow(_context_rows(length, gram), _CONTEXT_ROW)
+    again = found.groupBy("key").count().filter("count > 1").select("key")
+    open_ = stored(found.join(again, "key"), "contexts").select(*CONTEXT_COLUMNS)
+    fitting, bits = [], (length - gram).bit_length()
+    while bits:
+        hot = stored(_hot(open_, length, shard_bytes), "hot-anchors")
+        if not hot.head(1):
+            break
+        fitting.append(open_.join(F.broadcast(hot), "key", "left_anti"))
+        bits = max(bits - 2, 0)
+        # One row a document; rows that repeat id and text give the same set once each.
+        listed = (
+            open_.join(F.broadcast(hot), "key", "left_semi")
+            .groupBy("_k1", "_k2")
+            .agg(F.collect_set(F.struct("start", "n", "ahead", "key")).alias("_contexts"))
+        )
+        cut = texts.select("_k1", "_k2", "_text").join(listed, ["_k1", "_k2"]).mapInArrow(_piece_rows(bits, length), _CONTEXT_ROW)
+        cut = stored(cut, "pieces")
+        again = cut.groupBy("key").count().filter("count > 1").select("key")
+        open_ = cut.join(again, "key").select(*CONTEXT_COLUMNS)
+    return reduce(DataFrame.unionByName, [*fitting, open_])
+
+
 def repeated_windows(
     texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, limit: int = QUEUE_BYTES
 ) -> DataFrame:
     """(_k1, _k2, _marks): for each text with candidates, the windows that occur elsewhere."""
-    found = texts.select("_k1", "_k2", "_text").mapInArrow(
-        _context_rows(length, gram), "_k1 long, _k2 long, key long, content long, start int, n int"
-    )
-    again = found.groupBy("key").count().filter("count > 1").select("key")
-    open_ = stored(found.join(again, "key"), "contexts")
+    open_ = open_contexts(texts, length, gram, shard_bytes)
     distinct = open_.groupBy("key", "content").agg(
         F.count("*").alias("weight"), F.min(F.struct("_k1", "_k2", "start", "n")).alias("one")
     )
