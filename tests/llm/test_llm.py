@@ -294,6 +294,25 @@ def test_repeats_go_once(docs, rows):
     assert by_id[0]["text"] == "" and by_id[1]["text"] == ""
 
 
+def test_passages_of_fifty_words_go():
+    # Passages of 51 words between other text: the share that is removed, counted by byte strings alone.
+    lost = []
+    for k in range(300):
+        passage = prose(20000 + k, 51).encode()
+        front = [prose(30000 + 2 * k + i, 20).encode() + b" " for i in (0, 1)]
+        back = [b" " + prose(40000 + 2 * k + i, 20).encode() for i in (0, 1)]
+        held = []
+        for i in (0, 1):
+            d = front[i] + passage + back[i]
+            ends = chunk_dedup.cuts(np.frombuffer(d, np.uint8), np.array([0, len(d)]))[0]
+            held.append([(a, b, d[a:b]) for a, b in zip([0, *ends], ends)])
+        seen = {x for _, _, x in held[0]}
+        again = [(a, b) for a, b, x in held[1] if x in seen]
+        gone = chunk_dedup.runs(np.array([a for a, _ in again]), np.array([b - a for a, b in again]), chunk_dedup.MIN_RUN) if again else []
+        lost.append(sum(b - a for a, b in gone) / len(passage))
+    assert min(lost) > 0.5 and sum(lost) / len(lost) > 0.85
+
+
 def test_empty_tables(none):
     assert chunk_dedup.remove_repeats(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0

@@ -23,9 +23,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from varloom.llm.common import keyed, spans, stored, text_bytes
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Five bits that the last 12 to 16 bytes decide: a cut after 32 bytes on average.
-MASK = np.uint32(0xF800)
-SHORTEST, LONGEST = 16, 256
+#: Three bits that the last 14 to 16 bytes decide: chunks of 16 bytes on average, so that what the ends of a
+#: passage lose to their neighbours leaves more than ``MIN_RUN`` of one of fifty words.
+MASK = np.uint32(0xE000)
+SHORTEST, LONGEST = 8, 256
 MIN_RUN = 120
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "n_repeated")
 
