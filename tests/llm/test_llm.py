@@ -491,6 +491,20 @@ def test_host_text_without_markup_goes(spark):
     assert sum(prose(i, 30) in r["text"] for i in range(12) for r in got) == 12
 
 
+def test_runs_are_counted_over_the_whole_host(spark):
+    # Text on three pages far apart of a large host, next to unique text in the same block.
+    stock = prose(60, 12)
+    html = [f"<p>{prose(100 + i, 9)}{' ' + stock if i % 250 == 7 else ''}</p>" for i in range(700)]
+    html += ["<div>" + prose(70, 20) + "</div>", None, f"<article>{stock}</article>"]
+    rows = [(i, "http://h/x", p) for i, p in enumerate(html)] + [(1, "http://other/", f"<p>{stock}</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = [(i, *m) for i, m in enumerate(page_text.main_texts(html))] + [(1, stock, 1, 0)]
+    for parts in (2, 9):
+        got = page_text.extract_text(pages, parts=parts).collect()
+        assert Counter((r["page_id"], r["text"], r["n_blocks"], r["n_covered"]) for r in got) == Counter(want)
+    assert sum(w[3] for w in want) == 4 * 12 and want[7][1] == prose(107, 9)
+
+
 # search
 
 

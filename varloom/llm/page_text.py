@@ -1,14 +1,14 @@
-"""Main text of web pages, with repeated host text found by a suffix array over token streams.
+"""Main text of web pages, with host text repeated on several pages found over the whole host.
 
-Pages of a host meet in sorted order, in blocks of at most ``BLOCK_PAGES`` pages, however many a
-host has. The tokens of a block's pages form one array; suffixes are ranked by doubling up to
-``MIN_TOKENS`` tokens. A run of that many tokens that occurs on ``MIN_PAGES`` distinct pages is
-covered; blocks of text that are mostly covered are boilerplate, what is left are the unique runs.
+Every run of ``MIN_TOKENS`` tokens of a page is named by a 64-bit hash of host and tokens, once a page.
+Pages are counted for each hash, which combines before the shuffle, so a host of any size meets in no
+task. Runs on ``MIN_PAGES`` pages or more go back to their places and cover their tokens; what is left
+are the unique runs. Two different runs would have to share a 64-bit hash to be mistaken.
 
 Markup decides first. Text inside ``article`` or ``main`` is the page's own, even where other pages
 repeat it (copies and quotations are no boilerplate); menus, footers, forms, adverts, comments and
 the like are never. On pages without such a marked part, the text outside of the never-parts stays
-unless the suffix array covers it.
+but for the covered tokens.
 
 Defined cases: null html counts as empty and gives an empty text; a null url belongs to the host
 without a name; unclosed tags and cut-off pages are read as far as they go; repeated page ids are
@@ -22,13 +22,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from varloom.llm.common import mix, stored
 
 MIN_TOKENS = 8
 MIN_PAGES = 3
-BLOCK_PAGES = 256
-BLOCK_BYTES = 4 << 20
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object"}
@@ -170,75 +171,121 @@ def covered_tokens(streams: list[list[str]], min_tokens: int = MIN_TOKENS, min_p
     return np.split(covered, np.cumsum(sizes)[:-1])
 
 
+def _kept(page: list[tuple[str, str]], cover: np.ndarray) -> tuple[str, int, int]:
+    """(text, blocks kept, covered tokens) of a page; free text loses its covered tokens."""
+    marked = any(zone == "main" for _, zone in page)
+    kept, at = [], 0
+    for text, zone in page:
+        words = text.split(" ")
+        gone = cover[at : at + len(words)]
+        at += len(words)
+        if zone == "main":
+            kept.append(text)
+        elif zone == "free" and not marked and not gone.all():
+            kept.append(" ".join(w for w, g in zip(words, gone) if not g))
+    return "\n".join(kept), len(kept), int(cover.sum())
+
+
 def main_texts(pages: list[str | None]) -> list[tuple[str, int, int]]:
-    """(text, blocks kept, covered tokens) of the pages of one host block."""
+    """(text, blocks kept, covered tokens) of all pages of one host, held in memory."""
     parsed = [blocks(p or "") for p in pages]
-    split = [[text.split(" ") for text, _ in page] for page in parsed]
-    covers = covered_tokens([[t for tokens in page for t in tokens] for page in split])
-    out = []
-    for page, tokens, cover in zip(parsed, split, covers):
-        marked = any(zone == "main" for _, zone in page)
-        kept, at = [], 0
-        for (text, zone), words in zip(page, tokens):
-            share = cover[at : at + len(words)].mean()
-            at += len(words)
-            if zone == "main" or (zone == "free" and not marked and share < 0.5):
-                kept.append(text)
-        out.append(("\n".join(kept), len(kept), int(cover.sum())))
-    return out
+    covers = covered_tokens([[t for text, _ in page for t in text.split(" ")] for page in parsed])
+    return [_kept(page, cover) for page, cover in zip(parsed, covers)]
+
+
+def run_hashes(host: str, tokens: list[str], min_tokens: int = MIN_TOKENS) -> np.ndarray:
+    """Hash of host and tokens of the run that starts at each token, as far as runs are whole."""
+    n = len(tokens) - min_tokens + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    names = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    h = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
+    for k in range(min_tokens):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + names[k : k + n])
+    return h.view(np.int64)
+
+
+def _parse(batches):
+    for batch in batches:
+        # Slices keep few pages as Python values at a time.
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            parsed = [blocks(page or "") for page in part.column("_html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("_row"),
+                    part.column("_host"),
+                    pa.array([[text for text, _ in page] for page in parsed], pa.list_(pa.string())),
+                    pa.array([[zone for _, zone in page] for page in parsed], pa.list_(pa.string())),
+                ],
+                ["_row", "_host", "_texts", "_zones"],
+            )
+
+
+def _runs(batches):
+    """(page, run) of each different run of a page."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            for key, host, texts in zip(*[part.column(c).to_pylist() for c in ("_page", "_host", "_texts")]):
+                made = np.unique(run_hashes(host, [t for text in texts for t in text.split(" ")]))
+                if len(made):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), key)), pa.array(made)], ["_page", "run"])
 
 
 OUTPUTS = ("text", "n_chars", "n_blocks", "n_covered")
 
 
 def _extract(batches):
-    def flush(rows: list[tuple]):
-        made = main_texts([r[1] for r in rows])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], kind),
-                pa.array([m[0] for m in made], pa.string()),
-                *[pa.array(c, pa.int64()) for c in zip(*[(len(m[0]), m[1], m[2]) for m in made])],
-            ],
-            ["_row", *OUTPUTS],
-        )
-
-    held: list[tuple] = []
-    size, last, kind = 0, None, None
     for batch in batches:
-        kind = batch.schema.field("_row").type
-        # Slices keep few rows as Python values at a time.
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            for row, page, host in zip(*[part.column(c).to_pylist() for c in ("_row", "_html", "_host")]):
-                if held and (host != last or len(held) >= BLOCK_PAGES or size > BLOCK_BYTES):
-                    yield flush(held)
-                    held, size = [], 0
-                held.append((row, page))
-                size, last = size + len(page or ""), host
-    if held:
-        yield flush(held)
+            made = []
+            columns = [part.column(c).to_pylist() for c in ("_host", "_texts", "_zones", "_repeated")]
+            for host, texts, zones, repeated in zip(*columns):
+                tokens = [t for text in texts for t in text.split(" ")]
+                cover = np.zeros(len(tokens), bool)
+                if repeated:
+                    starts = np.flatnonzero(np.isin(run_hashes(host, tokens), np.array(repeated, np.int64)))
+                    marks = np.zeros(len(tokens) + 1, np.int64)
+                    marks[starts] += 1
+                    marks[starts + MIN_TOKENS] -= 1
+                    cover = np.cumsum(marks)[:-1] > 0
+                made.append(_kept(list(zip(texts, zones)), cover))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("_row"),
+                    pa.array([m[0] for m in made], pa.string()),
+                    *[pa.array(c, pa.int64()) for c in zip(*[(len(m[0]), m[1], m[2]) for m in made])],
+                ],
+                ["_row", *OUTPUTS],
+            )
 
 
 def extract_text(
-    pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id", parts: int | None = None
+    pages: DataFrame, html_col: str = "html", url_col: str = "url", parts: int | None = None
 ) -> DataFrame:
     """``pages`` without the html, with text, n_chars, n_blocks and n_covered (covered tokens)."""
     carried = [f for f in pages.schema if f.name not in OUTPUTS and f.name != html_col]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    n = parts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Ranges of (host, hash) split a large host over tasks and keep small ones together.
-    dealt = (
-        pages.select(
-            F.struct(*[F.col(f"`{f.name}`") for f in carried]).alias("_row"),
-            F.col(html_col).alias("_html"),
-            host.alias("_host"),
-            F.xxhash64(id_col, url_col).alias("_order"),
-        )
-        .repartitionByRange(n, "_host", "_order")
-        .sortWithinPartitions("_host", "_order")
+    read = pages.select(
+        F.struct(*[F.col(f"`{f.name}`") for f in carried]).alias("_row"), F.col(html_col).alias("_html"), host.alias("_host")
     )
-    made = StructType([dealt.schema["_row"], StructField("text", StringType())])
+    if parts:
+        read = read.repartition(parts)
+    kind = StructType([read.schema["_row"], StructField("_host", StringType())])
+    kind.add("_texts", ArrayType(StringType())).add("_zones", ArrayType(StringType()))
+    # Written once, so that the number of a page is the same in every later pass.
+    parsed = stored(read.mapInArrow(_parse, kind).withColumn("_page", F.monotonically_increasing_id()), "parsed-pages")
+    runs = parsed.select("_page", "_host", "_texts").mapInArrow(_runs, "_page long, run long")
+    repeated = runs.groupBy("run").count().filter(F.col("count") >= MIN_PAGES).select("run")
+    found = runs.join(repeated, "run").groupBy("_page").agg(F.collect_list("run").alias("_repeated"))
+    made = StructType([read.schema["_row"], StructField("text", StringType())])
     for name in OUTPUTS[1:]:
         made.add(name, LongType())
-    return dealt.mapInArrow(_extract, made).select(*[F.col(f"_row.`{f.name}`") for f in carried], *OUTPUTS)
+    return (
+        parsed.join(found, "_page", "left")
+        .select("_row", "_host", "_texts", "_zones", "_repeated")
+        .mapInArrow(_extract, made)
+        .select(*[F.col(f"_row.`{f.name}`") for f in carried], *OUTPUTS)
+    )
