@@ -407,6 +407,22 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_every_language_can_be_predicted(spark):
+    # 70 languages, the last ones the rarest; in blocks of 16 the answers are the same as in one block.
+    rng = random.Random(9)
+    data = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 10 * k + j) for j in range(10)]
+        n = 9 if k < 64 else 6
+        data += [(len(data) + i, "".join(rng.choice(letters) for _ in range(40)), f"l{k:02d}") for i in range(n)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    whole = {r["doc_id"]: r for r in language_id.identify(docs, block_langs=100).collect()}
+    assert all(whole[i]["lang_pred"] == k for i, _, k in data)
+    for r in language_id.identify(docs).collect() + language_id.identify(docs, block_langs=16).collect():
+        assert r["lang_pred"] == whole[r["doc_id"]]["lang_pred"]
+        assert r["score"] == pytest.approx(whole[r["doc_id"]]["score"], rel=1e-9)
+
+
 def test_grams_of_pieces_are_those_of_the_text(monkeypatch):
     text = prose(4, 300)
     whole = np.bincount(np.concatenate(list(language_id.gram_buckets(text))), minlength=language_id.BUCKETS)

@@ -2,9 +2,10 @@
 
 Counts of 1- to 3-grams of lower-cased code points, hashed to 65,536 buckets, are gathered for each
 language from all learning rows. The log-probability matrix has one row for each bucket and one
-column for each language, at most ``MAX_LANGS`` of them (the most frequent, ties by name), so at
-most 16 MB in single precision travel as a broadcast. A text is scored as the product of its sparse
-bucket counts with that matrix.
+column for each language, and is cut into blocks of ``BLOCK_LANGS`` languages in order of name, so at
+most 16 MB in single precision travel as a broadcast at a time. A text is scored as the product of its
+sparse bucket counts with each block in turn; the best score and the log of the summed likelihoods are
+merged over the blocks, so every language of the learning rows can be predicted.
 
 Defined cases: a text that is null or has no letter gives ``und`` with score 0; without learning rows
 every text does. A row with a null id is held out. Repeated rows are counted and predicted as often
@@ -14,16 +15,17 @@ as they stand there. Equal posteriors go to the name that sorts first.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from varloom.llm.common import crc_mod, mix
+from varloom.llm.common import crc_mod, mix, stored
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
-MAX_LANGS = 64
+BLOCK_LANGS = 64
 ALPHA = 0.1
 LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 18
@@ -51,9 +53,17 @@ def _count(batches):
         for text, lang in zip(batch.column("_text").to_pylist(), batch.column("_lang").to_pylist()):
             if not text or not LETTER.search(text):
                 continue
+            if lang not in totals and len(totals) >= BLOCK_LANGS:
+                # A task holds the counts of one block of languages at most; sums of parts meet later.
+                yield from _count_rows(totals)
+                totals.clear()
             counts = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for buckets in gram_buckets(text):
                 counts += np.bincount(buckets, minlength=BUCKETS)
+    yield from _count_rows(totals)
+
+
+def _count_rows(totals: dict[str, np.ndarray]):
     for lang, counts in totals.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -63,14 +73,15 @@ def _count(batches):
 
 
 class Model:
-    """Languages and their log-probabilities by bucket."""
+    """Languages of a block and their log-probabilities by bucket."""
 
     def __init__(self, langs: list[str], prior: np.ndarray, log_prob: np.ndarray):
         self.langs, self.prior, self.log_prob = langs, prior, log_prob
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """(language, its score, sum of the block's likelihoods over the best one)."""
         if not self.langs or not text or not LETTER.search(text):
-            return "und", 0.0
+            return "und", 0.0, np.inf
         score = self.prior.copy()
         for buckets in gram_buckets(text):
             if len(buckets) > BUCKETS:
@@ -80,29 +91,33 @@ class Model:
             else:
                 score += self.log_prob[buckets].sum(0, dtype=np.float64)
         best = int(score.argmax())
-        return self.langs[best], float(1.0 / np.exp(score - score[best]).sum())
+        return self.langs[best], float(score[best]), float(np.exp(score - score[best]).sum())
 
 
-def fit(docs: DataFrame, text_col: str, lang_col: str, max_langs: int = MAX_LANGS) -> Model:
-    """Learn from every row of ``docs`` with a language."""
+def fit(docs: DataFrame, text_col: str, lang_col: str, block_langs: int = BLOCK_LANGS) -> Iterator[Model]:
+    """Learn from every row of ``docs`` with a language; one model for each block of languages, at least one."""
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_langs).collect()
-    names = sorted(r["_lang"] for r in sizes)
-    if not names:
-        return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
-    wanted = rows if len(names) < max_langs else rows.filter(F.col("_lang").isin(names))
-    # At most BUCKETS x max_langs rows reach the driver, whatever the corpus holds.
+    seen = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    every = sorted(seen)
+    if not every:
+        yield Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
+        return
     counted = (
-        wanted.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    ).toArrow()
-    matrix = np.zeros((BUCKETS, len(names)))
-    place = {name: i for i, name in enumerate(names)}
-    column = np.array([place[x] for x in counted.column("lang").to_pylist()], np.int64)
-    matrix[counted.column("bucket").to_numpy(), column] = counted.column("n").to_numpy()
-    log_prob = np.log((matrix + ALPHA) / (matrix.sum(0) + ALPHA * BUCKETS))
-    seen = {r["_lang"]: r["count"] for r in sizes}
-    prior = np.log(np.array([seen[n] for n in names], float) / sum(seen.values()))
-    return Model(names, prior, log_prob.astype(np.float32))
+        rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    )
+    if len(every) > block_langs:
+        counted = stored(counted, "language-counts")
+    for first in range(0, len(every), block_langs):
+        names = every[first : first + block_langs]
+        # At most BUCKETS x block_langs rows reach the driver at a time, whatever the corpus holds.
+        block = (counted if len(names) == len(every) else counted.filter(F.col("lang").isin(names))).toArrow()
+        matrix = np.zeros((BUCKETS, len(names)))
+        place = {name: i for i, name in enumerate(names)}
+        column = np.array([place[x] for x in block.column("lang").to_pylist()], np.int64)
+        matrix[block.column("bucket").to_numpy(), column] = block.column("n").to_numpy()
+        log_prob = np.log((matrix + ALPHA) / (matrix.sum(0) + ALPHA * BUCKETS))
+        prior = np.log(np.array([seen[n] for n in names], float) / sum(seen.values()))
+        yield Model(names, prior, log_prob.astype(np.float32))
 
 
 def identify(
@@ -112,7 +127,7 @@ def identify(
     lang_col: str = "lang",
     folds: int = 3,
     held: int = 1,
-    max_langs: int = MAX_LANGS,
+    block_langs: int = BLOCK_LANGS,
 ) -> DataFrame:
     """(id, held_out, lang_pred, score) for every row; rows of fold ``held`` are never learned from."""
     marked = docs.select(
@@ -121,24 +136,44 @@ def identify(
         F.col(lang_col).alias("_lang"),
         F.coalesce(crc_mod(id_col, folds) == held, F.lit(True)).alias("held_out"),
     )
-    model = fit(marked.filter(~F.col("held_out")), "_text", "_lang", max_langs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema[id_col].dataType.simpleString()
+    state = marked.select("_id", "_text", "held_out", *[F.lit(None).cast(t).alias(c) for c, t in _STATE.items()])
+    made = f"_id {kind}, _text string, held_out boolean, " + ", ".join(f"{c} {t}" for c, t in _STATE.items())
+    for k, model in enumerate(fit(marked.filter(~F.col("held_out")), "_text", "_lang", block_langs)):
+        if k:
+            # Written, so that each block's broadcast is used in one pass only.
+            state = stored(state, "language-scores")
+        state = state.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), made)
+    score = (1.0 / F.col("_sum")).alias("score")
+    return state.select(F.col("_id").alias(id_col), "held_out", F.col("_lang").alias("lang_pred"), score)
+
 
-    def score(batches):
-        learned = shared.value
+_STATE = {"_lang": "string", "_best": "double", "_sum": "double"}
+
+
+def _score(shared):
+    """Merge what the languages of one block say into the best language so far and the sum over its likelihood."""
+
+    def run(batches):
+        model = shared.value
         for batch in batches:
-            made = [learned.predict(text) for text in batch.column("_text").to_pylist()]
+            made = []
+            for text, *old in zip(*[batch.column(c).to_pylist() for c in ("_text", *_STATE)]):
+                new = model.predict(text)
+                # Texts without a letter have an infinite sum, so their score is 0.
+                if old[0] is not None and not np.isinf(new[2]):
+                    # The earlier block has the smaller names, so it keeps ties.
+                    high, low = (new, old) if new[1] > old[1] else (old, new)
+                    new = (high[0], high[1], high[2] + low[2] * float(np.exp(low[1] - high[1])))
+                made.append(new)
+            columns = list(zip(*made)) if made else [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_id"),
-                    batch.column("held_out"),
-                    pa.array([m[0] for m in made], pa.string()),
-                    pa.array([m[1] for m in made], pa.float64()),
+                    *[batch.column(c) for c in ("_id", "_text", "held_out")],
+                    pa.array(columns[0], pa.string()),
+                    *[pa.array(c, pa.float64()) for c in columns[1:]],
                 ],
-                [id_col, "held_out", "lang_pred", "score"],
+                ["_id", "_text", "held_out", *_STATE],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return marked.select("_id", "_text", "held_out").mapInArrow(
-        score, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double"
-    )
+    return run
