@@ -246,3 +246,12 @@ def test_adjacent_repeats_with_a_gap_at_a_span(spark):
     df = spark.range(99_990, 100_010).select(F.col("id").alias("row_id"), F.lit("x").alias("v"))
     kept = sets.drop_adjacent_repeats(df.filter("row_id <> 99999"), ["v"]).collect()
     assert [r["row_id"] for r in kept] == [99_990]
+
+
+def test_array_order_statistics_are_exact(spark):
+    rows = [([float((i * 7919) % 2003), float(i % 3), 1.5 * i][: 3 if i % 2 else 2],) for i in range(2003)]
+    df = spark.createDataFrame(rows, "inputs array<double>")
+    got = {r["idx"]: r["quartiles"] for r in stats.array_order_statistics(df).collect()}
+    for k in range(3):
+        x = sorted(r[0][k] for r in rows if len(r[0]) > k)
+        assert got[k] == [x[-(-len(x) * q // 4) - 1] for q in (1, 2, 3)]

@@ -321,6 +321,21 @@ def array_summary(
     )
 
 
+def array_order_statistics(df: DataFrame, inputs: str = "inputs", probs: Sequence[float] = QUARTILES) -> DataFrame:
+    """(idx, quartiles) per array position: the smallest value with the share ``prob`` of values up to it, exact.
+
+    Equal values are counted before the shuffle; each position's different values are put in order by
+    one task, on disk where they do not fit in memory.
+    """
+    cells = df.select(F.posexplode(inputs).alias("idx", "value")).filter("value IS NOT NULL")
+    counted = cells.groupBy("idx", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+    position = W.partitionBy("idx").orderBy("value")
+    every = cells.groupBy("idx").agg(F.count("*").alias("size"))
+    placed = counted.withColumn("upto", F.sum("n").over(position)).join(F.broadcast(every), "idx")
+    found = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("size")), F.col("value"))) for p in probs]
+    return placed.groupBy("idx").agg(F.array(*found).alias("quartiles"))
+
+
 def column_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mean, var, scale) with population variance; a constant column has scale 1."""
     rows = [
