@@ -13,7 +13,7 @@ pieces of a key are one string. Equal windows keep equal keys, so nothing is los
 
 How they are sorted. Contexts arrive ordered by key in shards of at most twice ``SHARD_BYTES``.
 A shard is one string with separators. Its leftmost-S suffixes are named by an induced
-sort of their substrings, ranked recursively on the string of names, and induce the order of all
+sort of their substrings, ranked by doubling on the string of names, and induce the order of all
 others: suffix tuples pass through one first-in first-out queue for each first byte, which
 writes to an unnamed scratch file of the task beyond ``QUEUE_BYTES``. Suffixes that stand together and
 share their first ``LENGTH`` bytes are one string; its weight says whether it occurs elsewhere. The
