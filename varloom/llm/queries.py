@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.llm import chunk_dedup, exact_topk, language_id, minhash, mixing, page_text, piece_table, quality_rules, suffix_dedup, toxicity
+from varloom.llm import (
+    chunk_dedup,
+    exact_topk,
+    language_id,
+    merkle_log,
+    minhash,
+    mixing,
+    page_text,
+    piece_table,
+    quality_rules,
+    suffix_dedup,
+    token_spans,
+    toxicity,
+    url_trie,
+)
+from varloom.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,3 +214,127 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_spans")
+def op11_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_spans.align_scored(docs)
+
+
+#: Fixed by the contract: host, path and verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+URL_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules AS (
+  SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                        ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS r(rule_host, rule_path, rule_verdict)),
+fits AS (
+  SELECT page_id, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+  FROM u JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT u.page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM u LEFT JOIN fits ON fits.page_id = u.page_id AND place = 1
+"""
+
+
+@query("op12_url_trie", URL_SQL)
+def op12_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_trie.filter_urls(pages, URL_RULES).select("page_id", *url_trie.OUTPUTS)
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE crc_step AS (
+  SELECT i, i AS v, 0 AS k FROM range(256) AS t(i)
+  UNION ALL
+  SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS steps FROM crc_step WHERE k = 8),
+d AS (
+  SELECT *, list_reduce(
+             list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])) AS flipped
+  FROM documents, crc),
+f AS (
+  SELECT doc_id, source,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         text, coalesce(xor(flipped, 4294967295) % 5 = 0, false) AS hit
+  FROM d),
+g AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS changed
+  FROM f),
+leaves AS (
+  SELECT dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, *
+  FROM g),
+node AS (
+  SELECT tree, 0 AS level, idx, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM node) WHERE n > 1
+  GROUP BY tree, level, idx // 16),
+sub AS (SELECT tree, max(level) AS levels, arg_max(digest, level) AS subroot FROM node GROUP BY tree),
+top AS (
+  SELECT 0 AS level, tree - 1 AS idx, subroot AS digest FROM sub
+  UNION ALL
+  SELECT level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1
+  GROUP BY level, idx // 16),
+peak AS (SELECT max(level) AS levels, arg_max(digest, level) AS root FROM top),
+side AS (
+  SELECT tree, level, idx,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM node JOIN sub USING (tree) WHERE level < levels
+  WINDOW w AS (PARTITION BY tree, level, idx // 16 ORDER BY idx)),
+top_side AS (
+  SELECT level, idx,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM top, peak WHERE level < levels
+  WINDOW w AS (PARTITION BY level, idx // 16 ORDER BY idx)),
+inner_steps AS (
+  SELECT x.tree, x.idx, list(l || '|' || r ORDER BY level) AS steps
+  FROM leaves x JOIN side s ON s.tree = x.tree AND s.idx = x.idx // CAST(pow(16, s.level) AS BIGINT)
+  GROUP BY x.tree, x.idx),
+outer_steps AS (
+  SELECT t.tree, list(l || '|' || r ORDER BY level) AS steps
+  FROM sub t JOIN top_side s ON s.idx = (t.tree - 1) // CAST(pow(16, s.level) AS BIGINT)
+  GROUP BY t.tree),
+p AS (
+  SELECT x.*, subroot, root, list_concat(coalesce(i.steps, []), coalesce(o.steps, [])) AS steps
+  FROM leaves x JOIN sub USING (tree) CROSS JOIN peak
+  LEFT JOIN inner_steps i ON i.tree = x.tree AND i.idx = x.idx
+  LEFT JOIN outer_steps o ON o.tree = x.tree),
+q AS (
+  SELECT *, list_reduce(list_concat([changed], steps),
+              lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root
+  FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM q
+"""
+
+
+@query("op13_merkle_log", MERKLE_SQL)
+def op13_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    changed = F.when(tampered, F.translate("text", url_trie.UPPER, url_trie.LOWER)).otherwise(F.col("text"))
+    return merkle_log.verify(docs, changes={"text": changed})
