@@ -39,6 +39,8 @@ from varloom.llm.piece_table import MARK, check_model
 
 #: Distinct parts, and bytes of them, that a task keeps.
 TABLE, TABLE_BYTES = 200_000, 32 << 20
+#: Characters of new parts that are tokenized in one call.
+CALL = 16_384
 #: A single space between two characters that are not white space.
 GAP = re.compile(r"(?<=\S) (?=\S)")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -140,22 +142,14 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def refined_ends(
-    coarse_from: np.ndarray, coarse_to: np.ndarray, sizes: np.ndarray, first: np.ndarray, start: np.ndarray
-) -> np.ndarray:
-    """Byte ends of tokens, counted in decoded bytes where a coarse span does not fit them.
-
-    ``first`` and ``start`` name for each token the first token of its part and that part's first byte.
-    """
+def refined_ends(coarse_from: np.ndarray, coarse_to: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens, counted in decoded bytes where a coarse span does not fit them."""
     fits = coarse_to - coarse_from == sizes
     if fits.all():
         return coarse_to
     counted = np.cumsum(sizes)
-    here = np.arange(len(sizes))
-    last = np.maximum.accumulate(np.where(fits, here, -1))
-    own = last >= first
-    known = np.where(own, coarse_to[last], start)
-    behind = np.where(own, counted[last], counted[first] - sizes[first])
+    last = np.maximum.accumulate(np.where(fits, np.arange(len(sizes)), -1))
+    known, behind = np.where(last >= 0, coarse_to[last], 0), np.where(last >= 0, counted[last], 0)
     return np.where(fits, coarse_to, known + counted - behind)
 
 
@@ -166,6 +160,7 @@ class PairTable:
         self.a, a_bytes = load_a(path_a)
         self.b, b_bytes = load_b(path_b)
         self.n_b = len(b_bytes)
+        self.a_marked, self.b_marked = _marked(len(a_bytes), ",", "|"), _marked(self.n_b, ",", ";")
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (a_bytes, b_bytes))
         self.a_text, self.b_text = (np.frombuffer(b"".join(x), np.uint8) for x in (a_bytes, b_bytes))
         self.a_at, self.b_at = (np.cumsum(x) - x for x in (self.a_sizes, self.b_sizes))
@@ -183,97 +178,98 @@ class PairTable:
     def add(self, parts: set[str]) -> None:
         if len(self.codes) > TABLE or self.size > TABLE_BYTES:
             self.clear()
-        new = [p for p in parts if p not in self.codes]
-        if new:
-            self._align(new)
+        group, size = [], 0
+        for part in parts:
+            if part in self.codes:
+                continue
+            # Parts stand behind each other in one call; white space at an end would meet the next one.
+            if part[:1].isspace() or part[-1:].isspace() or size + len(part) > CALL:
+                self._align(group)
+                group, size = [], 0
+                if part[:1].isspace() or part[-1:].isspace():
+                    self._align([part])
+                    continue
+            group.append(part)
+            size += len(part)
+        self._align(group)
 
     def _align(self, new: list[str]) -> None:
-        whole = [" " + p for p in new]
-        raw = [p.encode() for p in whole]
+        if not new:
+            return
+        text = " ".join(new)
+        raw = [b" " + p.encode() for p in new]
         data = np.frombuffer(b"".join(raw), np.uint8)
-        sizes = np.array(list(map(len, raw)), np.int64)
-        base = np.cumsum(sizes) - sizes
+        ends = np.cumsum(list(map(len, raw)))
         self.size += len(data)
 
-        made = self.a.encode_batch(whole, add_special_tokens=False)
-        n_a = np.array([len(x.ids) for x in made], np.int64)
-        a = np.fromiter(chain.from_iterable(x.ids for x in made), np.int64, int(n_a.sum()))
-        places = np.fromiter(chain.from_iterable(chain.from_iterable(x.offsets) for x in made), np.int64, 2 * len(a))
+        made = self.a.encode(" " + text, add_special_tokens=False)
+        a = np.array(made.ids, np.int64)
+        places = np.fromiter(chain.from_iterable(made.offsets), np.int64, 2 * len(a))
         chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        n_chars = np.array(list(map(len, whole)), np.int64)
-        part_a = np.repeat(np.arange(len(new)), n_a)
-        char_base = (np.cumsum(n_chars) - n_chars)[part_a]
-        a_from, a_to = chars[places[::2] + char_base], chars[places[1::2] + char_base]
-        a_first = (np.cumsum(n_a) - n_a)[part_a]
-        a_end = refined_ends(a_from, a_to, self.a_sizes[a], a_first, base[part_a])
-
-        pieces = [[(x.id, x.begin, x.end) for x in p.pieces] for p in self.b.encode(new, return_type="proto", num_threads=1)]
-        n_b = np.array(list(map(len, pieces)), np.int64)
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(pieces)), np.int64, 3 * int(n_b.sum())).reshape(-1, 3)
+        a_end = refined_ends(chars[places[::2]], chars[places[1::2]], self.a_sizes[a])
+
+        pieces = [(x.id, x.begin, x.end) for x in self.b.encode(text, return_type="proto").pieces]
+        flat = np.fromiter(chain.from_iterable(pieces), np.int64, 3 * len(pieces)).reshape(-1, 3)
         b = flat[:, 0]
-        part_b = np.repeat(np.arange(len(new)), n_b)
-        b_first = (np.cumsum(n_b) - n_b)[part_b]
         # The model's own space stands before the text, so spans are one byte later; the first piece starts at it.
-        b_from = flat[:, 1] + base[part_b] + (np.arange(len(b)) != b_first)
-        b_end = refined_ends(b_from, flat[:, 2] + base[part_b] + 1, self.b_sizes[b], b_first, base[part_b])
+        b_from = flat[:, 1] + 1
+        b_from[0] = 0
+        b_end = refined_ends(b_from, flat[:, 2] + 1, self.b_sizes[b])
 
-        good = self._same(self.a_text, self.a_at, self.a_sizes, a, n_a, raw, data) & self._same(
-            self.b_text, self.b_at, self.b_sizes, b, n_b, raw, data
+        same = self._bytes(self.a_text, self.a_at, self.a_sizes, a) == data.tobytes() == self._bytes(
+            self.b_text, self.b_at, self.b_sizes, b
         )
-        if not good.all():
-            keep_a, keep_b = good[part_a], good[part_b]
-            a, a_end, part_a = a[keep_a], a_end[keep_a], part_a[keep_a]
-            b, b_end, part_b = b[keep_b], b_end[keep_b], part_b[keep_b]
-            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        if not same and len(new) > 1:
+            # One of the parts does not come back; the others still have their tokens.
+            for part in new:
+                self._align([part])
+            return
+        if not same:
+            a = b = a_end = b_end = np.zeros(0, np.int64)
         shared = np.intersect1d(a_end, b_end, assume_unique=True)
         last_a, last_b = np.searchsorted(a_end, shared), np.searchsorted(b_end, shared)
-        in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-        n_groups = np.bincount(part_a[last_a], minlength=len(new)) if len(shared) else np.zeros(len(new), np.int64)
+        n_a, n_b, n_groups = (_by_part(x, ends) for x in (a_end, b_end, shared))
 
         first = len(self.codes)
         self.codes.update(zip(new, range(first, first + len(new))))
         self.good = _room(self.good, first + len(new))
-        self.good[first : first + len(new)] = good
+        self.good[first : first + len(new)] = same
         self.a_ids.append(a, n_a)
         self.b_ids.append(b, n_b)
-        self.in_a.append(in_a, n_groups)
-        self.in_b.append(in_b, n_groups)
-        self.long.append(np.diff(shared, prepend=0) - _gap_before(shared, part_a[last_a], base), n_groups)
+        self.in_a.append(np.diff(last_a, prepend=-1), n_groups)
+        self.in_b.append(np.diff(last_b, prepend=-1), n_groups)
+        self.long.append(np.diff(shared, prepend=0), n_groups)
         self.links.append(a[last_a] * self.n_b + b[last_b], n_groups)
-        self.digests.extend(_written(a, b, last_a, last_b, n_groups))
+        self.digests.extend(self._written(a, b, last_a, last_b, n_groups))
+
+    def _written(self, a, b, last_a, last_b, n_groups) -> list[str]:
+        """``a1,a2|b1;a3|b2;`` for each part: every group's A ids, then its B ids."""
+        closes_a, closes_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        closes_a[last_a] = closes_b[last_b] = 1
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        upto_a, upto_b = last_a + 1, np.append(0, last_b + 1)
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + upto_b[group_a]] = self.a_marked[a, closes_a]
+        out[np.arange(len(b)) + upto_a[group_b]] = self.b_marked[b, closes_b]
+        ends = np.append(0, last_a + last_b + 2)[np.append(0, np.cumsum(n_groups))].tolist()
+        texts = out.tolist()
+        return ["".join(texts[s:e]) for s, e in zip(ends[:-1], ends[1:])]
 
     @staticmethod
-    def _same(text, at, sizes, ids, counts, raw, data) -> np.ndarray:
-        """For each part, whether its tokens' bytes are its own bytes."""
-        out = text[_places(at[ids], sizes[ids])]
-        if len(out) == len(data) and np.array_equal(out, data):
-            # The same bytes in all, and tokens never shift across parts if each part has its length.
-            ends = np.cumsum(sizes[ids])
-            if np.array_equal(np.append(0, ends)[np.cumsum(counts)], np.cumsum(list(map(len, raw)))):
-                return np.ones(len(raw), bool)
-        ends = np.append(0, np.cumsum(sizes[ids]))[np.append(0, np.cumsum(counts))]
-        view = out.tobytes()
-        return np.array([view[i:j] == r for i, j, r in zip(ends[:-1].tolist(), ends[1:].tolist(), raw)], bool)
-
-
-def _gap_before(shared: np.ndarray, part: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Bytes of left-out parts between a part's first group and the group before it."""
-    out = np.zeros(len(shared), np.int64)
-    if len(shared):
-        new = np.append(True, part[1:] != part[:-1])
-        out[new] = base[part[new]] - np.append(0, shared[:-1])[new]
-    return out
+    def _bytes(text, at, sizes, ids) -> bytes:
+        return text[_places(at[ids], sizes[ids])].tobytes()
 
 
-def _written(a, b, last_a, last_b, n_groups) -> list[str]:
-    """``a1,a2|b1;a3|b2`` for each part."""
-    left, right = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    groups, i, j = [], 0, 0
-    for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-        groups.append(",".join(left[i:x]) + "|" + ",".join(right[j:y]))
-        i, j = x, y
-    ends = np.cumsum(n_groups).tolist()
-    return [";".join(groups[s:e]) for s, e in zip([0, *ends], ends)]
+def _by_part(at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of the sorted byte ends lie in each part."""
+    return np.diff(np.searchsorted(at, ends, "right"), prepend=0)
+
+
+def _marked(n: int, inside: str, last: str) -> np.ndarray:
+    """Decimal ids with the sign that follows them: inside a list, and at its end."""
+    out = np.empty((n, 2), object)
+    out[:, 0], out[:, 1] = [f"{i}{inside}" for i in range(n)], [f"{i}{last}" for i in range(n)]
+    return out
 
 
 def _align(path_a: str, path_b: str, text_col: str, want: tuple[str, ...]):
@@ -301,8 +297,8 @@ def _column(table: PairTable, name: str, rows: list[np.ndarray]) -> pa.Array:
     if name in counted:
         return pa.array([int(counted[name].sizes(r).sum()) for r in rows], pa.int64())
     if name == "groups_sha256":
-        texts = [";".join(map(table.digests.__getitem__, r.tolist())) for r in rows]
-        return pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], pa.string())
+        texts = ["".join(map(table.digests.__getitem__, r.tolist())) for r in rows]
+        return pa.array([hashlib.sha256(t[:-1].encode()).hexdigest() if t else "" for t in texts], pa.string())
     held = {
         "links": table.links,
         "a_ids": table.a_ids,
