@@ -306,9 +306,15 @@ def test_passages_of_fifty_words_go():
             d = front[i] + passage + back[i]
             ends = chunk_dedup.cuts(np.frombuffer(d, np.uint8), np.array([0, len(d)]))[0]
             held.append([(a, b, d[a:b]) for a, b in zip([0, *ends], ends)])
-        seen = {x for _, _, x in held[0]}
-        again = [(a, b) for a, b, x in held[1] if x in seen]
-        gone = chunk_dedup.runs(np.array([a for a, _ in again]), np.array([b - a for a, b in again]), chunk_dedup.MIN_RUN) if again else []
+        # One run for each repeated chunk, with what stands beside its first occurrence.
+        d, seen, found = front[0] + passage + back[0], {}, []
+        for a, b, x in held[0]:
+            seen.setdefault(x, (a, b))
+        for a, b, x in held[1]:
+            if x in seen:
+                i, j = seen[x]
+                found.append((a, b, d[max(i - chunk_dedup.REACH, 0) : i], d[j : j + chunk_dedup.REACH]))
+        gone = chunk_dedup.lengthened(front[1] + passage + back[1], found, chunk_dedup.MIN_RUN)
         lost.append(sum(b - a for a, b in gone) / len(passage))
     assert min(lost) > 0.5 and sum(lost) / len(lost) > 0.85
 

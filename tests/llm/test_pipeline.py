@@ -85,6 +85,7 @@ def plain_chunks(data):
 
 
 def plain_cut(rows):
+    """Runs of later chunks, grown byte by byte beside the first occurrences of their outermost chunks."""
     first = {}
     cut = {r[0]: (r[1].encode(), plain_chunks(r[1].encode())) for r in rows}
     for i in sorted(cut):
@@ -93,17 +94,38 @@ def plain_cut(rows):
     out = []
     for r in rows:
         data, chunks = cut[r[0]]
-        gone, run = [], []
+        gone, run = set(), []
         for a, b in [*chunks, (None, None)]:
             if a is not None and first[data[a:b]] != (r[0], a):
                 run.append((a, b))
                 continue
-            if run and run[-1][1] - run[0][0] >= chunk_dedup.MIN_RUN:
-                gone.append((run[0][0], run[-1][1]))
+            if run:
+                lo, hi = run[0][0], run[-1][1]
+                other, at = first[data[slice(*run[0])]]
+                n = 0
+                while n < min(chunk_dedup.REACH, lo, at) and data[lo - n - 1] == cut[other][0][at - n - 1]:
+                    n += 1
+                other, at = first[data[slice(*run[-1])]]
+                at += run[-1][1] - run[-1][0]
+                m = 0
+                while m < min(chunk_dedup.REACH, len(data) - hi, len(cut[other][0]) - at) and data[hi + m] == cut[other][0][at + m]:
+                    m += 1
+                lo, hi = lo - n, hi + m
+                while data[lo] & 0xC0 == 0x80:
+                    lo += 1
+                while hi < len(data) and data[hi] & 0xC0 == 0x80:
+                    hi -= 1
+                gone.update(range(lo, hi))
             run = []
-        for a, b in reversed(gone):
-            data = data[:a] + data[b:]
-        text = data.decode()
+        left, kept = 0, []
+        while left < len(data):
+            right = left
+            while right < len(data) and (right in gone) == (left in gone):
+                right += 1
+            if left not in gone or right - left < chunk_dedup.MIN_RUN:
+                kept.append(data[left:right])
+            left = right
+        text = b"".join(kept).decode()
         out.append((r[0], text, r[2], r[3], len(text)))
     return out
 
@@ -157,3 +179,20 @@ def test_stages_on_nothing(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_rows_are_told_apart(spark):
+    one, other, last = (prose(s, 80) for s in (1, 2, 3))
+    rows = [
+        (1, one, "en", "s", 1),
+        (1, one, "en", "s", 1),
+        (3, one + " tail", "en", "s", 1),
+        (3, other, "en", "s", 1),
+        (None, last, "en", "s", 1),
+        (None, last, "de", "s", 1),
+        (None, other, "en", "s", 1),
+        (9, last + " tail", "en", "s", 1),
+        (None, None, None, None, None),
+    ]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, one), (None, other), (None, last), (None, None)])

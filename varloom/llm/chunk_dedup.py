@@ -6,6 +6,12 @@ on the last 16 bytes only and find their places again after an insertion. Chunks
 neighbouring repeated chunks make a run of at least ``min_run`` bytes, so stock phrases that chance
 repeats are left alone. Cuts fall between characters, so what is left is valid text.
 
+A passage rarely begins and ends with a chunk. Each run is therefore lengthened byte by byte at both
+ends, as long as its neighbours are those of the first occurrences of its outermost chunks; for that
+the ``REACH`` bytes beside these occurrences travel, once for each place and one row for each end of a
+run. Every removed byte has an equal one at a smaller (id, text hash, offset), so what is removed
+somewhere stands somewhere else.
+
 Defined cases: null text counts as empty and stays null; an empty text has no chunk. Null ids sort
 first. Rows that repeat id and text are one document here and get the same answer. Further columns
 are carried along; those named like the outputs are replaced.
@@ -17,17 +23,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from varloom.llm.common import keyed, spans, stored, text_bytes
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Three bits that the last 14 to 16 bytes decide: chunks of 16 bytes on average, so that what the ends of a
-#: passage lose to their neighbours leaves more than ``MIN_RUN`` of one of fifty words.
-MASK = np.uint32(0xE000)
-SHORTEST, LONGEST = 8, 256
+#: Four bits that the last 13 to 16 bytes decide: chunks of 31 bytes on average, so that a passage of fifty
+#: words holds a whole one (none of 2,000 random ones did not; with 45 bytes three did not).
+MASK = np.uint32(0xF000)
+SHORTEST, LONGEST = 16, 256
+#: Bytes beside a run that are compared: an end can lie a whole chunk, and what it skips, inside a passage.
+REACH = LONGEST + 64
 MIN_RUN = 120
+#: Bits of the filter of digests that come back, 8 MB. Where it is full the join alone sorts out the rest.
+FILTER_BITS = 26
+#: Places beside first occurrences that may be broadcast, about 50 bytes each.
+MOST_PLACES = 400_000
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "n_repeated")
 
 
@@ -69,51 +81,131 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _chunk_rows(batches):
+def _digests(batches):
+    """First half of every chunk's digest."""
+    for _, _, _, _, names in _chunks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0]))], ["d1"])
+
+
+def _chunk_rows(words):
+    """Chunks whose half digest passes the filter, with their places."""
+
+    def run(batches):
+        filled = words.value
+        for batch, row, start, size, names in _chunks(batches):
+            bit = names[:, 0] & ((1 << FILTER_BITS) - 1)
+            kept = np.flatnonzero((filled[bit >> 6] >> (bit & 63)) & 1)
+            rows = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pc.take(batch.column("_id"), rows),
+                    pc.take(batch.column("_k2"), rows),
+                    pa.array(names[kept, 0]),
+                    pa.array(names[kept, 1]),
+                    pa.array(start[kept].astype(np.int32)),
+                    pa.array(size[kept].astype(np.int32)),
+                ],
+                ["_id", "_k2", "d1", "d2", "start", "size"],
+            )
+
+    return run
+
+
+def _chunks(batches):
+    """(batch, row of the batch, start in the text, size, digest as two numbers) of all chunks."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("_text"))
         for i, j in spans(offsets):
             part = data[offsets[i] : offsets[j]]
-            ends = cuts(part, offsets[i : j + 1] - offsets[i])
+            edges = offsets[i : j + 1] - offsets[i]
+            ends = cuts(part, edges)
             counts = np.array([len(e) for e in ends], np.int64)
             stop = np.array([x for e in ends for x in e], np.int64)
             if not len(stop):
                 continue
             row = np.repeat(np.arange(i, j), counts)
-            base = (offsets[i:j] - offsets[i])[row - i]
+            base = edges[row - i]
             start = np.empty_like(stop)
             start[1:] = stop[:-1]
-            start[np.cumsum(counts)[counts > 0] - counts[counts > 0]] = (offsets[i:j] - offsets[i])[counts > 0]
+            start[np.cumsum(counts)[counts > 0] - counts[counts > 0]] = edges[:-1][counts > 0]
             view = memoryview(part.tobytes())
             digest = xxhash.xxh3_128_digest
             names = np.frombuffer(
                 b"".join([digest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist())]), np.int64
             ).reshape(-1, 2)
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pc.take(batch.column("_id"), rows),
-                    pc.take(batch.column("_k2"), rows),
-                    pa.array(np.ascontiguousarray(names[:, 0])),
-                    pa.array(np.ascontiguousarray(names[:, 1])),
-                    pa.array((start - base).astype(np.int32)),
-                    pa.array((stop - start).astype(np.int32)),
-                ],
-                ["_id", "_k2", "d1", "d2", "start", "size"],
-            )
+            yield batch, row, start - base, stop - start, names
+
+
+def repeated_filter(again: DataFrame) -> np.ndarray:
+    """Bits of all repeated half digests, put together in Spark; its size is fixed."""
+    bit = F.col("d1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = again.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(d1 & 63 as int))")).alias("bits")
+    )
+    table = words.toArrow()
+    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    filled[np.asarray(table.column("word"), np.int64)] = np.asarray(table.column("bits"), np.int64)
+    return filled
+
+
+def shared_end(a: bytes, b: bytes) -> int:
+    """Length of the longest common suffix."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    x, y = np.frombuffer(a, np.uint8)[-n:][::-1], np.frombuffer(b, np.uint8)[-n:][::-1]
+    unlike = np.flatnonzero(x != y)
+    return int(unlike[0]) if len(unlike) else n
+
+
+def shared_start(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    return shared_end(a[::-1], b[::-1])
+
 
+def lengthened(text: bytes, found: list[tuple[int, int, bytes, bytes]], min_run: int) -> list[tuple[int, int]]:
+    """Ranges to remove: runs (start, end, bytes before and behind the first occurrence), merged."""
+    out: list[list[int]] = []
+    for start, end, before, behind in sorted(found):
+        start -= shared_end(text[max(start - REACH, 0) : start], before)
+        end += shared_start(text[end : end + REACH], behind)
+        # Neighbours may agree in a part of a character only.
+        while start < end and (text[start] & 0xC0) == 0x80:
+            start += 1
+        while start < end < len(text) and (text[end] & 0xC0) == 0x80:
+            end -= 1
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return [(a, b) for a, b in out if b - a >= min_run]
 
-def runs(starts: np.ndarray, sizes: np.ndarray, min_run: int) -> list[tuple[int, int]]:
-    """Ranges of touching chunks with at least ``min_run`` bytes."""
-    order = np.argsort(starts, kind="stable")
-    starts, sizes = starts[order], sizes[order]
-    new = np.ones(len(starts), bool)
-    new[1:] = starts[1:] != starts[:-1] + sizes[:-1]
-    at = np.flatnonzero(new)
-    lo = starts[at]
-    last = np.append(at[1:], len(starts)) - 1
-    hi = starts[last] + sizes[last]
-    return [(int(a), int(b)) for a, b in zip(lo, hi) if b - a >= min_run]
+
+def _beside(batches):
+    """The bytes before or behind the places that runs ask for."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("_text"))
+        view = memoryview(data)
+        rows, at, left, near = [], [], [], []
+        for i, asked in enumerate(batch.column("_asked").to_pylist()):
+            lo, hi = int(offsets[i]), int(offsets[i + 1])
+            for place in asked:
+                p = lo + place["at"]
+                rows.append(i)
+                at.append(place["at"])
+                left.append(place["left"])
+                near.append(bytes(view[max(p - REACH, lo) : p] if place["left"] else view[p : min(p + REACH, hi)]))
+        taken = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pc.take(batch.column("_k1"), taken),
+                pc.take(batch.column("_k2"), taken),
+                pa.array(at, pa.int32()),
+                pa.array(left, pa.bool_()),
+                pa.array(near, pa.binary()),
+            ],
+            ["f1", "f2", "at", "left", "near"],
+        )
 
 
 def _cut_out(min_run: int):
@@ -121,21 +213,19 @@ def _cut_out(min_run: int):
         for batch in batches:
             source = batch.column("_text")
             data, offsets = text_bytes(source)
-            marks = batch.column("_marks")
+            found = batch.column("_runs").to_pylist()
             texts, counts = [], []
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                gone, repeated = [], 0
-                if marks[i].is_valid:
-                    pairs = sorted({(m["start"], m["size"]) for m in marks[i].as_py()})
-                    repeated = len(pairs)
-                    gone = runs(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), min_run)
+                text = data[lo:hi].tobytes()
+                marks = found[i] or []
+                gone = lengthened(text, [(m["start"], m["end"], m["before"], m["behind"]) for m in marks], min_run)
                 body, at = [], 0
                 for a, b in gone:
-                    body.append(data[lo + at : lo + a].tobytes())
+                    body.append(text[at:a])
                     at = b
-                body.append(data[lo + at : hi].tobytes())
+                body.append(text[at:])
                 texts.append(b"".join(body).decode() if source[i].is_valid else None)
-                counts.append((hi - lo, sum(b - a for a, b in gone), len(gone), repeated))
+                counts.append((hi - lo, sum(b - a for a, b in gone), len(gone), sum(m["chunks"] for m in marks)))
             columns = list(zip(*counts)) if counts else [[]] * len(OUTPUTS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_row"), pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in columns]],
@@ -161,24 +251,84 @@ def remove_repeats(
         "_text",
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    chunks = base.select("_id", "_k2", "_text").mapInArrow(
-        _chunk_rows, f"_id {kind}, _k2 long, d1 long, d2 long, start int, size int"
-    )
-    # Only digests that come back travel on; a copy group meets in one count, not in one task. Half a
-    # digest is enough to sort out the rest: who shares only that half is its own first below.
-    again = chunks.groupBy("d1").count().filter("count > 1").select("d1")
+    texts = base.select("_id", "_k2", "_text")
+    # Only digests that come back travel on with their places; a copy group meets in one count, not in one
+    # task. Half a digest is enough to sort out the rest: who shares only that half is its own first below.
+    digests = texts.select("_text").mapInArrow(_digests, "d1 long")
+    again = stored(digests.groupBy("d1").count().filter("count > 1").select("d1"), "repeated-digests")
+    words = docs.sparkSession.sparkContext.broadcast(repeated_filter(again))
+    chunks = texts.mapInArrow(_chunk_rows(words), f"_id {kind}, _k2 long, d1 long, d2 long, start int, size int")
     hits = stored(chunks.join(again, "d1"), "repeated-chunks")
     firsts = hits.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_k2", "start")).alias("first"))
-    later = hits.join(firsts, ["d1", "d2"]).filter(~F.struct("_id", "_k2", "start").eqNullSafe(F.col("first")))
-    marks = (
-        later.withColumn("_k1", F.xxhash64("_id"))
+    later = (
+        hits.join(firsts, ["d1", "d2"])
+        .filter(~F.struct("_id", "_k2", "start").eqNullSafe(F.col("first")))
+        .select(
+            F.xxhash64("_id").alias("_k1"),
+            "_k2",
+            "start",
+            (F.col("start") + F.col("size")).alias("end"),
+            F.xxhash64("first._id").alias("f1"),
+            F.col("first._k2").alias("f2"),
+            F.col("first.start").alias("f_start"),
+        )
+        .dropDuplicates(["_k1", "_k2", "start"])
+    )
+    # Touching chunks of a document are a run; its ends follow their own first occurrences.
+    along = W.partitionBy("_k1", "_k2").orderBy("start")
+    first, last = F.struct("f1", "f2", F.col("f_start").alias("at")), F.struct(
+        "f1", "f2", (F.col("f_start") + F.col("end") - F.col("start")).alias("at")
+    )
+    found = stored(
+        later.withColumn("new", F.when(F.col("start") == F.lag("end").over(along), 0).otherwise(1))
+        .withColumn("run", F.sum("new").over(along))
+        .groupBy("_k1", "_k2", "run")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.count("*").alias("chunks"),
+            F.min_by(first, "start").alias("first"),
+            F.max_by(last, "start").alias("last"),
+        ),
+        "repeated-runs",
+    )
+    ends = found.select(
+        "_k1",
+        "_k2",
+        "start",
+        "end",
+        "chunks",
+        F.explode(
+            F.array(F.struct(F.lit(True).alias("left"), "first.*"), F.struct(F.lit(False).alias("left"), "last.*"))
+        ).alias("side"),
+    ).select("_k1", "_k2", "start", "end", "chunks", "side.*")
+    asked = stored(
+        ends.groupBy(F.col("f1").alias("_k1"), F.col("f2").alias("_k2"))
+        .agg(F.collect_set(F.struct("at", "left")).alias("_asked")),
+        "asked-places",
+    )
+    places = asked.agg(F.coalesce(F.sum(F.size("_asked")), F.lit(0))).first()[0]
+    beside = (
+        base.select("_k1", "_k2", "_text")
+        .join(F.broadcast(asked) if places <= MOST_PLACES else asked, ["_k1", "_k2"])
+        .select("_k1", "_k2", "_text", "_asked")
+        .mapInArrow(_beside, "f1 long, f2 long, at int, left boolean, near binary")
+        .dropDuplicates(["f1", "f2", "at", "left"])
+    )
+    runs = (
+        ends.join(beside, ["f1", "f2", "at", "left"])
+        .groupBy("_k1", "_k2", "start", "end", "chunks")
+        .agg(
+            F.max(F.when(F.col("left"), F.col("near"))).alias("before"),
+            F.max(F.when(~F.col("left"), F.col("near"))).alias("behind"),
+        )
         .groupBy("_k1", "_k2")
-        .agg(F.collect_set(F.struct("start", "size")).alias("_marks"))
+        .agg(F.collect_list(F.struct("start", "end", "chunks", "before", "behind")).alias("_runs"))
     )
     made = StructType([base.schema["_row"], StructField("_text", StringType())])
     for name in OUTPUTS:
         made.add(name, LongType())
-    cut = base.join(marks, ["_k1", "_k2"], "left").select("_row", "_text", "_marks").mapInArrow(_cut_out(min_run), made)
+    cut = base.join(runs, ["_k1", "_k2"], "left").select("_row", "_text", "_runs").mapInArrow(_cut_out(min_run), made)
     return cut.select(
         *[F.col("_text").alias(text_col) if f.name == text_col else F.col(f"_row.`{f.name}`") for f in carried], *OUTPUTS
     )
