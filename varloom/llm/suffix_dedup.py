@@ -420,11 +420,9 @@ def _cut(length: int, id_col: str):
 
 
 def _hot(open_: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """Keys whose different contexts hold more than ``shard_bytes``."""
+    """Keys whose different contexts hold more than ``shard_bytes``; copies are combined before the shuffle."""
+    apart = open_.groupBy("key", "content").agg(F.first("n").alias("n"))
     size = F.sum(F.col("n") + length - 1)
-    # With copies first, as this count combines before the shuffle; only what is large then is made distinct.
-    large = open_.groupBy("key").agg(size.alias("b")).filter(F.col("b") > shard_bytes).select("key")
-    apart = open_.join(large, "key", "left_semi").groupBy("key", "content").agg(F.first("n").alias("n"))
     return apart.groupBy("key").agg(size.alias("b")).filter(F.col("b") > shard_bytes).select("key")
 
 
@@ -438,11 +436,11 @@ def open_contexts(texts: DataFrame, length: int, gram: int, shard_bytes: int) ->
         hot = stored(_hot(open_, length, shard_bytes), "hot-anchors")
         if not hot.head(1):
             break
-        fitting.append(open_.join(F.broadcast(hot), "key", "left_anti"))
+        fitting.append(open_.join(hot, "key", "left_anti"))
         bits = max(bits - 2, 0)
         # One row a document; rows that repeat id and text give the same set once each.
         listed = (
-            open_.join(F.broadcast(hot), "key", "left_semi")
+            open_.join(hot, "key", "left_semi")
             .groupBy("_k1", "_k2")
             .agg(F.collect_set(F.struct("start", "n", "ahead", "key")).alias("_contexts"))
         )
