@@ -1,7 +1,14 @@
 """Corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept. All
-stages but the last return the columns of ``documents``.
+stages but the last return the columns of ``documents``; further columns are left out.
+
+Defined cases: a null or empty text has too few words and goes in the first stage; stages called on
+such rows by themselves keep them. Null languages and sources are values like others. Ids need not
+be unique or set: near-duplicates are found between rows, each of which has a key of its own, so of
+equal rows one stays, and rows that share an id, or have none, are told apart. The row with the
+smallest id (null first) stays of each group. Mixing repeats a row under its id. An empty table
+passes through all stages as an empty table.
 """
 
 from __future__ import annotations
@@ -21,10 +28,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on five-word shingles at 0.8."""
-    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    # A null id cannot be told apart from another one; such rows stay.
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """One row of each group of near-duplicates on five-word shingles at 0.8."""
+    # Written with their numbers, so that each row is the same one in every later read.
+    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    keyed = rows.select(F.struct("doc_id", "row").alias("key"), "text")
+    kept = minhash.near_duplicates(keyed, id_col="key", words=5, percent=80).filter("kept").select("key.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
