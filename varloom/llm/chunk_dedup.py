@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from varloom.llm.common import keyed, spans, stored, text_bytes
 
@@ -38,8 +39,6 @@ REACH = LONGEST + 64
 MIN_RUN = 120
 #: Bits of the filter of digests that come back, 8 MB. Where it is full the join alone sorts out the rest.
 FILTER_BITS = 26
-#: Places beside first occurrences that may be broadcast, about 50 bytes each.
-MOST_PLACES = 400_000
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "n_repeated")
 
 
@@ -83,7 +82,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
 
 def _digests(batches):
     """First half of every chunk's digest."""
-    for _, _, _, _, names in _chunks(batches):
+    for *_, names in _chunks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0]))], ["d1"])
 
 
@@ -92,7 +91,7 @@ def _chunk_rows(words):
 
     def run(batches):
         filled = words.value
-        for batch, row, start, size, names in _chunks(batches):
+        for batch, row, start, size, edge, names in _chunks(batches):
             bit = names[:, 0] & ((1 << FILTER_BITS) - 1)
             kept = np.flatnonzero((filled[bit >> 6] >> (bit & 63)) & 1)
             rows = pa.array(row[kept])
@@ -104,15 +103,19 @@ def _chunk_rows(words):
                     pa.array(names[kept, 1]),
                     pa.array(start[kept].astype(np.int32)),
                     pa.array(size[kept].astype(np.int32)),
+                    pa.array(edge[kept]),
                 ],
-                ["_id", "_k2", "d1", "d2", "start", "size"],
+                ["_id", "_k2", "d1", "d2", "start", "size", "edge"],
             )
 
     return run
 
 
 def _chunks(batches):
-    """(batch, row of the batch, start in the text, size, digest as two numbers) of all chunks."""
+    """(batch, row of the batch, start in the text, size, edge, digest as two numbers) of all chunks.
+
+    ``edge`` is 1 for a text's first chunk, 2 for its last and 3 for its only one.
+    """
     for batch in batches:
         data, offsets = text_bytes(batch.column("_text"))
         for i, j in spans(offsets):
@@ -133,7 +136,8 @@ def _chunks(batches):
             names = np.frombuffer(
                 b"".join([digest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist())]), np.int64
             ).reshape(-1, 2)
-            yield batch, row, start - base, stop - start, names
+            edge = ((start == base) + 2 * (stop == edges[row - i + 1])).astype(np.int8)
+            yield batch, row, start - base, stop - start, edge, names
 
 
 def repeated_filter(again: DataFrame) -> np.ndarray:
@@ -181,20 +185,28 @@ def lengthened(text: bytes, found: list[tuple[int, int, bytes, bytes]], min_run:
     return [(a, b) for a, b in out if b - a >= min_run]
 
 
+def _packed(batches):
+    """Texts compressed one by one: they are shuffled twice."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = [None if t is None else pack(t.encode()) for t in batch.column("_text").to_pylist()]
+        at = batch.schema.get_field_index("_text")
+        yield batch.set_column(at, "_text", pa.array(texts, pa.binary()))
+
+
 def _beside(batches):
     """The bytes before or behind the places that runs ask for."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        data, offsets = text_bytes(batch.column("_text"))
-        view = memoryview(data)
         rows, at, left, near = [], [], [], []
-        for i, asked in enumerate(batch.column("_asked").to_pylist()):
-            lo, hi = int(offsets[i]), int(offsets[i + 1])
+        for i, (packed, asked) in enumerate(zip(batch.column("_text"), batch.column("_asked").to_pylist())):
+            text = unpack(packed.as_py())
             for place in asked:
-                p = lo + place["at"]
+                p = place["at"]
                 rows.append(i)
-                at.append(place["at"])
+                at.append(p)
                 left.append(place["left"])
-                near.append(bytes(view[max(p - REACH, lo) : p] if place["left"] else view[p : min(p + REACH, hi)]))
+                near.append(text[max(p - REACH, 0) : p] if place["left"] else text[p : p + REACH])
         taken = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
@@ -210,27 +222,27 @@ def _beside(batches):
 
 def _cut_out(min_run: int):
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            source = batch.column("_text")
-            data, offsets = text_bytes(source)
-            found = batch.column("_runs").to_pylist()
-            texts, counts = [], []
-            for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                text = data[lo:hi].tobytes()
-                marks = found[i] or []
-                gone = lengthened(text, [(m["start"], m["end"], m["before"], m["behind"]) for m in marks], min_run)
-                body, at = [], 0
-                for a, b in gone:
-                    body.append(text[at:a])
-                    at = b
-                body.append(text[at:])
-                texts.append(b"".join(body).decode() if source[i].is_valid else None)
-                counts.append((hi - lo, sum(b - a for a, b in gone), len(gone), sum(m["chunks"] for m in marks)))
-            columns = list(zip(*counts)) if counts else [[]] * len(OUTPUTS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in columns]],
-                ["_row", "_text", *OUTPUTS],
-            )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, counts = [], []
+                for packed, marks in zip(part.column("_text"), part.column("_runs").to_pylist()):
+                    text = unpack(packed.as_py()) if packed.is_valid else b""
+                    marks = marks or []
+                    found = [(m["start"], m["end"], m["before"] or b"", m["behind"] or b"") for m in marks]
+                    gone = lengthened(text, found, min_run)
+                    body, end = [], 0
+                    for a, b in gone:
+                        body.append(text[end:a])
+                        end = b
+                    body.append(text[end:])
+                    texts.append(b"".join(body).decode() if packed.is_valid else None)
+                    counts.append((len(text), sum(b - a for a, b in gone), len(gone), sum(m["chunks"] for m in marks)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_row"), pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in zip(*counts)]],
+                    ["_row", "_text", *OUTPUTS],
+                )
 
     return run
 
@@ -240,12 +252,13 @@ def remove_repeats(
 ) -> DataFrame:
     """``docs`` with repeated runs cut out of the text, and the columns of ``OUTPUTS``."""
     # Carried columns wait in a struct, so that none of their names can clash with a helper.
-    carried = [f for f in docs.schema if f.name not in OUTPUTS]
+    named = [f for f in docs.schema if f.name not in OUTPUTS]
+    carried = [f for f in named if f.name != text_col]
     base = keyed(
         docs.select(
             F.struct(*[F.col(f"`{f.name}`") for f in carried]).alias("_row"),
-            F.col(id_col).alias("_id"),
-            F.col(text_col).alias("_text"),
+            F.col(f"`{id_col}`").alias("_id"),
+            F.col(f"`{text_col}`").alias("_text"),
         ),
         "_id",
         "_text",
@@ -257,7 +270,7 @@ def remove_repeats(
     digests = texts.select("_text").mapInArrow(_digests, "d1 long")
     again = stored(digests.groupBy("d1").count().filter("count > 1").select("d1"), "repeated-digests")
     words = docs.sparkSession.sparkContext.broadcast(repeated_filter(again))
-    chunks = texts.mapInArrow(_chunk_rows(words), f"_id {kind}, _k2 long, d1 long, d2 long, start int, size int")
+    chunks = texts.mapInArrow(_chunk_rows(words), f"_id {kind}, _k2 long, d1 long, d2 long, start int, size int, edge byte")
     hits = stored(chunks.join(again, "d1"), "repeated-chunks")
     firsts = hits.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_k2", "start")).alias("first"))
     later = (
@@ -268,6 +281,7 @@ def remove_repeats(
             "_k2",
             "start",
             (F.col("start") + F.col("size")).alias("end"),
+            "edge",
             F.xxhash64("first._id").alias("f1"),
             F.col("first._k2").alias("f2"),
             F.col("first.start").alias("f_start"),
@@ -289,35 +303,38 @@ def remove_repeats(
             F.count("*").alias("chunks"),
             F.min_by(first, "start").alias("first"),
             F.max_by(last, "start").alias("last"),
+            F.bit_or("edge").alias("edge"),
         ),
         "repeated-runs",
     )
-    ends = found.select(
-        "_k1",
-        "_k2",
-        "start",
-        "end",
-        "chunks",
-        F.explode(
-            F.array(F.struct(F.lit(True).alias("left"), "first.*"), F.struct(F.lit(False).alias("left"), "last.*"))
-        ).alias("side"),
-    ).select("_k1", "_k2", "start", "end", "chunks", "side.*")
-    asked = stored(
-        ends.groupBy(F.col("f1").alias("_k1"), F.col("f2").alias("_k2"))
-        .agg(F.collect_set(F.struct("at", "left")).alias("_asked")),
-        "asked-places",
+    # Nothing stands before a run at the start of its text, nor behind one at its end.
+    sides = F.array(
+        F.struct(F.lit(True).alias("left"), (F.col("edge").bitwiseAND(F.lit(1)) == 0).alias("open"), "first.*"),
+        F.struct(F.lit(False).alias("left"), (F.col("edge").bitwiseAND(F.lit(2)) == 0).alias("open"), "last.*"),
+    )
+    ends = found.select("_k1", "_k2", "start", "end", "chunks", F.explode(sides).alias("side"))
+    ends = ends.select("_k1", "_k2", "start", "end", "chunks", "side.*")
+    open_ends = ends.filter("open")
+    asked = (
+        open_ends.groupBy(F.col("f1").alias("_k1"), F.col("f2").alias("_k2"))
+        .agg(F.collect_set(F.struct("at", "left")).alias("_asked"))
     )
-    places = asked.agg(F.coalesce(F.sum(F.size("_asked")), F.lit(0))).first()[0]
+    packed = base.select("_k1", "_k2", "_row", "_text")
+    kinds = StructType([StructField(f.name, BinaryType()) if f.name == "_text" else f for f in packed.schema])
+    packed = packed.mapInArrow(_packed, kinds)
     beside = (
-        base.select("_k1", "_k2", "_text")
-        .join(F.broadcast(asked) if places <= MOST_PLACES else asked, ["_k1", "_k2"])
-        .select("_k1", "_k2", "_text", "_asked")
+        packed.select("_k1", "_k2", "_text")
+        .filter("_text is not null")
+        .join(asked, ["_k1", "_k2"])
         .mapInArrow(_beside, "f1 long, f2 long, at int, left boolean, near binary")
         .dropDuplicates(["f1", "f2", "at", "left"])
     )
+    one = ["_k1", "_k2", "start", "end", "chunks"]
+    with_text = open_ends.join(beside, ["f1", "f2", "at", "left"]).select(*one, "left", "near")
+    closed = ends.filter("not open").select(*one, "left", F.lit(None).cast("binary").alias("near"))
     runs = (
-        ends.join(beside, ["f1", "f2", "at", "left"])
-        .groupBy("_k1", "_k2", "start", "end", "chunks")
+        with_text.unionByName(closed)
+        .groupBy(*one)
         .agg(
             F.max(F.when(F.col("left"), F.col("near"))).alias("before"),
             F.max(F.when(~F.col("left"), F.col("near"))).alias("behind"),
@@ -328,7 +345,7 @@ def remove_repeats(
     made = StructType([base.schema["_row"], StructField("_text", StringType())])
     for name in OUTPUTS:
         made.add(name, LongType())
-    cut = base.join(runs, ["_k1", "_k2"], "left").select("_row", "_text", "_runs").mapInArrow(_cut_out(min_run), made)
+    cut = packed.join(runs, ["_k1", "_k2"], "left").select("_row", "_text", "_runs").mapInArrow(_cut_out(min_run), made)
     return cut.select(
-        *[F.col("_text").alias(text_col) if f.name == text_col else F.col(f"_row.`{f.name}`") for f in carried], *OUTPUTS
+        *[F.col("_text").alias(text_col) if f.name == text_col else F.col(f"_row.`{f.name}`") for f in named], *OUTPUTS
     )
