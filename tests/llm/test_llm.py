@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -462,6 +463,51 @@ def test_toxicity(spark):
 # pages
 
 
+def cover(streams, n=page_text.MIN_TOKENS, pages=page_text.MIN_PAGES):
+    """Covered tokens of all pages of one host, in one suffix array over whole pages."""
+    sizes = np.array([len(s) for s in streams], np.int64)
+    names = {}
+    stream = np.array([names.setdefault(t, len(names)) for s in streams for t in s], np.int64)
+    first = np.zeros(len(stream), bool)
+    starts = np.cumsum(sizes) - sizes
+    for s, at in zip(streams, starts.tolist()):
+        seen = set()
+        for i in range(len(s) - n + 1):
+            first[at + i] = tuple(s[i : i + n]) not in seen
+            seen.add(tuple(s[i : i + n]))
+    found = page_text.repeated_windows(stream, starts, sizes, np.ones(len(sizes), np.int64), first, n, pages)
+    covered = np.zeros(len(stream), bool)
+    for i in np.flatnonzero(found):
+        covered[i : i + n] = True
+    return np.split(covered, np.cumsum(sizes)[:-1])
+
+
+def main_texts(pages):
+    parsed = [page_text.blocks(p or "") for p in pages]
+    covers = cover([[t for text, _ in page for t in text.split(" ")] for page in parsed])
+    return [page_text._kept(page, c) for page, c in zip(parsed, covers)]
+
+
+def test_quotes_open_values_only_behind_an_equals_sign():
+    page = "<article><p data-x=don't>one</p><p>two</p><p data-y=can't>three</p><a title='a>b' it's x=\"q>r\">four</a></article>"
+    assert page_text.blocks(page) == [("one", "main"), ("two", "main"), ("three", "main"), ("four", "main")]
+    start = time.time()
+    assert page_text.blocks("<a " + "=x' " * 20000) and time.time() - start < 5
+
+
+def test_doubtful_parts_of_articles_stay_unless_pages_repeat_them(spark):
+    stock = prose(61, 14)
+    html = [
+        f"<article><p>{prose(i, 20)}</p><p class='legal'>{prose(50 + i, 10)} {stock}</p><div class=related-work>{prose(80 + i, 9)}</div>"
+        f"<div class=comments>{prose(90 + i, 5)}</div></article>"
+        for i in range(5)
+    ]
+    pages = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.extract_text(pages).collect()}
+    for i in range(5):
+        assert got[i] == "\n".join([prose(i, 20), prose(50 + i, 10), prose(80 + i, 9)])
+
+
 def test_page_text():
     pages = [
         "<html><head><title>t</title></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one<br>two <b>th</b>ree"
@@ -473,7 +519,7 @@ def test_page_text():
         "<article><header><h2>Head</h2></header><form>f</form><aside>s</aside><p>body</p></article><p>after</p>",
         '<script>var t="</p>";</script><style>p{}</style><p>shown<!-- hidden --></p>',
     ]
-    got = [t for t, _, _ in page_text.main_texts(pages)]
+    got = [t for t, _, _ in main_texts(pages)]
     assert got == ["A & B\none two three\nfour", "", "", "cut off <", "y", "Head\nbody", "shown"]
 
 
@@ -497,7 +543,7 @@ def test_covered_tokens():
     for _ in range(40):
         streams = [[rng.choice("abc") for _ in range(rng.randrange(30))] for _ in range(rng.randrange(1, 7))]
         for n in (1, 3, 5, 8):
-            got = [c.tolist() for c in page_text.covered_tokens(streams, n, 3)]
+            got = [c.tolist() for c in cover(streams, n, 3)]
             assert got == plain_cover(streams, n, 3)
 
 
@@ -513,18 +559,23 @@ def test_host_text_without_markup_goes(spark):
     assert sum(prose(i, 30) in r["text"] for i in range(12) for r in got) == 12
 
 
-def test_runs_are_counted_over_the_whole_host(spark):
+def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
     # Text on three pages far apart of a large host, next to unique text in the same block.
     stock = prose(60, 12)
     html = [f"<p>{prose(100 + i, 9)}{' ' + stock if i % 250 == 7 else ''}</p>" for i in range(700)]
     html += ["<div>" + prose(70, 20) + "</div>", None, f"<article>{stock}</article>"]
     rows = [(i, "http://h/x", p) for i, p in enumerate(html)] + [(1, "http://other/", f"<p>{stock}</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = [(i, *m) for i, m in enumerate(page_text.main_texts(html))] + [(1, stock, 1, 0)]
+    want = [(i, *m) for i, m in enumerate(main_texts(html))] + [(1, stock, 1, 0)]
     for parts in (2, 9):
         got = page_text.extract_text(pages, parts=parts).collect()
         assert Counter((r["page_id"], r["text"], r["n_blocks"], r["n_covered"]) for r in got) == Counter(want)
     assert sum(w[3] for w in want) == 4 * 12 and want[7][1] == prose(107, 9)
+    # Anchors with many contexts are cut into windows; the answer is the same.
+    monkeypatch.setattr(page_text, "MOST_CONTEXTS", 1)
+    monkeypatch.setattr(page_text, "SHARD_TOKENS", 20)
+    got = page_text.extract_text(pages, parts=3).collect()
+    assert Counter((r["page_id"], r["text"], r["n_blocks"], r["n_covered"]) for r in got) == Counter(want)
 
 
 # search

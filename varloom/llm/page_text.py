@@ -1,14 +1,18 @@
-"""Main text of web pages, with host text repeated on several pages found over the whole host.
-
-Every run of ``MIN_TOKENS`` tokens of a page is named by a 64-bit hash of host and tokens, once a page.
-Pages are counted for each hash, which combines before the shuffle, so a host of any size meets in no
-task. Runs on ``MIN_PAGES`` pages or more go back to their places and cover their tokens; what is left
-are the unique runs. Two different runs would have to share a 64-bit hash to be mistaken.
-
-Markup decides first. Text inside ``article`` or ``main`` is the page's own, even where other pages
-repeat it (copies and quotations are no boilerplate); menus, footers, forms, adverts, comments and
-the like are never. On pages without such a marked part, the text outside of the never-parts stays
-but for the covered tokens.
+"""Main text of web pages: markup decides, and a suffix array over the host's pages where markup is in doubt.
+
+Text inside ``article`` or ``main`` is the page's own, even where other pages repeat it (copies and
+quotations are no boilerplate); menus, footers, forms, adverts, comments and the like are never. Two kinds
+of text are in doubt: parts of an article whose class or id only may name something else (``legal``,
+``related``, ...), and all free text of pages without a marked part. There the runs of tokens that stand
+on ``MIN_PAGES`` pages of the host or more are boilerplate and go; the unique runs stay.
+
+Token streams of a host are not put into one task, however large it is. A window of ``MIN_TOKENS`` tokens
+belongs to the smallest hash of its ``GRAM`` tokens; equal windows share that anchor. Windows side by side
+with one anchor are a context. Only contexts travel whose anchor stands on enough pages, equal ones
+as one row with the number of their pages; where one anchor has many different contexts they are cut
+into their windows, whose own tokens are then the anchor. The tokens of each shard of anchors are
+concatenated and sorted as a suffix array as deep as a window, whose equal neighbours are the repeats. Pages
+count once for a window: a page marks which of its windows it holds for the first time.
 
 Defined cases: null html counts as empty and gives an empty text; a null url belongs to the host
 without a name; unclosed tags and cut-off pages are read as far as they go; repeated page ids are
@@ -30,8 +34,18 @@ from varloom.llm.common import mix, stored
 
 MIN_TOKENS = 8
 MIN_PAGES = 3
-
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Tokens that anchor a window.
+GRAM = 4
+#: Different contexts that an anchor may have before they are cut into windows, and tokens of a shard.
+MOST_CONTEXTS = 20_000
+SHARD_TOKENS = 400_000
+
+#: A quote opens a value only behind an equals sign; elsewhere, and inside a bare value, it is a plain sign.
+TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)|[^>=]++|=)*+)>""",
+    re.S,
+)
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object"}
 NEVER = RAW | set("head nav header footer aside form dialog menu button select canvas audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,34 +55,42 @@ BLOCK = set(
     " h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul aside".split()
 )
 CLOSES_P = BLOCK - {"html", "body"}
-NAMES = re.compile(
-    r"""(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|legal|masthead|menu"""
-    r"""|modal|nav\w*|newsletter|notices?|overlay|pagination|popup|promo\w*|related|replies|reply|share|sharing"""
-    r"""|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])""",
-    re.I,
+def _words(names: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{names})(?:$|[\s_-])", re.I)
+
+
+NAMES = _words(
+    r"ads?|advert\w*|breadcrumbs?|comments?|consent|cookies?|disqus|masthead|menu|modal|nav\w*|newsletter|overlay"
+    r"|pagination|popup|promo\w*|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget"
 )
+#: Names that articles use for parts of their own as well.
+DOUBTFUL = _words(r"banner|footer|legal|notices?|related|reply")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true""", re.I)
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "alertdialog", "menu"}
 
 
-def _is_never(name: str, attributes: str, in_main: bool) -> bool:
+def _verdict(name: str, attributes: str, in_main: bool) -> str | None:
+    """``never``, ``doubt`` or None for an element that says nothing."""
     if name in NEVER:
-        return not (name == "header" and in_main)
+        return None if name == "header" and in_main else "never"
     if name in MAIN or name in ("html", "body") or not attributes:
-        return False
+        return None
+    found = None
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         value = a or b or c
         if key.lower() == "role":
             if value.lower() in ROLES:
-                return True
+                return "never"
         elif NAMES.search(value):
-            return True
-    return bool(HIDDEN.search(attributes))
+            return "never"
+        elif DOUBTFUL.search(value):
+            found = "doubt" if in_main else "never"
+    return "never" if HIDDEN.search(attributes) else found
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """Text blocks in page order with their zone: ``main``, ``never`` or ``free``."""
+    """Text blocks in page order with their zone: ``main``, ``doubt`` inside it, ``never`` or ``free``."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
     stack: list[tuple[str, str]] = []
@@ -117,10 +139,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 continue
             after = zone
             if zone != "never":
-                if _is_never(name, tag[3], zone == "main"):
-                    after = "never"
-                elif name in MAIN:
-                    after = "main"
+                said = _verdict(name, tag[3], zone in ("main", "doubt"))
+                after = said or ("main" if name in MAIN and zone == "free" else zone)
             if after != zone:
                 close()
             stack.append((name, zone))
@@ -134,46 +154,38 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def covered_tokens(streams: list[list[str]], min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
-    """For each page's tokens: whether a run of ``min_tokens`` found on ``min_pages`` pages covers them."""
-    sizes = np.array([len(s) for s in streams])
-    total = int(sizes.sum())
-    if total < min_tokens or len(streams) < min_pages:
-        return [np.zeros(n, bool) for n in sizes]
-    names: dict[str, int] = {}
-    rank = np.fromiter((names.setdefault(t, len(names)) for s in streams for t in s), np.int64, total)
-    page = np.repeat(np.arange(len(streams)), sizes)
-    stop = np.repeat(np.cumsum(sizes), sizes)
+def repeated_windows(
+    tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pages: np.ndarray, first: np.ndarray, min_tokens: int, min_pages: int
+) -> np.ndarray:
+    """Whether the windows that start at each place of a shard's token stream stand on enough pages.
+
+    ``starts`` and ``sizes`` are the contexts in the stream, ``pages`` on how many pages each stands,
+    ``first`` marks the places where these pages hold a window for the first time.
+    """
+    total = len(tokens)
+    stop = np.repeat(starts + sizes, sizes)
     here = np.arange(total)
-    # After each round, equal ranks mean equal runs of ``length`` tokens inside one page.
-    length = 1
+    # Sorting by pairs doubles the depth until suffixes are in order as far as a window goes.
+    rank, length = np.unique(tokens, return_inverse=True)[1], 1
     while length < min_tokens:
         step = min(length, min_tokens - length)
-        ahead = here + step
         inside = here + length + step <= stop
-        second = np.where(inside, rank[np.minimum(ahead, total - 1)], total + here)
-        _, rank = np.unique(rank * (2 * total + 1) + second, return_inverse=True)
+        second = np.where(inside, rank[np.minimum(here + step, total - 1)], total + here)
+        rank = np.unique(rank * (2 * total + 1) + second, return_inverse=True)[1]
         length += step
-    order = np.argsort(rank, kind="stable")
-    sorted_rank, sorted_page = rank[order], page[order]
-    new_run = np.ones(total, bool)
-    new_run[1:] = sorted_rank[1:] != sorted_rank[:-1]
-    new_page = new_run.copy()
-    new_page[1:] |= sorted_page[1:] != sorted_page[:-1]
-    run = np.cumsum(new_run) - 1
-    repeated = np.bincount(run, new_page)[run] >= min_pages
-    marks = np.zeros(total + min_tokens + 1, np.int64)
-    starts = order[repeated]
-    starts = starts[starts + min_tokens <= stop[starts]]
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, starts + min_tokens, -1)
-    covered = np.cumsum(marks)[:total] > 0
-    return np.split(covered, np.cumsum(sizes)[:-1])
+    suffixes = np.argsort(rank, kind="stable")
+    ordered = rank[suffixes]
+    run = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) - 1 if total else ordered
+    weight = np.repeat(pages, sizes) * first
+    count = np.bincount(run, weight[suffixes]) if total else np.zeros(0)
+    out = np.zeros(total, bool)
+    out[suffixes] = count[run] >= min_pages
+    return out & (here + min_tokens <= stop)
 
 
 def _kept(page: list[tuple[str, str]], cover: np.ndarray) -> tuple[str, int, int]:
-    """(text, blocks kept, covered tokens) of a page; free text loses its covered tokens."""
-    marked = any(zone == "main" for _, zone in page)
+    """(text, blocks kept, covered tokens) of a page; text in doubt loses its covered tokens."""
+    marked = any(zone in ("main", "doubt") for _, zone in page)
     kept, at = [], 0
     for text, zone in page:
         words = text.split(" ")
@@ -181,28 +193,37 @@ def _kept(page: list[tuple[str, str]], cover: np.ndarray) -> tuple[str, int, int
         at += len(words)
         if zone == "main":
             kept.append(text)
-        elif zone == "free" and not marked and not gone.all():
+        elif (zone == "doubt" or zone == "free" and not marked) and not gone.all():
             kept.append(" ".join(w for w, g in zip(words, gone) if not g))
     return "\n".join(kept), len(kept), int(cover.sum())
 
 
-def main_texts(pages: list[str | None]) -> list[tuple[str, int, int]]:
-    """(text, blocks kept, covered tokens) of all pages of one host, held in memory."""
-    parsed = [blocks(p or "") for p in pages]
-    covers = covered_tokens([[t for text, _ in page for t in text.split(" ")] for page in parsed])
-    return [_kept(page, cover) for page, cover in zip(parsed, covers)]
+def token_names(tokens: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 
 
-def run_hashes(host: str, tokens: list[str], min_tokens: int = MIN_TOKENS) -> np.ndarray:
-    """Hash of host and tokens of the run that starts at each token, as far as runs are whole."""
-    n = len(tokens) - min_tokens + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    names = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
-    h = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
-    for k in range(min_tokens):
+def hashed_runs(names: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Hash of seed and tokens of each run of ``length`` tokens."""
+    n = max(len(names) - length + 1, 0)
+    h = np.full(n, seed, np.uint64)
+    for k in range(length):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + names[k : k + n])
-    return h.view(np.int64)
+    return h
+
+
+def contexts(names: np.ndarray, host: str, min_tokens: int = MIN_TOKENS, gram: int = GRAM):
+    """(anchor, first window, windows, which windows are new to the page) of all contexts of a page."""
+    n = len(names) - min_tokens + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    grams = hashed_runs(names, gram, xxhash.xxh3_64_intdigest(host))
+    view = np.lib.stride_tricks.sliding_window_view(grams, min_tokens - gram + 1)
+    at = np.arange(n) + view.argmin(1)
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    sizes = np.diff(np.append(starts, n))
+    new = np.zeros(n, bool)
+    new[np.unique(hashed_runs(names, min_tokens, 0), return_index=True)[1]] = True
+    return grams[at[starts]], starts, sizes, new
 
 
 def _parse(batches):
@@ -222,15 +243,136 @@ def _parse(batches):
             )
 
 
-def _runs(batches):
-    """(page, run) of each different run of a page."""
+def _pages(batches):
+    """(page, host, token names, tokens) of each page."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             for key, host, texts in zip(*[part.column(c).to_pylist() for c in ("_page", "_host", "_texts")]):
-                made = np.unique(run_hashes(host, [t for text in texts for t in text.split(" ")]))
-                if len(made):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), key)), pa.array(made)], ["_page", "run"])
+                tokens = [t for text in texts for t in text.split(" ")]
+                yield key, host, token_names(tokens), tokens
+
+
+def _anchors(batches):
+    """Each anchor of a page, once."""
+    for _, host, names, _ in _pages(batches):
+        made = np.unique(contexts(names, host)[0])
+        if len(made):
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], ["anchor"])
+
+
+def _context_rows(batches):
+    for page, host, names, tokens in _pages(batches):
+        anchor, starts, sizes, new = contexts(names, host)
+        if not len(anchor):
+            continue
+        ends = (starts + sizes + MIN_TOKENS - 1).tolist()
+        body = [" ".join(tokens[a:b]) for a, b in zip(starts.tolist(), ends)]
+        flags = ["".join(map(str, new[a : a + n].astype(int))) for a, n in zip(starts.tolist(), sizes.tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(starts), page)),
+                pa.array(anchor.view(np.int64)),
+                pa.array(starts.astype(np.int32)),
+                pa.array(body, pa.string()),
+                pa.array(flags, pa.string()),
+            ],
+            ["_page", "anchor", "start", "body", "new"],
+        )
+
+
+def _shards(batches):
+    """Repeated windows of each context, as 0 and 1; rows come in order of their anchors."""
+    held, n_tokens, last = [], 0, None
+
+    def solved():
+        bodies = [row[1].split(" ") for row in held]
+        sizes = np.array(list(map(len, bodies)), np.int64)
+        names: dict[str, int] = {}
+        stream = np.fromiter((names.setdefault(t, len(names)) for b in bodies for t in b), np.int64, int(sizes.sum()))
+        # Contexts of different anchors never hold equal windows, as each window has one anchor.
+        first = np.concatenate([np.array([f == "1" for f in row[2]] + [False] * (MIN_TOKENS - 1)) for row in held])
+        pages = np.array([row[3] for row in held], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        found = repeated_windows(stream, starts, sizes, pages, first, MIN_TOKENS, MIN_PAGES)
+        bits = ["".join("1" if x else "0" for x in found[a : a + n - MIN_TOKENS + 1]) for a, n in zip(starts, sizes)]
+        some = [i for i, b in enumerate(bits) if "1" in b]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([held[i][0] for i in some], pa.int64()),
+                pa.array([held[i][1] for i in some], pa.string()),
+                pa.array([held[i][2] for i in some], pa.string()),
+                pa.array([bits[i] for i in some], pa.string()),
+            ],
+            ["anchor", "body", "new", "repeated"],
+        )
+
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "body", "new", "pages")]):
+            if n_tokens > SHARD_TOKENS and row[0] != last:
+                yield solved()
+                held, n_tokens = [], 0
+            held.append(row)
+            n_tokens += row[1].count(" ") + 1
+            last = row[0]
+    if held:
+        yield solved()
+
+
+def _windows(batches):
+    """Contexts cut into windows; a window's own tokens and its anchor, which knows the host, are the new anchor."""
+    for batch in batches:
+        rows = []
+        columns = [batch.column(c).to_pylist() for c in ("_page", "anchor", "start", "body", "new")]
+        for page, anchor, start, body, new in zip(*columns):
+            tokens = body.split(" ")
+            for k, flag in enumerate(new):
+                text = " ".join(tokens[k : k + MIN_TOKENS])
+                name = xxhash.xxh3_64_intdigest(text, seed=anchor & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                rows.append((page, name, start + k, text, flag))
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["_page", "anchor", "start", "body", "new"]
+        )
+
+
+_NAMES = ["_page", "anchor", "start", "body", "new"]
+_CONTEXT = "_page long, anchor long, start int, body string, new string"
+
+
+def covered_places(parsed: DataFrame) -> DataFrame:
+    """(_page, _repeated): starts of the windows of a page that enough pages of its host hold."""
+    texts = parsed.select("_page", "_host", "_texts")
+    anchors = texts.mapInArrow(_anchors, "anchor long")
+    often = anchors.groupBy("anchor").count().filter(F.col("count") >= MIN_PAGES).select("anchor")
+    open_ = stored(texts.mapInArrow(_context_rows, _CONTEXT).join(often, "anchor").select(*_NAMES), "page-contexts")
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("anchor", "body", "new").agg(F.count("*").alias("pages"))
+
+    kinds = stored(distinct(open_), "context-kinds")
+    hot = kinds.groupBy("anchor").count().filter(F.col("count") > MOST_CONTEXTS).select("anchor")
+    hot = stored(hot, "hot-anchors")
+    if hot.head(1):
+        cut = open_.join(hot, "anchor", "left_semi").mapInArrow(_windows, _CONTEXT)
+        open_ = stored(open_.join(hot, "anchor", "left_anti").unionByName(cut), "page-contexts")
+        kinds = distinct(open_)
+    marked = stored(
+        kinds.repartition("anchor")
+        .sortWithinPartitions("anchor")
+        .mapInArrow(_shards, "anchor long, body string, new string, repeated string"),
+        "repeated-windows",
+    )
+    # A context is named by its anchor and one hash of its tokens on the way back.
+    name = F.xxhash64("body", "new")
+    marked = marked.select("anchor", name.alias("name"), "repeated")
+    return (
+        open_.select("_page", "anchor", "start", name.alias("name"))
+        .join(marked, ["anchor", "name"])
+        .groupBy("_page")
+        .agg(F.collect_list(F.struct("start", "repeated")).alias("_repeated"))
+    )
 
 
 OUTPUTS = ("text", "n_chars", "n_blocks", "n_covered")
@@ -241,15 +383,15 @@ def _extract(batches):
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             made = []
-            columns = [part.column(c).to_pylist() for c in ("_host", "_texts", "_zones", "_repeated")]
-            for host, texts, zones, repeated in zip(*columns):
+            columns = [part.column(c).to_pylist() for c in ("_texts", "_zones", "_repeated")]
+            for texts, zones, repeated in zip(*columns):
                 tokens = [t for text in texts for t in text.split(" ")]
                 cover = np.zeros(len(tokens), bool)
                 if repeated:
-                    starts = np.flatnonzero(np.isin(run_hashes(host, tokens), np.array(repeated, np.int64)))
+                    starts = np.array([r["start"] + k for r in repeated for k, x in enumerate(r["repeated"]) if x == "1"])
                     marks = np.zeros(len(tokens) + 1, np.int64)
-                    marks[starts] += 1
-                    marks[starts + MIN_TOKENS] -= 1
+                    np.add.at(marks, starts, 1)
+                    np.add.at(marks, starts + MIN_TOKENS, -1)
                     cover = np.cumsum(marks)[:-1] > 0
                 made.append(_kept(list(zip(texts, zones)), cover))
             yield pa.RecordBatch.from_arrays(
@@ -277,15 +419,13 @@ def extract_text(
     kind.add("_texts", ArrayType(StringType())).add("_zones", ArrayType(StringType()))
     # Written once, so that the number of a page is the same in every later pass.
     parsed = stored(read.mapInArrow(_parse, kind).withColumn("_page", F.monotonically_increasing_id()), "parsed-pages")
-    runs = parsed.select("_page", "_host", "_texts").mapInArrow(_runs, "_page long, run long")
-    repeated = runs.groupBy("run").count().filter(F.col("count") >= MIN_PAGES).select("run")
-    found = runs.join(repeated, "run").groupBy("_page").agg(F.collect_list("run").alias("_repeated"))
+    found = covered_places(parsed)
     made = StructType([read.schema["_row"], StructField("text", StringType())])
     for name in OUTPUTS[1:]:
         made.add(name, LongType())
     return (
         parsed.join(found, "_page", "left")
-        .select("_row", "_host", "_texts", "_zones", "_repeated")
+        .select("_row", "_texts", "_zones", "_repeated")
         .mapInArrow(_extract, made)
         .select(*[F.col(f"_row.`{f.name}`") for f in carried], *OUTPUTS)
     )
