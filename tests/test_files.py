@@ -1,6 +1,8 @@
 import gzip
 import os
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +216,61 @@ def test_store_upsert_repeat_and_compaction(spark, tmp_path):
     assert again == want | {"a": 7.0}
 
 
+def batch_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "variant_id string, row_id long, x double")
+
+
+def held(spark, path):
+    return {r["variant_id"]: r["x"] for r in store.latest(spark, path).collect()}
+
+
+def test_later_commit_wins_whoever_opened_first(spark, tmp_path):
+    path = str(tmp_path / "s")
+    a, b = store.open_run(spark, path), store.open_run(spark, path)
+    assert a != b
+    store.upsert(batch_of(spark, ("id", 0, 1.0)), path, 0, a)
+    store.upsert(batch_of(spark, ("id", 0, 2.0), ("b", 1, 2.0)), path, 0, b)
+    store.upsert(batch_of(spark, ("id", 0, 3.0)), path, 1, a)
+    assert held(spark, path) == {"id": 3.0, "b": 2.0}
+    # A batch that is replayed keeps its place and writes nothing.
+    number = store.state(spark, path)["number"]
+    store.upsert(batch_of(spark, ("id", 0, 2.0), ("b", 1, 2.0)), path, 0, b)
+    assert held(spark, path) == {"id": 3.0, "b": 2.0} and store.state(spark, path)["number"] == number
+    # Batches of a run may come out of order.
+    for n in (5, 3, 4):
+        store.upsert(batch_of(spark, ("id", 0, float(n))), path, n, a)
+    assert store.state(spark, path)["runs"][a] == [1, 3, 4, 5] and held(spark, path)["id"] == 4.0
+    store.upsert(batch_of(spark, ("id", 0, 9.0)), path, 2, a)
+    assert store.state(spark, path)["runs"][a] == [5] and held(spark, path)["id"] == 9.0
+
+
+def test_commits_at_once_get_one_order(spark, tmp_path):
+    path = str(tmp_path / "s")
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(store.upsert, batch_of(spark, (f"v{i}", 0, float(i)), ("all", 0, float(i))), path) for i in range(12)]
+        [j.result() for j in jobs]
+    got = held(spark, path)
+    assert {got.pop("all")} < set(map(float, range(12))) and got == {f"v{i}": float(i) for i in range(12)}
+
+
+def test_store_stays_small_and_reads_the_same_while_it_folds(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    monkeypatch.setattr(store, "settle", lambda *_: None)
+    for i in range(20):
+        store.upsert(batch_of(spark, (f"v{i % 7}", i, float(i)), (f"w{i}", i, 0.0)), path)
+    before, old = held(spark, path), store.latest(spark, path)
+    monkeypatch.undo()
+    assert len(store.state(spark, path)["folders"]) == 20
+    store.settle(spark, path, fold=4)
+    folders = store.state(spark, path)["folders"]
+    assert [f["level"] for f in folders] == [2, 1] and held(spark, path) == before
+    # A reader of the older list is not disturbed; afterwards its folders can go.
+    assert {r["variant_id"]: r["x"] for r in old.collect()} == before
+    assert store.clean(spark, path, hours=0) > 20 and held(spark, path) == before
+    store.compact(spark, path)
+    assert len(store.state(spark, path)["folders"]) == 1 and held(spark, path) == before
+
+
 def test_new_checkpoint_adds_to_the_store(spark, tmp_path):
     path, schema = str(tmp_path / "s"), "variant_id string, row_id long, x double"
     store.upsert(spark.createDataFrame([("keep", 0, 1.0)], schema), path, 0, store.open_run(spark, path))

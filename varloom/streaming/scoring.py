@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from varloom.sources.store import open_run, upsert
+from varloom.sources.store import file_system, open_run, read_text, upsert, write_text
 
 
 def file_stream(
@@ -25,16 +24,11 @@ def file_stream(
 
 
 def run_of(spark: SparkSession, store: str, checkpoint: str) -> str:
-    """The store run of a checkpoint, opened on its first use and kept inside the checkpoint."""
-    place = f"{checkpoint}/store_run"
-    try:
-        kept = spark.read.schema("run string").json(place).first()
-    except AnalysisException:
-        kept = None
-    if kept is None:
-        spark.createDataFrame([(open_run(spark, store),)], "run string").coalesce(1).write.mode("append").json(place)
-        kept = spark.read.schema("run string").json(place).first()
-    return kept["run"]
+    """The store run of a checkpoint, named on its first use and kept inside the checkpoint."""
+    fs, place = file_system(spark, f"{checkpoint}/store_run")
+    if not fs.exists(place):
+        write_text(spark, f"{checkpoint}/store_run", open_run(spark, store))
+    return read_text(spark, f"{checkpoint}/store_run")
 
 
 def into_store(
@@ -43,7 +37,8 @@ def into_store(
     """Write each micro-batch under its run and number and stop when the folder is drained.
 
     Batch numbers start anew with each checkpoint, so the run belongs to the checkpoint: a batch
-    that runs again after a failure replaces its own folder, and a new checkpoint adds to the store.
+    that runs again after a failure keeps its place, and a new checkpoint adds to the store. Streams
+    that write at once are ordered by the commits of their batches.
     """
     run = run_of(stream.sparkSession, store, checkpoint)
 
