@@ -255,3 +255,33 @@ def test_array_order_statistics_are_exact(spark):
     for k in range(3):
         x = sorted(r[0][k] for r in rows if len(r[0]) > k)
         assert got[k] == [x[-(-len(x) * q // 4) - 1] for q in (1, 2, 3)]
+
+
+def test_wide_summary_is_exact_without_exploded_cells(spark):
+    rng = np.random.default_rng(5)
+    n, width = 300, 1063
+    data = rng.standard_normal((n, width)) * 10.0 ** rng.integers(-6, 7, width)
+    data[:, 0] = 4.0
+    data[:, 1] = rng.integers(0, 3, n)
+    data[:, 2] = np.where(np.arange(n) % 2, 1e-300, 1e300)
+    data[:, 3] = -0.0
+    data[0, 4], data[1, 4], data[2, 4] = float("inf"), float("-inf"), float("nan")
+    df = spark.createDataFrame([(x.tolist(),) for x in data], "inputs array<double>").repartition(4)
+    got = {r["idx"]: r for r in stats.array_summary(df).collect()}
+    assert len(got) == width
+    for i in range(width):
+        x = data[:, i][~np.isnan(data[:, i])]
+        assert got[i]["count"] == len(x) and got[i]["min"] == x.min() and got[i]["max"] == x.max()
+        assert got[i]["quartiles"] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75]).tolist(), rel=1e-12)
+        if i not in (2, 4):
+            assert got[i]["mean"] == pytest.approx(x.mean(), rel=1e-9, abs=1e-12)
+            assert got[i]["std"] == pytest.approx(x.std(ddof=1), rel=1e-9, abs=1e-12)
+
+
+def test_wide_summary_of_ragged_and_missing_rows(spark):
+    rows = [([1.0, 2.0],), ([3.0],), (None,), ([],), ([None, 5.0, 7.0],)]
+    got = {r["idx"]: tuple(r)[1:] for r in stats.array_summary(spark.createDataFrame(rows, "inputs array<double>")).collect()}
+    assert got[0][0] == 2 and got[0][1] == 2.0 and got[0][4] == [1.5, 2.0, 2.5]
+    assert got[1][0] == 2 and got[1][4] == [2.75, 3.5, 4.25]
+    assert got[2] == (1, 7.0, None, 7.0, [7.0, 7.0, 7.0], 7.0)
+    assert stats.array_summary(spark.createDataFrame([], "inputs array<double>")).count() == 0

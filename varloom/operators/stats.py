@@ -11,6 +11,8 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from varloom.operators import arrays
+
 QUARTILES = (0.25, 0.5, 0.75)
 _SKETCH_ACCURACY = 1_000
 # Distinct values of a quantile bracket that may be grouped and put in order.
@@ -302,38 +304,14 @@ def _ranked_values(values: DataFrame, cases: list[dict]) -> DataFrame:
     )
 
 
-def array_summary(
-    df: DataFrame, inputs: str = "inputs", accuracy: int = _SKETCH_ACCURACY
-) -> DataFrame:
-    """Summary per array position for wide rows, with sketched quartiles of fixed size."""
-    value = F.col("value").cast("double")
-    return (
-        df.select(F.posexplode(inputs).alias("idx", "value"))
-        .groupBy("idx")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.percentile_approx(value, list(QUARTILES), accuracy).alias("quartiles"),
-            F.max(value).alias("max"),
-        )
-    )
+def array_summary(df: DataFrame, inputs: str = "inputs") -> DataFrame:
+    """Summary per array position for wide rows: (idx, count, mean, std, min, quartiles, max), all exact."""
+    return arrays.array_summary(df, inputs, QUARTILES)
 
 
 def array_order_statistics(df: DataFrame, inputs: str = "inputs", probs: Sequence[float] = QUARTILES) -> DataFrame:
-    """(idx, quartiles) per array position: the smallest value with the share ``prob`` of values up to it, exact.
-
-    Equal values are counted before the shuffle; each position's different values are put in order by
-    one task, on disk where they do not fit in memory.
-    """
-    cells = df.select(F.posexplode(inputs).alias("idx", "value")).filter("value IS NOT NULL")
-    counted = cells.groupBy("idx", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
-    position = W.partitionBy("idx").orderBy("value")
-    every = cells.groupBy("idx").agg(F.count("*").alias("size"))
-    placed = counted.withColumn("upto", F.sum("n").over(position)).join(F.broadcast(every), "idx")
-    found = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("size")), F.col("value"))) for p in probs]
-    return placed.groupBy("idx").agg(F.array(*found).alias("quartiles"))
+    """(idx, quartiles) per array position: the smallest value with the share ``prob`` of values up to it, exact."""
+    return arrays.array_order_statistics(df, inputs, probs)
 
 
 def column_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
