@@ -192,3 +192,42 @@ def test_thresholds_without_value_on_both_paths(spark, monkeypatch):
         return str(r[0]), str(r[1])
 
     assert sorted(map(key, small)) == sorted(map(key, large)) == sorted((str(s[0]), str(w)) for s, w in zip(scores.collect(), want))
+
+
+def brute_pairs(variants, spans):
+    return sorted((v, s) for v, c, a, b in variants for s, d, x, y in spans if c == d and a < y and x < b)
+
+
+def test_spans_of_any_length_meet_once(spark):
+    rng = random.Random(11)
+    variants = [(i, rng.choice("12"), p, p + rng.choice([1, 1, 2, 700, 90_000])) for i in range(400) for p in [rng.randrange(3_000_000)]]
+    spans = [(i, rng.choice("12"), p, p + rng.choice([1, 90, 511, 512, 513, 5_000, 800_000])) for i in range(120) for p in [rng.randrange(3_000_000)]]
+    spans += [(900, "1", 0, 250_000_000), (901, "2", -50, 10)]
+    v = spark.createDataFrame(variants, "v long, chrom string, start long, end long")
+    s = spark.createDataFrame(spans, "s long, chrom string, span_start long, span_end long")
+    for size in (512, 4096):
+        got = sorted(map(tuple, joins.overlap_join(v, s, size).select("v", "s").collect()))
+        assert got == brute_pairs(variants, spans)
+
+
+def test_a_chromosome_gives_a_few_rows(spark):
+    long = spark.createDataFrame([("1", 0, 250_000_000)], "chrom string, start long, end long")
+    start, end = F.col("start"), F.col("end")
+    assert joins._in_cells(long, start, end, 4096, range(9)).count() < 10
+    assert joins._in_cells(long, start, end, 4096, [0]).count() <= 2
+
+
+def test_cascade_is_cut_before_any_exchange(spark):
+    key = joins.VARIANT_KEY
+    big = spark.range(50000).select(
+        F.lit("1").alias("chrom"), F.col("id").cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("T").alias("alt"), (F.col("id") * 1.0).alias("score")
+    )
+    wanted = spark.createDataFrame([("1", p, "A", "T") for p in (5, 7, 49999, 60000)], "chrom string, pos int, ref string, alt string")
+    got = joins.first_table_holding(wanted, [("odd", big.filter("pos % 2 = 1")), ("all", big)], ["score"])
+    assert {r["pos"]: (r["found_in"], r["score"]) for r in got.collect()} == {
+        5: ("odd", 5.0), 7: ("odd", 7.0), 49999: ("odd", 49999.0), 60000: (None, None)
+    }
+    passed = joins.maybe_wanted(big, joins.wanted_filter(wanted, key), key)
+    assert passed.count() < 100
+    plan = passed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(chrom" not in plan

@@ -18,6 +18,13 @@ VARIANT_KEY = ["chrom", "pos", "ref", "alt"]
 # Conversion tables up to this many rows go to every task (16 bytes a row).
 MAX_BROADCAST_THRESHOLDS = 1_000_000
 _THRESHOLD_BUCKETS = 1024
+# Id lists up to this many entries go to every task (some tens of bytes an entry).
+MAX_BROADCAST_IDS = 250_000
+# Bits of the filter of wanted keys: 131,072 words of 64 bits, a broadcast of 3 MB at most.
+_FILTER_BITS = 23
+# Each level of span cells is so many times as wide as the one below.
+_LEVEL_STEP = 8
+_LEVELS = 8
 
 
 def hstack(
@@ -83,12 +90,21 @@ def lookup(ids: DataFrame, store: DataFrame, key: str = "variant_id") -> DataFra
     """Records of a keyed table for an id list, one per list entry; a missing id fails.
 
     ``store`` holds each id once. The list's ``row_id`` keeps its order. The check is a filter, so a
-    count alone fails as well.
+    count alone fails as well. A list of at most ``MAX_BROADCAST_IDS`` entries goes to the records, which
+    then stay where they are; a longer one meets them by key.
     """
-    found = store.withColumn("__found", F.lit(True)).drop("row_id")
+    found = store.drop("row_id")
     absent = F.raise_error(F.concat(F.lit("no record for id "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    joined = ids.join(found, key, "left")
-    return joined.filter(F.when(F.col("__found"), True).otherwise(absent)).drop("__found")
+    if ids.limit(MAX_BROADCAST_IDS + 1).count() > MAX_BROADCAST_IDS:
+        joined = ids.join(found.withColumn("__found", F.lit(True)), key, "left")
+        return joined.filter(F.when(F.col("__found"), True).otherwise(absent)).drop("__found")
+    hits = found.join(F.broadcast(ids), key).select(key, *[c for c in ids.columns if c != key], *[c for c in found.columns if c != key])
+    held = found.select(key).join(F.broadcast(ids.select(key).distinct()), key, "left_semi")
+    # The check reads the joined flag, so it cannot be moved in front of the join.
+    checked = ids.join(held.withColumn("__found", F.lit(True)), key, "left")
+    missing = checked.filter(F.when(F.col("__found"), False).otherwise(absent))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in hits.schema]
+    return hits.unionAll(missing.select(*nothing))
 
 
 def inner_on_variant(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -152,22 +168,22 @@ def first_table_holding(
 ) -> DataFrame:
     """Attach (found_in, values) from the first table, in list order, that holds the variant.
 
-    Prescored tables are far larger than a variant list, so their rows are first cut to
-    wanted variants (a broadcast filter when the list is small), then reduced to the
-    first row per variant and joined once; all of it works on one exchange by variant.
-    ``found_in`` is null for a novel variant.
+    Prescored tables are far larger than a variant list, so their rows are first cut at the scan by a
+    filter of the wanted keys, before anything is exchanged; what passes is reduced to the first
+    row per variant, with partial sums before the exchange, and joined once. ``found_in`` is null for
+    a novel variant.
     """
+    words = wanted_filter(variants, key)
     stacked = reduce(
         DataFrame.unionByName,
         [
-            t.select(*key, *values).withColumn("__rank", F.lit(i))
+            maybe_wanted(t.select(*key, *values), words, key).withColumn("__rank", F.lit(i))
             for i, (_, t) in enumerate(tables)
         ],
     )
     best = F.min(F.struct("__rank", *values))
     names = F.array(*[F.lit(name) for name, _ in tables])
-    wanted = subset(stacked, variants, key)
-    first = wanted.groupBy(*key).agg(best.alias("__best"))
+    first = stacked.groupBy(*key).agg(best.alias("__best"))
     return variants.join(first, list(key), "left").select(
         *variants.columns,
         F.get(names, F.col("__best.__rank")).alias("found_in"),
@@ -175,6 +191,27 @@ def first_table_holding(
     )
 
 
+def _filter_place(key: Sequence[str]) -> tuple[Column, Column]:
+    """Word and mask of a key's bit."""
+    place = F.xxhash64(*key).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+    names = ", ".join(f"`{k}`" for k in key)
+    mask = F.expr(f"shiftleft(1L, cast(xxhash64({names}) & 63 as int))")
+    return F.shiftright(place, 6).cast("int"), mask
+
+
+def wanted_filter(wanted: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(word, bits): one bit for each key that is wanted. It has a fixed size, whatever the list holds."""
+    word, mask = _filter_place(key)
+    return wanted.groupBy(word.alias("__word")).agg(F.bit_or(mask).alias("__bits"))
+
+
+def maybe_wanted(rows: DataFrame, words: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows whose key may be wanted; only few others pass while the filter is not full."""
+    word, mask = _filter_place(key)
+    hit = F.col("__bits").bitwiseAND(mask) != 0
+    return rows.withColumn("__word", word).join(F.broadcast(words), "__word").filter(hit).select(*rows.columns)
+
+
 def threshold_lookup(
     scores: DataFrame,
     table: DataFrame,
@@ -272,32 +309,70 @@ def bucketed_threshold_lookup(
     return placed.unionByName(unplaced)
 
 
+def _level(start: Column, end: Column, bin_size: int) -> Column:
+    """Lowest level whose cells are as wide as the span: the span then touches two cells at most."""
+    level = F.lit(_LEVELS)
+    for k in reversed(range(_LEVELS)):
+        level = F.when(end - start <= bin_size * _LEVEL_STEP**k, k).otherwise(level)
+    return level
+
+
+def _width(level: Column, bin_size: int) -> Column:
+    return (F.lit(float(bin_size)) * F.pow(F.lit(float(_LEVEL_STEP)), level)).cast("bigint")
+
+
+def _in_cells(df: DataFrame, start: Column, end: Column, bin_size: int, above: Sequence[int]) -> DataFrame:
+    """Rows in the cells of their own level, and as guests in those levels of ``above`` that lie higher."""
+    own = df.withColumn("__own", _level(start, end, bin_size))
+    levels = F.filter(F.array(*[F.lit(k) for k in above]).cast("array<int>"), lambda k: k > F.col("__own"))
+    spread = own.withColumn("__level", F.explode(F.concat(F.array(F.col("__own")), levels)))
+    width = _width(F.col("__level"), bin_size)
+    cells = F.sequence(F.floor(start / width), F.floor((end - 1) / width))
+    return spread.withColumn("__bin", F.explode(cells)).withColumn("__guest", F.col("__level") > F.col("__own")).drop("__own")
+
+
 def overlap_join(variants: DataFrame, spans: DataFrame, bin_size: int = 4096) -> DataFrame:
     """Pairs of a variant and a span on the same chromosome that share a base.
 
-    Variants have (chrom, start, end) and spans (chrom, span_start, span_end), all
-    half-open. Both are put in position bins and meet by equality; a pair is kept in
-    the first bin both touch, so it appears once. Large bins are split at run time by
-    adaptive skew handling, since the join is an ordinary equi-join.
+    Variants have (chrom, start, end) and spans (chrom, span_start, span_end), all half-open and not
+    empty. Each is put into the one or two cells of the level that fits its length, and as a guest into
+    the higher levels that the other side uses, so a span of any length gives a few rows. A pair meets at
+    the higher of its two levels and is kept in the first cell both touch, so it appears once. Crowded
+    cells are split at run time by adaptive skew handling, since the join is an ordinary equi-join.
     """
-
-    def bins(start: Column, end: Column) -> Column:
-        return F.explode(F.sequence(F.floor(start / bin_size), F.floor((end - 1) / bin_size)))
-
-    v = variants.withColumn("__bin", bins(F.col("start"), F.col("end")))
-    s = spans.withColumn("__bin", bins(F.col("span_start"), F.col("span_end")))
-    first_bin = F.floor(F.greatest("start", "span_start") / bin_size)
+    start, end, s_start, s_end = map(F.col, ("start", "end", "span_start", "span_end"))
+    # At most nine levels a side.
+    used = [
+        [r[0] for r in df.select(_level(a, b, bin_size).alias("l")).distinct().collect()]
+        for df, a, b in ((variants, start, end), (spans, s_start, s_end))
+    ]
+    v = _in_cells(variants, start, end, bin_size, used[1]).withColumnRenamed("__guest", "__v_guest")
+    s = _in_cells(spans, s_start, s_end, bin_size, used[0]).withColumnRenamed("__guest", "__s_guest")
+    first_bin = F.floor(F.greatest("start", "span_start") / _width(F.col("__level"), bin_size))
     return (
-        v.join(s, ["chrom", "__bin"])
+        v.join(s, ["chrom", "__level", "__bin"])
         .filter(
-            (F.col("start") < F.col("span_end"))
-            & (F.col("span_start") < F.col("end"))
+            (start < s_end)
+            & (s_start < end)
+            & ~(F.col("__v_guest") & F.col("__s_guest"))
             & (F.col("__bin") == first_bin)
         )
-        .drop("__bin")
+        .drop("__level", "__bin", "__v_guest", "__s_guest")
     )
 
 
+def points_in_spans(points: DataFrame, spans: DataFrame, bin_size: int = 4096) -> DataFrame:
+    """Rows at a 1-based (chrom, pos) that lies in some half-open span (chrom, start, end), each once.
+
+    Equal positions are looked up once; spans that overlap do not repeat a row.
+    """
+    at = points.select("chrom", F.col("pos").cast("bigint").alias("pos")).distinct()
+    at = at.select("chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"))
+    named = spans.select("chrom", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+    inside = overlap_join(at, named.distinct(), bin_size).select("chrom", F.col("end").alias("pos")).distinct()
+    return points.join(inside, ["chrom", "pos"], "left_semi").select(*points.columns)
+
+
 def flank_exons(
     exons: DataFrame, acceptor_intron: int = 50, donor_intron: int = 13
 ) -> DataFrame:

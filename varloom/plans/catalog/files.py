@@ -12,7 +12,7 @@ from varloom.plans import models, views
 from varloom.plans.registry import query
 from varloom.plans.views import counted_fit, with_views
 from varloom.session import fresh_path
-from varloom.sources import readers, store, writers
+from varloom.sources import ranged, readers, store, writers
 
 KEY = ["chrom", "pos", "ref", "alt"]
 V8 = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]
@@ -125,8 +125,8 @@ FROM (SELECT row_id, variant_id FROM v WHERE status = 'F') ids JOIN store s USIN
 """
 
 
-def sample_store(spark, d) -> DataFrame:
-    """Keyed sample records with an infinite feature where f3 is zero."""
+def sample_store(spark, d) -> str:
+    """Where keyed and indexed sample records lie, with an infinite feature where f3 is zero."""
     ratio = F.when(F.col("f3") == 0, F.lit(float("inf"))).otherwise(
         F.col("f2") / F.nullif("f3", F.lit(0.0))
     )
@@ -135,13 +135,14 @@ def sample_store(spark, d) -> DataFrame:
         "row_id", "variant_id", "y", F.array("f0", "f1", ratio).alias("inputs")
     )
     writers.write_keyed(records, path)
-    return spark.read.parquet(path)
+    ranged.index_files(spark, path, ["variant_id"])
+    return path
 
 
 @query("src07_fetch_samples", with_views(SAMPLES_SQL))
 def src07(spark, d):
     ids = views.numbered(spark, d).filter("status = 'F'").select("row_id", "variant_id")
-    found = joins.lookup(ids, sample_store(spark, d))
+    found = ranged.lookup_stored(ids, sample_store(spark, d))
     capped = fx.cap_if_infinite(F.col("inputs"))
     return found.select(
         "row_id",
@@ -404,9 +405,10 @@ def snk03(spark, d):
     second = v.filter("flag <> 'N'").select(
         "row_id", "variant_id", F.col("f1").alias("db:diff_a"), F.col("f3").alias("db:logit_c")
     )
-    # Two runs that number their batches alike: the later run's rows win, none are lost.
-    store.upsert(first, path, 0, store.open_run(spark, path))
-    store.upsert(second, path, 0, store.open_run(spark, path))
+    # Two runs opened at once that number their batches alike: the later commit's rows win, none are lost.
+    early, late = store.open_run(spark, path), store.open_run(spark, path)
+    store.upsert(first, path, 0, late)
+    store.upsert(second, path, 0, early)
     return store.latest(spark, path).select("variant_id", "row_id", "`db:diff_a`", "`db:logit_c`")
 
 

@@ -11,7 +11,7 @@ from varloom.plans.catalog.files import EXTRACTION_SQL, SAMPLES_SQL, extraction,
 from varloom.plans.registry import query
 from varloom.plans.views import FEATURES, with_views
 from varloom.session import fresh_path
-from varloom.sources import writers
+from varloom.sources import ranged, writers
 
 KEY = joins.VARIANT_KEY
 
@@ -74,7 +74,7 @@ def jn04(spark, d):
 @query("jn05_lookup_by_id", with_views(SAMPLES_SQL))
 def jn05(spark, d):
     ids = views.numbered(spark, d).filter("status = 'F'").select("row_id", "variant_id")
-    found = joins.lookup(ids, sample_store(spark, d))
+    found = ranged.lookup_stored(ids, sample_store(spark, d))
     inputs = fx.cap_if_infinite(F.col("inputs"))
     return found.select(
         "row_id",
@@ -188,8 +188,32 @@ def jn12(spark, d):
     ),
 )
 def jn13(spark, d):
+    """Scores laid out by position; only files that can hold a wanted one are opened."""
     v = views.variants(spark, d)
-    return joins.scored_regions(v.select(*KEY, "f1"), v.filter("status = 'F'"))
+    path = fresh_path(spark, "scores")
+    ranged.write_ranged(v.select(*KEY, "f1"), path, ["chrom", "pos"])
+    return ranged.scored_positions(v.filter("status = 'F'"), path)
+
+
+@query(
+    "jn13_scores_in_spans",
+    with_views(
+        """SELECT chrom, pos, ref, alt, f1 FROM v WHERE EXISTS (
+             SELECT 1 FROM orders WHERE CAST(o_custkey % 22 + 1 AS VARCHAR) = chrom
+             AND pos > o_orderkey * 10 AND pos <= o_orderkey * 10 + (o_orderkey % 5) * 40000 + 30 AND o_orderkey % 7 = 0)"""
+    ),
+)
+def jn13_spans(spark, d):
+    """Scores in spans of tens of bases to a part of a chromosome."""
+    path = fresh_path(spark, "scores")
+    ranged.write_ranged(views.variants(spark, d).select(*KEY, "f1"), path, ["chrom", "pos"])
+    key = F.col("o_orderkey")
+    regions = views.table(spark, d, "orders").filter(key % 7 == 0).select(
+        (F.col("o_custkey") % 22 + 1).cast("string").alias("chrom"),
+        (key * 10).alias("start"),
+        (key * 10 + (key % 5) * 40000 + 30).alias("end"),
+    )
+    return ranged.scores_between(regions, path)
 
 
 @query("jn14_attach_ids", with_views("SELECT row_id, f0, f1, variant_id FROM v"))
@@ -299,6 +323,21 @@ def set03(spark, d):
     return sets.concat_ordered(_ordered_sources(spark, d, "variant_id", "f0"))
 
 
+@query(
+    "set03_stack_gap_free",
+    with_views(
+        """WITH u AS (SELECT 0 AS source_no, row_id, variant_id, f0 FROM v UNION ALL
+             SELECT 1, row_number() OVER (ORDER BY row_id) - 1, variant_id, f0 FROM v WHERE flag <> 'N')
+           SELECT row_number() OVER (ORDER BY source_no, row_id) - 1 AS row_id, source_no, variant_id, f0 FROM u"""
+    ),
+)
+def set03_gap_free(spark, d):
+    """Sources numbered without gaps: no row moves, the second one only gets an offset."""
+    v = views.numbered(spark, d).select("row_id", "variant_id", "f0")
+    second = rows.number_rows(views.numbered(spark, d).filter("flag <> 'N'"), ["row_id"], "n", ["variant_id", "f0"])
+    return sets.concat_ordered([v, second.select(F.col("n").alias("row_id"), "variant_id", "f0")])
+
+
 SETS_SQL = """
 SELECT a AS in_a, b AS in_b, c AS in_c, count(*) AS n FROM (
   SELECT variant_id, bool_or(status = 'F') AS a, bool_or(flag <> 'N') AS b, bool_or(f0 > 25) AS c FROM v GROUP BY 1)
