@@ -177,13 +177,15 @@ def test_stream_restarts_without_doubling(spark, tmp_path):
     arrive(("a", 0, 1.0), ("b", 1, 2.0))
     arrive(("b", 0, 5.0))
     drain()
-    assert spark.read.parquet(kept).select("batch_no").distinct().count() == 2
+    first = store.state(spark, kept)
+    assert len(first["folders"]) == 2 and list(first["runs"].values()) == [[1]]
     arrive(("c", 0, 7.0))
     drain()
     drain()
     got = {r["variant_id"]: r["x"] for r in store.latest(spark, kept).collect()}
     assert got["a"] == 2.0 and got["c"] == 14.0 and got["b"] in (4.0, 10.0)
-    assert spark.read.parquet(kept).count() == 4
+    assert list(store.state(spark, kept)["runs"].values()) == [[2]]
+    assert sum(spark.read.parquet(f"{kept}/data/{f['name']}").count() for f in store.state(spark, kept)["folders"]) == 4
 
 
 def test_stream_scores_with_a_fitted_model(spark, tmp_path):
@@ -231,3 +233,55 @@ def test_compare_coefficients(spark):
     a = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "idx int, coef double")
     pairs = models.compare_coefficients(a, a.withColumn("coef", F.col("coef") * -2))
     assert stats.correlation(pairs, "coef_a", "coef_b").first()["pearson"] == pytest.approx(-1)
+
+
+def plain_areas(y, s):
+    """Areas by trapezoids over the distinct scores."""
+    tp = fp = area = slope = 0
+    before = None
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    for value in sorted(set(s), reverse=True):
+        p, q = int(((s == value) & (y == 1)).sum()), int(((s == value) & (y == 0)).sum())
+        tp, fp = tp + p, fp + q
+        precision = tp / (tp + fp)
+        area += q * (tp - p / 2)
+        slope += p * (precision + (precision if before is None else before)) / 2
+        before = precision
+    return area / (n1 * n0), slope / n1
+
+
+def test_metrics_with_ties_in_one_pass(spark):
+    rng = np.random.default_rng(8)
+    for ties in (3, 50, 10**9):
+        s = rng.integers(0, ties, 500) / 7 - 1
+        y = (rng.random(500) < 1 / (1 + np.exp(-(s - s.mean()) / s.std()))).astype(int)
+        data = [(int(a), float(b), int(b > 0)) for a, b in zip(y, s)]
+        df = spark.createDataFrame(data, "target int, decision double, predicted int").repartition(5)
+        row = models.classification_metrics(df).first()
+        assert (row["auroc"], row["auprc"]) == pytest.approx(plain_areas(y, s), rel=1e-12)
+        assert row["accuracy"] == pytest.approx((y == (s > 0)).mean())
+        assert row["tp"] == int(((s > 0) & (y == 1)).sum()) and row["tn"] == int(((s <= 0) & (y == 0)).sum())
+    one = spark.createDataFrame([(1, 0.5, 1)], "target int, decision double, predicted int")
+    assert models.classification_metrics(one).first().asDict() == {
+        "accuracy": 1.0, "auroc": None, "auprc": 1.0, "tn": 0, "fp": 0, "fn": 0, "tp": 1
+    }
+    assert models.classification_metrics(one.filter("false")).first()["accuracy"] is None
+
+
+def test_stochastic_fit_resumes_and_ends_near_the_minimum(spark, tmp_path):
+    x, y = make(400)
+    data = table(spark, x / x.std(0), y)
+    penalty = models.Penalty.from_alpha(0.1)
+    dealt = models.deal_batches(data, 4, 3)
+    whole = models.fit_stochastic(dealt, penalty, 4, 8, 3)
+    half = models.fit_stochastic(dealt, penalty, 4, 3, 3)
+    half.save(spark, str(tmp_path / "state"))
+    rest = models.fit_stochastic(dealt, penalty, 4, 5, 3, models.Stochastic.load(spark, str(tmp_path / "state")))
+    assert rest.epochs == whole.epochs == 8
+    assert rest.parameters == pytest.approx(whole.parameters, abs=1e-12)
+    again = models.fit_stochastic(models.deal_batches(data, 4, 3), penalty, 4, 8, 3)
+    assert again.parameters == pytest.approx(whole.parameters, abs=1e-12)
+    best = models.fit_logistic(data, penalty, max_iter=100, tol=1e-12)
+    assert whole.parameters == pytest.approx([best.intercept, *best.coefficients.toArray()], abs=0.05)
+    other = models.fit_stochastic(dealt, penalty, 4, 1, 4)
+    assert other.parameters != models.fit_stochastic(dealt, penalty, 4, 1, 3).parameters

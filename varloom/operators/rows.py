@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from varloom.session import write_through
@@ -41,8 +42,9 @@ def number_rows(
     ``order_by`` must tell all rows apart. One range exchange on the full key (so a
     frequent first column is still split), one sort inside each range, one write: the
     written table keeps range number and position of each row fixed for both later
-    reads and survives lost executors. The offsets have one row per range. ``keep``
-    names the columns to store when some serve for the order only.
+    reads and survives lost executors. The ranges are counted once, right after the write, and
+    their offsets are part of every later plan, one number per range. ``keep`` names the
+    columns to store when some serve for the order only.
     """
     ranged = (
         df.repartitionByRange(*order_by)
@@ -56,14 +58,19 @@ def number_rows(
     if keep is not None:
         ranged = ranged.select(*keep, "__part", "__local")
     stored = write_through(ranged, "numbered")
-    sizes = stored.groupBy("__part").agg(F.count("*").alias("__n"))
     return (
-        stored.join(F.broadcast(bucket_offsets(sizes, ["__part"])), "__part")
-        .withColumn(name, F.col("__local") + F.col("__offset"))
-        .drop("__part", "__local", "__offset", "__n")
+        stored.withColumn(name, F.col("__local") + _counted_offset(stored, "__part"))
+        .drop("__part", "__local")
     )
 
 
+def _counted_offset(stored: DataFrame, part: str) -> Column:
+    """Rows in the ranges before a row's own, as an array of as many numbers as there are ranges."""
+    sizes = {r[0]: r[1] for r in stored.groupBy(part).agg(F.count("*")).collect()}
+    counts = np.array([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)], np.int64)
+    return F.get(F.lit(np.cumsum(counts) - counts), F.col(part))
+
+
 def order_hash(row_id: Column | str, seed: int) -> Column:
     """Seeded text hash of a row number; equal in every engine that has md5."""
     value = F.col(row_id) if isinstance(row_id, str) else row_id

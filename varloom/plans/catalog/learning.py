@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from varloom.functions import pluggable, scores as sx, variants as vx
@@ -184,13 +185,26 @@ def ml09(spark, d):
 
 
 # At the minimum of a convex loss, and only there, the gradient is zero.
-ZERO_SQL = "SELECT CAST(idx - 1 AS INT) AS idx, CAST(0 AS DOUBLE) AS gradient FROM range(4) t(idx)"
+ZERO_SQL = """
+SELECT CAST(idx - 1 AS INT) AS idx, CAST(0 AS DOUBLE) AS gradient, (SELECT count(*) FROM embeddings) AS n_rows
+FROM range((SELECT max(len(embedding)) + 1 FROM embeddings)) t(idx)"""
+
+
+def _wide(spark, d) -> DataFrame:
+    """All components of every vector, scaled."""
+    data = views.vectors(spark, d).select("row_id", "target", "inputs")
+    return models.scale_inputs(data, stats.array_scaler(data))
 
 
 def _gradient(spark, d, penalty: models.Penalty) -> DataFrame:
-    data = _scaled(spark, d)
+    data = _wide(spark, d)
     found = models.penalised_gradient(models.fit_logistic(data, penalty, **FIT), data, penalty)
-    return found.withColumn("gradient", F.round("gradient", 5) + 0.0)
+    return found.withColumn("gradient", F.round("gradient", 5) + 0.0).withColumn("n_rows", F.lit(data.count()))
+
+
+@query("ml09_wide_fit", ZERO_SQL)
+def ml09_wide(spark, d):
+    return _gradient(spark, d, models.Penalty.from_inverse(0.1, views.vectors(spark, d).count()))
 
 
 @query("ml10_stochastic_penalty", ZERO_SQL)
@@ -198,6 +212,22 @@ def ml10(spark, d):
     return _gradient(spark, d, models.Penalty.from_alpha(0.01))
 
 
+@query(
+    "ml10_stochastic_fit",
+    "SELECT CAST(idx - 1 AS INT) AS idx, true AS near FROM range((SELECT max(len(embedding)) + 1 FROM embeddings)) t(idx)",
+)
+def ml10_fit(spark, d):
+    """Fifteen epochs of four batches, stopped and resumed once: within 0.03 of the penalised minimum."""
+    penalty, data = models.Penalty.from_alpha(0.1), _wide(spark, d)
+    dealt = models.deal_batches(data, 4, 1)
+    state, path = models.fit_stochastic(dealt, penalty, 4, 8, 1), fresh_path(spark, "state")
+    state.save(spark, path)
+    state = models.fit_stochastic(dealt, penalty, 4, 7, 1, models.Stochastic.load(spark, path))
+    best = models.coefficients(models.fit_logistic(data, penalty, **FIT), spark)
+    both = models.compare_coefficients(state.coefficients(spark), best)
+    return both.select("idx", (F.abs(F.col("coef_a") - F.col("coef_b")) < 0.03).alias("near"))
+
+
 @query("ml11_layer_penalty", ZERO_SQL)
 def ml11(spark, d):
     return _gradient(spark, d, models.Penalty.from_layer(0.015))
@@ -350,12 +380,16 @@ def ml19(spark, d):
 @query(
     "ml20_build_dataset",
     with_views(
-        SHUFFLED_SQL.format(seed=42).replace("variant_id,", "variant_id, y,")
+        SHUFFLED_SQL.format(seed=42).replace("variant_id,", "variant_id, y, f0, f1, f2, f3,")
         + "SELECT CASE WHEN shuffled_id < ceil(0.3 * (SELECT count(*) FROM v)) THEN 'valid' ELSE 'train' END AS part,"
-        " row_id, variant_id, CAST(CASE WHEN y = -1 THEN 0 ELSE y END AS DOUBLE) AS target FROM s"
+        " row_id, variant_id, CAST(CASE WHEN y = -1 THEN 0 ELSE y END AS DOUBLE) AS target, CAST(NULL AS INT) AS idx,"
+        " f0, f1, f2, f3, NULL AS scale FROM s UNION ALL SELECT 'scaler', NULL, NULL, NULL, CAST(unnest(range(4)) AS INT), NULL, NULL, NULL,"
+        " NULL, round(unnest([stddev_pop(f0), stddev_pop(f1), stddev_pop(f2), stddev_pop(f3)]), 6) FROM s"
+        " WHERE shuffled_id >= ceil(0.3 * (SELECT count(*) FROM v))"
     ),
 )
 def ml20(spark, d):
+    """Ids, targets and features of both sets, and the scaler of the train set."""
     path = fresh_path(spark, "build")
     v = views.numbered(spark, d)
     ordered = v.repartitionByRange("row_id").sortWithinPartitions("row_id")
@@ -373,8 +407,25 @@ def ml20(spark, d):
     return reduce(
         DataFrame.unionAll,
         [
-            built[p].select(F.lit(p).alias("part"), "row_id", "variant_id", "target")
-            for p in ("train", "valid")
+            *[
+                built[p].select(
+                    F.lit(p).alias("part"),
+                    "row_id",
+                    "variant_id",
+                    "target",
+                    F.lit(None).cast("int").alias("idx"),
+                    *[vector_to_array("features")[i].alias(f) for i, f in enumerate(FEATURES)],
+                    F.lit(None).cast("double").alias("scale"),
+                )
+                for p in ("train", "valid")
+            ],
+            built["scaler"].select(
+                F.lit("scaler"),
+                *[F.lit(None).cast(t) for t in ("long", "string", "double")],
+                "idx",
+                *[F.lit(None).cast("double") for _ in FEATURES],
+                F.round("scale", 6),
+            ),
         ],
     )
 
@@ -412,33 +463,33 @@ def ml21(spark, d):
 
 STREAM_SQL = """
 WITH b AS (
-  SELECT CASE WHEN status = 'F' THEN 0 ELSE 1 END AS part, variant_id, row_id, f0, f1 FROM v
-  UNION ALL SELECT 2, variant_id, row_id, f1, f0 FROM v WHERE flag = 'R')
+  SELECT CASE WHEN status = 'F' THEN 0 ELSE 2 END AS part, variant_id, row_id, f0, f1 FROM v
+  UNION ALL SELECT 1, variant_id, row_id, f1, f0 FROM v WHERE flag = 'R'
+  UNION ALL SELECT 3, variant_id, row_id, f0, f1 FROM v WHERE flag = 'R' AND row_id % 2 = 0)
 SELECT variant_id, row_id, {score} AS {name} FROM b
 QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY part DESC, row_id DESC) = 1
 """
 
 
 def _streamed(spark, d, write) -> DataFrame:
-    """Two runs into one store, each with its own checkpoint; ids stand in several files.
+    """Three runs into one store, each with its own checkpoint; ids stand in several files.
 
-    The first run meets two files one after the other, the second a third file.
+    The first run goes on with a further file after the two others have written.
     """
     v = views.numbered(spark, d).select("variant_id", "row_id", "f0", "f1", "status", "flag")
-    parts = [
-        v.filter("status = 'F'"),
-        v.filter("status <> 'F'"),
-        v.filter("flag = 'R'").withColumns({"f0": F.col("f1"), "f1": F.col("f0")}),
-    ]
+    turned = v.withColumns({"f0": F.col("f1"), "f1": F.col("f0")})
     kept = fresh_path(spark, "store")
-    for files in (parts[:2], parts[2:]):
-        folder, marks = fresh_path(spark, "incoming"), fresh_path(spark, "checkpoint")
-        for part in files:
-            rows = part.select("variant_id", "row_id", "f0")
-            # The run goes on from its checkpoint with each further file.
-            rows.write.mode("append").parquet(folder)
-            stream = scoring.file_stream(spark, folder, rows.schema)
-            write(stream, kept, marks).awaitTermination()
+    places = {run: (fresh_path(spark, "incoming"), fresh_path(spark, "checkpoint")) for run in "abc"}
+    for run, part in (
+        ("a", v.filter("status = 'F'")),
+        ("b", turned.filter("flag = 'R'")),
+        ("c", v.filter("status <> 'F'")),
+        ("a", v.filter("flag = 'R' AND row_id % 2 = 0")),
+    ):
+        folder, marks = places[run]
+        rows = part.select("variant_id", "row_id", "f0")
+        rows.write.mode("append").parquet(folder)
+        write(scoring.file_stream(spark, folder, rows.schema), kept, marks).awaitTermination()
     return store.latest(spark, kept)
 
 

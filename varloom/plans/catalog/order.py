@@ -32,20 +32,21 @@ def wn02(spark, d):
 @query(
     "wn02_batch_index",
     with_views(
-        "SELECT row_id // 256 AS batch_id, count(*) AS n_rows, count(DISTINCT variant_id) AS n_ids,"
-        " min(row_id) AS first_row, max(row_id) AS last_row, arg_min(variant_id, row_id) AS first_id FROM v GROUP BY 1"
+        "WITH b AS (SELECT row_id // 256 AS batch_id, row_id, variant_id FROM v),"
+        " i AS (SELECT batch_id, variant_id, min(row_id) AS first FROM b GROUP BY ALL),"
+        " j AS (SELECT batch_id, string_agg(variant_id, ';' ORDER BY first) AS variant_ids FROM i GROUP BY 1)"
+        " SELECT batch_id, string_agg(CAST(row_id AS VARCHAR), ';' ORDER BY row_id) AS row_nrs, any_value(j.variant_ids) AS variant_ids"
+        " FROM b JOIN j USING (batch_id) GROUP BY 1"
     ),
 )
 def wn02_index(spark, d):
+    """All row numbers and ids of each batch, in their order."""
     batched = rows.with_batches(views.numbered(spark, d), 256)
     index = rows.batch_index(batched, "row_id", "variant_id")
     return index.select(
         "batch_id",
-        F.size("row_nrs").cast("bigint").alias("n_rows"),
-        F.size("variant_ids").cast("bigint").alias("n_ids"),
-        F.element_at("row_nrs", 1).alias("first_row"),
-        F.element_at("row_nrs", -1).alias("last_row"),
-        F.element_at("variant_ids", 1).alias("first_id"),
+        F.array_join(F.col("row_nrs").cast("array<string>"), ";").alias("row_nrs"),
+        F.array_join("variant_ids", ";").alias("variant_ids"),
     )
 
 
@@ -93,18 +94,19 @@ def wn05(spark, d):
 @query(
     "wn06_rebatch_shards",
     with_views(
-        "WITH s AS (SELECT row_id, y, row_number() OVER (ORDER BY row_id % 7, row_id) - 1 AS place FROM v) "
-        "SELECT place // 1000 AS batch_id, CAST(place % 1000 AS INT) AS pos_in_batch, row_id AS ix, CAST(y AS DOUBLE) AS y FROM s"
+        "WITH s AS (SELECT row_id, y, f0, f1, f2, f3, row_number() OVER (ORDER BY row_id % 7, row_id) - 1 AS place FROM v) "
+        "SELECT place // 1000 AS batch_id, CAST(place % 1000 AS INT) AS pos_in_batch, row_id AS ix, CAST(y AS DOUBLE) AS y,"
+        " f0, f1, f2, f3 FROM s"
     ),
 )
 def wn06(spark, d):
     path = fresh_path(spark, "shards")
     v = views.numbered(spark, d).select(
-        F.col("row_id").alias("ix"), "y", F.pmod("row_id", F.lit(7)).cast("int").alias("shard")
+        F.col("row_id").alias("ix"), "y", *FEATURES, F.pmod("row_id", F.lit(7)).cast("int").alias("shard")
     )
     ordered = v.repartitionByRange("shard", "ix").sortWithinPartitions("shard", "ix")
     writers.write_csv(ordered.drop("shard"), path)
-    placed = readers.with_file_row_id(readers.read_shards(spark, path, ["y"]))
+    placed = readers.with_file_row_id(readers.read_shards(spark, path, ["y", *FEATURES]))
     return rows.with_batches(placed, 1000).drop("row_id")
 
 

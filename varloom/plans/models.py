@@ -6,18 +6,20 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import ElementwiseProduct, MaxAbsScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from varloom.functions.features import cap_values, with_sparse
 from varloom.functions.scores import array_divide
 from varloom.operators import stats
 from varloom.operators.rows import hash_fraction, sample_rows
+from varloom.session import fresh_path, write_through
 
 Metric = Callable[[DataFrame], DataFrame]
 
@@ -81,6 +83,93 @@ def fit_logistic(
     return LogisticRegression(**params).fit(data)
 
 
+@dataclass(frozen=True)
+class Stochastic:
+    """Where a stochastic fit stands: intercept and weights, and the epochs it has done."""
+
+    parameters: tuple[float, ...]
+    epochs: int = 0
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        save_report(spark, {"parameters": list(self.parameters), "epochs": self.epochs}, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Stochastic:
+        held = json.loads(spark.read.text(path).first()["value"])
+        return cls(tuple(held["parameters"]), held["epochs"])
+
+    def coefficients(self, spark: SparkSession) -> DataFrame:
+        """(idx, coef), the intercept at index -1."""
+        rows = [(i - 1, float(c)) for i, c in enumerate(self.parameters)]
+        return spark.createDataFrame(rows, "idx int, coef double")
+
+
+def deal_batches(df: DataFrame, batches: int, seed: int, row_id: str = "row_id") -> DataFrame:
+    """Rows written by batch, the batch drawn from a seeded hash of the row; a later read opens one batch."""
+    path = fresh_path(df.sparkSession, "batches")
+    number = F.floor(hash_fraction(row_id, seed) * batches).cast("int")
+    dealt = df.withColumn("batch", number)
+    dealt.hint("rebalance", "batch").write.partitionBy("batch").parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+
+
+def _batch_gradient(parameters: np.ndarray, inputs: str, target: str):
+    """Sums of the loss gradient over a task's rows; place -1 counts the rows."""
+
+    def run(tables):
+        total, n = np.zeros(len(parameters)), 0
+        for table in tables:
+            x = np.asarray(table.column(inputs).flatten(), np.float64).reshape(table.num_rows, -1)
+            margin = parameters[0] + x @ parameters[1:]
+            error = 0.5 * (1 + np.tanh(margin / 2)) - np.asarray(table.column(target), np.float64)
+            total += np.append(error.sum(), error @ x)
+            n += table.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(-1, len(total)), pa.int32()), pa.array(np.append(float(n), total))], ["place", "g"]
+        )
+
+    return run
+
+
+def fit_stochastic(
+    dealt: DataFrame,
+    penalty: Penalty,
+    batches: int,
+    epochs: int,
+    seed: int,
+    state: Stochastic | None = None,
+    rate: float = 2.0,
+    decay: float = 0.85,
+    inputs: str = "inputs",
+    target: str = "target",
+) -> Stochastic:
+    """Mini-batch gradient descent on the penalised mean loss, from a saved state or from zero.
+
+    ``dealt`` comes from ``deal_batches``. An epoch takes every batch once, in a seeded order of its own,
+    with a step that shrinks from epoch to epoch. A batch's gradient is summed in Spark, one number for
+    each feature. The order and the steps follow from the seed and the epoch alone, so a fit that goes on from
+    its state does what an uninterrupted one does. ``epochs`` counts those to be done now.
+    """
+    if state is None:
+        width = dealt.select(F.size(inputs).alias("n")).filter("n >= 0").first()
+        state = Stochastic((0.0,) * (1 + (width["n"] if width else 0)))
+    parameters = np.array(state.parameters)
+    for epoch in range(state.epochs, state.epochs + epochs):
+        order = np.random.default_rng([seed, epoch]).permutation(batches)
+        step = rate * decay**epoch
+        for batch in order.tolist():
+            part = dealt.filter(F.col("batch") == batch).select(inputs, F.col(target).cast("double").alias(target))
+            sums = part.mapInArrow(_batch_gradient(parameters, inputs, target), "place int, g double")
+            found = {r["place"]: r["g"] for r in sums.groupBy("place").agg(F.sum("g").alias("g")).collect()}
+            n = found.pop(-1, 0.0)
+            if not n:
+                continue
+            gradient = np.array([found[i] for i in range(len(parameters))]) / n
+            gradient[1:] += penalty.reg_param * parameters[1:]
+            parameters = parameters - step * gradient
+    return Stochastic(tuple(parameters.tolist()), state.epochs + epochs)
+
+
 def predict(
     model: LogisticRegressionModel, df: DataFrame, inputs: str = "inputs"
 ) -> DataFrame:
@@ -166,24 +255,53 @@ def scale_range(df: DataFrame, inputs: str = "inputs", sparse: bool = False) ->
 def classification_metrics(
     scored: DataFrame, target: str = "target", score: str = "decision"
 ) -> DataFrame:
-    """One row: accuracy, area under ROC and under precision-recall, confusion counts."""
-    pairs = scored.select(
-        F.col(target).cast("double").alias("label"), F.col(score).alias("rawPrediction")
+    """One row: accuracy, area under ROC and under precision-recall, confusion counts.
+
+    The input is scored once, into counts by score and decision, which combine before the exchange
+    and are written in order of the score. Each range of scores then adds up its own trapezoids, given the
+    counts of the ranges above it; equal scores are one point of both curves. A class without rows
+    gives null areas, an empty input null throughout.
+    """
+    label = F.col(target).cast("int")
+    counts = write_through(
+        scored.groupBy(F.col(score).cast("double").alias("s"), F.col("predicted").alias("said"))
+        .agg(F.count_if(label == 1).alias("pos"), F.count_if(label == 0).alias("neg"))
+        .repartitionByRange(F.desc("s"))
+        .withColumn("part", F.spark_partition_id()),
+        "scored",
     )
-    areas = {
-        name: BinaryClassificationEvaluator(metricName=name, numBins=0).evaluate(pairs)
-        for name in ("areaUnderROC", "areaUnderPR")
-    }
-    counts = stats.confusion(scored, target, "predicted")
-    total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    return counts.select(
-        ((F.col("tp") + F.col("tn")) / total).alias("accuracy"),
-        F.lit(areas["areaUnderROC"]).alias("auroc"),
-        F.lit(areas["areaUnderPR"]).alias("auprc"),
-        "tn",
-        "fp",
-        "fn",
-        "tp",
+    decided = counts.agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("said") == said, F.col(c))), F.lit(0)).alias(name)
+            for name, said, c in (("tn", 0, "neg"), ("fp", 1, "neg"), ("fn", 0, "pos"), ("tp", 1, "pos"))
+        ],
+        F.sum("pos").alias("n1"),
+        F.sum("neg").alias("n0"),
+    ).first()
+    # One row per range of scores, in order of the ranges; equal scores lie in one range.
+    above = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = counts.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    sizes = sizes.select("part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("p", "q")])
+    down = W.partitionBy("part").orderBy(F.desc("s"))
+    points = (
+        counts.groupBy("part", "s")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .join(F.broadcast(sizes), "part")
+        .withColumn("tp", F.sum("pos").over(down) + F.col("p0"))
+        .withColumn("fp", F.sum("neg").over(down) + F.col("q0"))
+    )
+    tp, fp, pos, neg = map(F.col, ("tp", "fp", "pos", "neg"))
+    before = tp - pos + fp - neg
+    precision = tp / (tp + fp)
+    step = neg * (tp - pos / 2)
+    slope = pos * (precision + F.when(before == 0, precision).otherwise((tp - pos) / before)) / 2
+    n1, n0 = decided["n1"] or 0, decided["n0"] or 0
+    total = F.lit(n1 + n0)
+    return points.agg(F.sum(step).alias("a"), F.sum(slope).alias("b")).select(
+        F.when(total > 0, F.lit(decided["tp"] + decided["tn"]) / total).alias("accuracy"),
+        (F.col("a") / F.nullif(F.lit(n1 * n0), F.lit(0))).alias("auroc"),
+        (F.col("b") / F.nullif(F.lit(n1), F.lit(0))).alias("auprc"),
+        *[F.lit(decided[c]).cast("long").alias(c) for c in ("tn", "fp", "fn", "tp")],
     )
 
 

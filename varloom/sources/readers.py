@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from varloom import schemas
 from varloom.functions import features, variants
 from varloom.operators.rows import bucket_offsets, number_rows
+from varloom.session import write_through
 
-_MAX_BROADCAST_SPLITS = 1_000_000
+# Input splits whose offsets may go to every task, four numbers each.
+_MAX_BROADCAST_SPLITS = 250_000
 _LINE_SEPARATOR_FREE = {"quote": "", "escape": ""}
 
 
@@ -177,32 +179,39 @@ def read_exons(spark: SparkSession, path: str) -> DataFrame:
 def with_file_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a freshly read file source in file order, then line order.
 
-    Rows keep their place: a column-free pass counts the rows of every input split,
-    and each row adds its place in the split to the start of the split. Wide rows are
-    never shuffled. Apply it directly to the reader's result.
+    Rows keep their place: a column-free pass counts the rows of every input split once, and
+    each row adds its place in the split to the start of the split. The starts are written,
+    so later queries do not count again; a split is named by a hash of its file and its first byte, and
+    only whole files are put in order in one task. Wide rows are never shuffled. Apply it directly to
+    the reader's result.
     """
-    spark = df.sparkSession
     placed = df.select(
         "*",
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__mono"),
     )
-    splits = placed.groupBy("__file", "__start").agg(
-        F.count("*").alias("__n"), F.min("__mono").alias("__first")
-    )
-    n_files = len(df.inputFiles())
-    n_tasks = df.rdd.getNumPartitions()
-    if n_files + n_tasks > _MAX_BROADCAST_SPLITS:
+    if len(df.inputFiles()) + df.rdd.getNumPartitions() > _MAX_BROADCAST_SPLITS:
         return number_rows(placed, ["__file", "__start", "__mono"], name).drop(
             "__file", "__start", "__mono"
         )
-    starts = bucket_offsets(splits, ["__file", "__start"])
-    place = F.col("__mono") - F.col("__first") + F.col("__offset")
+    splits = placed.groupBy("__file", "__start").agg(F.count("*").alias("__k"), F.min("__mono").alias("__first"))
+    before = W.partitionBy("__file").orderBy("__start").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0)))
+    files = bucket_offsets(splits.groupBy("__file").agg(F.sum("__k").alias("__n")), ["__file"])
+    starts = write_through(
+        splits.join(files, "__file").select(
+            F.xxhash64("__file").alias("__name"),
+            "__start",
+            (F.col("__offset") + F.col("__before") - F.col("__first")).alias("__shift"),
+        ),
+        "file-offsets",
+    )
     return (
-        placed.join(F.broadcast(starts), ["__file", "__start"])
-        .withColumn(name, place)
-        .drop("__file", "__start", "__mono", "__n", "__first", "__offset")
+        placed.withColumn("__name", F.xxhash64("__file"))
+        .join(F.broadcast(starts), ["__name", "__start"])
+        .withColumn(name, F.col("__mono") + F.col("__shift"))
+        .drop("__file", "__start", "__mono", "__name", "__shift")
     )
 
 
