@@ -175,20 +175,21 @@ class PairTable:
         self.in_a, self.in_b, self.long = Ragged(np.int32), Ragged(np.int32), Ragged(np.int32)
         self.links = Ragged(np.int64)
 
-    def add(self, parts: set[str]) -> None:
+    def add(self, cut: list[list[str]]) -> None:
+        """Align the parts of texts that the table does not hold yet."""
         if len(self.codes) > TABLE or self.size > TABLE_BYTES:
             self.clear()
+        new = set(chain.from_iterable(cut)).difference(self.codes)
+        # Parts stand behind each other in one call; white space at either end of a text would meet the next one.
+        edges = {p for parts in cut if parts for p in (parts[0], parts[-1]) if p[0].isspace() or p[-1].isspace()}
+        alone = new & edges
+        for part in alone:
+            self._align([part])
         group, size = [], 0
-        for part in parts:
-            if part in self.codes:
-                continue
-            # Parts stand behind each other in one call; white space at an end would meet the next one.
-            if part[:1].isspace() or part[-1:].isspace() or size + len(part) > CALL:
+        for part in new - alone:
+            if size > CALL:
                 self._align(group)
                 group, size = [], 0
-                if part[:1].isspace() or part[-1:].isspace():
-                    self._align([part])
-                    continue
             group.append(part)
             size += len(part)
         self._align(group)
@@ -280,7 +281,7 @@ def _align(path_a: str, path_b: str, text_col: str, want: tuple[str, ...]):
             for at, stop in spans(text_bytes(texts)[1]):
                 part = batch.slice(at, stop - at)
                 cut = [GAP.split(t) if t else [] for t in texts.slice(at, stop - at).to_pylist()]
-                table.add(set(chain.from_iterable(cut)))
+                table.add(cut)
                 rows = []
                 for parts in cut:
                     codes = np.array(list(map(table.codes.__getitem__, parts)), np.int64)
