@@ -340,14 +340,23 @@ def repeated_starts(
 
 
 def _bodies(length: int):
+    """The bytes of the contexts that are fetched from each text."""
+
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("_text"))
-            start, n = batch.column("start").to_numpy(), batch.column("n").to_numpy()
-            lo = offsets[:-1] + start
-            bodies = [data[a:b].tobytes() for a, b in zip(lo.tolist(), (lo + n - 1 + length).tolist())]
-            kept = ["key", "content", "n", "weight"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(bodies, pa.binary())], [*kept, "body"])
+            listed = batch.column("_contexts")
+            row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy())
+            key, content, start, n, weight = listed.flatten().flatten()
+            lo = offsets[row] + start.to_numpy()
+            hi = lo + n.to_numpy() - 1 + length
+            for at in range(0, len(row), 4096):
+                part = slice(at, at + 4096)
+                bodies = [data[a:b].tobytes() for a, b in zip(lo[part].tolist(), hi[part].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*[x.slice(at, 4096) for x in (key, content, n, weight)], pa.array(bodies, pa.binary())],
+                    ["key", "content", "n", "weight", "body"],
+                )
 
     return run
 
@@ -459,9 +468,16 @@ def repeated_windows(
     distinct = open_.groupBy("key", "content").agg(
         F.count("*").alias("weight"), F.min(F.struct("_k1", "_k2", "start", "n")).alias("one")
     )
+    # One row a text, so that a long one does not travel once for each of its contexts.
+    listed = (
+        distinct.select("key", "content", "weight", "one.*")
+        .groupBy("_k1", "_k2")
+        .agg(F.collect_list(F.struct("key", "content", "start", "n", "weight")).alias("_contexts"))
+    )
     fetched = (
         texts.select("_k1", "_k2", "_text")
-        .join(distinct.select("key", "content", "weight", "one.*"), ["_k1", "_k2"])
+        .join(listed, ["_k1", "_k2"])
+        .select("_text", "_contexts")
         .mapInArrow(_bodies(length), "key long, content long, n int, weight long, body binary")
     )
     marked = (
