@@ -29,6 +29,8 @@ BLOCK_LANGS = 64
 ALPHA = 0.1
 LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 18
+#: Entries of the sparse product that are held at a time.
+_ENTRIES = 1 << 20
 
 
 def gram_buckets(text: str):
@@ -78,20 +80,47 @@ class Model:
     def __init__(self, langs: list[str], prior: np.ndarray, log_prob: np.ndarray):
         self.langs, self.prior, self.log_prob = langs, prior, log_prob
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(language, its score, sum of the block's likelihoods over the best one)."""
-        if not self.langs or not text or not LETTER.search(text):
-            return "und", 0.0, np.inf
-        score = self.prior.copy()
-        for buckets in gram_buckets(text):
-            if len(buckets) > BUCKETS:
-                counts = np.bincount(buckets, minlength=BUCKETS)
-                at = np.flatnonzero(counts)
-                score += counts[at] @ self.log_prob[at].astype(np.float64)
-            else:
-                score += self.log_prob[buckets].sum(0, dtype=np.float64)
-        best = int(score.argmax())
-        return self.langs[best], float(score[best]), float(np.exp(score - score[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, its score, sum of the block's likelihoods over the best one) of each text of a batch.
+
+        The grams of the batch are the entries of a sparse matrix of texts by buckets; its product with
+        the log-probabilities is summed up by text, in pieces of ``_ENTRIES`` entries.
+        """
+        if not self.langs:
+            return [("und", 0.0, np.inf)] * len(texts)
+        total = np.tile(self.prior, (len(texts), 1))
+        lettered = np.zeros(len(texts), bool)
+        held, rows, n = [], [], 0
+        for i, text in enumerate(texts):
+            if not text or not LETTER.search(text):
+                continue
+            lettered[i] = True
+            for buckets in gram_buckets(text):
+                if len(buckets) > BUCKETS:
+                    counts = np.bincount(buckets, minlength=BUCKETS)
+                    at = np.flatnonzero(counts)
+                    total[i] += counts[at] @ self.log_prob[at].astype(np.float64)
+                    continue
+                held.append(buckets)
+                rows.append(i)
+                n += len(buckets)
+                if n * len(self.langs) > _ENTRIES:
+                    self._add(total, held, rows)
+                    held, rows, n = [], [], 0
+        self._add(total, held, rows)
+        best = total.argmax(1)
+        top = total[np.arange(len(texts)), best]
+        sums = np.exp(total - top[:, None]).sum(1)
+        return [
+            (self.langs[b], float(t), float(s)) if ok else ("und", 0.0, np.inf)
+            for ok, b, t, s in zip(lettered, best.tolist(), top, sums)
+        ]
+
+    def _add(self, total: np.ndarray, held: list[np.ndarray], rows: list[int]) -> None:
+        if held:
+            starts = np.cumsum([0, *map(len, held[:-1])])
+            sums = np.add.reduceat(self.log_prob[np.concatenate(held)], starts, axis=0, dtype=np.float64)
+            np.add.at(total, rows, sums)
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, block_langs: int = BLOCK_LANGS) -> Iterator[Model]:
@@ -143,7 +172,7 @@ def identify(
         if k:
             # Written, so that each block's broadcast is used in one pass only.
             state = stored(state, "language-scores")
-        state = state.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), made)
+        state = state.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.log_prob))), made)
     score = (1.0 / F.col("_sum")).alias("score")
     return state.select(F.col("_id").alias(id_col), "held_out", F.col("_lang").alias("lang_pred"), score)
 
@@ -155,11 +184,11 @@ def _score(shared):
     """Merge what the languages of one block say into the best language so far and the sum over its likelihood."""
 
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             made = []
-            for text, *old in zip(*[batch.column(c).to_pylist() for c in ("_text", *_STATE)]):
-                new = model.predict(text)
+            texts = batch.column("_text").to_pylist()
+            for new, *old in zip(model.predict(texts), *[batch.column(c).to_pylist() for c in _STATE]):
                 # Texts without a letter have an infinite sum, so their score is 0.
                 if old[0] is not None and not np.isinf(new[2]):
                     # The earlier block has the smaller names, so it keeps ties.

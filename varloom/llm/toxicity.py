@@ -240,10 +240,11 @@ def score_toxicity(
     # The sample's ids are at most fit_rows long, which bounds the broadcast.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     labelled = texts.join(F.broadcast(sample), "_id").select("_text", "_label")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled))
+    fitted = fit(labelled)
+    shared = docs.sparkSession.sparkContext.broadcast((np.arange(BUCKETS), fitted.weights, fitted.bias))
 
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             scores = np.array([model.score(t) for t in batch.column("_text").to_pylist()], float)
             yield pa.RecordBatch.from_arrays(
