@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -438,6 +439,106 @@ def test_grams_of_pieces_are_those_of_the_text(monkeypatch):
     assert (whole == parts).all()
 
 
+def plain_bayes(rows):
+    """Naive Bayes with dictionaries over hashed grams, one gram at a time."""
+    word = (1 << 64) - 1
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & word
+        return x ^ (x >> 32)
+
+    def grams(text):
+        points = [ord(c) for c in text.lower()]
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                h = n
+                for k in range(n):
+                    h = (h * 0x9E3779B97F4A7C15 + points[i + k]) & word
+                yield mixed(h) >> 48
+
+    def has_letter(text):
+        return bool(text) and any(c.isalpha() for c in text)
+
+    counts, seen = {}, Counter()
+    for i, text, lang in rows:
+        if i is None or lang is None or zlib.crc32(str(i).encode()) % 3 == 1:
+            continue
+        seen[lang] += 1
+        counts.setdefault(lang, Counter()).update(grams(text) if has_letter(text) else ())
+    out = {}
+    for i, text, _ in rows:
+        if not has_letter(text) or not seen:
+            out[i] = ("und", 0.0)
+            continue
+        scores = {}
+        for lang in sorted(seen):
+            total = sum(counts[lang].values()) + 0.1 * 65536
+            scores[lang] = math.log(seen[lang] / sum(seen.values())) + sum(
+                n * math.log((counts[lang][g] + 0.1) / total) for g, n in Counter(grams(text)).items()
+            )
+        best = max(scores, key=scores.get)
+        out[i] = (best, 1 / sum(math.exp(x - scores[best]) for x in scores.values()))
+    return out
+
+
+@pytest.mark.parametrize("block", [64, 2])
+def test_language_equals_plain_bayes(spark, monkeypatch, block):
+    rng = random.Random(4)
+    kinds = {"a": "aabcde", "b": "abbcdf", "c": "abccdg", "d": "abcdeé", "e": "xyzab "}
+    rows = [
+        (i, "".join(rng.choice(kinds[lang] + "ABC  12") for _ in range(rng.choice([0, 1, 3, 8, 30, 200]))), lang if i % 9 else None)
+        for i, lang in enumerate(rng.choices("abcde", k=150))
+    ]
+    rows += [(1000, None, "a"), (1001, "123 !", "b"), (1002, "x" * 3000, "e")]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), block_langs=block).collect()
+    want = plain_bayes(rows)
+    for r in got:
+        assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], rel=1e-3, abs=1e-6)
+
+
+def plain_label_model(votes, gold, rounds):
+    """The same estimate row by row and voter by voter, without correlations."""
+    x = [[*v, g] for v, g in zip(votes, gold)]
+    post = [0.05 + 0.9 * g for g in gold]
+    for _ in range(rounds):
+        n1 = sum(post)
+        n0 = len(post) - n1
+        prior = ((n1 + 1) / (len(post) + 2), (n0 + 1) / (len(post) + 2))
+        on = [[(sum(w * r[j] for w, r in zip(ws, x)) + 0.5) / (n + 1) for j in range(len(x[0]))] for ws, n in (([1 - p for p in post], n0), (post, n1))]
+        new = []
+        for r in x:
+            z = math.log(prior[0] / prior[1])
+            for j, v in enumerate(r):
+                z += math.log(on[1][j] / on[0][j]) if v else math.log((1 - on[1][j]) / (1 - on[0][j]))
+            new.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        post = new
+    return post
+
+
+def test_label_model_equals_a_plain_one():
+    rng = random.Random(3)
+    truth = [int(rng.random() < 0.3) for _ in range(200)]
+    votes = np.array([[int(rng.random() < (a if t else 1 - a)) for a in (0.9, 0.8, 0.7)] for t in truth])
+    gold = np.array([t if rng.random() < 0.95 else 1 - t for t in truth])
+    # Up to five rounds no correlation is looked for.
+    got, _, share = toxicity.label_model(votes, gold, rounds=5)
+    assert got == pytest.approx(plain_label_model(votes.tolist(), gold.tolist(), 5), rel=1e-9) and (share == 1).all()
+    full, rate, share = toxicity.label_model(np.column_stack([votes, votes[:, 0]]), gold)
+    assert share[0] == share[3] == 0.5 and share[1] == 1
+    assert np.mean((full > 0.5) == np.array(truth)) > 0.9 and (rate[1] > rate[0]).all()
+
+
+def test_regression_ends_where_the_gradient_is_zero():
+    rng = np.random.default_rng(2)
+    dense = rng.random((300, 6)) < 0.4
+    target = 1 / (1 + np.exp(-(dense @ [2.0, -1.0, 0.5, 0, 0, 1] - 1)))
+    rows, columns = np.nonzero(dense)
+    w, b = toxicity.fit_linear(rows, columns, target, 6, penalty=0.01, rounds=3000)
+    error = 1 / (1 + np.exp(-(dense @ w + b))) - target
+    assert np.abs(dense.T @ error / 300 + 0.01 * w).max() < 1e-3 and abs(error.mean()) < 1e-3
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     data, labels = [], []
@@ -601,6 +702,26 @@ def test_top_k(spark):
     assert not set(answer) & {400, 401, 402, 403, 404, None}
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(exact_topk, "SHARD", 30)
+    rows = []
+    for i in range(120):
+        large = [0.0, 0.0, 1e7, -1e7, 1e12, 3e13][rng.randrange(6)]
+        rows.append((i, [large, rng.uniform(-2, 2), rng.uniform(-1e3, 1e3), float(rng.randrange(-3, 4))]))
+    rows += [(200, [2.0**53, 0.25, 0.0, 0.0]), (201, [0.0, 1.0, 0.0, 0.0]), (202, [1e300, 0.0, 0.0, 0.0])]
+    got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=5)
+    low, high = -(2**63) + 1, 2**63 - 1
+    whole = {i: [max(low - 1, min(high, math.floor(256 * x))) for x in v] for i, v in rows}
+    answer = {}
+    for r in got.collect():
+        answer.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in [i for i in whole if i % 10 == 0]:
+        scores = {i: max(low, min(high, sum(a * b for a, b in zip(whole[q], v)))) for i, v in whole.items() if i != q}
+        order = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+        assert sorted(answer[q]) == [(n + 1, i, scores[i]) for n, i in enumerate(order)]
+
+
 def test_top_k_in_many_shards(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "SHARD", 40)
     rng = np.random.default_rng(6)
@@ -618,3 +739,32 @@ def test_top_k_in_many_shards(spark, monkeypatch):
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert exact_topk.top_k(df, F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_texts_beyond_a_chunk(spark):
+    text = prose(7, 260_000)
+    assert len(text) > 1.4 * (1 << 20)
+    cut = text[700_000:1_200_000]
+    docs = spark.createDataFrame([(1, text), (2, "other words before " + cut), (3, text + " tail"), (4, "small")], "doc_id long, text string")
+    pair = docs.filter("doc_id < 3")
+    by_id = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(pair).collect()}
+    assert by_id[1]["n_removed"] == by_id[2]["n_removed"] == len(cut) and by_id[1]["n_spans"] == 1
+    by_id = {r["doc_id"]: r for r in chunk_dedup.remove_repeats(pair).collect()}
+    assert by_id[1]["n_removed"] == 0 and len(cut) <= by_id[2]["n_removed"] <= len(cut) + 3
+    groups = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert groups == {1: 1, 2: 2, 3: 1, 4: 4}
+    pages = spark.createDataFrame([(1, "http://h/", f"<nav>m</nav><article><p>{text}</p></article>")], "page_id long, url string, html string")
+    assert page_text.extract_text(pages).first()["text"] == " ".join(text.split())
+
+
+def test_empty_tables_of_the_other_operators(spark, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(none, labels).count() == 0 and minhash.near_duplicates(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert page_text.extract_text(pages).count() == 0
+    assert exact_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_pieces_with_dotted_columns(spark):
+    docs = spark.createDataFrame([(1, "two words", 3)], "doc_id long, text string, `a.b` int")
+    assert piece_table.encode(docs, ("n_tokens",)).first()["a.b"] == 3

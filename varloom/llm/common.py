@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from varloom.session import fresh_path
 
@@ -35,6 +36,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_rows(df: DataFrame, kept: list[str], used: dict[str, Column], run, made: dict[str, str]) -> DataFrame:
+    """``mapInArrow`` over the ``used`` columns, with the kept columns carried along in ``_row``.
+
+    In a struct none of their names, dots included, can clash with anything. ``made`` names the new
+    columns and their types; ``run`` gives ``_row`` and these.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("_"))
+    source = df.select(row.alias("_row"), *[c.alias(n) for n, c in used.items()])
+    schema = StructType([source.schema["_row"], *[StructField(n, DataType.fromDDL(t)) for n, t in made.items()]])
+    return source.mapInArrow(run, schema).select(*[F.col(f"_row.`{c}`") for c in kept], *made)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts of a batch and the offsets of each; null is empty."""
     a = pc.fill_null(column.cast(pa.large_string()), "")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from varloom.llm.common import spans, text_bytes
+from varloom.llm.common import map_rows, spans, text_bytes
 
 TABLE = 400_000
 MARK = "▁"
@@ -156,7 +156,7 @@ def _encode(path: str, text_col: str, want: tuple[str, ...]):
 
 
 TYPES = {
-    "n_tokens": "long",
+    "n_tokens": "bigint",
     "ids_sha256": "string",
     "decoded_sha256": "string",
     "ids": "array<int>",
@@ -171,8 +171,6 @@ def encode(
     model: str | None = None,
 ) -> DataFrame:
     """``docs`` without the text, with the wanted columns of ``TYPES``; same-named columns are replaced."""
-    kept = [f for f in docs.schema if f.name not in want and f.name != text_col]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{w} {TYPES[w]}" for w in want])
-    return docs.select(*[f.name for f in kept], F.col(text_col)).mapInArrow(
-        _encode(model or default_model(), text_col, want), schema
-    )
+    kept = [c for c in docs.columns if c not in want and c != text_col]
+    run = _encode(model or default_model(), "_text", want)
+    return map_rows(docs, kept, {"_text": F.col(f"`{text_col}`")}, run, {w: TYPES[w] for w in want})

@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from varloom.llm.common import spans, stored, text_bytes
+from varloom.llm.common import map_rows, spans, stored, text_bytes
 from varloom.llm.piece_table import MARK, check_model
 
 #: Distinct parts, and bytes of them, that a task keeps.
@@ -326,10 +326,9 @@ def align(
     takes, ``group_bytes`` the bytes of each group, ``links`` the pairs that end together, each as
     ``a * size of vocabulary B + b``.
     """
-    kept = [f for f in docs.schema if f.name not in want and f.name != text_col]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{w} {OUTPUTS[w]}" for w in want])
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`"))
-    return source.mapInArrow(_align(*(paths or default_paths()), text_col, want), schema)
+    kept = [c for c in docs.columns if c not in want and c != text_col]
+    run = _align(*(paths or default_paths()), "_text", want)
+    return map_rows(docs, kept, {"_text": F.col(f"`{text_col}`")}, run, {w: OUTPUTS[w] for w in want})
 
 
 def _score(table, n_b: int):
@@ -372,6 +371,5 @@ def align_scored(docs: DataFrame, text_col: str = "text", paths: tuple[str, str]
     highest = np.zeros(n_b, np.int64)
     np.maximum.at(highest, codes % n_b, counts)
     table = docs.sparkSession.sparkContext.broadcast((codes, counts, (counts == highest[codes % n_b]).astype(np.int64)))
-    kept = [f for f in aligned.schema if f.name != "links"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_best bigint, count_sum bigint"
-    return aligned.select(*[F.col(f"`{f.name}`") for f in kept], "links").mapInArrow(_score(table, n_b), schema)
+    kept = [c for c in aligned.columns if c != "links"]
+    return map_rows(aligned, kept, {"links": F.col("links")}, _score(table, n_b), {"n_best": "bigint", "count_sum": "bigint"})
