@@ -404,20 +404,24 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n_distinct), exact.
 
-    Cells are made distinct in long form, with partial results in each task, and then counted.
+    Columns of one type are made distinct together in long form, with partial results in each task, and
+    then counted; values keep their type.
     """
-
-    def cell(c: str) -> Column:
-        numeric = df.schema[c].dataType.typeName() in ("double", "float")
-        # Adding zero makes one of the two zeros.
-        return (F.col(c) + F.lit(0.0) if numeric else F.col(c)).cast("string")
-
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), cell(c).alias("value")) for c in columns])
-    counted = (
-        df.select(F.inline(cells)).distinct().groupBy("column").agg(F.count("value").alias("n_distinct"))
-    )
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(counted, "column", "left").fillna({"n_distinct": 0})
+    counted = []
+    for kind, some in kinds.items():
+        # Adding zero makes one of the two zeros.
+        value = [F.col(c) + F.lit(0.0).cast(kind) if kind in ("double", "float") else F.col(c) for c in some]
+        cells = F.array(*[F.struct(F.lit(i).alias("place"), v.alias("value")) for i, v in enumerate(value)])
+        distinct = df.select(F.inline(cells)).distinct().groupBy("place").agg(F.count("value").alias("n_distinct"))
+        column = F.get(F.array(*map(F.lit, some)), F.col("place")).alias("column")
+        counted.append(distinct.select(column, "n_distinct"))
+    if not counted:
+        return names.withColumn("n_distinct", F.lit(0).cast("long"))
+    return names.join(reduce(DataFrame.unionAll, counted), "column", "left").fillna({"n_distinct": 0})
 
 
 def array_distinct_counts(

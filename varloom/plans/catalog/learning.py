@@ -623,18 +623,17 @@ FROM p GROUP BY chrom
 
 @query("flagship_score_by_chromosome", with_views(FLAGSHIP_SQL))
 def flagship(spark, d):
-    """Ids, target, cap, split, scaler, join by position, linear score, confusion by chromosome."""
+    """Ids, target, cap, split, scaler, linear score, confusion by chromosome."""
     v = views.numbered(spark, d)
-    ids = v.select("row_id", vx.variant_id_from_alt(*[F.col(c) for c in KEY]).alias("variant_id"))
+    name = vx.variant_id_from_alt(*[F.col(c) for c in KEY]).alias("variant_id")
     capped = [F.least(F.col(f), F.lit(65500.0)).alias(f) for f in FEATURES]
-    rows = v.select("row_id", relabel(F.col("y")).alias("target"), *capped)
+    rows = v.select("row_id", name, relabel(F.col("y")).alias("target"), *capped)
     flagged = splits.exact_split(rows, 0.3, 42)
     scaler = stats.column_scaler(flagged.filter(~F.col("is_test")), FEATURES)
     scale = {r["column"]: r["scale"] for r in scaler.collect()}
     scaled = [F.col(f) / scale[f] for f in FEATURES]
     margin = sx.linear_margin(scaled, (0.4, -0.3, 0.2, -0.2), 0.1)
-    test = joins.attach_ids(flagged.filter("is_test"), ids)
-    scored = test.select(
+    scored = flagged.filter("is_test").select(
         vx.parse_variant_id(F.col("variant_id"))["chrom"].alias("chrom"),
         "target",
         (margin > 0).cast("int").alias("predicted"),
