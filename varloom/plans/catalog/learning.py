@@ -199,7 +199,7 @@ def _wide(spark, d) -> DataFrame:
 def _gradient(spark, d, penalty: models.Penalty) -> DataFrame:
     data = _wide(spark, d)
     found = models.penalised_gradient(models.fit_logistic(data, penalty, **FIT), data, penalty)
-    return found.withColumn("gradient", F.round("gradient", 5) + 0.0).withColumn("n_rows", F.lit(data.count()))
+    return found.withColumn("gradient", F.round("gradient", 5) + 0.0).withColumn("n_rows", F.lit(data.count()).cast("long"))
 
 
 @query("ml09_wide_fit", ZERO_SQL)
