@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from varloom.llm.common import keyed, spans, stored, text_bytes
+from varloom.llm.common import FILTER_BITS, bit_filter, keyed, spans, stored, text_bytes
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: Four bits that the last 13 to 16 bytes decide: chunks of 31 bytes on average, so that a passage of fifty
@@ -37,8 +37,6 @@ SHORTEST, LONGEST = 16, 256
 #: Bytes beside a run that are compared: an end can lie a whole chunk, and what it skips, inside a passage.
 REACH = LONGEST + 64
 MIN_RUN = 120
-#: Bits of the filter of digests that come back, 8 MB. Where it is full the join alone sorts out the rest.
-FILTER_BITS = 26
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "n_repeated")
 
 
@@ -140,18 +138,6 @@ def _chunks(batches):
             yield batch, row, start - base, stop - start, edge, names
 
 
-def repeated_filter(again: DataFrame) -> np.ndarray:
-    """Bits of all repeated half digests, put together in Spark; its size is fixed."""
-    bit = F.col("d1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = again.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(d1 & 63 as int))")).alias("bits")
-    )
-    table = words.toArrow()
-    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    filled[np.asarray(table.column("word"), np.int64)] = np.asarray(table.column("bits"), np.int64)
-    return filled
-
-
 def shared_end(a: bytes, b: bytes) -> int:
     """Length of the longest common suffix."""
     n = min(len(a), len(b))
@@ -269,7 +255,7 @@ def remove_repeats(
     # task. Half a digest is enough to sort out the rest: who shares only that half is its own first below.
     digests = texts.select("_text").mapInArrow(_digests, "d1 long")
     again = stored(digests.groupBy("d1").count().filter("count > 1").select("d1"), "repeated-digests")
-    words = docs.sparkSession.sparkContext.broadcast(repeated_filter(again))
+    words = docs.sparkSession.sparkContext.broadcast(bit_filter(again, "d1"))
     chunks = texts.mapInArrow(_chunk_rows(words), f"_id {kind}, _k2 long, d1 long, d2 long, start int, size int, edge byte")
     hits = stored(chunks.join(again, "d1"), "repeated-chunks")
     firsts = hits.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_k2", "start")).alias("first"))

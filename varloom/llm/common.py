@@ -14,6 +14,8 @@ from varloom.session import fresh_path
 
 #: Bytes of text hashed at once inside a task.
 CHUNK = 1 << 20
+#: Bits of a filter of hashes.
+FILTER_BITS = 26
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240229)
@@ -48,6 +50,22 @@ def map_rows(df: DataFrame, kept: list[str], used: dict[str, Column], run, made:
     return source.mapInArrow(run, schema).select(*[F.col(f"_row.`{c}`") for c in kept], *made)
 
 
+def bit_filter(df: DataFrame, column: str) -> np.ndarray:
+    """One bit for each hash of a column, by its low ``FILTER_BITS`` bits, put together in Spark.
+
+    Its size is fixed: 64-bit words for 8 MB. What it lets through by chance a join sorts out, and where it
+    is full the join does all the work.
+    """
+    bit = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = df.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")).alias("bits")
+    )
+    table = words.toArrow()
+    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    filled[np.asarray(table.column("word"), np.int64)] = np.asarray(table.column("bits"), np.int64)
+    return filled
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts of a batch and the offsets of each; null is empty."""
     a = pc.fill_null(column.cast(pa.large_string()), "")

@@ -8,12 +8,16 @@ on ``MIN_PAGES`` pages of the host or more are boilerplate and go; the unique ru
 
 Token streams of a host are not put into one task, however large it is. A window of ``MIN_TOKENS`` tokens
 belongs to the smallest hash of its ``GRAM`` tokens; equal windows share that anchor. Windows side by side
-with one anchor are a context. Only contexts travel whose anchor stands on enough pages, equal ones
-as one row with the number of their pages; where one anchor has many different contexts they are cut
+with one anchor are a context. Repeats matter where text is in doubt, so only contexts travel whose anchor
+stands in such text somewhere, from all text of all pages, and on enough pages; equal ones are one row
+with the number of their pages. Where one anchor has many different contexts they are cut
 into their windows, whose own tokens are then the anchor. The tokens of each shard of anchors are
 concatenated and sorted as a suffix array as deep as a window, whose equal neighbours are the repeats. Pages
 count once for a window: a page marks which of its windows it holds for the first time.
 
+``n_covered`` counts the covered tokens of all of a page's text, as far as their windows stand in text in
+doubt on some page; where markup decides everywhere, nothing is searched.
+
 Defined cases: null html counts as empty and gives an empty text; a null url belongs to the host
 without a name; unclosed tags and cut-off pages are read as far as they go; repeated page ids are
 separate pages. ``text`` and ``n_chars`` replace columns of that name, others are carried along.
@@ -28,9 +32,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from varloom.llm.common import mix, stored
+from varloom.llm.common import FILTER_BITS, bit_filter, mix, stored
 
 MIN_TOKENS = 8
 MIN_PAGES = 3
@@ -238,47 +242,69 @@ def _parse(batches):
                     part.column("_host"),
                     pa.array([[text for text, _ in page] for page in parsed], pa.list_(pa.string())),
                     pa.array([[zone for _, zone in page] for page in parsed], pa.list_(pa.string())),
+                    pa.array([bool(in_doubt([zone for _, zone in page])) for page in parsed], pa.bool_()),
                 ],
-                ["_row", "_host", "_texts", "_zones"],
+                ["_row", "_host", "_texts", "_zones", "_doubt"],
             )
 
 
+def in_doubt(zones: list[str]) -> set[str]:
+    """Zones whose text repeats decide on a page."""
+    marked = "main" in zones or "doubt" in zones
+    return {"doubt"} & set(zones) if marked else {"free"} & set(zones)
+
+
 def _pages(batches):
-    """(page, host, token names, tokens) of each page."""
+    """(page, host, token names, tokens, which tokens are in doubt) of each page."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            for key, host, texts in zip(*[part.column(c).to_pylist() for c in ("_page", "_host", "_texts")]):
-                tokens = [t for text in texts for t in text.split(" ")]
-                yield key, host, token_names(tokens), tokens
-
-
-def _anchors(batches):
-    """Each anchor of a page, once."""
-    for _, host, names, _ in _pages(batches):
-        made = np.unique(contexts(names, host)[0])
+            columns = [part.column(c).to_pylist() for c in ("_page", "_host", "_texts", "_zones")]
+            for key, host, texts, zones in zip(*columns):
+                words = [text.split(" ") for text in texts]
+                tokens = [t for some in words for t in some]
+                open_ = in_doubt(zones)
+                doubt = np.repeat(np.array([z in open_ for z in zones], bool), list(map(len, words)))
+                yield key, host, token_names(tokens), tokens, doubt
+
+
+def _doubtful_anchors(batches):
+    """Anchors of the contexts that touch text in doubt, once a page."""
+    for _, host, names, _, doubt in _pages(batches):
+        anchor, starts, sizes, _ = contexts(names, host)
+        upto = np.append(0, np.cumsum(doubt))
+        made = np.unique(anchor[upto[starts + sizes + MIN_TOKENS - 1] > upto[starts]])
         if len(made):
             yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], ["anchor"])
 
 
-def _context_rows(batches):
-    for page, host, names, tokens in _pages(batches):
-        anchor, starts, sizes, new = contexts(names, host)
-        if not len(anchor):
-            continue
-        ends = (starts + sizes + MIN_TOKENS - 1).tolist()
-        body = [" ".join(tokens[a:b]) for a, b in zip(starts.tolist(), ends)]
-        flags = ["".join(map(str, new[a : a + n].astype(int))) for a, n in zip(starts.tolist(), sizes.tolist())]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(starts), page)),
-                pa.array(anchor.view(np.int64)),
-                pa.array(starts.astype(np.int32)),
-                pa.array(body, pa.string()),
-                pa.array(flags, pa.string()),
-            ],
-            ["_page", "anchor", "start", "body", "new"],
-        )
+def _context_rows(words):
+    """Contexts whose anchor passes the filter of anchors in doubt."""
+
+    def run(batches):
+        filled = words.value
+        for page, host, names, tokens, _ in _pages(batches):
+            anchor, starts, sizes, new = contexts(names, host)
+            bit = anchor.view(np.int64) & ((1 << FILTER_BITS) - 1)
+            kept = np.flatnonzero((filled[bit >> 6] >> (bit & 63)) & 1)
+            if not len(kept):
+                continue
+            anchor, starts, sizes = anchor[kept], starts[kept], sizes[kept]
+            ends = (starts + sizes + MIN_TOKENS - 1).tolist()
+            body = [" ".join(tokens[a:b]) for a, b in zip(starts.tolist(), ends)]
+            flags = ["".join("1" if x else "0" for x in new[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(starts), page)),
+                    pa.array(anchor.view(np.int64)),
+                    pa.array(starts.astype(np.int32)),
+                    pa.array(body, pa.string()),
+                    pa.array(flags, pa.string()),
+                ],
+                _NAMES,
+            )
+
+    return run
 
 
 def _shards(batches):
@@ -341,12 +367,22 @@ _NAMES = ["_page", "anchor", "start", "body", "new"]
 _CONTEXT = "_page long, anchor long, start int, body string, new string"
 
 
-def covered_places(parsed: DataFrame) -> DataFrame:
-    """(_page, _repeated): starts of the windows of a page that enough pages of its host hold."""
-    texts = parsed.select("_page", "_host", "_texts")
-    anchors = texts.mapInArrow(_anchors, "anchor long")
-    often = anchors.groupBy("anchor").count().filter(F.col("count") >= MIN_PAGES).select("anchor")
-    open_ = stored(texts.mapInArrow(_context_rows, _CONTEXT).join(often, "anchor").select(*_NAMES), "page-contexts")
+def covered_places(parsed: DataFrame) -> DataFrame | None:
+    """(_page, _repeated): starts of the windows of a page that enough pages of its host hold.
+
+    None where no text is in doubt.
+    """
+    columns = ["_page", "_host", "_texts", "_zones"]
+    doubtful = parsed.filter("_doubt").select(*columns).mapInArrow(_doubtful_anchors, "anchor long").distinct()
+    doubtful = stored(doubtful, "anchors-in-doubt")
+    if not doubtful.head(1):
+        return None
+    words = parsed.sparkSession.sparkContext.broadcast(bit_filter(doubtful, "anchor"))
+    every = parsed.select(*columns).mapInArrow(_context_rows(words), _CONTEXT)
+    met = stored(every.join(doubtful, "anchor").select(*_NAMES), "page-contexts")
+    pages = met.select("_page", "anchor").distinct().groupBy("anchor").count()
+    often = pages.filter(F.col("count") >= MIN_PAGES).select("anchor")
+    open_ = stored(met.join(often, "anchor").select(*_NAMES), "page-contexts")
 
     def distinct(rows: DataFrame) -> DataFrame:
         return rows.groupBy("anchor", "body", "new").agg(F.count("*").alias("pages"))
@@ -416,16 +452,20 @@ def extract_text(
     if parts:
         read = read.repartition(parts)
     kind = StructType([read.schema["_row"], StructField("_host", StringType())])
-    kind.add("_texts", ArrayType(StringType())).add("_zones", ArrayType(StringType()))
+    kind.add("_texts", ArrayType(StringType())).add("_zones", ArrayType(StringType())).add("_doubt", BooleanType())
     # Written once, so that the number of a page is the same in every later pass.
     parsed = stored(read.mapInArrow(_parse, kind).withColumn("_page", F.monotonically_increasing_id()), "parsed-pages")
     found = covered_places(parsed)
     made = StructType([read.schema["_row"], StructField("text", StringType())])
     for name in OUTPUTS[1:]:
         made.add(name, LongType())
+    if found is None:
+        nothing = F.lit(None).cast("array<struct<start: int, repeated: string>>")
+        placed = parsed.withColumn("_repeated", nothing)
+    else:
+        placed = parsed.join(found, "_page", "left")
     return (
-        parsed.join(found, "_page", "left")
-        .select("_row", "_texts", "_zones", "_repeated")
+        placed.select("_row", "_texts", "_zones", "_repeated")
         .mapInArrow(_extract, made)
         .select(*[F.col(f"_row.`{f.name}`") for f in carried], *OUTPUTS)
     )
