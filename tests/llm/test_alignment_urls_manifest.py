@@ -98,7 +98,8 @@ def test_alignment_keeps_small_tables(spark, tokenizers, monkeypatch):
     monkeypatch.setattr(token_spans, "TABLE", 3)
     monkeypatch.setattr(token_spans, "CALL", 40)
     for text in [t for t in ODD if t] + [prose(1, 30)]:
-        parts = token_spans.GAP.split(text)
+        parts = token_spans.parts_of(text)
+        assert parts == token_spans.GAP.split(text)
         table.add([parts])
         codes = [table.codes[p] for p in parts]
         want = plain_groups(text, tokenizers)

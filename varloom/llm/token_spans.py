@@ -2,8 +2,8 @@
 
 Tokenizer A is a byte-level BPE of the tokenizers library and gets the text behind one space; B is a
 sentencepiece model, which adds that space itself. Coarse ends come from the libraries: character
-offsets of A, turned into byte offsets, and the spans of B's piece proto. (The installed
-sentencepiece gives this proto as ``return_type="proto"``; its name "immutable_proto" is refused.) A
+offsets of A, turned into byte offsets, and the byte spans of B's pieces. (The installed sentencepiece
+refuses the name "immutable_proto"; it gives the spans of that proto as ``return_type="offset_mapping"``.) A
 token whose coarse span is not as long as its decoded bytes covers a part of a character or is a
 byte-fallback piece: its end is then counted in decoded bytes from the last token that fits.
 
@@ -38,11 +38,13 @@ from varloom.llm.common import map_rows, spans, stored, text_bytes
 from varloom.llm.piece_table import MARK, check_model
 
 #: Distinct parts, and bytes of them, that a task keeps.
-TABLE, TABLE_BYTES = 200_000, 32 << 20
+TABLE, TABLE_BYTES = 300_000, 32 << 20
 #: Characters of new parts that are tokenized in one call.
 CALL = 16_384
 #: A single space between two characters that are not white space.
 GAP = re.compile(r"(?<=\S) (?=\S)")
+#: A single space next to other white space.
+CROWDED = re.compile(r"\s | \s")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 OUTPUTS = {
@@ -50,7 +52,7 @@ OUTPUTS = {
     "n_b": "bigint",
     "n_groups": "bigint",
     "n_links": "bigint",
-    "links": "array<bigint>",
+    "links": "array<int>",
     "groups_sha256": "string",
     "a_ids": "array<int>",
     "b_ids": "array<int>",
@@ -60,6 +62,15 @@ OUTPUTS = {
 }
 
 
+def parts_of(text: str) -> list[str]:
+    """Parts of a text between single spaces, each of which belongs to the part behind it."""
+    if not text:
+        return []
+    if text[0] == " " or text[-1] == " " or CROWDED.search(text):
+        return GAP.split(text)
+    return text.split(" ")
+
+
 def default_paths() -> tuple[str, str]:
     import public_tokenizers
 
@@ -160,6 +171,8 @@ class PairTable:
         self.a, a_bytes = load_a(path_a)
         self.b, b_bytes = load_b(path_b)
         self.n_b = len(b_bytes)
+        if len(a_bytes) * self.n_b >= 1 << 31:
+            raise ValueError("a pair of these vocabularies does not fit an int")
         self.a_marked, self.b_marked = _marked(len(a_bytes), ",", "|"), _marked(self.n_b, ",", ";")
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (a_bytes, b_bytes))
         self.a_text, self.b_text = (np.frombuffer(b"".join(x), np.uint8) for x in (a_bytes, b_bytes))
@@ -173,7 +186,7 @@ class PairTable:
         self.size = 0
         self.a_ids, self.b_ids = Ragged(np.int32), Ragged(np.int32)
         self.in_a, self.in_b, self.long = Ragged(np.int32), Ragged(np.int32), Ragged(np.int32)
-        self.links = Ragged(np.int64)
+        self.links = Ragged(np.int32)
 
     def add(self, cut: list[list[str]]) -> None:
         """Align the parts of texts that the table does not hold yet."""
@@ -209,13 +222,13 @@ class PairTable:
         chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         a_end = refined_ends(chars[places[::2]], chars[places[1::2]], self.a_sizes[a])
 
-        pieces = [(x.id, x.begin, x.end) for x in self.b.encode(text, return_type="proto").pieces]
-        flat = np.fromiter(chain.from_iterable(pieces), np.int64, 3 * len(pieces)).reshape(-1, 3)
-        b = flat[:, 0]
+        pieces = self.b.encode(text, return_type="offset_mapping", return_bytes=True)
+        b = np.array(pieces["ids"], np.int64)
+        places = np.fromiter(chain.from_iterable(pieces["offsets"]), np.int64, 2 * len(b))
         # The model's own space stands before the text, so spans are one byte later; the first piece starts at it.
-        b_from = flat[:, 1] + 1
+        b_from = places[::2] + 1
         b_from[0] = 0
-        b_end = refined_ends(b_from, flat[:, 2] + 1, self.b_sizes[b])
+        b_end = refined_ends(b_from, places[1::2] + 1, self.b_sizes[b])
 
         same = self._bytes(self.a_text, self.a_at, self.a_sizes, a) == data.tobytes() == self._bytes(
             self.b_text, self.b_at, self.b_sizes, b
@@ -280,7 +293,7 @@ def _align(path_a: str, path_b: str, text_col: str, want: tuple[str, ...]):
             texts = pc.fill_null(batch.column(text_col), "")
             for at, stop in spans(text_bytes(texts)[1]):
                 part = batch.slice(at, stop - at)
-                cut = [GAP.split(t) if t else [] for t in texts.slice(at, stop - at).to_pylist()]
+                cut = [parts_of(t) for t in texts.slice(at, stop - at).to_pylist()]
                 table.add(cut)
                 rows = []
                 for parts in cut:
@@ -337,7 +350,7 @@ def _score(table, n_b: int):
         for batch in batches:
             links = batch.column("links")
             ends = links.offsets.to_numpy() - links.offsets[0].as_py()
-            at = np.searchsorted(codes, links.flatten().to_numpy())
+            at = np.searchsorted(codes, links.flatten().to_numpy().astype(np.int64))
             sums = np.append(0, np.cumsum(counts[at]))[ends]
             hits = np.append(0, np.cumsum(best[at]))[ends]
             kept = [c for c in batch.schema.names if c != "links"]
