@@ -91,20 +91,19 @@ def lookup(ids: DataFrame, store: DataFrame, key: str = "variant_id") -> DataFra
 
     ``store`` holds each id once. The list's ``row_id`` keeps its order. The check is a filter, so a
     count alone fails as well. A list of at most ``MAX_BROADCAST_IDS`` entries goes to the records, which
-    then stay where they are; a longer one meets them by key.
+    then stay where they are, once a count over the keys has found them all; a longer one meets them by key.
     """
     found = store.drop("row_id")
     absent = F.raise_error(F.concat(F.lit("no record for id "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    if ids.limit(MAX_BROADCAST_IDS + 1).count() > MAX_BROADCAST_IDS:
-        joined = ids.join(found.withColumn("__found", F.lit(True)), key, "left")
-        return joined.filter(F.when(F.col("__found"), True).otherwise(absent)).drop("__found")
-    hits = found.join(F.broadcast(ids), key).select(key, *[c for c in ids.columns if c != key], *[c for c in found.columns if c != key])
-    held = found.select(key).join(F.broadcast(ids.select(key).distinct()), key, "left_semi")
-    # The check reads the joined flag, so it cannot be moved in front of the join.
-    checked = ids.join(held.withColumn("__found", F.lit(True)), key, "left")
-    missing = checked.filter(F.when(F.col("__found"), False).otherwise(absent))
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in hits.schema]
-    return hits.unionAll(missing.select(*nothing))
+    n_ids = ids.limit(MAX_BROADCAST_IDS + 1).count()
+    checked = found.withColumn("__found", F.lit(True))
+    if n_ids <= MAX_BROADCAST_IDS:
+        # As many records as entries: no id is missing, and the records need not move.
+        if found.select(key).join(F.broadcast(ids.select(key)), key).count() == n_ids:
+            rest = [[c for c in df.columns if c != key] for df in (ids, found)]
+            return found.join(F.broadcast(ids), key).select(key, *rest[0], *rest[1])
+    joined = ids.join(checked, key, "left")
+    return joined.filter(F.when(F.col("__found"), True).otherwise(absent)).drop("__found")
 
 
 def inner_on_variant(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -341,11 +340,13 @@ def overlap_join(variants: DataFrame, spans: DataFrame, bin_size: int = 4096) ->
     cells are split at run time by adaptive skew handling, since the join is an ordinary equi-join.
     """
     start, end, s_start, s_end = map(F.col, ("start", "end", "span_start", "span_end"))
-    # At most nine levels a side.
-    used = [
-        [r[0] for r in df.select(_level(a, b, bin_size).alias("l")).distinct().collect()]
-        for df, a, b in ((variants, start, end), (spans, s_start, s_end))
-    ]
+    # One bit for each of the nine levels that a side uses.
+    used = []
+    for df, a, b in ((variants, start, end), (spans, s_start, s_end)):
+        level = _level(a, b, bin_size)
+        bit = reduce(lambda other, k: F.when(level == k, 1 << k).otherwise(other), range(_LEVELS + 1), F.lit(0))
+        bits = df.select(bit.alias("b")).agg(F.bit_or("b")).first()[0] or 0
+        used.append([k for k in range(_LEVELS + 1) if bits >> k & 1])
     v = _in_cells(variants, start, end, bin_size, used[1]).withColumnRenamed("__guest", "__v_guest")
     s = _in_cells(spans, s_start, s_end, bin_size, used[0]).withColumnRenamed("__guest", "__s_guest")
     first_bin = F.floor(F.greatest("start", "span_start") / _width(F.col("__level"), bin_size))

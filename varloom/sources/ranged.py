@@ -12,7 +12,9 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from varloom.operators import joins
@@ -43,7 +45,20 @@ def _touched(least: list[tuple], most: list[tuple]):
 
     def run(batches):
         marks = [0] * (len(least) + 1)
+        # One text key: whole batches are placed at once; numpy compares by code points, as UTF-8 does.
+        plain = bool(least) and len(least[0]) == 1 and isinstance(least[0][0], str)
+        edges = [np.array([k[0] for k in keys], np.str_) for keys in (reach, least)] if plain else []
         for batch in batches:
+            if plain:
+                low, high = (batch.column(c).flatten()[0] for c in ("low", "high"))
+                held = pc.and_(pc.is_valid(low), pc.is_valid(high))
+                low, high = (x.filter(held).to_numpy(zero_copy_only=False).astype(np.str_) for x in (low, high))
+                first, last = np.searchsorted(edges[0], low, "left"), np.searchsorted(edges[1], high, "right")
+                for i, j in set(zip(first.tolist(), last.tolist())):
+                    if i < j:
+                        marks[i] += 1
+                        marks[j] -= 1
+                continue
             lows, highs = (batch.column(c).to_pylist() for c in ("low", "high"))
             for low, high in zip(lows, highs):
                 low, high = tuple(low.values()), tuple(high.values())
@@ -81,7 +96,7 @@ def read_within(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
 
 def _points(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     key: Column = F.struct(*keys)
-    return rows.select(key.alias("low"), key.alias("high")).distinct()
+    return rows.select(key.alias("low"), key.alias("high"))
 
 
 def lookup_stored(ids: DataFrame, path: str, key: str = "variant_id") -> DataFrame:
