@@ -171,13 +171,39 @@ def lengthened(text: bytes, found: list[tuple[int, int, bytes, bytes]], min_run:
     return [(a, b) for a, b in out if b - a >= min_run]
 
 
-def _packed(batches):
-    """Texts compressed one by one: they are shuffled twice."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        texts = [None if t is None else pack(t.encode()) for t in batch.column("_text").to_pylist()]
-        at = batch.schema.get_field_index("_text")
-        yield batch.set_column(at, "_text", pa.array(texts, pa.binary()))
+def _marked(batch: pa.RecordBatch, filled: np.ndarray) -> np.ndarray:
+    """Rows whose key passes a filter."""
+    bit = batch.column("_h").to_numpy() & ((1 << FILTER_BITS) - 1)
+    return ((filled[bit >> 6] >> (bit & 63)) & 1).astype(bool)
+
+
+def _packed(words):
+    """Texts compressed one by one, of the rows that pass the filter: only these are shuffled."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            batch = batch.filter(pa.array(_marked(batch, words.value))).drop_columns(["_h"])
+            texts = [None if t is None else pack(t.encode()) for t in batch.column("_text").to_pylist()]
+            at = batch.schema.get_field_index("_text")
+            yield batch.set_column(at, "_text", pa.array(texts, pa.binary()))
+
+    return run
+
+
+def _untouched(words):
+    """Rows that no run is in: they stay where they are."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(~_marked(batch, words.value)))
+            sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).cast(pa.int64())
+            zero = pa.array(np.zeros(batch.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), batch.column("_text"), sizes, zero, zero, zero], ["_row", "_text", *OUTPUTS]
+            )
+
+    return run
 
 
 def _beside(batches):
@@ -301,15 +327,24 @@ def remove_repeats(
     ends = found.select("_k1", "_k2", "start", "end", "chunks", F.explode(sides).alias("side"))
     ends = ends.select("_k1", "_k2", "start", "end", "chunks", "side.*")
     open_ends = ends.filter("open")
-    asked = (
-        open_ends.groupBy(F.col("f1").alias("_k1"), F.col("f2").alias("_k2"))
-        .agg(F.collect_set(F.struct("at", "left")).alias("_asked"))
+    asked = stored(
+        open_ends.groupBy(F.col("f1").alias("_k1"), F.col("f2").alias("_k2")).agg(
+            F.collect_set(F.struct("at", "left")).alias("_asked")
+        ),
+        "asked-places",
     )
-    packed = base.select("_k1", "_k2", "_row", "_text")
-    kinds = StructType([StructField(f.name, BinaryType()) if f.name == "_text" else f for f in packed.schema])
-    packed = packed.mapInArrow(_packed, kinds)
+    spark, hashed = docs.sparkSession, F.xxhash64("_k1", "_k2").alias("_h")
+    named_texts = base.select("_k1", "_k2", "_row", "_text", hashed)
+    kinds = [StructField(f.name, BinaryType()) if f.name == "_text" else f for f in named_texts.schema if f.name != "_h"]
+
+    def packed(keys: DataFrame, *columns: str) -> DataFrame:
+        """Texts that ``keys`` may name; few others come along."""
+        words = spark.sparkContext.broadcast(bit_filter(keys.select(hashed), "_h"))
+        schema = StructType([k for k in kinds if k.name in columns])
+        return named_texts.select(*columns, "_h").mapInArrow(_packed(words), schema)
+
     beside = (
-        packed.select("_k1", "_k2", "_text")
+        packed(asked, "_k1", "_k2", "_text")
         .filter("_text is not null")
         .join(asked, ["_k1", "_k2"])
         .mapInArrow(_beside, "f1 long, f2 long, at int, left boolean, near binary")
@@ -331,7 +366,10 @@ def remove_repeats(
     made = StructType([base.schema["_row"], StructField("_text", StringType())])
     for name in OUTPUTS:
         made.add(name, LongType())
-    cut = packed.join(runs, ["_k1", "_k2"], "left").select("_row", "_text", "_runs").mapInArrow(_cut_out(min_run), made)
+    with_runs = packed(found, "_k1", "_k2", "_row", "_text").join(runs, ["_k1", "_k2"], "left")
+    cut = with_runs.select("_row", "_text", "_runs").mapInArrow(_cut_out(min_run), made)
+    words = spark.sparkContext.broadcast(bit_filter(found.select(hashed), "_h"))
+    cut = cut.unionByName(named_texts.select("_row", "_text", "_h").mapInArrow(_untouched(words), made))
     return cut.select(
         *[F.col("_text").alias(text_col) if f.name == text_col else F.col(f"_row.`{f.name}`") for f in named], *OUTPUTS
     )
