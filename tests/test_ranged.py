@@ -72,6 +72,14 @@ def test_long_and_short_lists_give_the_same(spark, keyed, monkeypatch):
         joins.lookup(ids_of(spark, [99999999]).union(wanted), store).count()
 
 
+def test_long_lists_are_cut_by_their_ends(spark, keyed, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_IDS", 10)
+    wanted = ids_of(spark, range(700, 900))
+    got = ranged.lookup_stored(wanted, keyed)
+    assert sorted(r["x"] for r in got.collect()) == [2.0 * n for n in range(700, 900)]
+    assert len([f for f in got.inputFiles() if "ranged" in f]) <= 3
+
+
 def test_scores_in_regions(spark, tmp_path):
     rng = random.Random(3)
     points = [(rng.choice(["1", "2", "X"]), rng.randint(1, 3_000_000), float(i)) for i in range(3000)] + [(None, 5, 0.0), ("1", None, 0.0)]

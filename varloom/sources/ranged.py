@@ -100,8 +100,16 @@ def _points(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def lookup_stored(ids: DataFrame, path: str, key: str = "variant_id") -> DataFrame:
-    """``joins.lookup`` in a stored table, opening only the files that can hold the ids."""
-    return joins.lookup(ids, read_within(ids.sparkSession, path, _points(ids, [key])), key)
+    """``joins.lookup`` in a stored table, opening only the files that can hold the ids.
+
+    A short list names its files id by id, a long one by its smallest and largest id.
+    """
+    facts = ids.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    if facts.first()["n"] <= joins.MAX_BROADCAST_IDS:
+        ranges = _points(ids, [key])
+    else:
+        ranges = facts.select(F.struct(F.col("low").alias(key)).alias("low"), F.struct(F.col("high").alias(key)).alias("high"))
+    return joins.lookup(ids, read_within(ids.sparkSession, path, ranges), key)
 
 
 def scored_positions(regions: DataFrame, path: str) -> DataFrame:
