@@ -1,10 +1,13 @@
 import hashlib
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from varloom import session
 from varloom.operators import rows, sets, splits
+from varloom.plans import views
 
 
 def md5_order(ids, seed):
@@ -153,3 +156,35 @@ def test_surplus_moves_to_the_next_shard(spark):
     )
     got = rows.move_surplus(sharded, 6, 0, 1).groupBy("shard_id").count().collect()
     assert {(r["shard_id"], r["count"]) for r in got} == {(0, 6), (1, 14)}
+
+
+def test_ranges_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"))
+    got = rows.number_rows(df, ["k"])
+    assert all(r["k"] == r["row_id"] for r in got.collect())
+    assert len(got.inputFiles()) > 30
+    # The default number of partitions stays while it suffices.
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 1000)
+    assert len(rows.number_rows(df, ["k"]).inputFiles()) <= 8
+
+
+def test_numbered_variants_move_and_store_source_columns_only(spark):
+    sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    v = views.number_variants(spark, sf_dir)
+    stored = spark.read.parquet(*v.inputFiles())
+    assert set(stored.columns) == {*views.STORED, "__part", "__local"}
+
+
+def test_shuffle_moves_row_numbers_without_their_hashes(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    shuffled = rows.shuffle_positions(spark.range(3000).withColumnRenamed("id", "row_id"), 13)
+    got = {r["shuffled_id"]: r["row_id"] for r in shuffled.collect()}
+    assert [got[i] for i in range(3000)] == md5_order(range(3000), 13)
+    plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("Initial Plan")[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("REPARTITION_BY_NUM" in line for line in dealt) == 1 and not any("__hash" in line for line in dealt)
+    order = shuffled.select("row_id", F.col("shuffled_id").alias("position"))
+    moved = rows.gather(order, spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") * 2).alias("x")))
+    assert moved.filter("x <> 2 * source_row_id").count() == 0
+    assert moved.rdd.getNumPartitions() >= 30 and moved.count() == 3000

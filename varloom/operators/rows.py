@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from varloom.session import write_through
+from varloom.session import dealt, range_parts, write_through
 
 # Upper bound on the buckets of one numbering, hence on the broadcast offset table.
 MAX_BUCKETS = 65536
@@ -40,14 +40,14 @@ def number_rows(
     """Add the 0-based position in a total order.
 
     ``order_by`` must tell all rows apart. One range exchange on the full key (so a
-    frequent first column is still split), one sort inside each range, one write: the
-    written table keeps range number and position of each row fixed for both later
+    frequent first column is still split) into as many ranges as the number of rows asks for,
+    one sort inside each range, one write: the written table keeps range number and position of each row fixed for both later
     reads and survives lost executors. The ranges are counted once, right after the write, and
     their offsets are part of every later plan, one number per range. ``keep`` names the
     columns to store when some serve for the order only.
     """
     ranged = (
-        df.repartitionByRange(*order_by)
+        df.repartitionByRange(*range_parts(df), *order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("__part", F.spark_partition_id())
         .withColumn(
@@ -89,16 +89,13 @@ def shuffle_positions(
     """Add each row's place in a seeded random permutation.
 
     The leading hash digits are the bucket, so buckets are even whatever the data
-    holds, their sizes come from one pre-aggregated count, and the plan stays lazy.
+    holds, and their sizes come from one pre-aggregated count. Rows are moved without their
+    hashes, to as many tasks as their number asks for.
     """
-    hashed = df.withColumn("__hash", order_hash(row_id, seed)).withColumn(
-        "__bucket", F.substring("__hash", 1, _HASH_DIGITS)
-    )
-    sizes = (
-        df.select(F.substring(order_hash(row_id, seed), 1, _HASH_DIGITS).alias("__bucket"))
-        .groupBy("__bucket")
-        .agg(F.count("*").alias("__n"))
-    )
+    bucket = F.substring(order_hash(row_id, seed), 1, _HASH_DIGITS)
+    moved = df.repartition(*range_parts(df), bucket)
+    hashed = moved.withColumns({"__bucket": bucket, "__hash": F.unhex(order_hash(row_id, seed))})
+    sizes = df.select(bucket.alias("__bucket")).groupBy("__bucket").agg(F.count("*").alias("__n"))
     inside = W.partitionBy("__bucket").orderBy("__hash", row_id)
     return (
         hashed.join(F.broadcast(bucket_offsets(sizes, ["__bucket"])), "__bucket")
@@ -236,6 +233,7 @@ def batch_index(batched: DataFrame, row_id: str, id_col: str) -> DataFrame:
 
 def gather(order: DataFrame, rows: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Rows in a given order: ``order`` has (position, row_id) and may repeat a row."""
+    order, rows = dealt([order, rows], row_id, [rows])
     return (
         order.join(rows, row_id)
         .withColumnRenamed(row_id, "source_row_id")

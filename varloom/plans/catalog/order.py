@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from varloom.operators import rows, sets
 from varloom.plans import views
 from varloom.plans.registry import query
-from varloom.plans.views import FEATURES, ROW_ORDER, with_views
+from varloom.plans.views import FEATURES, with_views
 from varloom.session import fresh_path
 from varloom.sources import readers, writers
 
 
 @query("wn01_row_numbers", with_views("SELECT row_id, variant_id, f1 FROM v"))
 def wn01(spark, d):
-    keyed = views.variants(spark, d, order_keys=True)
-    return rows.number_rows(keyed, ROW_ORDER, keep=["variant_id", "f1"])
+    return views.number_variants(spark, d).select("row_id", "variant_id", "f1")
 
 
 @query(

@@ -14,7 +14,8 @@ from varloom.operators.rows import number_rows
 
 ROW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 FEATURES = ["f0", "f1", "f2", "f3"]
-COLUMNS = ["chrom", "pos", "ref", "alt", "y", *FEATURES, "flag", "status", "variant_id"]
+# What the order and the views are made of.
+STORED = [*ROW_ORDER, "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 VARIANTS_SQL = """
 variants AS (
@@ -49,8 +50,12 @@ def with_views(sql: str) -> str:
     return f"WITH {VARIANTS_SQL.strip()}\n{body}"
 
 
-def variants(spark: SparkSession, sf_dir: str, order_keys: bool = False) -> DataFrame:
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants with target, features and id; no row numbers, so no exchange."""
+    return _named(table(spark, sf_dir, "lineitem"))
+
+
+def _named(lines: DataFrame, *kept: str) -> DataFrame:
     part = F.col("l_partkey") % 24
     number, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("int")
     chrom = F.when(part == 22, "X").when(part == 23, "Y").otherwise((part + 1).cast("string"))
@@ -63,8 +68,8 @@ def variants(spark: SparkSession, sf_dir: str, order_keys: bool = False) -> Data
     alt = F.concat(
         base(number + 1 + F.col("l_suppkey") % 3), F.when(quantity > 45, ",TA").otherwise("")
     )
-    df = table(spark, sf_dir, "lineitem").select(
-        *(ROW_ORDER if order_keys else []),
+    df = lines.select(
+        *kept,
         chrom.alias("chrom"),
         pos.alias("pos"),
         ref.alias("ref"),
@@ -82,14 +87,22 @@ def variants(spark: SparkSession, sf_dir: str, order_keys: bool = False) -> Data
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants with row numbers, written once per application, folder and state of its table."""
+    """Variants with row numbers, written once per application, folder and state of its table.
+
+    Only the columns that the views are made of are moved and written; names, ids and alleles
+    follow from them at every read.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, _state(spark, f"{sf_dir}/lineitem.parquet"))
     if key not in _numbered:
-        ordered = number_rows(variants(spark, sf_dir, order_keys=True), ROW_ORDER, keep=COLUMNS)
-        _numbered[key] = ordered.select("row_id", *COLUMNS)
+        _numbered[key] = number_variants(spark, sf_dir)
     return _numbered[key]
 
 
+def number_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(*STORED)
+    return _named(number_rows(lines, ROW_ORDER), "row_id")
+
+
 def _state(spark: SparkSession, place: str) -> tuple:
     """Names, sizes and times of the files of a table; changes when the table is replaced."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)

@@ -3,8 +3,33 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Rows that one task sorts; beyond the session's number of partitions, tasks grow in number and not in size.
+ROWS_PER_TASK = 500_000
+
+
+def range_parts(*tables: DataFrame) -> list[int]:
+    """Number of partitions for an exchange of all rows of the largest table, to be put before its keys.
+
+    Empty while the session's own number suffices, which leaves adaptive execution free to join small
+    ones. The count reads no columns of a stored table.
+    """
+    wanted = -(-max(t.count() for t in tables) // ROWS_PER_TASK)
+    return [wanted] if wanted > int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
+def dealt(tables: Sequence[DataFrame], key: str, like: Sequence[DataFrame]) -> list[DataFrame]:
+    """Tables dealt by key over as many partitions as the largest of ``like`` asks for.
+
+    A join on the key then needs no other exchange. They stay as they are while the session's own
+    number suffices.
+    """
+    parts = range_parts(*like)
+    return [t.repartition(*parts, key) for t in tables] if parts else list(tables)
 
-from pyspark.sql import SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, taken from ``spark.checkpoint.dir``.
