@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from varloom import session
 from varloom.operators import joins, sets
 
 
@@ -231,3 +232,18 @@ def test_cascade_is_cut_before_any_exchange(spark):
     assert passed.count() < 100
     plan = passed._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(chrom" not in plan
+
+
+def test_long_lists_of_row_numbers_meet_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(joins, "MAX_BROADCAST_IDS", 10)
+    rows = spark.range(2000).select(F.col("id").alias("row_id"), (F.col("id") * 2).alias("x"))
+    wanted = spark.range(0, 9000, 3).select(F.col("id").alias("row_id"))
+    for df, left in ((joins.subset(rows, wanted, "row_id"), 667), (joins.without(rows, wanted, "row_id"), 1333)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # As many tasks as the longer side asks for.
+        assert plan.count("30), REPARTITION_BY_NUM") == 2
+        assert df.count() == left
+    short = joins.subset(rows, spark.range(0, 9).select(F.col("id").alias("row_id")), "row_id")
+    assert "BroadcastHashJoin" in short._jdf.queryExecution().executedPlan().toString()
+    assert short.count() == 9

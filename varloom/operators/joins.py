@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from varloom.session import dealt
+
 VARIANT_KEY = ["chrom", "pos", "ref", "alt"]
 
 # Conversion tables up to this many rows go to every task (16 bytes a row).
@@ -127,12 +129,25 @@ def route_to_shards(rows: DataFrame, extraction: DataFrame, row_id: str = "row_i
 
 def subset(rows: DataFrame, wanted: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose key is wanted. Wanted keys are made distinct on the way, in the same exchange."""
-    return rows.join(_keys(wanted, key), key, "left_semi")
+    return _by_key(rows, wanted, key, "left_semi")
 
 
 def without(rows: DataFrame, done: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose key is not in the other table."""
-    return rows.join(_keys(done, key), key, "left_anti")
+    return _by_key(rows, done, key, "left_anti")
+
+
+def _by_key(rows: DataFrame, other: DataFrame, key: str | Sequence[str], how: str) -> DataFrame:
+    """A short list of keys goes to the rows; a longer one meets them by key.
+
+    Row numbers do not repeat, so they are dealt over tasks of bounded size; a key that may fill a
+    task is left to adaptive skew handling.
+    """
+    if other.count() <= MAX_BROADCAST_IDS:
+        return rows.join(F.broadcast(_keys(other, key)), key, how)
+    if key == "row_id":
+        rows, other = dealt([rows, other.select(key)], key, [rows, other])
+    return rows.join(_keys(other, key), key, how)
 
 
 def _keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:

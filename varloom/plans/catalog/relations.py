@@ -10,7 +10,7 @@ from varloom.plans import views
 from varloom.plans.catalog.files import EXTRACTION_SQL, SAMPLES_SQL, extraction, sample_store
 from varloom.plans.registry import query
 from varloom.plans.views import FEATURES, with_views
-from varloom.session import fresh_path
+from varloom.session import fresh_path, write_through
 from varloom.sources import ranged, writers
 
 KEY = joins.VARIANT_KEY
@@ -42,7 +42,8 @@ def jn02(spark, d):
     p = views.predictions(spark, d).select("row_id", F.array("value").alias("inputs"))
     x = views.vectors(spark, d).select("row_id", "inputs")
     # The tables differ in length, so they are first cut to the rows that all of them hold.
-    common = joins.subset(joins.subset(left.select("row_id"), p, "row_id"), x, "row_id")
+    common = joins.subset(joins.subset(left.select("row_id"), x, "row_id"), p, "row_id")
+    common = write_through(common, "common")
     stacked = joins.hstack([joins.subset(s, common, "row_id") for s in (left, p, x)])
     return stacked.select("row_id", "target", F.posexplode("inputs").alias("idx", "cell"))
 
