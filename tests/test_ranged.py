@@ -93,3 +93,15 @@ def test_scores_in_regions(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(want)
     ranges = frame.select(F.struct("chrom", F.col("start").alias("pos")).alias("low"), F.struct("chrom", F.col("end").alias("pos")).alias("high"))
     assert len(ranged.files_within(spark, path, ranges)) <= 6
+
+
+def test_index_takes_ends_of_ordered_files_without_a_sort(spark, tmp_path):
+    path = str(tmp_path / "t")
+    keys = [None if i % 97 == 0 else f"k{i * 7919 % 4000:05d}" for i in range(4000)]
+    ranged.write_ranged(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "variant_id string, n int"), path, ["variant_id"], files=6)
+    held = spark.read.parquet(path).select("variant_id", F.col("_metadata.file_path").alias("file")).dropna()
+    plain = held.groupBy("file").agg(F.min("variant_id"), F.max("variant_id")).collect()
+    index = spark.read.parquet(f"{path}/_index").select("file", "least.variant_id", F.col("most.variant_id").alias("m")).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, index))
+    # Only the two ends of each file are read into the comparison.
+    assert ranged.file_ends(spark, path, ["variant_id"]).count() <= 2 * len(index)

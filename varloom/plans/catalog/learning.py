@@ -17,7 +17,7 @@ from varloom.plans.catalog.order import SHUFFLED_SQL
 from varloom.plans.catalog.relations import KEY, conversion, prescored
 from varloom.plans.registry import query
 from varloom.plans.views import FEATURES, counted_fit, with_views
-from varloom.session import fresh_path
+from varloom.session import fresh_path, range_parts
 from varloom.sources import store, writers
 from varloom.streaming import scoring
 
@@ -392,7 +392,7 @@ def ml20(spark, d):
     """Ids, targets and features of both sets, and the scaler of the train set."""
     path = fresh_path(spark, "build")
     v = views.numbered(spark, d)
-    ordered = v.repartitionByRange("row_id").sortWithinPartitions("row_id")
+    ordered = v.repartitionByRange(*range_parts(v), "row_id").sortWithinPartitions("row_id")
     names = jobs.VARIANT_COLUMNS["GRCh37"]
     writers.write_tabbed(
         ordered.select(*[F.col(c).alias(n) for c, n in zip(KEY, names)], "flag"),

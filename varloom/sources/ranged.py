@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from varloom.operators import joins
+from varloom.session import range_parts
 
 #: Files whose key ranges may be sent to every task, some hundred bytes each.
 MOST_FILES = 50_000
@@ -25,18 +26,24 @@ MOST_FILES = 50_000
 
 def write_ranged(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None) -> None:
     """Write in key order, equal keys in one file, and index the files."""
-    ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    ranged = df.repartitionByRange(*([files] if files else range_parts(df)), *keys)
     ranged.sortWithinPartitions(*keys).write.parquet(path)
     index_files(df.sparkSession, path, keys)
 
 
 def index_files(spark: SparkSession, path: str, keys: Sequence[str]) -> None:
-    """Add the index to a table that is there; rows with a null in the key can not be wanted."""
-    held = spark.read.parquet(path).select(*keys, F.col("_metadata.file_path").alias("file")).dropna(subset=list(keys))
+    """Add the index to a table that is there, each file in key order; rows with a null in the key can not be wanted."""
     key = F.struct(*keys)
-    held.groupBy("file").agg(F.min(key).alias("least"), F.max(key).alias("most")).coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/_index")
+    ends = file_ends(spark, path, keys).groupBy("file").agg(F.min(key).alias("least"), F.max(key).alias("most"))
+    ends.coalesce(1).write.mode("overwrite").parquet(f"{path}/_index")
+
+
+def file_ends(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The first and the last row with a whole key of each file, found by row number, so that no key is sorted."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    held = spark.read.parquet(path).select(*keys, *place).dropna(subset=list(keys))
+    ends = held.groupBy("file").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    return held.join(F.broadcast(ends), "file").filter("row = first OR row = last").select(*keys, "file")
 
 
 def _touched(least: list[tuple], most: list[tuple]):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from varloom.functions.features import relabel
 from varloom.operators.sets import keep_last
+from varloom.session import range_parts
 
 FORMATS = ("parquet", "csv", "tsv", "json")
 
@@ -19,7 +20,7 @@ FORMATS = ("parquet", "csv", "tsv", "json")
 def write_keyed(df: DataFrame, path: str, key: str = "variant_id", row_id: str = "row_id") -> None:
     """One record per key, the last row winning, laid out in key order for pruned lookups."""
     once = keep_last(df, [key], row_id)
-    once.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+    once.repartitionByRange(*range_parts(df), key).sortWithinPartitions(key).write.parquet(path)
 
 
 def write_keyed_table(
@@ -40,7 +41,7 @@ def write_batches(batched: DataFrame, path: str, by_folder: bool = False) -> Non
         batched.hint("rebalance", "batch_id").write.partitionBy("batch_id").parquet(path)
         return
     order = ["batch_id", "pos_in_batch"]
-    batched.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    batched.repartitionByRange(*range_parts(batched), *order).sortWithinPartitions(*order).write.parquet(path)
 
 
 def write_by_value(df: DataFrame, path: str, column: str, fmt: str = "parquet", **options) -> None:
