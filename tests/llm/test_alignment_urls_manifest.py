@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +296,14 @@ def test_builders_write_one_log(spark):
         log, at = log + bytes(r["nodes"]), at + len(r["nodes"]) // 32
     assert log.hex() == "".join(levels[level][i] for level, i in plain_postorder(levels))
     assert [bytes(r["root"]).hex() for r in merkle_log.roots(tiers).collect()] == [levels[-1][0]]
+
+
+def test_tasks_of_one_worker_share_the_table_of_parts(monkeypatch):
+    aligned = []
+    plain = token_spans.PairTable._align
+    monkeypatch.setattr(token_spans.PairTable, "_align", lambda self, new: (aligned.extend(new), plain(self, new))[1])
+    run = token_spans._align(*token_spans.default_paths(), "_text", ("n_a", "groups_sha256"))
+    batch = pa.RecordBatch.from_pydict({"_text": ["shared words of zqxv tasks", "more shared words"]})
+    first, seen = list(run(iter([batch]))), len(aligned)
+    assert seen and list(run(iter([batch]))) == first
+    assert len(aligned) == seen

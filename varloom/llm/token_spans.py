@@ -9,7 +9,7 @@ byte-fallback piece: its end is then counted in decoded bytes from the last toke
 
 Byte offsets where tokens of both sides end cut a text into groups; a link is a pair of tokens that
 end together. Both sides are independent across a single space between other characters, so each
-distinct part between such spaces is aligned once for a task, and documents are put together by
+distinct part between such spaces is aligned once while a worker holds it, and documents are put together by
 position. ``piece_table.check_model`` refuses a model for which this does not hold.
 
 How many pairs can be counted is bounded by the vocabularies alone: of two tokens that end together
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from varloom.llm.common import map_rows, spans, stored, text_bytes
 from varloom.llm.piece_table import MARK, check_model
 
-#: Distinct parts, and bytes of them, that a task keeps.
+#: Distinct parts, and bytes of them, that a Python worker keeps.
 TABLE, TABLE_BYTES = 300_000, 32 << 20
 #: Characters of new parts that are tokenized in one call.
 CALL = 16_384
@@ -165,7 +166,7 @@ def refined_ends(coarse_from: np.ndarray, coarse_to: np.ndarray, sizes: np.ndarr
 
 
 class PairTable:
-    """Alignments of the parts that a task has seen."""
+    """Alignments of the parts that a worker has seen."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, a_bytes = load_a(path_a)
@@ -286,9 +287,15 @@ def _marked(n: int, inside: str, last: str) -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def _table(path_a: str, path_b: str) -> PairTable:
+    """The table of this process: a worker that runs several tasks loads the models and meets common parts once."""
+    return PairTable(path_a, path_b)
+
+
 def _align(path_a: str, path_b: str, text_col: str, want: tuple[str, ...]):
     def run(batches):
-        table = PairTable(path_a, path_b)
+        table = _table(path_a, path_b)
         for batch in batches:
             texts = pc.fill_null(batch.column(text_col), "")
             for at, stop in spans(text_bytes(texts)[1]):
