@@ -307,3 +307,35 @@ def test_tasks_of_one_worker_share_the_table_of_parts(monkeypatch):
     first, seen = list(run(iter([batch]))), len(aligned)
     assert seen and list(run(iter([batch]))) == first
     assert len(aligned) == seen
+
+
+def test_full_table_keeps_parts_that_come_back(monkeypatch):
+    monkeypatch.setattr(token_spans, "TABLE", 40)
+    aligned = []
+    plain = token_spans.PairTable._align
+    monkeypatch.setattr(token_spans.PairTable, "_align", lambda self, new: (aligned.extend(new), plain(self, new))[1])
+    table = token_spans.PairTable(*token_spans.default_paths(), ("n_a", "links", "groups_sha256"))
+    common = [f"common{i}ß" for i in range(10)]
+    want = None
+    for k in range(12):
+        codes = table.add([common, [f"once{k}x{i}" for i in range(20)]])
+        got = [(table.digests[c], table.counts["n_a"][c], *table.lists["links"].take(np.array([c]))) for c in codes[:10]]
+        assert want is None or got == want
+        want = got
+        assert len(table.codes) <= 40 + 20 and list(table.codes.values()) == list(range(len(table.codes)))
+        assert table.size == table.bytes[: len(table.codes)].sum()
+    assert Counter(aligned)[common[0]] == 1 and len(aligned) == 10 + 12 * 20
+    # Columns that nobody wants are not held.
+    assert set(table.counts) == {"n_a"} and set(table.lists) == {"links"}
+
+
+def test_scoring_gives_back_the_table_of_parts():
+    table, want = token_spans._table, ("n_a", "links")
+    list(token_spans._align(*token_spans.default_paths(), "_text", want)(iter([pa.RecordBatch.from_pydict({"_text": ["a b"]})])))
+    assert table.cache_info().currsize == 1
+
+    class Counts:
+        value = tuple(np.zeros(0, np.int64) for _ in range(3))
+
+    assert list(token_spans._score(Counts, 1)(iter([]))) == []
+    assert table.cache_info().currsize == 0

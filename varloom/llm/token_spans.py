@@ -10,7 +10,7 @@ byte-fallback piece: its end is then counted in decoded bytes from the last toke
 Byte offsets where tokens of both sides end cut a text into groups; a link is a pair of tokens that
 end together. Both sides are independent across a single space between other characters, so each
 distinct part between such spaces is aligned once while a worker holds it, and documents are put together by
-position. ``piece_table.check_model`` refuses a model for which this does not hold.
+position. A full table keeps the parts that came back most often. ``piece_table.check_model`` refuses a model for which this does not hold.
 
 How many pairs can be counted is bounded by the vocabularies alone: of two tokens that end together
 the shorter is a suffix of the longer, so there are no more pairs of ids than bytes in both
@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,9 @@ OUTPUTS = {
     "b_sizes": "array<int>",
     "group_bytes": "array<int>",
 }
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+LISTS = ("links", "a_ids", "b_ids", "a_sizes", "b_sizes", "group_bytes")
+_TENS = 10 ** np.arange(1, 10)
 
 
 def parts_of(text: str) -> list[str]:
@@ -133,6 +136,12 @@ class Ragged:
         self.ends[self.n + 1 : self.n + len(sizes) + 1] = self.used + np.cumsum(sizes)
         self.used, self.n = self.used + len(flat), self.n + len(sizes)
 
+    def keep(self, rows: np.ndarray) -> None:
+        flat, sizes = self.take(rows), self.sizes(rows)
+        self.used = self.n = 0
+        self.flat, self.ends = self.flat[:0], np.zeros(1, np.int64)
+        self.append(flat, sizes)
+
     def sizes(self, rows: np.ndarray) -> np.ndarray:
         return self.ends[rows + 1] - self.ends[rows]
 
@@ -166,9 +175,9 @@ def refined_ends(coarse_from: np.ndarray, coarse_to: np.ndarray, sizes: np.ndarr
 
 
 class PairTable:
-    """Alignments of the parts that a worker has seen."""
+    """Alignments of the parts that a worker has seen, as far as the wanted columns need them."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, want: tuple[str, ...] = tuple(OUTPUTS)):
         self.a, a_bytes = load_a(path_a)
         self.b, b_bytes = load_b(path_b)
         self.n_b = len(b_bytes)
@@ -178,22 +187,43 @@ class PairTable:
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (a_bytes, b_bytes))
         self.a_text, self.b_text = (np.frombuffer(b"".join(x), np.uint8) for x in (a_bytes, b_bytes))
         self.a_at, self.b_at = (np.cumsum(x) - x for x in (self.a_sizes, self.b_sizes))
+        self.want = want
         self.clear()
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.digests: list[str] = []
-        self.good = np.zeros(1 << 14, bool)
+        # For each part: whether it comes back, its bytes, how many calls of ``add`` met it, its numbers.
+        self.good, self.bytes, self.met = np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.counts = {name: np.zeros(0, np.int32) for name in COUNTS if name in self.want}
+        self.lists = {name: Ragged(np.int32) for name in LISTS if name in self.want}
         self.size = 0
-        self.a_ids, self.b_ids = Ragged(np.int32), Ragged(np.int32)
-        self.in_a, self.in_b, self.long = Ragged(np.int32), Ragged(np.int32), Ragged(np.int32)
-        self.links = Ragged(np.int32)
 
-    def add(self, cut: list[list[str]]) -> None:
-        """Align the parts of texts that the table does not hold yet."""
+    def trim(self) -> None:
+        """Keep the parts that came back, the most frequent first, in half of the room; older meetings count less."""
+        n = len(self.codes)
+        order = np.argsort(-self.met[:n], kind="stable")
+        fit = np.cumsum(self.bytes[order], dtype=np.int64) <= TABLE_BYTES // 2
+        rows = order[: TABLE // 2][fit[: TABLE // 2]]
+        rows = np.sort(rows[self.met[rows] > 1])
+        names, kept = list(self.codes), rows.tolist()
+        self.codes = {names[r]: i for i, r in enumerate(kept)}
+        self.digests = [self.digests[r] for r in kept] if self.digests else []
+        self.good, self.bytes, self.met = self.good[rows], self.bytes[rows], self.met[rows] // 2
+        self.counts = {name: x[rows] for name, x in self.counts.items()}
+        for held in self.lists.values():
+            held.keep(rows)
+        self.size = int(self.bytes.sum(dtype=np.int64))
+
+    def add(self, cut: list[list[str]]) -> np.ndarray:
+        """Align the parts of texts that the table does not hold yet; the places of all parts, in order."""
         if len(self.codes) > TABLE or self.size > TABLE_BYTES:
-            self.clear()
-        new = set(chain.from_iterable(cut)).difference(self.codes)
+            self.trim()
+        parts = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.codes.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(at < 0)
+        unknown = [parts[i] for i in missing.tolist()]
+        new = set(unknown)
         # Parts stand behind each other in one call; white space at either end of a text would meet the next one.
         edges = {p for parts in cut if parts for p in (parts[0], parts[-1]) if p[0].isspace() or p[-1].isspace()}
         alone = new & edges
@@ -207,6 +237,11 @@ class PairTable:
             group.append(part)
             size += len(part)
         self._align(group)
+        at[missing] = np.fromiter(map(self.codes.__getitem__, unknown), np.int64, len(unknown))
+        met = np.zeros(len(self.met), bool)
+        met[at] = True
+        self.met += met
+        return at
 
     def _align(self, new: list[str]) -> None:
         if not new:
@@ -245,17 +280,26 @@ class PairTable:
         last_a, last_b = np.searchsorted(a_end, shared), np.searchsorted(b_end, shared)
         n_a, n_b, n_groups = (_by_part(x, ends) for x in (a_end, b_end, shared))
 
-        first = len(self.codes)
-        self.codes.update(zip(new, range(first, first + len(new))))
-        self.good = _room(self.good, first + len(new))
-        self.good[first : first + len(new)] = same
-        self.a_ids.append(a, n_a)
-        self.b_ids.append(b, n_b)
-        self.in_a.append(np.diff(last_a, prepend=-1), n_groups)
-        self.in_b.append(np.diff(last_b, prepend=-1), n_groups)
-        self.long.append(np.diff(shared, prepend=0), n_groups)
-        self.links.append(a[last_a] * self.n_b + b[last_b], n_groups)
-        self.digests.extend(self._written(a, b, last_a, last_b, n_groups))
+        first, n = len(self.codes), len(self.codes) + len(new)
+        self.codes.update(zip(new, range(first, n)))
+        self.good, self.bytes, self.met = (_room(x, n) for x in (self.good, self.bytes, self.met))
+        self.good[first:n], self.bytes[first:n], self.met[first:n] = same, np.diff(ends, prepend=0), 0
+        for name, x in zip(COUNTS, (n_a, n_b, n_groups, n_groups)):
+            if name in self.counts:
+                self.counts[name] = _room(self.counts[name], n)
+                self.counts[name][first:n] = x
+        lists = {
+            "a_ids": lambda: (a, n_a),
+            "b_ids": lambda: (b, n_b),
+            "a_sizes": lambda: (np.diff(last_a, prepend=-1), n_groups),
+            "b_sizes": lambda: (np.diff(last_b, prepend=-1), n_groups),
+            "group_bytes": lambda: (np.diff(shared, prepend=0), n_groups),
+            "links": lambda: (a[last_a] * self.n_b + b[last_b], n_groups),
+        }
+        for name, held in self.lists.items():
+            held.append(*lists[name]())
+        if "groups_sha256" in self.want:
+            self.digests.extend(self._written(a, b, last_a, last_b, n_groups))
 
     def _written(self, a, b, last_a, last_b, n_groups) -> list[str]:
         """``a1,a2|b1;a3|b2;`` for each part: every group's A ids, then its B ids."""
@@ -263,12 +307,18 @@ class PairTable:
         closes_a[last_a] = closes_b[last_b] = 1
         group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
         upto_a, upto_b = last_a + 1, np.append(0, last_b + 1)
-        out = np.empty(len(a) + len(b), object)
-        out[np.arange(len(a)) + upto_b[group_a]] = self.a_marked[a, closes_a]
-        out[np.arange(len(b)) + upto_a[group_b]] = self.b_marked[b, closes_b]
-        ends = np.append(0, last_a + last_b + 2)[np.append(0, np.cumsum(n_groups))].tolist()
-        texts = out.tolist()
-        return ["".join(texts[s:e]) for s, e in zip(ends[:-1], ends[1:])]
+        out, sizes = np.empty(len(a) + len(b), object), np.empty(len(a) + len(b), np.int64)
+        for ids, marked, closes, place in (
+            (a, self.a_marked, closes_a, np.arange(len(a)) + upto_b[group_a]),
+            (b, self.b_marked, closes_b, np.arange(len(b)) + upto_a[group_b]),
+        ):
+            out[place] = marked[ids, closes]
+            # Digits and the sign behind them.
+            sizes[place] = 2 + np.searchsorted(_TENS, ids, "right")
+        ends = np.append(0, last_a + last_b + 2)[np.append(0, np.cumsum(n_groups))]
+        ends = np.append(0, np.cumsum(sizes))[ends].tolist()
+        text = "".join(out.tolist())
+        return [text[s:e] for s, e in zip(ends[:-1], ends[1:])]
 
     @staticmethod
     def _bytes(text, at, sizes, ids) -> bytes:
@@ -288,50 +338,45 @@ def _marked(n: int, inside: str, last: str) -> np.ndarray:
 
 
 @lru_cache(1)
-def _table(path_a: str, path_b: str) -> PairTable:
+def _table(path_a: str, path_b: str, want: tuple[str, ...]) -> PairTable:
     """The table of this process: a worker that runs several tasks loads the models and meets common parts once."""
-    return PairTable(path_a, path_b)
+    return PairTable(path_a, path_b, want)
 
 
 def _align(path_a: str, path_b: str, text_col: str, want: tuple[str, ...]):
     def run(batches):
-        table = _table(path_a, path_b)
+        table = _table(path_a, path_b, want)
         for batch in batches:
             texts = pc.fill_null(batch.column(text_col), "")
             for at, stop in spans(text_bytes(texts)[1]):
                 part = batch.slice(at, stop - at)
                 cut = [parts_of(t) for t in texts.slice(at, stop - at).to_pylist()]
-                table.add(cut)
-                rows = []
-                for parts in cut:
-                    codes = np.array(list(map(table.codes.__getitem__, parts)), np.int64)
-                    rows.append(codes if table.good[codes].all() else codes[:0])
-                made = {name: _column(table, name, rows) for name in want}
+                codes, ends = table.add(cut), np.append(0, np.cumsum(list(map(len, cut))))
+                bad = ~table.good[codes]
+                if bad.any():
+                    # A text with a part that does not come back has no tokens.
+                    sizes = np.diff(ends)
+                    none = np.diff(np.append(0, np.cumsum(bad))[ends]) > 0
+                    codes = codes[~np.repeat(none, sizes)]
+                    ends = np.append(0, np.cumsum(np.where(none, 0, sizes)))
+                made = {name: _column(table, name, codes, ends) for name in want}
                 kept = [c for c in part.schema.names if c not in made and c != text_col]
                 yield pa.RecordBatch.from_arrays([*map(part.column, kept), *made.values()], [*kept, *made])
 
     return run
 
 
-def _column(table: PairTable, name: str, rows: list[np.ndarray]) -> pa.Array:
-    counted = {"n_a": table.a_ids, "n_b": table.b_ids, "n_groups": table.in_a, "n_links": table.links}
-    if name in counted:
-        return pa.array([int(counted[name].sizes(r).sum()) for r in rows], pa.int64())
+def _column(table: PairTable, name: str, codes: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A column for the rows whose parts stand behind each other in ``codes``, up to ``ends``."""
+    if name in table.counts:
+        return pa.array(np.diff(np.append(0, np.cumsum(table.counts[name][codes], dtype=np.int64))[ends]))
     if name == "groups_sha256":
-        texts = ["".join(map(table.digests.__getitem__, r.tolist())) for r in rows]
+        written, at = list(map(table.digests.__getitem__, codes.tolist())), ends.tolist()
+        texts = ["".join(written[s:e]) for s, e in zip(at[:-1], at[1:])]
         return pa.array([hashlib.sha256(t[:-1].encode()).hexdigest() if t else "" for t in texts], pa.string())
-    held = {
-        "links": table.links,
-        "a_ids": table.a_ids,
-        "b_ids": table.b_ids,
-        "a_sizes": table.in_a,
-        "b_sizes": table.in_b,
-        "group_bytes": table.long,
-    }[name]
-    values = [held.take(r) for r in rows]
-    offsets = np.append(0, np.cumsum(list(map(len, values)))).astype(np.int32)
-    flat = np.concatenate(values) if values else held.flat[:0]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    held = table.lists[name]
+    offsets = np.append(0, np.cumsum(held.sizes(codes)))[ends].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(held.take(codes)))
 
 
 def align(
@@ -353,6 +398,8 @@ def align(
 
 def _score(table, n_b: int):
     def run(batches):
+        # This worker may still hold the parts that it aligned.
+        _table.cache_clear()
         codes, counts, best = table.value
         for batch in batches:
             links = batch.column("links")
