@@ -1,4 +1,5 @@
 import bisect
+import os
 import random
 
 import pytest
@@ -247,3 +248,39 @@ def test_long_lists_of_row_numbers_meet_in_tasks_of_bounded_size(spark, monkeypa
     short = joins.subset(rows, spark.range(0, 9).select(F.col("id").alias("row_id")), "row_id")
     assert "BroadcastHashJoin" in short._jdf.queryExecution().executedPlan().toString()
     assert short.count() == 9
+
+
+def test_long_variant_lists_make_no_filter_and_sort_by_position(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    cascade = entry.queries()["jn12_prescored_cascade"]
+    before = cascade(spark, sf_dir)
+    plan = before._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "hashpartitioning(chrom" not in plan and "Sort [chrom" not in plan
+    # More keys than the filter has bits would set nearly all of them.
+    monkeypatch.setattr(joins, "_FILTER_BITS", 6)
+    after = cascade(spark, sf_dir)
+    assert "bit_or" not in after._jdf.queryExecution().executedPlan().toString()
+    assert before.exceptAll(after).count() == after.exceptAll(before).count() == 0
+
+
+def test_score_variants_joins_by_position_first(spark, monkeypatch):
+    from varloom.plans import jobs
+
+    seen = []
+    plain = jobs.write_through
+    monkeypatch.setattr(jobs, "write_through", lambda df, label: (seen.append((df, label)), plain(df, label))[1])
+    monkeypatch.setattr(joins, "_FILTER_BITS", 1)
+    variants = spark.createDataFrame([("1", p, "A", "T") for p in (3, 1, 2, 3, 4)], "chrom string, pos int, ref string, alt string")
+    known = variants.filter("pos = 2").withColumns({"raw_score": F.lit(7.0), "scaled_score": F.lit(1.0)})
+    annotations = variants.filter("pos < 4").distinct().withColumn("f", F.col("pos") * 1.0)
+    steps = spark.createDataFrame([(0.0, 10.0), (5.0, 20.0)], "threshold double, scaled double")
+    got = jobs.score_variants(
+        variants, [("known", known)], annotations, ["f"], {"f": 9.0}, lambda df: df.withColumn("raw_score", F.col("f") + 1), steps
+    )
+    assert [tuple(r) for r in got.select("pos", "raw_score", "scaled_score").collect()] == [
+        (1, 2.0, 10.0), (2, 7.0, 1.0), (3, 4.0, 10.0), (4, 10.0, 20.0)
+    ]
+    plan = seen[0][0]._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" not in plan and "hashpartitioning(chrom" not in plan and "hashpartitioning(pos" in plan

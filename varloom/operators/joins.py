@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from varloom.session import dealt
 
 VARIANT_KEY = ["chrom", "pos", "ref", "alt"]
+# The same key for groups and joins: their sorts then compare a number first, and texts only where it is equal.
+GROUP_KEY = ["pos", "chrom", "ref", "alt"]
 
 # Conversion tables up to this many rows go to every task (16 bytes a row).
 MAX_BROADCAST_THRESHOLDS = 1_000_000
@@ -178,23 +180,22 @@ def first_table_holding(
     variants: DataFrame,
     tables: Sequence[tuple[str, DataFrame]],
     values: Sequence[str],
-    key: Sequence[str] = VARIANT_KEY,
+    key: Sequence[str] = GROUP_KEY,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Attach (found_in, values) from the first table, in list order, that holds the variant.
 
     Prescored tables are far larger than a variant list, so their rows are first cut at the scan by a
     filter of the wanted keys, before anything is exchanged; what passes is reduced to the first
     row per variant, with partial sums before the exchange, and joined once. ``found_in`` is null for
-    a novel variant.
+    a novel variant. ``at_most`` bounds the keys of ``variants`` where a count of them is at hand: a list with
+    more keys than the filter has bits would fill it, so none is made.
     """
-    words = wanted_filter(variants, key)
-    stacked = reduce(
-        DataFrame.unionByName,
-        [
-            maybe_wanted(t.select(*key, *values), words, key).withColumn("__rank", F.lit(i))
-            for i, (_, t) in enumerate(tables)
-        ],
-    )
+    parts = [t.select(*key, *values) for _, t in tables]
+    if at_most is None or at_most <= 1 << _FILTER_BITS:
+        words = wanted_filter(variants, key)
+        parts = [maybe_wanted(t, words, key) for t in parts]
+    stacked = reduce(DataFrame.unionByName, [t.withColumn("__rank", F.lit(i)) for i, t in enumerate(parts)])
     best = F.min(F.struct("__rank", *values))
     names = F.array(*[F.lit(name) for name, _ in tables])
     first = stacked.groupBy(*key).agg(best.alias("__best"))

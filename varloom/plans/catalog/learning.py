@@ -448,8 +448,8 @@ FROM k ASOF LEFT JOIN t ON k.fresh >= t.threshold
 def ml21(spark, d):
     v = views.variants(spark, d)
     known = [(n, t.withColumn("scaled_score", F.lit(1.0))) for n, t in prescored(v)]
-    measured = F.when(F.col("status") == "F", F.col("f0"))
-    annotations = v.groupBy(*KEY).agg(F.min(measured).alias("f0"))
+    # A variant without a measured row has no annotation; the left join then gives the null that the default fills.
+    annotations = v.filter("status = 'F'").groupBy(*joins.GROUP_KEY).agg(F.min("f0").alias("f0"))
     return jobs.score_variants(
         v,
         known,

@@ -178,8 +178,10 @@ def prescored(v):
 @query("jn12_prescored_cascade", with_views(CASCADE_SQL))
 def jn12(spark, d):
     v = views.variants(spark, d)
-    unique = v.select(*KEY).dropDuplicates()
-    return joins.first_table_holding(unique, prescored(v), ["raw_score"])
+    unique = v.select(*joins.GROUP_KEY).dropDuplicates()
+    return joins.first_table_holding(unique, prescored(v), ["raw_score"], at_most=v.count()).select(
+        *KEY, "found_in", "raw_score"
+    )
 
 
 @query(

@@ -135,16 +135,16 @@ def score_variants(
     holds a variant, join annotations for the rest, fill missing features, apply
     ``score`` (adds ``raw_score``), convert to the scaled score, merge in order.
     """
-    key = joins.VARIANT_KEY
-    unique = variants.select(*key).dropDuplicates()
+    key, by = joins.VARIANT_KEY, joins.GROUP_KEY
+    unique = variants.select(*by).dropDuplicates()
     cascade = write_through(
-        joins.first_table_holding(unique, prescored, ["raw_score", "scaled_score"]), "cascade"
+        joins.first_table_holding(unique, prescored, ["raw_score", "scaled_score"], at_most=variants.count()), "cascade"
     )
     known = cascade.filter(F.col("found_in").isNotNull()).select(
         *key, "raw_score", "scaled_score"
     )
     novel = cascade.filter(F.col("found_in").isNull()).select(*key)
-    annotated = novel.join(annotations.select(*key, *features), key, "left").fillna(defaults)
+    annotated = novel.join(annotations.select(*key, *features), by, "left").select(*key, *features).fillna(defaults)
     fresh = joins.threshold_lookup(score(annotated), conversion).select(
         *key, "raw_score", "scaled_score"
     )
